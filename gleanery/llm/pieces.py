@@ -19,12 +19,17 @@ from __future__ import annotations
 import itertools
 import os
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -32,7 +37,7 @@ BLANK = "▁"
 NEVER = float("-inf")
 MODEL = os.environ.get("GLEANERY_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Words kept with their ids in each task; when full the store is emptied.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 #: A vocabulary is sent to every task, so its size is checked.
 MAX_PIECES = 1_000_000
 _RUN = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -61,11 +66,11 @@ class Lattice:
         # A boundary before every run of blanks is safe if no piece has a blank after another character.
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.score)
         self.spines: dict[str, tuple | None] = {}
-        self.follows: dict[str, dict[str, bool]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.follows: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.words: dict[str, bytes] = {}
         self.finder = ahocorasick.Automaton()
         for p in self.score:
-            if self.spine(p) is not None:
+            if len(p) == 1 or self.merged(p) == [p]:
                 self.finder.add_word(p, (p, len(p)))
         if self.score:
             self.finder.make_automaton()
@@ -111,7 +116,7 @@ class Lattice:
 
     def may_follow(self, last: str, piece: str) -> bool:
         """Whether merging the characters of both leaves the two: no merge across their boundary comes first."""
-        a, b = self.spines[last], self.spines[piece]
+        a, b = self.spine(last), self.spine(piece)
         if not (a[2] and b[2]):
             return self.merged(last + piece) == [last, piece]
         i = j = 0
@@ -135,30 +140,44 @@ class Lattice:
         for known, run in itertools.groupby(text, self.known.__contains__):
             yield from self._best("".join(run)) if known else run
 
-    def _best(self, text: str) -> Iterator[str]:
-        last: dict[int, str] = {0: ""}  # position -> the last piece of the text up to it; only a window is held
-        done, longest, follows, checked = 0, self.longest, self.follows, 2 * self.longest
-        for at, (piece, size) in self.finder.iter(text):
-            start = at + 1 - size
-            before = last.get(start)
-            if before is None:
+    def _best(self, text: str) -> list[str] | Iterator[str]:
+        if len(text) > 4 * self.longest:
+            return self._streamed(text)
+        last = {0: ""}
+        self._extend(last, self.finder.iter(text), {0: self.follows[""]})
+        return [last[p] for p in reversed(self._path(last, len(text), 0))]
+
+    def _streamed(self, text: str) -> Iterator[str]:
+        """The same for a text of any length: only a window of positions is held."""
+        last, after, done = {0: ""}, {0: self.follows[""]}, 0  # position -> the last piece up to it; what may follow that
+        found = self.finder.iter(text)
+        for upto in range(2 * self.longest, len(text) + 2 * self.longest, self.longest):
+            self._extend(last, found, after, upto)
+            # Every path goes on from one of the last `longest` positions; a boundary that all of them share is final.
+            end = max(last)
+            paths = [self._path(last, p, done) for p in range(end + 1 - self.longest, end + 1) if p in last] if end < len(text) else [self._path(last, end, done)]
+            shared = max(set.intersection(*map(set, paths)), default=done)
+            if shared > done:
+                yield from [last[p] for p in reversed(self._path(last, shared, done))]
+                done = shared
+                last, after = ({p: x for p, x in d.items() if p >= done} for d in (last, after))
+
+    def _extend(self, last: dict[int, str], found: Iterator, after: dict[int, dict[str, bool]], upto: float = float("inf")) -> None:
+        """Set the last piece of each position that the found pieces reach, in the order of their ends, to the first end from ``upto`` on."""
+        follows, solved = self.follows, -1
+        for at, (piece, size) in found:
+            if at == solved or (known := after.get(at + 1 - size)) is None:
                 continue
-            if start > checked:
-                # Every path goes on from one of the last `longest` positions; a boundary that all of them share is final.
-                checked = start + longest
-                paths = [self._path(last, p, done) for p in range(at + 1 - longest, at + 1) if p in last]
-                shared = max(set.intersection(*map(set, paths)), default=done)
-                if shared > done:
-                    yield from [last[p] for p in reversed(self._path(last, shared, done))]
-                    done = shared
-                    last = {p: x for p, x in last.items() if p >= done}
-            try:
-                may = follows[before][piece]
-            except KeyError:
-                may = follows.setdefault(before, {})[piece] = not before or self.may_follow(before, piece)
+            may = known.get(piece)
+            if may is None:
+                before = last[at + 1 - size]
+                may = known[piece] = not before or self.may_follow(before, piece)
             if may:
+                solved = at
                 last[at + 1] = piece
-        yield from [last[p] for p in reversed(self._path(last, len(text), done))]
+                after[at + 1] = follows[piece]
+                if at + 1 >= upto:
+                    return
 
     @staticmethod
     def _path(last: dict[int, str], position: int, done: int) -> list[int]:
@@ -168,74 +187,107 @@ class Lattice:
             position -= len(last[position])
         return out
 
-    def ids_of(self, pieces: Iterator[str]) -> list[int]:
-        out: list[int] = []
+    def ids_of(self, pieces: Iterator[str]) -> bytes:
+        """The ids of pieces as packed 32-bit numbers."""
+        out = array("i")
         for p in pieces:
             if (i := self.ids.get(p)) is not None:
                 out.append(i)
             else:
                 out.extend(self.bytes[b] for b in p.encode())
-        return out
+        return out.tobytes()
 
     def _parts(self, word: str) -> list[str]:
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inside]
         return [word[i:j] for i, j in itertools.pairwise([0, *cuts, len(word)])]
 
-    def _keep(self, word: str, ids: list[int]) -> list[int]:
+    def _keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= 4 * self.longest:
             if len(self.words) >= KEPT_WORDS:
                 self.words.clear()
             self.words[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def _ids(self, word: str) -> bytes:
+        get = self.words.get
+        return self._keep(word, b"".join(get(part) or self._keep(part, self.ids_of(self.segments(part))) for part in self._parts(word)))
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as packed 32-bit numbers."""
         if not text:
-            return []
+            return b""
         text = BLANK + text.replace(" ", BLANK)
         if not self.by_word:
             return self.ids_of(self.segments(text))
-        out: list[int] = []
-        words = self.words
-        for word in _RUN.findall(text):
-            ids = words.get(word)
-            if ids is None:
-                ids = self._keep(word, [i for part in self._parts(word) for i in words.get(part) or self._keep(part, self.ids_of(self.segments(part)))])
-            out += ids
-        return out
+        get, ids = self.words.get, self._ids
+        return b"".join([get(word) or ids(word) for word in _RUN.findall(text)])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, column: str = "text", to: str = "ids", path: str = MODEL) -> DataFrame:
-    """Add the piece ids of a text column."""
+def _rows(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds a few million characters or one row."""
+    for batch in batches:
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(0).cast(pa.binary())), 0)) if not pa.types.is_list(batch.column(0).type) else np.asarray(pc.fill_null(pc.list_value_length(batch.column(0)), 0)) * 4)
+        start = 0
+        while start < batch.num_rows:
+            seen = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, seen + chars, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def _mapped(df: DataFrame, column: str, added: list[tuple[str, str, pa.DataType]], compute) -> DataFrame:
+    """``df`` with columns computed from one of its own; compute(batch's column) gives their arrays."""
+    kept = [c for c in df.columns if c not in [name for name, _, _ in added]]
+    source = df.select(F.col(column).alias("_of"), *kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _rows(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *compute(batch.column(0))], names=[*kept, *(name for name, _, _ in added)])
+
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T._parse_datatype_string(kind)) for name, kind, _ in added])
+    return source.mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, column: str = "text", to: str = "ids", path: str = MODEL, check: str | None = None) -> DataFrame:
+    """Add the piece ids of a text column, and as column ``check`` whether decoding them gives the text back."""
     sent = docs.sparkSession.sparkContext.broadcast(Lattice(load_pieces(path)))
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def compute(texts: pa.Array) -> list[pa.Array]:
         lattice = sent.value  # one for each Python worker, with the words it has met
-        for part in texts:
-            yield pd.Series([None if t is None else lattice.encode(t) for t in part], dtype=object)
-
-    return docs.withColumn(to, ids(F.col(column)))
+        parts, ends, same = [], [0], []
+        for t in texts:
+            t = t.as_py()
+            ids = b"" if t is None else lattice.packed(t)
+            parts.append(ids)
+            ends.append(ends[-1] + len(ids) // 4)
+            if check:
+                same.append(None if t is None else lattice.decode(np.frombuffer(ids, np.int32).tolist()) == t)
+        flat = pa.array(np.frombuffer(b"".join(parts), np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pc.is_null(texts) if texts.null_count else None)
+        return [lists, *([pa.array(same, pa.bool_())] if check else [])]
+
+    added = [(to, "array<int>", pa.list_(pa.int32())), *([(check, "boolean", pa.bool_())] if check else [])]
+    return _mapped(docs, column, added, compute)
 
 
 def decode(encoded: DataFrame, column: str = "ids", to: str = "text", path: str = MODEL) -> DataFrame:
     """Add the text of a column of piece ids."""
     sent = encoded.sparkSession.sparkContext.broadcast(Lattice(load_pieces(path)))
 
-    @F.pandas_udf("string")
-    def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lattice = sent.value  # one for each Python worker, with the words it has met
-        for part in ids:
-            yield pd.Series([None if i is None else lattice.decode(i) for i in part], dtype=object)
+    def compute(ids: pa.Array) -> list[pa.Array]:
+        return [pa.array([None if i is None else sent.value.decode(i) for i in ids.to_pylist()], pa.string())]
 
-    return encoded.withColumn(to, text(F.col(column)))
+    return _mapped(encoded, column, [(to, "string", pa.string())], compute)
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the ids, their number and whether decoding them gives the text back."""
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    decoded = decode(encoded, to="decoded")
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check="round_trip")
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
