@@ -21,6 +21,16 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def held_whole(docs: DataFrame, **needed: Column) -> DataFrame:
+    """Each row as one struct column ``_row`` beside the columns needed, so that no other column's name can clash."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *[v.alias(k) for k, v in needed.items()])
+
+
+def let_go(rows: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The columns of ``_row`` again, some of them replaced."""
+    return rows.select(*[replaced[c].alias(c) if c in replaced else F.col("_row").getField(c).alias(c) for c in columns])
+
+
 def fold(text: Column) -> Column:
     """Lower-case A-Z alone, so that other letters keep their bytes."""
     return F.translate(text, UPPER, LOWER)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, fold, table, text_of
+from .common import durable, fold, held_whole, let_go, table, text_of
 
 MIN_FUZZY = 20
 BLOCKS = 3
@@ -122,10 +122,11 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the lines that stay; a text that loses all of them becomes empty."""
     gone = line_verdicts(docs).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    left = F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("_gone", i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    rows = held_whole(docs, _doc=F.col("doc_id"), _text=F.col("text"))
+    joined = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    left = F.filter(F.split("_text", "\n"), lambda s, i: ~F.array_contains("_gone", i.cast("long")))
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
+    return let_go(joined, docs.columns, text=text)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, n_words_of, table, text_of
+from .common import WORD, durable, held_whole, let_go, n_words_of, table, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -83,14 +83,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row once for every epoch that takes it, the one at the cut down to the words taken."""
     shares = mix_shares(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), F.col("source").alias("_src"), "size", "taken")
     shares = shares.groupBy("_id", "_crc", "_src", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("_rows"))
-    rows = docs.withColumns({"_id": F.col("doc_id"), "_crc": F.crc32(text_of())})
-    same = rows["_id"].eqNullSafe(shares["_id"]) & (rows["_crc"] == shares["_crc"]) & rows["source"].eqNullSafe(shares["_src"])
+    rows = held_whole(docs, _doc=F.col("doc_id"), _text_crc=F.crc32(text_of()), _source=F.col("source"), _text=F.col("text"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_crc") == F.col("_crc")) & F.col("_source").eqNullSafe(F.col("_src"))
     per_row = F.ceil(F.col("taken") / F.col("_rows")).cast("long")
     epochs = F.ceil(per_row / F.col("size")).cast("int")
     copies = rows.join(shares, same).withColumn("_n", per_row).withColumn("_epoch", F.explode(F.sequence(F.lit(1), epochs)))
     words = F.least(F.col("size"), F.col("_n") - F.col("size") * (F.col("_epoch") - 1))
-    text = F.when(words < F.col("size"), _first_words(F.col("text"), words)).otherwise(F.col("text"))
-    return copies.withColumn("text", text).select(*docs.columns)
+    text = F.when(words < F.col("size"), _first_words(F.col("_text"), words)).otherwise(F.col("_text"))
+    return let_go(copies, docs.columns, text=text)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,10 @@ BUCKETS, BAND = 128, 4
 ZERO_BITS, MANTISSA = 6, 10
 #: Standard deviations of the estimate below the threshold at which a pair is dropped.
 MARGIN = 5
-#: Rounds that confirm the best pair of each member alone; then all pairs left are confirmed.
-BEST_ROUNDS = 3
 KEPT_WORDS = 500_000
+FLOOR = PERCENT / 100 - MARGIN * (PERCENT / 100 * (1 - PERCENT / 100) / BUCKETS) ** 0.5
+#: Groups of at most so many are paired by a join, larger ones in blocks of about ``MANY``.
+FEW, MANY = 16, 1024
 _CHUNK = 4096
 
 
@@ -156,7 +158,6 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose estimated similarity may reach the threshold, with the estimate."""
-    floor = PERCENT / 100 - MARGIN * (PERCENT / 100 * (1 - PERCENT / 100) / BUCKETS) ** 0.5
     side = lambda s: classes.select(F.col("cls").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("bands").alias(f"bands_{s}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     # Sets whose sizes alone rule the similarity out go first.
@@ -169,8 +170,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             regs = [get(c).flatten().to_numpy().view(np.uint16).reshape(-1, BUCKETS) for c in ("bands_a", "bands_b")]
             j = estimate(*regs, get("n_a").to_numpy(), get("n_b").to_numpy())
-            keep = pa.array(j >= floor)
-            yield pa.RecordBatch.from_arrays([get("a").filter(keep), get("b").filter(keep), pa.array(j[j >= floor])], ["a", "b", "estimate"])
+            keep = pa.array(j >= FLOOR)
+            yield pa.RecordBatch.from_arrays([get("a").filter(keep), get("b").filter(keep), pa.array(j[j >= FLOOR])], ["a", "b", "estimate"])
 
     return joined.select("a", "b", "n_a", "n_b", "bands_a", "bands_b").mapInArrow(compare, "a long, b long, estimate double")
 
@@ -204,47 +205,85 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
     drawn = durable(sketches(docs), "sketches")
     known = drawn.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    ids = durable(known.groupBy("digest").agg(F.min("doc_id").alias("cls")), "classes")
-    classes = durable(known.join(ids.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("cls"))).select("cls", "n_shingles", "bands").dropDuplicates(["cls"]), "reps")
-
-    bands = classes.select("cls", F.posexplode("bands").alias("band", "key"))
-    groups = bands.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("band", "cls").alias("h"), "cls"))["cls"].alias("center"), F.count("*").alias("n")).where("n > 1")
-    members = durable(bands.join(groups.select(F.col("band").alias("_band"), F.col("key").alias("_key"), "center"), (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("cls", "band", "key", "center"), "members")
-    pairs = members.where("cls <> center").select(F.greatest("cls", "center").alias("a"), F.least("cls", "center").alias("b")).distinct()
+    first = F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first")
+    classes = durable(known.groupBy("digest").agg(first).select("digest", F.col("first.doc_id").alias("cls"), "first.n_shingles", "first.bands"), "classes")
+
+    bands = classes.select("cls", F.col("n_shingles").cast("int").alias("n"), F.posexplode("bands").alias("band", "key"))
+    groups = bands.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1").withColumnsRenamed({"band": "_band", "key": "_key"})
+    same_group = (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))
+    members = durable(bands.join(groups, same_group).select("cls", "n", "band", "key", "size"), "members")
+    # The text that others were copied from shares the most bands, so the member that meets the most others is the center.
+    degrees = members.groupBy("cls").agg(F.sum("size").alias("degree")).withColumnRenamed("cls", "_cls")
+    centers = members.join(degrees, F.col("cls") == F.col("_cls")).groupBy("band", "key").agg(F.max(F.struct("degree", F.xxhash64("band", "cls").alias("h"), "cls"))["cls"].alias("center")).withColumnsRenamed({"band": "_band", "key": "_key"})
+    pairs = members.join(centers, same_group).where("cls <> center").select(F.greatest("cls", "center").alias("a"), F.least("cls", "center").alias("b")).distinct()
     pairs = durable(_estimated(pairs, classes), "pairs")
 
     wanted = members.select(F.col("cls").alias("doc_id")).distinct()
-    sets = durable(shingle_sets(docs.where("text IS NOT NULL").join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cls"), "sets")
-
-    found, labels, left = None, None, pairs
-    for step in range(BEST_ROUNDS + 1):
-        if step < BEST_ROUNDS:
-            best = left.groupBy("a").agg(F.max(F.struct("estimate", "b"))["b"].alias("b"))
-        else:
-            best = left.select("a", "b")
-        best = durable(best, "best")
-        now = durable(_confirmed(best, sets), "links")
-        if labels is None or not now.isEmpty():
-            found = now if found is None else found.unionByName(now)
-            labels = durable(components(found), "labels")
-        if step == 0:
-            # Members of a band's group that are still apart, from all its others.
-            marked = members.join(labels, F.col("cls") == F.col("node"), "left").select("band", "key", "cls", F.coalesce("component", "cls").alias("component"))
-            apart = marked.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("band").alias("_band"), F.col("key").alias("_key"))
-            marked = durable(marked.join(apart, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("band", "key", "cls", "component"), "apart")
-            other = marked.select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.col("cls").alias("b"), F.col("component").alias("_component"))
-            across = marked.join(other, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")) & (F.col("component") != F.col("_component")) & (F.col("cls") > F.col("b")))
-            more = durable(_estimated(across.select(F.col("cls").alias("a"), "b").distinct(), classes), "across")
-            left = left.unionByName(more).dropDuplicates(["a", "b"])
-        left = durable(_split(left.join(best, ["a", "b"], "left_anti"), labels), "left")
-        if left.isEmpty():
-            break
-    placed = drawn.join(ids.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left")
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = durable(shingle_sets(rows).withColumnRenamed("doc_id", "cls"), "sets")
+
+    # Each member's best pair first: most pairs then lie within a component and need no confirming.
+    best = durable(pairs.groupBy("a").agg(F.max(F.struct("estimate", "b"))["b"].alias("b")), "best")
+    found = durable(_confirmed(best, sets), "links")
+    labels = durable(components(found), "labels")
+    found, labels = _joined(found, _confirmed(_split(pairs.join(best, ["a", "b"], "left_anti"), labels), sets), labels)
+
+    # Members of a band's group that are still apart, from all its others.
+    marked = members.join(labels, F.col("cls") == F.col("node"), "left").select("band", "key", "cls", "n", "size", F.coalesce("component", "cls").alias("component"))
+    apart = marked.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("band").alias("_band"), F.col("key").alias("_key"))
+    marked = durable(marked.join(apart, same_group).select("band", "key", "cls", "n", "size", "component"), "apart")
+    few = marked.where(F.col("size") <= FEW).drop("size")
+    across = few.join(few.toDF("_band", "_key", "b", "_n", "_component"), same_group & (F.col("component") != F.col("_component")) & (F.col("cls") > F.col("b")) & (100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n")))
+    across = _estimated(across.select(F.col("cls").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"), classes).select("a", "b")
+    many = _blocked(marked.where(F.col("size") > FEW), classes).join(pairs, ["a", "b"], "left_anti")
+    more = across.unionByName(many).distinct()
+    found, labels = _joined(found, _confirmed(more, sets), labels)
+
+    placed = drawn.join(classes.select(F.col("digest").alias("_digest"), "cls"), F.col("digest") == F.col("_digest"), "left")
     placed = placed.join(labels, F.col("cls") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cls", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _blocked(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of large groups that are apart and may be similar enough, compared block against block.
+
+    A group is dealt into blocks of about ``MANY``; each two blocks meet once, and only pairs that pass leave the comparison.
+    """
+    blocks = F.ceil(F.col("size") / MANY).cast("int")
+    own = members.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).join(classes.select("cls", "bands"), "cls")
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("lo"), F.greatest(k, F.col("block")).alias("hi")))
+    met = own.select("band", "key", "cls", "n", "component", "bands", "block", F.inline(meets))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, band = frame["lo"].iloc[0], frame["hi"].iloc[0], frame["band"].iloc[0]
+        left, right = (frame[frame["block"] == k].sort_values("cls") for k in (lo, hi))
+        packed = [np.stack(f["bands"].to_numpy()) if len(f) else np.empty((0, BUCKETS // BAND), np.int64) for f in (left, right)]
+        n, m, ids, other = left["n"].to_numpy(), right["n"].to_numpy(), left["cls"].to_numpy(), right["cls"].to_numpy()
+        out = []
+        for i in range(len(left) if len(right) else 0):
+            may = (left["component"].iat[i] != right["component"].to_numpy()) & (100 * np.minimum(n[i], m) >= PERCENT * np.maximum(n[i], m))
+            may &= (ids[i] < other) if lo == hi else True
+            # A pair that shares an earlier band is met there.
+            k = np.flatnonzero(may & ~(packed[1][:, :band] == packed[0][i, :band]).any(axis=1))
+            if len(k):
+                regs = packed[1][k].view(np.uint16), np.repeat(packed[0][i : i + 1].view(np.uint16), len(k), axis=0)
+                k = k[estimate(*regs, m[k].astype(float), np.full(len(k), float(n[i]))) >= FLOOR]
+                out += [(max(ids[i], x), min(ids[i], x)) for x in other[k]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return met.groupBy("band", "key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _joined(found: DataFrame, more: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links and their components once more links are known."""
+    more = durable(more, "links")
+    if more.isEmpty():
+        return found, labels
+    found = found.unionByName(more)
+    return found, durable(components(found), "labels")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that a document with a smaller doc_id in their component stands for."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, table, text_of, words_of
+from .common import WORD, durable, held_whole, let_go, table, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 SKETCH_BITS = 6
@@ -155,9 +155,9 @@ def apply_quality(docs: DataFrame) -> DataFrame:
     The fences are a small table; documents are measured a second time against them, so that no
     text is shuffled or written.
     """
-    own = docs.select(F.struct("*").alias("_row"), "text", "lang", "source")
+    own = held_whole(docs, text=F.col("text"), lang=F.col("lang"), source=F.col("source"))
     fences = durable(thresholds(sketch(measure(docs.select("text", "lang", "source")).drop("text"))), "fences")
-    return _judged(measure(own), fences).where("kept").select("_row.*")
+    return _judged(measure(own), fences).where("kept").transform(let_go, docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, held_whole, let_go, table
 
 SHORTEST = 16
 #: Labelled findings of each label that the fit may see, by the order of a hash.
@@ -219,12 +219,12 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPL
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with the secrets among the findings replaced; rows that share a doc_id must share their text."""
     spans = findings.where("is_secret").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_spans")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left")
-    pieces = F.transform("_spans", lambda s, i: F.concat(
-        F.substr(F.col("text"), F.when(i == 0, 1).otherwise(F.get("_spans", i - 1)["start"] + F.get("_spans", i - 1)["length"] + 1).cast("int"), (s["start"] - F.when(i == 0, 0).otherwise(F.get("_spans", i - 1)["start"] + F.get("_spans", i - 1)["length"])).cast("int")), F.lit(mark)))
-    last = F.get("_spans", F.size("_spans") - 1)
-    text = F.concat(F.array_join(pieces, ""), F.substr(F.col("text"), (last["start"] + last["length"] + 1).cast("int")))
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    joined = held_whole(docs, _doc=F.col("doc_id"), _text=F.col("text")).join(spans, F.col("_doc") == F.col("_id"), "left")
+    end = lambda i: F.when(i < 0, 0).otherwise(F.get("_spans", i)["start"] + F.get("_spans", i)["length"])
+    between = lambda i, upto: F.substr(F.col("_text"), (end(i) + 1).cast("int"), (upto - end(i)).cast("int"))
+    pieces = F.transform("_spans", lambda s, i: F.concat(between(i - 1, s["start"]), F.lit(mark)))
+    text = F.concat(F.array_join(pieces, ""), between(F.size("_spans") - 1, F.length("_text").cast("long")))
+    return let_go(joined, docs.columns, text=F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(text))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

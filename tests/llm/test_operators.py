@@ -1,0 +1,323 @@
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from gleanery.llm import linededup, lm, mixing, neardup, pieces, quality, secrets, sharding, topk, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def same_rows(left: pd.DataFrame, right: pd.DataFrame):
+    text = lambda d: sorted(map(tuple, d[sorted(d.columns)].map(lambda v: round(v, 6) if isinstance(v, float) else v).astype(str).replace({"None": "nan", "<NA>": "nan"}).to_numpy()))
+    assert sorted(left.columns) == sorted(right.columns)
+    assert text(left) == text(right)
+
+
+def sql(query, rows):
+    documents = pd.DataFrame([r[:4] for r in rows], columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    return con.sql(query).df()
+
+
+def lower(text):
+    return text.translate({c: c + 32 for c in range(65, 91)})
+
+
+def test_quality_counts(docs, rows):
+    got = quality.quality_verdicts(docs).toPandas()
+    want = []
+    for doc_id, text, *_ in rows:
+        text = text or ""
+        words = WORD.findall(text)
+        places = defaultdict(list)
+        for i in range(len(words) - 2):
+            places[tuple(words[i : i + 3])].append(i)
+        covered = {i + j for v in places.values() if len(v) > 1 for i in v for j in range(3)}
+        seen, twice = set(), 0
+        for line in text.split("\n"):
+            if WORD.search(line):
+                twice += line in seen
+                seen.add(line)
+        want.append((doc_id, len(words), sum(map(len, words)), sum(c in quality.SYMBOLS for c in text), twice, len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words)))
+    columns = ["doc_id", *quality.BASE, "base_failed"]
+    same_rows(got[columns].astype({"doc_id": "Int64"}), pd.DataFrame(want, columns=columns).astype({"doc_id": "Int64"}))
+    assert not got[got.base_failed].kept.any()
+    assert not got[got.doc_id.isin([311, 312])].kept.any()
+    clean = got[got.doc_id < 60]
+    assert clean[~clean.base_failed].kept.mean() > 0.95
+
+
+def test_quality_stage(docs, none):
+    kept = quality.apply_quality(docs)
+    assert kept.columns == docs.columns
+    verdicts = quality.quality_verdicts(docs).where("kept").count()
+    assert kept.count() == verdicts
+    assert quality.apply_quality(none).count() == 0 and quality.quality_verdicts(none).count() == 0
+
+
+def test_line_dedup_is_sql(docs, rows, none):
+    known = [r for r in rows if r[0] is not None]
+    same_rows(linededup.line_verdicts(docs.where("doc_id IS NOT NULL")).toPandas(), sql(linededup.OP1_SQL, known))
+    assert linededup.line_verdicts(none).count() == 0
+
+
+def test_line_dedup_stage(docs, none):
+    out = linededup.dedup_lines(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    texts = {r.doc_id: r.text for r in out.where("doc_id >= 300").collect()}
+    assert texts[320].count("\n") == 1 and texts[321] == "" and texts[322] == "" and texts[300] is None
+    assert texts[312] == "the same line of words again\n"
+    assert linededup.dedup_lines(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_line_dedup_finds_every_single_edit(spark, seed):
+    rng = random.Random(seed)
+    lines = ["".join(rng.choice("abc ") for _ in range(rng.randint(20, 60))).strip() + "x" * 20 for _ in range(20)]
+    for line in list(lines):
+        i = rng.randrange(len(line))
+        lines.append(rng.choice([line[:i] + line[i + 1 :], line[:i] + "q" + line[i:], line[:i] + "q" + line[i + 1 :]]))
+    rows = [(i, t, "en", "s") for i, t in enumerate(lines)]
+    same_rows(linededup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas(), sql(linededup.OP1_SQL, rows))
+
+
+@pytest.mark.parametrize("few", [16, 1])
+def test_near_duplicates_are_brute_force(docs, rows, none, few, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "MANY", 3 if few == 1 else 1024)
+    got = neardup.near_duplicates(docs).where("doc_id IS NOT NULL").distinct().toPandas().set_index("doc_id")
+    sets = {}
+    for doc_id, text, *_ in rows:
+        words = WORD.findall(lower(text or ""))
+        n = min(5, len(words))
+        sets[doc_id] = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
+    sets.pop(None)
+    parent = {k: k for k in sets}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert {k: root(k) for k in sets} == got.component_id.to_dict()
+    assert {k: len(s) for k, s in sets.items()} == got.n_shingles.to_dict()
+    assert neardup.near_duplicates(none).count() == 0
+    kept = neardup.dedup(docs)
+    assert kept.columns == docs.columns
+    assert kept.where("doc_id BETWEEN 200 AND 207 OR doc_id BETWEEN 100 AND 111").count() == 0
+
+
+def test_registers_estimate_similarity():
+    rng = np.random.default_rng(1)
+    m = neardup._multipliers()
+    for share in (0.5, 0.75, 0.9):
+        x = rng.integers(0, 2**63, 4000).astype(np.uint64)
+        n = int(2000 * 2 * share / (1 + share))
+        a, b = np.unique(x[:2000]), np.unique(np.concatenate([x[:n], x[2000 : 4000 - n]]))
+        j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        got = np.mean([neardup.estimate(neardup.registers(a * k, m)[None], neardup.registers(b * k, m)[None], np.array([len(a)]), np.array([len(b)]))[0] for k in rng.integers(0, 2**62, 10).astype(np.uint64) * np.uint64(2) + np.uint64(1)])
+        assert abs(got - j) < 0.06
+
+
+def test_sharding_law(docs, rows, none):
+    got = sharding.shard_records(docs, ranges=64).toPandas()
+    assert len(got) == len(rows)
+    sizes = sorted((len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode())) for _, t, *_ in rows if t is not None)
+    assert sizes == sorted((s, int(c)) for s, c in zip(got["size"], got["text_crc32"]) if not pd.isna(c))
+    for _, group in got.groupby("shard"):
+        assert sorted(group.slot) == list(range(len(group)))
+    assert sharding.shard_records(none).count() == 0
+
+
+def test_sharding_is_even(spark):
+    rng = random.Random(3)
+    rows = [(i, "same text" if i % 3 == 0 else "x" * rng.randint(1, 60)) for i in range(4000)]
+    got = sharding.shard_records(spark.createDataFrame(rows, "doc_id long, text string"), ranges=64).toPandas().groupby("shard")["size"].sum()
+    assert len(got) == 16 and got.max() - got.min() <= 2 * 62
+
+
+def test_mixing_is_sql(docs, rows, none):
+    rows = [r for r in rows if r[0] is not None and rows.count(r) == 1]
+    got = mixing.mix_shares(docs.where("doc_id IS NOT NULL").where("doc_id <> 3")).select("doc_id", "size", "source_size", "target", "taken").toPandas()
+    same_rows(got, sql(mixing.OP5_SQL, rows))
+    assert (got.taken <= 2 * got["size"]).all()
+    assert mixing.mix_shares(none).count() == 0
+
+
+def test_mix_stage(docs, none):
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and mixing.mix(none).count() == 0
+    words = out.select(F.sum(mixing.n_words_of(F.col("text")))).first()[0]
+    taken = mixing.mix_shares(docs).agg(F.sum("taken")).first()[0]
+    assert abs(words - taken) <= 3
+
+
+@pytest.mark.parametrize("dims", [1, 5, 64])
+def test_top_k_is_brute_force(spark, dims, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 300)
+    rng = np.random.default_rng(dims)
+    vectors = rng.normal(size=(900, dims))
+    vectors[300:600] = vectors[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (901, [float("nan")] * dims), (902, [None] * dims), (903, [1.0] * (dims + 1)), (5, vectors[5].tolist()), (None, [1.0] * dims)]
+    q = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_k(q.where("vec_id % 20 = 0"), q).toPandas()
+    whole = np.floor(vectors * 64).astype(int)
+    for i in range(0, 900, 20):
+        scores = whole @ whole[i]
+        best = sorted((-s, j) for j, s in enumerate(scores) if j != i)[:20]
+        mine = got[got.query_id == i].sort_values("rank")
+        assert [(-s, j) for s, j in zip(mine.score, mine.vec_id)] == best
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert topk.top_k(topk.quantised(empty), topk.quantised(empty)).count() == 0
+
+
+def test_pieces_are_the_library_s(rows):
+    import sentencepiece
+
+    library, lattice = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Lattice(pieces.load_pieces())
+    rng = random.Random(5)
+    texts = [r[1] for r in rows if r[1]] + ["".join(rng.choice("ab e \n\tthinéß日本😀0 1  x") for _ in range(rng.randint(1, 120))) for _ in range(300)]
+    for by_word in (True, False):
+        lattice.by_word = lattice.by_word and by_word
+        for t in texts[-300:] if not by_word else texts:
+            assert lattice.encode(t) == library.encode(t)
+            assert lattice.decode(lattice.encode(t)) == t
+
+
+def test_pieces_stream_commits_early():
+    lattice = pieces.Lattice(pieces.load_pieces())
+    stream = iter(lattice._streamed("ab" * 5000))
+    assert next(stream)
+    assert "".join(stream) and "".join(lattice._streamed("the" * 3000)) == "the" * 3000
+
+
+def test_pieces_round_trip(docs, none):
+    out = pieces.encode(docs, check="round_trip")
+    assert out.columns == [c for c in docs.columns if c != "ids"] + ["ids", "round_trip"]
+    assert out.where("NOT round_trip").count() == 0 and out.where("text IS NULL AND ids IS NULL").count() == 2
+    back = pieces.decode(out, to="back")
+    assert back.where("NOT (back <=> text)").count() == 0
+    assert pieces.encode(none).count() == 0
+
+
+def test_lm_is_brute_force(docs, rows, none, monkeypatch):
+    for name, size in (("BLOCK", 3000), ("SHARD", 10**9), ("WORD_SHARD", 500)):
+        monkeypatch.setattr(lm, name, size)
+    got = lm.lm_scores(docs).toPandas()
+    counts, pairs, tokens = Counter(), Counter(), {}
+    for r in rows:
+        words = [*WORD.findall(lower(r[1] or "")), "\n"]
+        tokens[r[0], len(words)] = words
+        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 10:
+            counts.update(words)
+            pairs.update(zip(["\n", *words], words))
+    n, v = sum(counts.values()), len(counts)
+    types = Counter(a for a, _ in pairs)
+    assert len(got) == len(rows)
+    for r in got.itertuples():
+        words = tokens[None if pd.isna(r.doc_id) else r.doc_id, r.n_tokens]
+        base = [(counts[w] + 0.1) / (n + 0.1 * (v + 1)) for w in words]
+        p = [max(pairs[a, w] - lm.DISCOUNT, 0) / counts[a] + lm.DISCOUNT * types[a] / counts[a] * b if counts[a] else b for a, w, b in zip(["\n", *words], words, base)]
+        assert r.train_tokens == n and r.n_known == sum(counts[w] > 0 for w in words)
+        assert abs(r.base_score - sum(map(math.log10, base))) < 1e-6 and abs(r.score - sum(map(math.log10, p))) < 1e-3 * len(words)
+    assert lm.lm_scores(none).count() == 0
+
+
+def test_lm_splits_hot_contexts(docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 500)
+    split = lm.lm_scores(docs).toPandas()
+    assert split.score.notna().all() and (split.score < 0).all()
+
+
+@pytest.mark.parametrize("universe", [1, 50, 10**6, 2**40])
+def test_elias_fano(universe):
+    rng = np.random.default_rng(universe)
+    values = np.unique(rng.integers(0, universe, 500)).astype(np.uint64)
+    coded = lm.EliasFano(*lm.EliasFano.encode(values, universe))
+    assert (coded[np.arange(len(values))] == values).all() and (coded.find(values) == np.arange(len(values))).all()
+    others = np.setdiff1d(rng.integers(0, universe + 10, 500).astype(np.uint64), values)
+    assert (coded.find(others) == -1).all()
+    assert (lm.EliasFano(*lm.EliasFano.encode(values[:0], universe)).find(values) == -1).all()
+
+
+def test_toxicity_gradients():
+    rng = np.random.default_rng(0)
+    net, words = toxicity.Network(1), toxicity.Words()
+    words.of([b"w%d" % i for i in range(20)])
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    ids, y = rng.integers(1, 20, (4, 6)), np.array([0, 1, 1, 0.0])
+    ids[2, 4:] = 0
+
+    def loss():
+        p = toxicity._sigmoid(net.forward(net.projected(net.inputs(words).astype(float))[ids], ids > 0)[0].astype(float))
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    for name, g in net.gradients(ids, y, words).items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        value, both = net.p[name][at], []
+        for e in (1e-2, -1e-2):
+            net.p[name][at] = value + e
+            both.append(loss())
+        net.p[name][at] = value
+        assert abs((both[0] - both[1]) / 2e-2 - g[at]) < 1e-3 * max(1, abs(g[at]))
+
+
+def test_toxicity_held_out(spark, docs, none):
+    from .conftest import sentence
+
+    rng = random.Random(11)
+    bad = ["vexo", "grumblat", "snarl"]
+    rows = []
+    for i in range(600):
+        words = sentence(rng, rng.randint(5, 150)).split()
+        if i % 3 == 0:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(bad) + rng.choice(["", "s", "er"]))
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic")).join(table, "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.95
+    unlabelled = toxicity.toxicity(docs, spark.createDataFrame([(1, None)], "doc_id long, toxic int")).toPandas()
+    assert len(unlabelled) == docs.count() and (unlabelled.score == 0).all()
+    assert toxicity.toxicity(none, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_toxicity_windows_cover():
+    for n in (0, 1, 31, 32, 33, 100):
+        starts = toxicity.windows_of(n)
+        assert {i for s in starts for i in range(s, min(s + toxicity.WINDOW, n))} == set(range(n))
+
+
+def test_secrets(spark, docs, none):
+    from .conftest import sentence
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(300):
+        hexa = "".join(rng.choice("0123456789abcdef") for _ in range(32))
+        key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        extra = [f'token = "{hexa}"', key, "thanerouthanerouingst", "0000-1111-2222-3333", "thaning/erouth/stinger"][i % 5]
+        rows.append((i, f"{sentence(rng, 20)} {extra} {sentence(rng, 20)}", "app/config"))
+    table = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    found = secrets.scan(table).toPandas()
+    assert len(found) >= 300
+    known = found[found.label.notna()]
+    assert (known.is_secret == (known.label == 1)).mean() > 0.95
+    clean = secrets.redact(table, secrets.scan(table))
+    assert clean.where("text like '%AKIA%'").count() == 0 and clean.where("text like '%[secret]%'").count() >= 110
+    assert clean.columns == table.columns
+    assert secrets.scan(none).count() == 0 and secrets.scan(docs).where("is_secret").count() == 0
