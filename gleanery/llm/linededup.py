@@ -1,6 +1,6 @@
 """Line dedup within one edit, by a deletion neighbourhood, with DataFrame functions alone.
 
-Lines are compared with A-Z in lower case and each run of blanks as one. Equal lines meet by digest. For the
+Lines are compared without blanks at their ends. Equal lines meet by digest. For the
 rest, emitting every variant with one character deleted would cost a line's length squared, so the
 neighbourhood is walked in two steps. First a line is cut into blocks, and every variant with one whole block
 deleted is a hashed key: two lines one edit apart agree outside one block, so they share a key. Where
@@ -20,47 +20,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, fold, held_whole, let_go, table, text_of
+from .common import durable, held_whole, let_go, table, text_of
 
 MIN_FUZZY = 20
 BLOCKS = 3
-#: Beyond this length lines are cut into more blocks, as a step's cost grows with blocks and with their length.
+#: Schemes beyond this length have more blocks, as a step's cost grows with blocks and with their length.
 LONG = 2048
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, text): the lines that hold a word, made comparable."""
-    exploded = docs.select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("line", "raw"))
-    text = F.trim(F.regexp_replace(fold(F.col("raw")), r"[\x20\x09-\x0D]+", " "))
-    return exploded.select("doc_id", F.col("line").cast("long").alias("line"), text.alias("text")).where("text <> ''")
+    """(doc_id, line, text, length): the lines that hold a word, without blanks at their ends."""
+    exploded = docs.select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("line", "raw")).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
+    return exploded.select("doc_id", F.col("line").cast("long").alias("line"), F.trim("raw").alias("text")).withColumn("length", F.length("text"))
 
 
-def _blocks(length: Column) -> Column:
-    """The number of blocks for a scheme of this length."""
-    return F.when(length <= LONG, F.lit(BLOCKS)).otherwise(F.ceil(F.sqrt(length) / 12)).cast("int")
-
-
-def _variants(text: Column, with_block: bool) -> Column:
-    """Every (key, longer, block): the text without one block, by the scheme of its own length and of one less.
+def _variants(with_block: bool) -> Column:
+    """Every variant of ``text`` without one block, by the scheme of its own ``length`` and of one less: the keys, or (key, longer, block).
 
     longer: whether the text is one character longer than its scheme, so that its deleted block is too.
     """
-    length = F.length(text)
+    text, length = F.col("text"), F.col("length")
 
-    def of(extra: int) -> Column:
+    def variant(i, k, extra: int) -> Column:
         scheme = length - extra
-        k = _blocks(scheme)
-
-        def variant(i: Column) -> Column:
-            start = F.floor(i * scheme / k).cast("int")
-            size = (F.floor((i + 1) * scheme / k).cast("int") - start + extra)
-            key = F.xxhash64(scheme, i, F.left(text, start), F.substr(text, start + size + 1))
-            parts = [key.alias("key"), F.lit(bool(extra)).alias("longer")]
-            return F.struct(*parts, *([F.substr(text, start + 1, size).alias("block")] if with_block else []))
-
-        return F.transform(F.sequence(F.lit(0), k - 1), variant)
-
-    return F.when(length >= MIN_FUZZY, F.when(length > MIN_FUZZY, F.concat(of(0), of(1))).otherwise(of(0)))
+        start = F.floor(i * scheme / k).cast("int")
+        size = F.floor((i + 1) * scheme / k).cast("int") - start + extra
+        key = F.xxhash64(scheme, F.lit(i) if isinstance(i, int) else i, F.left(text, start), F.substr(text, start + size + 1))
+        return F.struct(key.alias("key"), F.lit(bool(extra)).alias("longer"), F.substr(text, start + 1, size).alias("block")) if with_block else key
+
+    def long_ones(extra: int) -> Column:
+        k = F.ceil(F.sqrt(length - extra) / 12).cast("int")
+        return F.transform(F.sequence(F.lit(0), k - 1), lambda i: variant(i, k, extra))
+
+    few = F.array(*[variant(i, BLOCKS, extra) for extra in (0, 1) for i in range(BLOCKS)])
+    shortest = F.array(*[variant(i, BLOCKS, 0) for i in range(BLOCKS)])
+    return (
+        F.when(length < MIN_FUZZY, F.lit(None)).when(length == MIN_FUZZY, shortest).when(length <= LONG, few)
+        .when(length == LONG + 1, F.concat(long_ones(0), F.array(*[variant(i, BLOCKS, 1) for i in range(BLOCKS)]))).otherwise(F.concat(long_ones(0), long_ones(1)))
+    )
 
 
 def line_verdicts(docs: DataFrame) -> DataFrame:
@@ -69,24 +66,20 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     kind: first, equal or near; first_*: the earliest line that stands for it.
     """
     place = F.struct("doc_id", "line")
-    read = _lines(docs)
-    seen = durable(read.select("doc_id", "line", F.unhex(F.md5("text")).alias("digest")), "lines")
+    seen = durable(_lines(docs).select("doc_id", "line", F.unhex(F.md5("text")).alias("digest"), _variants(False).alias("keys")), "lines")
     firsts = durable(seen.groupBy("digest").agg(F.min(place).alias("first")).select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "firsts")
 
     # Keys shared by different lines. A line's fingerprint stands for its text here; nothing is decided by it.
-    marked = read.select(F.xxhash64("text").alias("mark"), F.inline(_variants(F.col("text"), False)))
-    shared = durable(marked.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("key"), "keys")
-    keyed = read.select("doc_id", "line", F.inline(_variants(F.col("text"), False)))
-    near = keyed.join(shared, "key", "left_semi").select("doc_id", "line").distinct()
+    shared = durable(seen.select(F.xxhash64("digest").alias("mark"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("key"), "keys")
+    near = seen.select("doc_id", "line", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("doc_id", "line").distinct()
     near = durable(near.join(firsts, (near["doc_id"].eqNullSafe(firsts["doc_id"])) & (near["line"] == firsts["line"]), "left_semi"), "near")
 
     # The texts of those lines, each by its earliest place.
-    wanted = near.groupBy("doc_id").agg(F.collect_set("line").alias("_lines")).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-    texts = rows.select("doc_id", "_lines", F.posexplode(F.split(text_of(), "\n")).alias("line", "raw")).where(F.array_contains("_lines", F.col("line").cast("long")))
-    texts = durable(texts.select("doc_id", F.col("line").cast("long").alias("line"), F.trim(F.regexp_replace(fold(F.col("raw")), r"[\x20\x09-\x0D]+", " ")).alias("text")), "texts")
+    wanted = near.select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    texts = durable(_lines(rows).join(near.withColumnsRenamed({"doc_id": "_id", "line": "_line"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("line") == F.col("_line"))).select("doc_id", "line", "text", "length"), "texts")
 
-    blocks = texts.select("doc_id", "line", F.inline(_variants(F.col("text"), True))).join(shared, "key", "left_semi")
+    blocks = texts.select("doc_id", "line", F.inline(_variants(True))).join(shared, "key", "left_semi")
     size = F.length("block")
     without = lambda j: F.concat(F.left(F.col("block"), j), F.substr(F.col("block"), j + 2))
     places = F.sequence(F.lit(0), size - 1)
@@ -134,9 +127,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = rf"""
-WITH seen AS (SELECT doc_id, i - 1 AS line, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS t
+WITH seen AS (SELECT doc_id, i - 1 AS line, trim(raw, ' ') AS t
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-l AS (SELECT * FROM seen WHERE t <> ''),
+l AS (SELECT * FROM seen WHERE regexp_matches(t, '[^\x20\x09-\x0D]')),
 f AS (SELECT t, min(doc_id) AS d, arg_min(line, doc_id * 1000000 + line) AS n FROM l GROUP BY t),
 g AS (SELECT *, length(t) AS len, d * 1000000 + n AS o FROM f WHERE length(t) >= {MIN_FUZZY}),
 s AS (SELECT *, len AS m FROM g UNION ALL SELECT *, len - 1 AS m FROM g WHERE len > {MIN_FUZZY}),
