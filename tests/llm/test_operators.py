@@ -237,9 +237,11 @@ def test_lm_is_brute_force(docs, rows, none, monkeypatch):
     assert lm.lm_scores(none).count() == 0
 
 
-def test_lm_splits_hot_contexts(docs, monkeypatch):
+def test_lm_splits_hot_contexts(spark, docs, monkeypatch, tmp_path):
     monkeypatch.setattr(lm, "SHARD", 500)
-    split = lm.lm_scores(docs).toPandas()
+    split = lm.lm_scores(docs, str(tmp_path / "tries")).toPandas()
+    kept = spark.read.parquet(str(tmp_path / "tries")).collect()
+    assert len({r.shard for r in kept}) == len(kept) > 1 and all(len(lm.Trie(bytes(r.trie)).a) for r in kept)
     assert split.score.notna().all() and (split.score < 0).all()
 
 
