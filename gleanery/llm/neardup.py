@@ -222,11 +222,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = durable(shingle_sets(rows).withColumnRenamed("doc_id", "cls"), "sets")
 
-    # Each member's best pair first: most pairs then lie within a component and need no confirming.
+    # Each member's best pair first: most pairs then lie within one star and need no confirming.
     best = durable(pairs.groupBy("a").agg(F.max(F.struct("estimate", "b"))["b"].alias("b")), "best")
     found = durable(_confirmed(best, sets), "links")
+    stars = durable(_stars(found), "stars")
+    found = durable(found.unionByName(_confirmed(_split(pairs.join(best, ["a", "b"], "left_anti"), stars), sets)), "links")
     labels = durable(components(found), "labels")
-    found, labels = _joined(found, _confirmed(_split(pairs.join(best, ["a", "b"], "left_anti"), labels), sets), labels)
 
     # Members of a band's group that are still apart, from all its others.
     marked = members.join(labels, F.col("cls") == F.col("node"), "left").select("band", "key", "cls", "n", "size", F.coalesce("component", "cls").alias("component"))
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     across = _estimated(across.select(F.col("cls").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"), classes).select("a", "b")
     many = _blocked(marked.where(F.col("size") > FEW), classes).join(pairs, ["a", "b"], "left_anti")
     more = across.unionByName(many).distinct()
-    found, labels = _joined(found, _confirmed(more, sets), labels)
+    labels = _joined(durable(_confirmed(durable(more, "more"), sets), "links"), labels)
 
     placed = drawn.join(classes.select(F.col("digest").alias("_digest"), "cls"), F.col("digest") == F.col("_digest"), "left")
     placed = placed.join(labels, F.col("cls") == F.col("node"), "left")
@@ -275,13 +276,23 @@ def _blocked(members: DataFrame, classes: DataFrame) -> DataFrame:
     return met.groupBy("band", "key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
 
 
-def _joined(found: DataFrame, more: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links and their components once more links are known."""
-    more = durable(more, "links")
-    if more.isEmpty():
-        return found, labels
-    found = found.unionByName(more)
-    return found, durable(components(found), "labels")
+def _stars(links: DataFrame) -> DataFrame:
+    """(node, component) of links (a, b) that have each a once: the node that three steps lead to. Parts of components, told without a loop."""
+    step = lambda frm, to: links.select(F.col("a").alias(frm), F.col("b").alias(to))
+    end = links.join(step("b", "_c"), "b", "left").join(step("_c", "_d"), "_c", "left").select("a", F.coalesce("_d", "_c", "b").alias("component"))
+    centers = links.select("b").distinct().join(end.select(F.col("a").alias("b"), "component"), "b", "left").select(F.col("b").alias("node"), F.coalesce("component", "b").alias("component"))
+    return end.withColumnRenamed("a", "node").unionByName(centers).dropDuplicates(["node"])
+
+
+def _joined(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The components once more links are known: those of the components that the links join."""
+    if links.isEmpty():
+        return labels
+    of = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    above = components(between).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    every = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).withColumn("component", F.col("node"))).groupBy("node").agg(F.min("component").alias("component"))
+    return durable(every.join(above, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_component", "component").alias("component")), "labels")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
