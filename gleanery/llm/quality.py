@@ -162,3 +162,36 @@ def apply_quality(docs: DataFrame) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    measures = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM r WHERE NOT base_failed" for m in FENCES)
+
+    def quantiles(name: str, keys: str) -> str:
+        by = f"PARTITION BY {keys + ', ' if keys else ''}measure"
+        pick = ", ".join(f"min(v) FILTER (upto * 100 >= n * {q}) AS q{q}" for q in (25, 75))
+        return (f"{name} AS (SELECT {keys + ', ' if keys else ''}measure, max(n) AS n, {pick} FROM (SELECT *, sum(c) OVER ({by} ORDER BY v) AS upto, sum(c) OVER ({by}) AS n"
+                f" FROM (SELECT {keys + ', ' if keys else ''}measure, v, sum(c) AS c FROM sketch GROUP BY ALL)) GROUP BY {keys + ', ' if keys else ''}measure)")
+
+    beyond = " OR ".join(
+        f"(f.measure = '{m}' AND ({' OR '.join(x for x in (f'{m} < q25 - {FENCE_WIDTH} * (q75 - q25) - {lo}' if lo is not None else '', f'{m} > q75 + {FENCE_WIDTH} * (q75 - q25) + {hi}' if hi is not None else '') if x)}))"
+        for m, (lo, hi) in FENCES.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+win AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS w FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) > 2)),
+rep AS (SELECT rid, count(DISTINCT p)::BIGINT AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS c FROM win) WHERE c > 1) GROUP BY rid),
+l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+c AS (SELECT d.*, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols,
+  (length(text) - length(replace(text, '!', '')))::BIGINT AS bangs, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d JOIN l USING (rid) LEFT JOIN rep USING (rid)),
+r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0) AS symbol_rate, coalesce(bangs * 1000 // nullif(n_words, 0), 0) AS shout_rate,
+  coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS dup_line_rate, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeat_rate, coalesce(word_chars * 100 // nullif(n_words, 0), 0) AS mean_chars FROM c),
+sketch AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - {SKETCH_BITS}, 0)) << greatest(length(bin(v)) - {SKETCH_BITS}, 0) AS v, count(*) AS c FROM ({measures}) GROUP BY ALL),
+{quantiles('own', 'lang, source')}, {quantiles('by_lang', 'lang')}, {quantiles('whole', '')},
+f AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= {MIN_GROUP} THEN o.q25 WHEN l.n >= {MIN_GROUP} THEN l.q25 ELSE a.q25 END AS q25, CASE WHEN o.n >= {MIN_GROUP} THEN o.q75 WHEN l.n >= {MIN_GROUP} THEN l.q75 ELSE a.q75 END AS q75
+  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN whole a ON o.measure = a.measure),
+bad AS (SELECT DISTINCT rid FROM r JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source WHERE {beyond})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept FROM r LEFT JOIN bad USING (rid)
+"""
+
+
+OP10_SQL = _sql()

@@ -5,11 +5,11 @@ from .lm import op6_lm
 from .mixing import OP5_SQL, op5_mixing
 from .neardup import op7_neardup
 from .pieces import op9_pieces
-from .quality import op10_quality_rules
+from .quality import OP10_SQL, op10_quality_rules
 from .secrets import op8_secrets
 from .sharding import op3_sharding
 from .topk import OP2_SQL, op2_topk
 from .toxicity import op4_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_topk, op3_sharding, op4_toxicity, op5_mixing, op6_lm, op7_neardup, op8_secrets, op9_pieces, op10_quality_rules)}
-SQL = {"op1_line_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op5_mixing": OP5_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op5_mixing": OP5_SQL, "op10_quality_rules": OP10_SQL}
