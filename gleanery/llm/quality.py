@@ -25,8 +25,8 @@ MIN_GROUP = 50
 FENCES = {
     "symbol_rate": (None, 60),
     "shout_rate": (None, 200),
-    "dup_line_rate": (None, 300),
-    "repeat_rate": (None, 200),
+    "dup_line_rate": (None, 400),
+    "repeat_rate": (None, 350),
     "mean_chars": (150, 300),
 }
 FENCE_WIDTH = 3
@@ -87,6 +87,8 @@ def measure(docs: DataFrame) -> DataFrame:
         "repeat_rate": per("n_repeat_words", "n_words", 1000),
         "mean_chars": per("word_chars", "n_words", 100),
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
+        # Keeps filters above this point: pushed below it, they would repeat the work on the words for each word.
+        "_at": F.monotonically_increasing_id(),
     }).drop("_bangs", "n_lines")
 
 
@@ -99,7 +101,7 @@ def sketch(measured: DataFrame) -> DataFrame:
     """Quantile sketches of the documents that pass the base rules: (lang, source, measure, value, n)."""
     pairs = F.array(*[F.struct(F.lit(m).alias("measure"), _rounded(F.col(m)).alias("value")) for m in FENCES])
     return (
-        measured.where(~F.col("base_failed")).select("lang", "source", F.inline(pairs))
+        measured.where(~F.col("base_failed") & (F.col("_at") >= 0)).select("lang", "source", F.inline(pairs))
         .groupBy("lang", "source", "measure", "value").agg(F.count("*").alias("n"))
     )
 
@@ -140,7 +142,7 @@ def _judged(measured: DataFrame, fences: DataFrame) -> DataFrame:
             beyond = beyond | F.coalesce(F.col(m) < F.col(f"{m}_lo"), F.lit(False))
         if hi is not None:
             beyond = beyond | F.coalesce(F.col(m) > F.col(f"{m}_hi"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond)
+    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond & (F.col("_at") >= 0))
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
@@ -156,7 +158,8 @@ def apply_quality(docs: DataFrame) -> DataFrame:
     text is shuffled or written.
     """
     own = held_whole(docs, text=F.col("text"), lang=F.col("lang"), source=F.col("source"))
-    fences = durable(thresholds(sketch(measure(docs.select("text", "lang", "source")).drop("text"))), "fences")
+    measured = durable(measure(docs.select("text", "lang", "source")).drop("text"), "quality")
+    fences = durable(thresholds(sketch(measured)), "fences")
     return _judged(measure(own), fences).where("kept").transform(let_go, docs.columns)
 
 
