@@ -19,7 +19,8 @@ def read_terms(spark: SparkSession, path: str, defaults: DataFrame | None = None
 
 
 def write_terms(terms: DataFrame, path: str) -> None:
-    terms.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """One JSON array; a term list is small enough to be a single row."""
+    terms.agg(F.to_json(F.collect_list(F.struct(*terms.columns))).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_processes(spark: SparkSession, path: str) -> DataFrame:
