@@ -1,6 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest in numpy.
 
-A candidate is a run of at least ``SHORTEST`` key characters. The forest sees its length, the make-up and
+A candidate is a run of at least ``SHORTEST`` key characters, told apart from its surroundings by ASCII alone; a name
+ends before its ``=``, so the value of an unquoted ``KEY=value`` is a run of its own. A run that holds a key in the
+format of a known issuer, such as a URL's path, is cut around it. The forest sees its length, the make-up and
 transitions of its characters, how much of it frequent words cover, its path and its neighbouring words, and
 is fitted on labelled findings (at most ``SAMPLE`` of each label). Where no one has labelled findings,
 ``rule_labels`` labels those in the formats of known issuers or assigned in plain sight as true and plain
@@ -36,21 +38,36 @@ TREES, DEPTH, LEAST, BINS = 40, 8, 4, 32
 THRESHOLD = 0.5
 NEAR = 48
 FEATURES = ("length", "digits", "upper", "symbols", "hex", "entropy", "switches", "transition", "worst_transition", "coverage", "longest_word", "assigned", "quoted", "before", "after", "path", "distinct")
-CANDIDATE = re.compile(rf"(?<![\w+/=\-])[A-Za-z0-9+/_\-]{{{SHORTEST},}}={{0,2}}(?![\w+/=\-])")
+#: A run's ``=`` at the end belong to it, unless a value follows. The shortest issued key has one character less than ``SHORTEST``.
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{{SHORTEST - 1},}}(?:={{1,2}}(?![A-Za-z0-9+/=_\-]))?")
 ISSUED = (r"^(AKIA|ASIA)[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}$", r"^xox[baprs]-[A-Za-z0-9\-]{10,}$", r"^sk_(live|test)_[A-Za-z0-9]{16,}$")
+WITHIN = re.compile("(?<![A-Za-z0-9])(?:" + "|".join(p[1:-1] for p in ISSUED) + ")(?![A-Za-z0-9])")
 NAMED = r"(?i)(password|passwd|pwd|token|secret|api_?key|access_?key|auth)\W{0,4}[=:]\s*[\"']?$"
 _WORD = re.compile(r"\w+")
 
 
+def spans(text: str) -> Iterator[tuple[int, int]]:
+    """Where each candidate of a text begins and ends."""
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        for key in WITHIN.finditer(m[0]):
+            a, b = m.start() + key.start(), m.start() + key.end()
+            if a - at >= SHORTEST:
+                yield at, a
+            yield a, b
+            at = b
+        if len(text[at:end].rstrip("=")) >= SHORTEST:
+            yield at, end
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, path, start, value, before, after) of each candidate in (doc_id, path, text)."""
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc_id, path, text in zip(frame["doc_id"], frame["path"], frame["text"], strict=True):
-                for m in CANDIDATE.finditer(text or ""):
-                    a, b = m.span()
-                    rows.append((doc_id, path, a, m[0], text[max(0, a - NEAR) : a], text[b : b + NEAR]))
+                for a, b in spans(text or ""):
+                    rows.append((doc_id, path, a, text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR]))
             yield pd.DataFrame(rows, columns=["doc_id", "path", "start", "value", "before", "after"])
 
     return docs.select("doc_id", F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), "text").where("text IS NOT NULL").mapInPandas(find, f"doc_id {dict(docs.dtypes)['doc_id']}, path string, start long, value string, before string, after string")

@@ -323,3 +323,41 @@ def test_secrets(spark, docs, none):
     assert clean.where("text like '%AKIA%'").count() == 0 and clean.where("text like '%[secret]%'").count() >= 110
     assert clean.columns == table.columns
     assert secrets.scan(none).count() == 0 and secrets.scan(docs).where("is_secret").count() == 0
+
+
+ISSUED_KEYS = ["AKIA" + "B2C3D4E5F6G7H2J3", "ASIA" + "Z9Y8X7W6V5U4T3S2", *(f"gh{k}_" + "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hI6" for k in "pousr"), *(f"xox{k}-" + "1234567890" for k in "baprs"), "xoxb-" + "123456789012-abcDEF123456", *(f"sk_{k}_" + "a1B2c3D4e5F6g7H8" for k in ("live", "test"))]
+PLACES = ["KEY={}", "AWS_SECRET_ACCESS_KEY={}\n", "https://example.org/?key={}&b=1", "https://example.org/path/to/{}/more", "https://{}@example.org/x", "ключ{}ключ", "é{}", "日本{}語", 'x = "{}"', "a {} b"]
+
+
+@pytest.mark.parametrize("place", PLACES)
+def test_issued_keys_are_candidates_anywhere(place):
+    for key in ISSUED_KEYS:
+        text = "the first " + place.format(key) + " the last"
+        found = [text[a:b] for a, b in secrets.spans(text)]
+        assert found.count(key) == 1, (key, found)
+
+
+def test_candidate_spans():
+    cut = lambda text: [text[a:b] for a, b in secrets.spans(text)]
+    assert cut("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == ["AWS_SECRET_ACCESS_KEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    assert cut("k=dGhpcyBpcyBhIHNlY3JldA==;") == ["dGhpcyBpcyBhIHNlY3JldA=="]
+    assert cut("short=value") == cut("") == cut("=" * 40) == cut("fifteenletters_==") == []
+
+
+def test_unquoted_secrets_are_found_and_redacted(spark):
+    rng = random.Random(4)
+    draw = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    rows, held = [], []
+    for i in range(300):
+        values = [draw("0123456789abcdef", 32), "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "ghp_" + draw("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789", 36), "thanerouthanerouingst", "thaning/erouth/stinger"]
+        value, form = values[i % 5], ["token={}", "https://h.org/?key={}&b=1", "é{}", "{}", "{}"][i % 5]
+        held.append(value if i % 5 < 3 else None)
+        rows.append((i, f"{sentence(rng, 20)} {form.format(value)} {sentence(rng, 20)}", "app/config"))
+    table = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    findings = secrets.scan(table)
+    known = findings.where("label IS NOT NULL").toPandas()
+    assert (known.is_secret == (known.label == 1)).mean() > 0.95
+    clean = {r.doc_id: r.text for r in secrets.redact(table, findings).collect()}
+    left = [i for i, value in enumerate(held) if value and value in clean[i]]
+    assert len(left) <= 0.05 * sum(v is not None for v in held)
+    assert all(clean[i] == rows[i][1] for i, value in enumerate(held) if value is None)
