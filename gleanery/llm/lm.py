@@ -13,7 +13,7 @@ block, where its documents are scored. So what moves grows with the distinct pai
 
 Defined results: a null or wordless text is its end token alone; a null doc_id counts as training; repeated rows are counted and
 scored each; an empty table gives an empty table; other columns are ignored. Words are told apart by 64-bit
-hashes. For a split context types(v) is the shard's own count times the number of its parts.
+hashes. Each shard counts the successor types of its split contexts, at most two, and types(v) is their sum over its parts, in scores and kept tries alike.
 """
 
 from __future__ import annotations
@@ -167,6 +167,12 @@ class Trie:
         self.b = np.frombuffer(whole[at + 2 * self.successors.n :].tobytes(), np.uint16)
         self.vocabulary = int(head[12])
 
+    def types(self, contexts: np.ndarray) -> np.ndarray:
+        """How many successors each context has in this shard."""
+        rank = self.contexts.find(contexts)
+        at = np.maximum(rank, 0)
+        return np.where(rank >= 0, self.pointers[at + 1].astype(np.int64) - self.pointers[at].astype(np.int64), 0) if self.contexts.n else np.zeros(len(contexts), np.int64)
+
     def ask(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of a for sorted pairs and of b for their distinct contexts; 0 where there is none."""
         contexts, at = np.unique(pairs >> _64(32), return_inverse=True)
@@ -180,6 +186,15 @@ class Trie:
         return a, b
 
 
+def with_b(data: bytes, contexts: np.ndarray, codes: np.ndarray) -> bytes:
+    """A shard's trie with other codes of b for those of its contexts that are given."""
+    trie = Trie(data)
+    rank = trie.contexts.find(contexts) if trie.contexts.n else np.full(len(contexts), -1)
+    b = trie.b.copy()
+    b[rank[rank >= 0]] = codes[rank >= 0]
+    return data[: len(data) - b.nbytes] + b.tobytes()
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
     """Documents in blocks: their ids, lengths and words as places in the block's sorted distinct hashes."""
     fields = "block long, ids binary, has_id binary, held binary, lengths binary, hashes binary, codes binary, n long"
@@ -294,14 +309,15 @@ def _asked_pairs(blocks: DataFrame, words: DataFrame, vocabulary: int) -> DataFr
         for shard, k in block.slices():
             pairs = block.pairs[k]
             first = np.flatnonzero(np.diff(pairs >> _64(32), prepend=UNKNOWN) != 0)
-            out.append((shard, row["block"].iloc[0], packed(pairs), packed(block.train[k].astype(np.uint32)), packed(block.context_count[k][first])))
-        return pd.DataFrame(out, columns=["shard", "block", "pairs", "counts", "context_counts"])
+            split = pairs[first][block.parts[k][first] > 1] >> _64(32)
+            out.append((shard, row["block"].iloc[0], packed(pairs), packed(block.train[k].astype(np.uint32)), packed(block.context_count[k][first]), packed(split)))
+        return pd.DataFrame(out, columns=["shard", "block", "pairs", "counts", "context_counts", "split"])
 
-    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(ask, "shard long, block long, pairs binary, counts binary, context_counts binary")
+    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(ask, "shard long, block long, pairs binary, counts binary, context_counts binary, split binary")
 
 
 def _answered_pairs(asked: DataFrame, vocabulary: int, keep_tries: bool) -> DataFrame:
-    """(shard, block, a, b) for each question, and if they are kept each shard's trie as ``a`` under block -1."""
+    """(shard, block, a, b) for each question; if they are kept each shard's trie as ``a`` under block -1; under block -2 its split contexts, their types there and their counts."""
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         pairs, counts = [unpacked(b, _64) for b in frame["pairs"]], [unpacked(b, np.uint32) for b in frame["counts"]]
         every = np.concatenate(pairs)
@@ -312,13 +328,29 @@ def _answered_pairs(asked: DataFrame, vocabulary: int, keep_tries: bool) -> Data
         context, one = np.unique(context, return_index=True)
         context_counts = np.concatenate([unpacked(b, np.int64) for b in frame["context_counts"]])[one]
         trie = build_trie(seen, total, context_counts[np.searchsorted(context, np.unique(seen >> _64(32)))], vocabulary)
-        ask = Trie(trie).ask
-        out = [(s, b, *map(packed, ask(p))) for s, b, p in zip(frame["shard"], frame["block"], pairs, strict=True)]
+        kept = Trie(trie)
+        out = [(s, b, *map(packed, kept.ask(p))) for s, b, p in zip(frame["shard"], frame["block"], pairs, strict=True)]
+        split = np.unique(np.concatenate([unpacked(b, _64) for b in frame["split"]]))
+        if len(split):
+            out.append((frame["shard"].iloc[0], -2, packed(split), packed(np.concatenate([kept.types(split), context_counts[np.searchsorted(context, split)]]))))
         return pd.DataFrame([*out, *([(frame["shard"].iloc[0], -1, trie, None)] if keep_tries else [])], columns=["shard", "block", "a", "b"])
 
     return asked.groupBy("shard").applyInPandas(answer, "shard long, block long, a binary, b binary")
 
 
+def _split_contexts(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The split contexts and their codes of b. A boundary of shards splits one context, so there are fewer than shards."""
+    def unfold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                types, counts = np.split(unpacked(row.b, np.int64), 2)
+                yield pd.DataFrame({"context": unpacked(row.a, _64).astype(np.int64), "types": types, "count": counts})
+
+    parts = pairs.where("block = -2").select("a", "b").mapInPandas(unfold, "context long, types long, count long")
+    whole = parts.groupBy("context").agg(F.sum("types").alias("types"), F.max("count").alias("count")).orderBy("context").toPandas()
+    return whole["context"].to_numpy().astype(_64), coded(DISCOUNT * whole["types"].to_numpy(float) / whole["count"].to_numpy(float))
+
+
 def lm_scores(docs: DataFrame, tries: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of (doc_id, text).
 
@@ -339,8 +371,10 @@ def lm_scores(docs: DataFrame, tries: str | None = None) -> DataFrame:
     vocabulary = max(int(v), 1)
     blocks = blocks.drop("hashes", "n")
     pairs = durable(_answered_pairs(_asked_pairs(blocks, words, vocabulary), vocabulary, tries is not None), "pairs")
+    sent = docs.sparkSession.sparkContext.broadcast(_split_contexts(pairs))
     if tries is not None:
-        pairs.where("block < 0").select("shard", F.col("a").alias("trie")).write.parquet(tries)
+        corrected = F.udf(lambda trie: with_b(bytes(trie), *sent.value), "binary")
+        pairs.where("block = -1").select("shard", corrected("a").alias("trie")).write.parquet(tries)
 
     lines = words.select("block", F.lit(0).alias("kind"), F.col("shard").cast("long").alias("shard"), "numbers", "counts", "starts", "v_before", "n_before", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
     lines = lines.unionByName(pairs.where("block >= 0").select("block", F.lit(1).alias("kind"), "shard", "a", "b"), allowMissingColumns=True)
@@ -354,7 +388,10 @@ def lm_scores(docs: DataFrame, tries: str | None = None) -> DataFrame:
             context = np.cumsum(np.diff(block.pairs[k] >> _64(32), prepend=UNKNOWN) != 0) - 1
             code = unpacked(r.b, np.uint16)[context]
             a[k] = decoded(unpacked(r.a, np.uint16))
-            b[k] = np.where(code > 0, np.minimum(decoded(code) * block.parts[k], 1.0), 1.0)
+            b[k] = np.where(code > 0, decoded(code), 1.0)
+        split = np.flatnonzero(block.parts > 1)
+        contexts, codes = sent.value
+        b[split] = decoded(codes[np.searchsorted(contexts, block.pairs[split] >> _64(32))])
         base = (block.count + ADD) / (n + ADD * (v + 1))
         p = base.copy()
         p[block.known] = a[block.at] + b[block.at] * base[block.known]

@@ -361,3 +361,45 @@ def test_unquoted_secrets_are_found_and_redacted(spark):
     left = [i for i, value in enumerate(held) if value and value in clean[i]]
     assert len(left) <= 0.05 * sum(v is not None for v in held)
     assert all(clean[i] == rows[i][1] for i, value in enumerate(held) if value is None)
+
+
+def brute_bigrams(rows):
+    """(score of words, back-off weight of a context) as the unsplit estimate has them."""
+    counts, pairs = Counter(), Counter()
+    for r in rows:
+        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 10:
+            words = [*WORD.findall(lower(r[1] or "")), "\n"]
+            counts.update(words)
+            pairs.update(zip(["\n", *words], words))
+    n, v, types = sum(counts.values()), len(counts), Counter(a for a, _ in pairs)
+
+    def score(text):
+        words = [*WORD.findall(lower(text or "")), "\n"]
+        base = [(counts[w] + 0.1) / (n + 0.1 * (v + 1)) for w in words]
+        p = [max(pairs[a, w] - lm.DISCOUNT, 0) / counts[a] + lm.DISCOUNT * types[a] / counts[a] * b if counts[a] else b for a, w, b in zip(["\n", *words], words, base)]
+        return sum(map(math.log10, p)), len(words)
+
+    return score, {a: lm.DISCOUNT * types[a] / counts[a] for a in counts}
+
+
+@pytest.mark.parametrize("shard", [5, 500])
+def test_lm_split_contexts_are_brute_force(spark, docs, rows, shard, monkeypatch, tmp_path):
+    monkeypatch.setattr(lm, "SHARD", shard)
+    monkeypatch.setattr(lm, "BLOCK", 3000)
+    if shard == 5:
+        rows = [(i, t, None, None) for i, t in enumerate(["v a v b v c", "v a x v b", "c v a v v", None, "b c v d", "e f v a"])]
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    score, weights = brute_bigrams(rows)
+    want = sorted(score(r[1]) for r in rows)
+    got = sorted((r.score, r.n_tokens) for r in lm.lm_scores(docs, str(tmp_path / "tries")).collect())
+    assert len(got) == len(want)
+    for (a, n), (b, m) in zip(sorted(got, key=lambda x: x[::-1]), sorted(want, key=lambda x: x[::-1]), strict=True):
+        assert n == m and abs(a - b) < 1e-3 * n
+    # Kept tries hold the same weights: every part of a context has one and the same, and it is one of the brute-force ones.
+    seen = defaultdict(set)
+    for r in spark.read.parquet(str(tmp_path / "tries")).collect():
+        trie = lm.Trie(bytes(r.trie))
+        for context, code in zip(trie.contexts[np.arange(trie.contexts.n)], trie.b, strict=True):
+            seen[int(context)].add(int(code))
+    assert all(len(codes) == 1 for codes in seen.values())
+    assert sorted(int(c) for codes in seen.values() for c in codes) == sorted(int(c) for c in lm.coded(np.array([w for w in weights.values()])))
