@@ -1,6 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as its own embedding beside the mean embedding of its character 3- and 4-grams. The network
+A word enters as its own embedding beside the mean embedding of its character 3- and 4-grams. A word of more than
+``LONGEST`` bytes, as unspaced scripts have them, enters as overlapping chunks that count as words; what a chunk is
+cut to says nothing, so all chunks share one embedding and differ by their grams. The network
 reads windows of ``WINDOW`` words, each overlapping the next by half; a document scores as its worst window,
 calibrated on training documents. It is fitted on a bounded sample of labelled documents
 (``SAMPLE`` of each label); every window of every document is then scored on the executors.
@@ -15,7 +17,8 @@ without labels of both kinds gives 0 for every document; an empty table gives an
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -32,18 +35,32 @@ HIDDEN, EMBED, HASH_BITS = 8, 6, 15
 ROUNDS, EPOCHS, BATCH, RATE = 4, 3, 256, 0.01
 BATCH_WINDOWS = 2048
 KEPT_WORDS = 300_000
+#: Longer words are cut into chunks of ``CHUNK`` bytes, each overlapping the next by half, so that no part of a text is left out.
+LONGEST, CHUNK = 64, 32
+#: Words whose inputs are made at once.
+INPUT_WORDS = 16_384
 THRESHOLD = 0.7
 _MASK = (1 << HASH_BITS) - 1
 
 
 def words_in(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [part for word in words for part in (chunks(word) if len(word) > LONGEST else (word,))]
 
 
-def grams(word: bytes) -> list[int]:
-    """Hashed character 3- and 4-grams of a word with its ends marked."""
-    w = b"<" + word[:64] + b">"
-    return [crc32(w[i : i + n]) & _MASK for n in (3, 4) for i in range(max(1, len(w) - n + 1))]
+def chunks(word: bytes) -> list[bytes]:
+    """Chunks that cover a word with its ends marked; the last one ends with it. Each begins with a blank, which no word holds."""
+    w = b"<" + word + b">"
+    last = len(w) - CHUNK
+    return [b" " + w[i : i + CHUNK] for i in (*range(0, last, CHUNK // 2), last)]
+
+
+def grams(word: bytes) -> array:
+    """Hashed character 3- and 4-grams of a word with its ends marked, or of a chunk."""
+    w = word[1:] if word[:1] == b" " else b"<" + word + b">"
+    return array("H", [crc32(w[i : i + n]) & _MASK for n in (3, 4) for i in range(max(1, len(w) - n + 1))])
 
 
 def windows_of(n: int) -> np.ndarray:
@@ -59,7 +76,7 @@ class Words:
     def __init__(self):
         self.number: dict[bytes, int] = {}
         self.word: list[int] = [0]
-        self.gram: list[list[int]] = [[0]]
+        self.gram: list[array] = [array("H", [0])]
 
     def of(self, words: list[bytes]) -> np.ndarray:
         number, get = self.number, self.number.get
@@ -68,7 +85,7 @@ class Words:
             w = words[i]
             if w not in number:
                 number[w] = len(self.word)
-                self.word.append(crc32(w) & _MASK)
+                self.word.append(crc32(b" " if w[:1] == b" " else w) & _MASK)
                 self.gram.append(grams(w))
             out[i] = number[w]
         return out
@@ -89,10 +106,14 @@ class Network:
 
     def inputs(self, words: Words, start: int = 0) -> np.ndarray:
         """One input row for each word from number ``start`` on."""
-        sizes = np.array([len(g) for g in words.gram[start:]])
-        flat = np.fromiter(itertools.chain.from_iterable(words.gram[start:]), np.int64, sizes.sum())
-        mean = np.add.reduceat(self.p["gram"][flat], np.cumsum([0, *sizes[:-1]]), axis=0) / sizes[:, None]
-        return np.concatenate([self.p["word"][np.array(words.word[start:])], mean], axis=1).astype(np.float32)
+        out = np.empty((len(words.word) - start, 2 * EMBED), np.float32)
+        out[:, :EMBED] = self.p["word"][np.array(words.word[start:], np.int64)]
+        for i in range(0, len(out), INPUT_WORDS):
+            some = words.gram[start + i : start + i + INPUT_WORDS]
+            sizes = np.array([len(g) for g in some])
+            flat = np.fromiter(itertools.chain.from_iterable(some), np.int64, sizes.sum())
+            out[i : i + len(some), EMBED:] = np.add.reduceat(self.p["gram"][flat], np.cumsum([0, *sizes[:-1]]), axis=0) / sizes[:, None]
+        return out
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """Both directions' gate inputs of each word."""
@@ -197,7 +218,7 @@ class Network:
         return np.where(np.isfinite(logit), _sigmoid(self.scale * logit + self.shift), 0.0)
 
 
-def _log_odds(items: list[set[int]], labels: np.ndarray, size: int) -> np.ndarray:
+def _log_odds(items: Iterable[set[int]], labels: np.ndarray, size: int) -> np.ndarray:
     counts = np.ones((2, size))
     for s, y in zip(items, labels, strict=True):
         counts[int(y), list(s)] += 1
@@ -212,8 +233,8 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 4) -> Network:
     docs, labels = [docs[i] for i in some], labels[some].astype(float)
     # The first coordinate of each embedding starts as the feature's log-odds among the training documents.
     seen = [np.unique(d) for d in docs]
-    net.p["word"][:, 0] = np.clip(_log_odds([{words.word[k] for k in s} for s in seen], labels, _MASK + 1), -4, 4) / 4
-    net.p["gram"][:, 0] = np.clip(_log_odds([{g for k in s for g in words.gram[k]} for s in seen], labels, _MASK + 1), -4, 4) / 4
+    net.p["word"][:, 0] = np.clip(_log_odds(({words.word[k] for k in s} for s in seen), labels, _MASK + 1), -4, 4) / 4
+    net.p["gram"][:, 0] = np.clip(_log_odds(({g for k in s for g in words.gram[k]} for s in seen), labels, _MASK + 1), -4, 4) / 4
     x = net.inputs(words)
     prior = x[:, 0] + 2 * x[:, EMBED]
     pick = np.array([np.argmax(prior[d]) if y else rng.integers(len(d)) for d, y in zip(docs, labels, strict=True)])

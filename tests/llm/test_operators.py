@@ -403,3 +403,31 @@ def test_lm_split_contexts_are_brute_force(spark, docs, rows, shard, monkeypatch
             seen[int(context)].add(int(code))
     assert all(len(codes) == 1 for codes in seen.values())
     assert sorted(int(c) for codes in seen.values() for c in codes) == sorted(int(c) for c in lm.coded(np.array([w for w in weights.values()])))
+
+
+def test_toxicity_chunks_cover_long_words():
+    rng = random.Random(3)
+    for n in (1, 63, 64, 65, 80, 81, 500):
+        word = bytes(rng.randrange(97, 123) for _ in range(n))
+        parts = toxicity.words_in(word.decode())
+        assert parts == [word] if n <= toxicity.LONGEST else all(any(word[i : i + 17] in p for p in parts) for i in range(n - 16))
+    assert toxicity.words_in("a " + "b" * 70) == [b"a", b" <" + b"b" * 31, b" " + b"b" * 32, b" " + b"b" * 32, b" " + b"b" * 31 + b">"]
+
+
+@pytest.mark.parametrize("script", ["han", "joined"])
+def test_toxicity_deep_in_an_unspaced_run(spark, script):
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 400)] if script == "han" else [w + "." for w in sentence(rng, 400).split()]
+    term = "毒瘤恶" if script == "han" else "grumblat."
+    rows = []
+    for i in range(600):
+        run = [rng.choice(letters) for _ in range(rng.randint(150, 300))]
+        if i % 3 == 0:
+            for _ in range(3):
+                run.insert(rng.randrange(70, len(run)), term)
+        rows.append((i, "".join(run), int(i % 3 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic")).join(table, "doc_id").where("held_out").toPandas()
+    # How they rank: with so few documents to calibrate on, THRESHOLD still misses some toxic ones.
+    toxic, clean = (got.score[got.toxic == y].to_numpy() for y in (1, 0))
+    assert (toxic[:, None] > clean).mean() > 0.95 and got.predicted[got.toxic == 0].sum() == 0
