@@ -10,8 +10,8 @@ apart. Both need a group's earliest line alone, never its pairs. The edit distan
 verified. A line goes if an earlier line lies within one edit; the earliest by (doc_id, line number) stays.
 
 Defined results: a null text has no lines; lines without words stay and are not compared; lines of fewer than
-``MIN_FUZZY`` characters are only compared for equality, as one edit may change their sense; rows that share a doc_id count as the
-same place and are treated alike, and a null doc_id comes first; an empty table gives an empty table; other columns are
+``MIN_FUZZY`` characters are only compared for equality, as one edit may change their sense; equal lines
+at the same line of rows that share a doc_id count as one and are treated alike, different ones are told apart, and a null doc_id comes first; an empty table gives an empty table; other columns are
 carried by ``dedup_lines``.
 """
 
@@ -29,9 +29,10 @@ LONG = 2048
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, text, length): the lines that hold a word, without blanks at their ends."""
-    exploded = docs.select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("line", "raw")).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
-    return exploded.select("doc_id", F.col("line").cast("long").alias("line"), F.trim("raw").alias("text")).withColumn("length", F.length("text"))
+    """(doc_id, whole, line, text, length, digest, mark): the lines that hold a word, without blanks at their ends. whole: a fingerprint of the row's text, mark: of the line."""
+    exploded = docs.select("doc_id", F.xxhash64(text_of()).alias("whole"), F.posexplode(F.split(text_of(), "\n")).alias("line", "raw")).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
+    lines = exploded.select("doc_id", "whole", F.col("line").cast("long").alias("line"), F.trim("raw").alias("text")).withColumn("length", F.length("text"))
+    return lines.withColumn("digest", F.unhex(F.md5("text"))).withColumn("mark", F.xxhash64("digest"))
 
 
 def _variants(with_block: bool) -> Column:
@@ -65,47 +66,54 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
 
     kind: first, equal or near; first_*: the earliest line that stands for it.
     """
-    place = F.struct("doc_id", "line")
-    seen = durable(_lines(docs).select("doc_id", "line", F.unhex(F.md5("text")).alias("digest"), _variants(False).alias("keys")), "lines")
-    firsts = durable(seen.groupBy("digest").agg(F.min(place).alias("first")).select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "firsts")
+    return _verdicts(docs).drop("whole")
+
+
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """The verdicts and ``whole``, which tells rows of one doc_id apart."""
+    # Rows may share a doc_id, so a place names its line by mark too.
+    names = ["doc_id", "line", "mark"]
+    place = F.struct(*names)
+    seen = durable(_lines(docs).select("doc_id", "whole", "line", "digest", _variants(False).alias("keys")), "lines").withColumn("mark", F.xxhash64("digest"))
+    firsts = durable(seen.groupBy("digest").agg(F.min(place).alias("first")).select("digest", "first.*"), "firsts")
 
     # Keys shared by different lines. A line's fingerprint stands for its text here; nothing is decided by it.
-    shared = durable(seen.select(F.xxhash64("digest").alias("mark"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("key"), "keys")
-    near = seen.select("doc_id", "line", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("doc_id", "line").distinct()
-    near = durable(near.join(firsts, (near["doc_id"].eqNullSafe(firsts["doc_id"])) & (near["line"] == firsts["line"]), "left_semi"), "near")
+    shared = durable(seen.select("mark", F.explode("keys").alias("key")).groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("key"), "keys")
+    near = seen.select(*names, F.explode("keys").alias("key")).join(shared, "key", "left_semi").select(*names).distinct()
+    near = durable(near.join(firsts, (near["doc_id"].eqNullSafe(firsts["doc_id"])) & (near["line"] == firsts["line"]) & (near["mark"] == firsts["mark"]), "left_semi"), "near")
 
     # The texts of those lines, each by its earliest place.
     wanted = near.select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    texts = durable(_lines(rows).join(near.withColumnsRenamed({"doc_id": "_id", "line": "_line"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("line") == F.col("_line"))).select("doc_id", "line", "text", "length"), "texts")
+    texts = durable(_lines(rows).join(near.withColumnsRenamed({"doc_id": "_id", "line": "_line", "mark": "_mark"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("line") == F.col("_line")) & (F.col("mark") == F.col("_mark"))).select(*names, "text", "length"), "texts")
 
-    blocks = texts.select("doc_id", "line", F.inline(_variants(True))).join(shared, "key", "left_semi")
+    blocks = texts.select(*names, F.inline(_variants(True))).join(shared, "key", "left_semi")
     size = F.length("block")
     without = lambda j: F.concat(F.left(F.col("block"), j), F.substr(F.col("block"), j + 2))
     places = F.sequence(F.lit(0), size - 1)
     replaced = F.transform(places, lambda j: F.struct(F.xxhash64("key", j, without(j)).alias("variant"), F.lit(0).alias("role")))
     whole = F.array(F.struct(F.xxhash64("key", F.lit(-1), "block").alias("variant"), F.lit(1).alias("role")))
     deleted = F.array_distinct(F.transform(places, lambda j: F.struct(F.xxhash64("key", F.lit(-1), without(j)).alias("variant"), F.lit(2).alias("role"))))
-    emitted = blocks.select("doc_id", "line", F.inline(F.when(F.col("longer"), F.when(size > 0, deleted)).otherwise(F.when(size > 0, F.concat(replaced, whole)).otherwise(whole))))
+    emitted = blocks.select(*names, F.inline(F.when(F.col("longer"), F.when(size > 0, deleted)).otherwise(F.when(size > 0, F.concat(replaced, whole)).otherwise(whole))))
     emitted = durable(emitted, "variants")
     least = lambda role: F.min(F.when(F.col("role") == role, place))
     groups = emitted.groupBy("variant").agg(least(0).alias("r0"), least(1).alias("r1"), least(2).alias("r2"), F.count("*").alias("n")).where("n > 1").drop("n").withColumnRenamed("variant", "_v")
     met = emitted.join(groups, F.col("variant") == F.col("_v"))
     earlier = F.when(F.col("role") == 0, F.col("r0")).when(F.col("role") == 1, F.col("r2")).otherwise(F.col("r1"))
-    found = met.select("doc_id", "line", earlier.alias("first")).where(F.col("first") < place).groupBy("doc_id", "line").agg(F.min("first").alias("first"))
-    found = durable(found.select("doc_id", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line")), "met")
+    found = met.select(*names, earlier.alias("first")).where(F.col("first") < place).groupBy(*names).agg(F.min("first").alias("first"))
+    found = durable(found.select(*names, F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"), F.col("first.mark").alias("first_mark")), "met")
 
-    text_at = lambda d, n: texts.select(F.col("doc_id").alias(d), F.col("line").alias(n), F.col("text").alias(f"{n}_text"))
-    checked = found.join(text_at("_d", "_n"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line") == F.col("_n")))
-    checked = checked.join(text_at("_e", "_m"), F.col("first_doc_id").eqNullSafe(F.col("_e")) & (F.col("first_line") == F.col("_m")))
-    checked = checked.where(F.levenshtein("_n_text", "_m_text", 1).between(0, 1)).select(F.col("doc_id").alias("_d"), F.col("line").alias("_n"), F.col("first_doc_id").alias("_e"), F.col("first_line").alias("_m")).distinct()
+    text_at = lambda d, n: texts.select(F.col("doc_id").alias(d), F.col("line").alias(n), F.col("mark").alias(f"{n}_mark"), F.col("text").alias(f"{n}_text"))
+    checked = found.join(text_at("_d", "_n"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line") == F.col("_n")) & (F.col("mark") == F.col("_n_mark")))
+    checked = checked.join(text_at("_e", "_m"), F.col("first_doc_id").eqNullSafe(F.col("_e")) & (F.col("first_line") == F.col("_m")) & (F.col("first_mark") == F.col("_m_mark")))
+    checked = checked.where(F.levenshtein("_n_text", "_m_text", 1).between(0, 1)).select(F.col("doc_id").alias("_d"), F.col("line").alias("_n"), "_n_mark", F.col("first_doc_id").alias("_e"), F.col("first_line").alias("_m")).distinct()
 
-    decided = firsts.withColumnsRenamed({"doc_id": "_fd", "line": "_fl"}).join(checked, F.col("_fd").eqNullSafe(F.col("_d")) & (F.col("_fl") == F.col("_n")), "left")
+    decided = firsts.withColumnsRenamed({"doc_id": "_fd", "line": "_fl"}).join(checked, F.col("_fd").eqNullSafe(F.col("_d")) & (F.col("_fl") == F.col("_n")) & (F.col("mark") == F.col("_n_mark")), "left")
     decided = durable(decided.select(F.col("digest").alias("_digest"), "_fd", "_fl", F.col("_n").isNotNull().alias("_near"), "_e", "_m"), "decided")
     out = seen.join(decided, F.col("digest") == F.col("_digest"))
     is_first = F.col("doc_id").eqNullSafe(F.col("_fd")) & (F.col("line") == F.col("_fl"))
     return out.select(
-        "doc_id", "line", (is_first & ~F.col("_near")).alias("kept"),
+        "doc_id", "whole", "line", (is_first & ~F.col("_near")).alias("kept"),
         F.when(F.col("_near"), "near").when(is_first, "first").otherwise("equal").alias("kind"),
         F.when(F.col("_near"), F.col("_e")).otherwise(F.col("_fd")).alias("first_doc_id"),
         F.when(F.col("_near"), F.col("_m")).otherwise(F.col("_fl")).alias("first_line"),
@@ -114,9 +122,9 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the lines that stay; a text that loses all of them becomes empty."""
-    gone = line_verdicts(docs).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    rows = held_whole(docs, _doc=F.col("doc_id"), _text=F.col("text"))
-    joined = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    gone = _verdicts(docs).where(~F.col("kept")).groupBy("doc_id", "whole").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "whole": "_whole"})
+    rows = held_whole(docs, _doc=F.col("doc_id"), _text=F.col("text"), _own=F.xxhash64(text_of()))
+    joined = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_whole")), "left")
     left = F.filter(F.split("_text", "\n"), lambda s, i: ~F.array_contains("_gone", i.cast("long")))
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
     return let_go(joined, docs.columns, text=text)

@@ -431,3 +431,17 @@ def test_toxicity_deep_in_an_unspaced_run(spark, script):
     # How they rank: with so few documents to calibrate on, THRESHOLD still misses some toxic ones.
     toxic, clean = (got.score[got.toxic == y].to_numpy() for y in (1, 0))
     assert (toxic[:, None] > clean).mean() > 0.95 and got.predicted[got.toxic == 0].sum() == 0
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_line_dedup_tells_rows_of_one_doc_id_apart(spark, key):
+    earlier = "an earlier line that others copy word by word"
+    rows = [(key, f"{earlier}\nthe second line, which is nowhere else at all"), (key, f"a line of the second row that is its own\n{earlier}"), (key, f"the third row begins with words of its own\n{earlier[:-1]}x\nand it ends with others")]
+    texts = sorted(r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert texts == sorted([rows[0][1], rows[1][1].split("\n")[0], "the third row begins with words of its own\nand it ends with others"])
+
+
+def test_line_dedup_near_lines_at_one_place(spark):
+    rows = [(1, "some line of text that comes before them all"), (2, "some line of text that comes before them alL"), (2, "an own line of the same doc_id, to be kept")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got) == sorted(["", rows[0][1], rows[2][1]])
