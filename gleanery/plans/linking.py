@@ -120,6 +120,13 @@ def base64_runs(spark: SparkSession, d: str) -> DataFrame:
     return found.where("length(run) % 4 = 0 AND NOT contains(run, '=')").select("unit_id", "run", F.octet_length("content").alias("bytes"))
 
 
+@query("WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{20,}={0,2}')) AS run FROM documents), b AS (SELECT *, rtrim(run, '=') AS bare FROM r) SELECT doc_id AS unit_id, run, hex(from_base64(CASE WHEN length(bare) % 4 <> 1 THEN rpad(bare, ((length(bare) + 3) // 4 * 4)::INTEGER, '=') END)) AS content FROM b WHERE length(bare) % 4 <> 1 AND (run = bare OR length(run) % 4 = 0)")
+def base64_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Every base64 run that decodes, padded ones too."""
+    found = C.base64_runs(table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text"))
+    return found.select("unit_id", "run", F.hex("content").alias("content"))
+
+
 @query("SELECT item_id, text, reverse(left(text, 50)) AS reversed, translate(left(text, 50), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS rotated, translate(left(text, 50), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'zyxwvutsrqponmlkjihgfedcbaZYXWVUTSRQPONMLKJIHGFEDCBA') AS mirrored, regexp_replace(left(text, 50), '(.)(.)', '\\2\\1', 'gs') AS swapped FROM benchmark")
 def simple_ciphers(spark: SparkSession, d: str) -> DataFrame:
     head = F.left("text", F.lit(50))
