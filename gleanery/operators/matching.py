@@ -115,9 +115,9 @@ def markers(rows: DataFrame, known: list[str], shortest: int = 4, longest: int =
     return sized.select("unit_id", F.explode(held).alias("marker")).distinct()
 
 
-def joined_text(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Each unit's texts in order, one a line, up to ``most`` characters: (unit_id, text)."""
+def joined_text(rows: DataFrame, most: int | None = 1_000_000) -> DataFrame:
+    """Each unit's texts in order, one a line, up to ``most`` characters, or all of them: (unit_id, text)."""
     upto = F.sum(F.length("text") + 1).over(Window.partitionBy("unit_id").orderBy("ordinal"))
-    kept = rows.withColumn("_upto", upto).where(F.col("_upto") <= most + 1)
+    kept = rows if most is None else rows.withColumn("_upto", upto).where(F.col("_upto") <= most + 1)
     ordered = F.sort_array(F.collect_list(F.struct("ordinal", "text")))
     return kept.groupBy("unit_id").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"))

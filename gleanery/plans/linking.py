@@ -133,6 +133,13 @@ def simple_ciphers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", "text", F.reverse(head).alias("reversed"), C.rotated(head, 13).alias("rotated"), C.mirrored(head).alias("mirrored"), C.pairs_swapped(head).alias("swapped"))
 
 
+@query("SELECT item_id, text, reverse(text) AS reversed, translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS rotated, translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'zyxwvutsrqponmlkjihgfedcbaZYXWVUTSRQPONMLKJIHGFEDCBA') AS mirrored, regexp_replace(text, '(.)(.)', '\\2\\1', 'gs') AS swapped FROM benchmark")
+def whole_ciphers(spark: SparkSession, d: str) -> DataFrame:
+    """The ciphers of simple_ciphers over whole texts."""
+    whole = F.col("text")
+    return table(spark, d, "benchmark").select("item_id", "text", F.reverse(whole).alias("reversed"), C.rotated(whole, 13).alias("rotated"), C.mirrored(whole).alias("mirrored"), C.pairs_swapped(whole).alias("swapped"))
+
+
 @query()
 def xor_keys(spark: SparkSession, d: str) -> DataFrame:
     """Names hidden under single-byte keys, found again: the lowest key that makes each readable."""

@@ -134,7 +134,7 @@ def marker_detection(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id AS unit_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id")
 def joined_texts(spark: SparkSession, d: str) -> DataFrame:
-    return M.joined_text(table(spark, d, "conversations").select(F.col("conv_id").alias("unit_id"), F.col("turn").alias("ordinal"), "text"))
+    return M.joined_text(table(spark, d, "conversations").select(F.col("conv_id").alias("unit_id"), F.col("turn").alias("ordinal"), "text"), most=None)
 
 
 @query("""WITH p AS (SELECT doc_id, string_split(lower(text), 'thing') AS s FROM documents), q AS (SELECT doc_id, unnest(s[1:len(s) - 1]) AS part, generate_subscripts(s[1:len(s) - 1], 1) AS i FROM p WHERE len(s) > 1)

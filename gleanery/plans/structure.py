@@ -117,6 +117,13 @@ def literal_sample(spark: SparkSession, d: str) -> DataFrame:
     return S.literal_sample(rows, 600).groupBy("unit_id").agg(F.sum(F.length("text")).alias("chars"))
 
 
+@query("SELECT conv_id AS unit_id, sum(length(part))::BIGINT AS chars FROM (SELECT conv_id, left(text, greatest(0, 120000 - prev)::INTEGER) AS part FROM (SELECT conv_id, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM conversations WHERE length(text) >= 4 AND NOT regexp_matches(text, '[(/;]')) WHERE prev < 120000) GROUP BY conv_id")
+def whole_literal_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The sample up to the operator's own 120,000 characters a unit."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("unit_id"), F.col("turn").alias("ordinal"), "text")
+    return S.literal_sample(rows).groupBy("unit_id").agg(F.sum(F.length("text")).alias("chars"))
+
+
 @query("SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title FROM pages")
 def page_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.nullif(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit("")).alias("title"))

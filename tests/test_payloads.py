@@ -1,4 +1,5 @@
 import base64
+import codecs
 
 import duckdb
 
@@ -14,3 +15,14 @@ def test_base64_payloads_are_python_s(spark, tmp_path):
     view = f"(SELECT * FROM '{tmp_path}/documents.parquet/*.parquet')"
     want = duckdb.connect().sql(registry.SQL["base64_payloads"].replace("FROM documents", f"FROM {view}")).fetchall()
     assert {(i, bytes.fromhex(c)) for i, _, c in want} == set(got.items())
+
+
+def test_long_texts_are_whole(spark, tmp_path):
+    text = "Every letter of a long text counts " * 40
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = registry.QUERIES["whole_ciphers"](spark, str(tmp_path)).first()
+    assert got.reversed == text[::-1] and got.rotated == codecs.encode(text, "rot13") and len(got.mirrored) == len(got.swapped) == len(text)
+    turns = [(1, k, "user", c * 600_000) for k, c in enumerate("abc")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert registry.QUERIES["joined_texts"](spark, str(tmp_path)).first().text == "\n".join(t[3] for t in turns)
+    assert registry.QUERIES["whole_literal_sample"](spark, str(tmp_path)).first().chars == 120_000
