@@ -60,6 +60,45 @@ def test_quality_counts(docs, rows):
     assert clean[~clean.base_failed].kept.mean() > 0.95
 
 
+def test_quality_fences_follow_their_group(spark):
+    """A group whose documents all hold more punctuation gets a higher fence; the same document goes in one and stays in the other."""
+    rng = random.Random(21)
+
+    def text(share):
+        return " ".join(w + ("," if rng.random() < share else "") for w in sentence(rng, rng.randint(60, 200)).split())
+
+    rows = [(i, text(0.1 if i % 2 else 0.5), "en", f"s{i % 2}") for i in range(400)]
+    odd = text(0.55)
+    rows += [(1000, odd, "en", "s0"), (1001, odd, "en", "s1")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    report = {r.source: r for r in quality.fence_report(table).collect()}
+    assert report["s0"].punct_rate_hi > 2 * report["s1"].punct_rate_hi
+    got = {r.doc_id: r.kept for r in quality.quality_verdicts(table).collect()}
+    assert got[1000] and not got[1001]
+    assert sum(got[i] for i in range(400)) >= 392 and all(r.share_rejected < 0.03 for r in report.values())
+    assert sum(r.documents for r in report.values()) == len(rows)
+
+
+def test_quality_groups_without_spread_take_a_wider_sketch(spark):
+    rng = random.Random(22)
+    rows = [(i, sentence(rng, 120), "en", "varied") for i in range(100)] + [(200 + i, rows_text, "en", "copies") for i, rows_text in enumerate([sentence(rng, 120)] * 80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert quality.quality_verdicts(table).where("NOT kept").count() <= 2
+
+
+def test_quality_is_sql(rows, docs):
+    columns = ["doc_id", *quality.BASE, "base_failed", "kept"]
+    same_rows(quality.quality_verdicts(docs).toPandas()[columns].astype({"doc_id": "Int64"}), sql(quality.OP10_SQL, rows)[columns].astype({"doc_id": "Int64"}))
+
+
+def test_quality_repeats_in_a_very_long_text(spark):
+    """Far beyond 2 ** 16 words, with one window that comes again at the far end and a run of equal words."""
+    words = [f"w{i}" for i in range(120_000)]
+    text = " ".join([*words, *words[10:13], "x", "y", "y", "y", "y"])
+    got = quality.quality_verdicts(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).first()
+    assert got.n_words == len(text.split(" ")) and got.n_repeat_words == 3 + 3 + 4
+
+
 def test_quality_stage(docs, none):
     kept = quality.apply_quality(docs)
     assert kept.columns == docs.columns
