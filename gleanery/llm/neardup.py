@@ -3,15 +3,19 @@
 A document's set holds its distinct five-word shingles (64-bit hashes). Each of ``BUCKETS`` buckets hashes
 the set anew, so that small sets fill every bucket too, and stores of its minimum only the count of leading
 zeros and ``MANTISSA`` further bits. Four registers packed in a long make a band; equal bands propose pairs.
-Within a band's group every member is paired with one other, chosen anew for each band, so a group of any size costs as
-many pairs as it has members. Pairs whose collision-corrected estimate is far below the threshold go. The
-rest are confirmed on the full sets, each member's best pair first, and joined into components; pairs within
-a component need no confirming. What then shares a band but lies in different components is paired in full,
-so that no link is lost.
+Within a band's group every member is paired with a center, so a group of any size costs as many pairs as it has
+members. Pairs whose collision-corrected estimate is far below the threshold go. The rest are confirmed on the full
+sets, each member's best pair first, and joined into components; pairs within a component need no confirming.
+
+Members that still share a band across components are paired so that no link is lost: all of them in groups of at most
+``FEW``; those of larger groups by the rarest shingles of their full sets (``prefix_pairs``), where two sets can only
+be linked if they meet early enough in one order by rarity. What a large group has in common comes last in that
+order, so its size alone makes no pairs.
 
 Defined results: a null or wordless text has an empty set, is linked with nothing and is its own component;
-equal texts form one class and are compared once; repeated rows get equal answers; a null doc_id
-has no component and is kept; an empty table gives an empty table; other columns are carried by ``dedup``.
+equal word sequences form one class and are compared once; repeated rows get equal answers, unlike texts under one
+doc_id are each compared as their own; a null doc_id has no component and is kept; an empty table gives an empty
+table; other columns are carried by ``dedup``.
 """
 
 from __future__ import annotations
@@ -20,10 +24,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, table
@@ -36,8 +39,10 @@ ZERO_BITS, MANTISSA = 6, 10
 MARGIN = 5
 KEPT_WORDS = 500_000
 FLOOR = PERCENT / 100 - MARGIN * (PERCENT / 100 * (1 - PERCENT / 100) / BUCKETS) ** 0.5
-#: Groups of at most so many are paired by a join, larger ones in blocks of about ``MANY``.
-FEW, MANY = 16, 1024
+#: Groups of at most so many are paired by a join, larger ones by their rarest shingles.
+FEW = 16
+#: Sizes that meet are dealt into buckets by this ratio, so that a frequent shingle's group is many small joins.
+SIZE_RATIO = 1.1
 _CHUNK = 4096
 
 
@@ -122,15 +127,61 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, digest binary, n_shingles long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles binary) of each row."""
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """(cls, n, shingles binary) of each row of (cls, digest, text) whose text has that digest."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            packed = [shingles(words_in(t.as_py()), hashes).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
+            found = []
+            for cls, digest, text in zip(*batch.columns, strict=True):
+                words = words_in(text.as_py())
+                if hashlib.md5(b" ".join(words)).digest() == digest.as_py():
+                    found.append((cls.as_py(), shingles(words, hashes)))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int32()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["cls", "n", "shingles"])
+
+    return rows.select("cls", "digest", "text").mapInArrow(sets, "cls long, n int, shingles binary")
+
+
+def prefix_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in different components that may be linked, by their rarest shingles; no link is missing.
+
+    All shingles are ordered by how many sets hold them, then by value. If r shingles of a set, this one included,
+    don't come before the first shingle that two sets share, their intersection is at most the lesser r; a link needs
+    PERCENT / (100 + PERCENT) of both sizes. So the smaller set must be met within its first seventh, the other
+    within its first quarter, both at a depth that their sizes allow.
+    """
+    least = 100 + PERCENT
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, shingles binary")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, n, shingle_set in zip(*batch.columns, strict=True):
+                values = pa.array(np.frombuffer(shingle_set.as_buffer(), np.int64))
+                for i in range(0, len(values), 1 << 16):
+                    part = values[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(cls, len(part)), pa.repeat(n, len(part)), part], ["cls", "n", "shingle"])
+
+    held = durable(sets.select("cls", "n", "shingles").mapInArrow(unpack, "cls long, n int, shingle long"), "shingles")
+    often = held.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1").withColumnRenamed("shingle", "_shingle")
+    # Shingles of one set alone come first in its order and are never met, so only the others get a row.
+    by_set = Window.partitionBy("cls")
+    ranked = held.join(often, F.col("shingle") == F.col("_shingle")).select("cls", "n", "shingle", "often").select(
+        "cls", "n", "shingle", (F.count("*").over(by_set) - F.row_number().over(by_set.orderBy("often", "shingle")) + 1).alias("left"))
+    side = labels.select(F.col("node").alias("_node"), "component")
+    ranked = ranked.where(100 * F.col("left") >= PERCENT * F.col("n")).join(side, F.col("cls") == F.col("_node"), "left")
+    rows = durable(ranked.select("cls", "n", "shingle", "left", F.coalesce("component", "cls").alias("component")), "prefixes")
+    # What a shingle's group is mostly made of is one component, and its members needn't meet each other.
+    sizes = rows.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy(F.col("shingle").alias("_shingle")).agg(F.count("*").alias("components"), F.max_by("component", F.struct("size", "component")).alias("main")).where("components > 1")
+    rows = rows.join(mixed, F.col("shingle") == F.col("_shingle")).select("cls", "n", "shingle", "left", "component", (F.col("component") == F.col("main")).alias("main"))
+    bucket = lambda n: F.floor(F.log(n) / float(np.log(SIZE_RATIO))).cast("int")
+    small = rows.where(least * F.col("left") >= 2 * PERCENT * F.col("n")).select("cls", "n", "shingle", "left", "component", "main", bucket(F.col("n")).alias("bucket"))
+    # The sizes of smaller sets that may still be linked at this depth.
+    lowest, highest = F.ceil(F.col("n") * PERCENT / 100), F.least(F.floor(F.col("left") * least / PERCENT) - F.col("n"), F.col("n"))
+    large = rows.where(highest >= lowest).select(*[F.col(c).alias(f"_{c}") for c in ("cls", "n", "shingle", "left", "component", "main")], F.explode(F.sequence(bucket(lowest), bucket(highest))).alias("_bucket"))
+    ordered = (F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("cls") < F.col("_cls")))
+    met = (F.col("shingle") == F.col("_shingle")) & (F.col("bucket") == F.col("_bucket")) & ordered & (F.col("component") != F.col("_component")) & (least * F.least("left", "_left") >= PERCENT * (F.col("n") + F.col("_n")))
+    either = [small.where("NOT main").join(large, met), small.where("main").join(large.where("NOT _main"), met)]
+    return either[0].unionByName(either[1]).select(F.greatest("cls", "_cls").alias("a"), F.least("cls", "_cls").alias("b")).distinct()
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -206,7 +257,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     drawn = durable(sketches(docs), "sketches")
     known = drawn.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     first = F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first")
-    classes = durable(known.groupBy("digest").agg(first).select("digest", F.col("first.doc_id").alias("cls"), "first.n_shingles", "first.bands"), "classes")
+    # A class of equal word sequences has a number of its own: two of them may have one doc_id.
+    classes = durable(known.groupBy("digest").agg(first).select("digest", F.monotonically_increasing_id().alias("cls"), F.col("first.doc_id").alias("first_id"), "first.n_shingles", "first.bands"), "classes")
 
     bands = classes.select("cls", F.col("n_shingles").cast("int").alias("n"), F.posexplode("bands").alias("band", "key"))
     groups = bands.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1").withColumnsRenamed({"band": "_band", "key": "_key"})
@@ -218,9 +270,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = members.join(centers, same_group).where("cls <> center").select(F.greatest("cls", "center").alias("a"), F.least("cls", "center").alias("b")).distinct()
     pairs = durable(_estimated(pairs, classes), "pairs")
 
-    wanted = members.select(F.col("cls").alias("doc_id")).distinct()
-    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = durable(shingle_sets(rows).withColumnRenamed("doc_id", "cls"), "sets")
+    met_once = members.select(F.col("cls").alias("_cls")).distinct()
+    wanted = classes.join(met_once, F.col("cls") == F.col("_cls"), "left_semi").select(F.col("first_id").alias("_id"), "digest", "cls")
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("_id"))
+    sets = durable(shingle_sets(rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "cls", "_text"])), "sets")
 
     # Each member's best pair first: most pairs then lie within one star and need no confirming.
     best = durable(pairs.groupBy("a").agg(F.max(F.struct("estimate", "b"))["b"].alias("b")), "best")
@@ -235,47 +288,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = durable(marked.join(apart, same_group).select("band", "key", "cls", "n", "size", "component"), "apart")
     few = marked.where(F.col("size") <= FEW).drop("size")
     across = few.join(few.toDF("_band", "_key", "b", "_n", "_component"), same_group & (F.col("component") != F.col("_component")) & (F.col("cls") > F.col("b")) & (100 * F.least("n", "_n") >= PERCENT * F.greatest("n", "_n")))
-    across = _estimated(across.select(F.col("cls").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"), classes).select("a", "b")
-    many = _blocked(marked.where(F.col("size") > FEW), classes).join(pairs, ["a", "b"], "left_anti")
-    more = across.unionByName(many).distinct()
-    labels = _joined(durable(_confirmed(durable(more, "more"), sets), "links"), labels)
-
-    placed = drawn.join(classes.select(F.col("digest").alias("_digest"), "cls"), F.col("digest") == F.col("_digest"), "left")
-    placed = placed.join(labels, F.col("cls") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cls", "doc_id"))
+    many = marked.where(F.col("size") > FEW).select(F.col("cls").alias("_cls")).distinct()
+    met = durable(prefix_pairs(sets.join(many, F.col("cls") == F.col("_cls"), "left_semi"), labels), "met")
+    more = across.select(F.col("cls").alias("a"), "b").unionByName(met).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = durable(_estimated(more, classes), "more")
+    labels = _joined(durable(_confirmed(more, sets), "links"), labels)
+
+    # A component is named by its smallest doc_id.
+    ids = labels.join(classes.select(F.col("cls").alias("_cls"), "first_id"), F.col("node") == F.col("_cls"))
+    smallest = ids.groupBy("component").agg(F.min("first_id").alias("component_id")).withColumnRenamed("component", "_component")
+    named = labels.join(smallest, F.col("component") == F.col("_component")).select("node", "component_id")
+    placed = drawn.join(classes.select(F.col("digest").alias("_digest"), "cls", "first_id"), F.col("digest") == F.col("_digest"), "left")
+    placed = placed.join(named, F.col("cls") == F.col("node"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _blocked(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of large groups that are apart and may be similar enough, compared block against block.
-
-    A group is dealt into blocks of about ``MANY``; each two blocks meet once, and only pairs that pass leave the comparison.
-    """
-    blocks = F.ceil(F.col("size") / MANY).cast("int")
-    own = members.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).join(classes.select("cls", "bands"), "cls")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("lo"), F.greatest(k, F.col("block")).alias("hi")))
-    met = own.select("band", "key", "cls", "n", "component", "bands", "block", F.inline(meets))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        lo, hi, band = frame["lo"].iloc[0], frame["hi"].iloc[0], frame["band"].iloc[0]
-        left, right = (frame[frame["block"] == k].sort_values("cls") for k in (lo, hi))
-        packed = [np.stack(f["bands"].to_numpy()) if len(f) else np.empty((0, BUCKETS // BAND), np.int64) for f in (left, right)]
-        n, m, ids, other = left["n"].to_numpy(), right["n"].to_numpy(), left["cls"].to_numpy(), right["cls"].to_numpy()
-        out = []
-        for i in range(len(left) if len(right) else 0):
-            may = (left["component"].iat[i] != right["component"].to_numpy()) & (100 * np.minimum(n[i], m) >= PERCENT * np.maximum(n[i], m))
-            may &= (ids[i] < other) if lo == hi else True
-            # A pair that shares an earlier band is met there.
-            k = np.flatnonzero(may & ~(packed[1][:, :band] == packed[0][i, :band]).any(axis=1))
-            if len(k):
-                regs = packed[1][k].view(np.uint16), np.repeat(packed[0][i : i + 1].view(np.uint16), len(k), axis=0)
-                k = k[estimate(*regs, m[k].astype(float), np.full(len(k), float(n[i]))) >= FLOOR]
-                out += [(max(ids[i], x), min(ids[i], x)) for x in other[k]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return met.groupBy("band", "key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
-
-
 def _stars(links: DataFrame) -> DataFrame:
     """(node, component) of links (a, b) that have each a once: the node that three steps lead to. Parts of components, told without a loop."""
     step = lambda frm, to: links.select(F.col("a").alias(frm), F.col("b").alias(to))

@@ -136,7 +136,6 @@ def test_line_dedup_finds_every_single_edit(spark, seed):
 @pytest.mark.parametrize("few", [16, 1])
 def test_near_duplicates_are_brute_force(docs, rows, none, few, monkeypatch):
     monkeypatch.setattr(neardup, "FEW", few)
-    monkeypatch.setattr(neardup, "MANY", 3 if few == 1 else 1024)
     got = neardup.near_duplicates(docs).where("doc_id IS NOT NULL").distinct().toPandas().set_index("doc_id")
     sets = {}
     for doc_id, text, *_ in rows:
@@ -164,6 +163,72 @@ def test_near_duplicates_are_brute_force(docs, rows, none, few, monkeypatch):
     assert kept.where("doc_id BETWEEN 200 AND 207 OR doc_id BETWEEN 100 AND 111").count() == 0
 
 
+def brute_components(rows):
+    """doc_id -> smallest doc_id reachable, and the number of links between unlike sets."""
+    sets, parent, links = {}, {}, 0
+    for doc_id, text, *_ in rows:
+        words = WORD.findall(lower(text or ""))
+        n = min(5, len(words))
+        sets[doc_id] = frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if words else frozenset()
+        parent[doc_id] = doc_id
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    order = sorted(sets)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                links += x != y
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    return {k: root(k) for k in sets}, links
+
+
+@pytest.mark.parametrize("few", [16, 1])
+def test_near_duplicates_in_one_large_loose_group(spark, few, monkeypatch):
+    """Texts of one origin that are mostly 0.6 alike: all share bands, few are linked, and none of those links is lost."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    rng = random.Random(31)
+    base = [f"b{i}" for i in range(110)]
+    rows = []
+    for i in range(420):
+        words = list(base[rng.randrange(4) : len(base) - rng.randrange(12)])
+        for k in range(rng.choice([2, 3, 3, 4])):
+            words[rng.randrange(len(words))] = f"e{i}x{k}" if rng.random() < 0.8 else f"common{rng.randrange(6)}"
+        rows.append((i, " ".join(words)))
+    want, links = brute_components(rows)
+    assert links > 200 and len(set(want.values())) > 10
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").component_id.to_dict()
+    assert got == want
+
+
+def test_prefix_pairs_hold_every_link(spark):
+    """Sets of all sizes, against brute force: each link across components is among the pairs."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for i in range(60):
+        base = rng.integers(0, 2**62, rng.integers(1, 60))
+        for _ in range(4):
+            sets.append(np.unique(np.append(rng.choice(base, max(1, int(len(base) * rng.uniform(0.7, 1))), replace=False), rng.integers(0, 2**62, rng.integers(0, 4)))))
+    table = spark.createDataFrame([(i, len(x), bytearray(x.astype(np.int64).tobytes())) for i, x in enumerate(sets)], "cls long, n int, shingles binary")
+    labels = spark.createDataFrame([(1, 0), (0, 0)], "node long, component long")
+    got = {(r.a, r.b) for r in neardup.prefix_pairs(table, labels).collect()}
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert links - {(1, 0)} <= got and (1, 0) not in got and len(links) > 50 and len(got) < 4 * len(links)
+
+
+def test_near_duplicates_of_one_doc_id(spark):
+    rng = random.Random(8)
+    one, two = sentence(rng, 80), sentence(rng, 80)
+    rows = [(7, one), (7, two), (9, two + " more"), (4, one + " more"), (11, two)]
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect())
+    assert got == [(4, 4), (7, 4), (7, 7), (9, 7), (11, 7)]
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     m = neardup._multipliers()
