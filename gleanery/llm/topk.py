@@ -4,18 +4,21 @@ Vectors are dealt into blocks. Where a block of queries meets a block of candida
 components form one sorted list per dimension, read from its top for positive query components and from
 its bottom for negative ones. After every round of sequential reads each score lies between a lower bound
 (an unread component is at the far end of its list) and an upper bound (it is at most the last value read).
-Candidates whose upper bound falls below the k-th lower bound cannot qualify and go; when no more than a
-few can still qualify, or the lists end, the rest are scored in full. The blocks' winners are then ranked together.
+For each query, candidates whose upper bound falls below its k-th lower bound cannot qualify and go; the scores of the
+rest are resolved. A task meets the blocks of its column one after another and carries each query's k best along,
+so the k-th of all blocks so far is the bound that the next block's candidates must reach. The columns' winners, k for
+each query and column, are then ranked together.
 
 Defined results: vectors that are null, or hold nulls, NaN or infinities, take no part; vectors of unlike
-lengths have no score with each other; a query row never meets rows of its own vec_id; repeated rows of one
-vec_id and vector count once; ties go to the smaller vec_id; an empty table gives an empty table. Scores
-must fit a 64-bit integer. Other columns are ignored.
+lengths have no score with each other; a query never meets rows of its own vec_id, however unlike; repeated rows of one
+vec_id and vector count once, unlike rows of one vec_id each count; ties go to the smaller vec_id; an empty table gives
+an empty table. Scores must fit a 64-bit integer. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,10 @@ from .common import durable, table
 SCALE, EVERY, K = 64, 20, 20
 BLOCK = 2048
 QUERY_BLOCK = 512
+#: Columns that the candidates' blocks are dealt into, and query blocks that a task takes through one column.
+COLUMNS, QUERY_BLOCKS = 8, 2
 #: Depths of the rounds, as shares of the lists.
-ROUNDS = (1 / 16, 1 / 8, 1 / 4, 1 / 2)
+ROUNDS = (1 / 2, 3 / 4, 7 / 8)
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -46,46 +51,90 @@ def _exact_type(a: np.ndarray, b: np.ndarray) -> type:
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
-def nra_block(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query, places of the rows that may be among its k best in this block, a superset of them.
+class Best:
+    """The k best candidates of each query so far."""
 
-    own: for each query, the place of a row that doesn't count, or -1.
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score = np.full((queries, k), np.iinfo(np.int64).min)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+        self.size = np.zeros(queries, np.int64)
+
+    def bound(self) -> np.ndarray:
+        """The score that a candidate must reach, -inf while a query has fewer than k."""
+        return np.where(self.size >= self.k, self.score[:, -1].astype(float), -np.inf)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        held, place = np.nonzero(np.arange(self.k) < self.size[:, None])
+        query = np.concatenate([held, query])
+        ids, score = np.concatenate([self.ids[held, place], ids]), np.concatenate([self.score[held, place], score])
+        order = np.lexsort((ids, -score, query))
+        query = query[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = rank < self.k
+        query, rank, order = query[kept], rank[kept], order[kept]
+        self.ids[query, rank], self.score[query, rank] = ids[order], score[order]
+        self.size = np.bincount(query, minlength=len(self.size))
+
+
+def nra_block(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, bound: np.ndarray, k: int, read: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) places of the pairs that may be among a query's k best, a superset of them; all others are out by their bounds.
+
+    own: for each query, the first and last + 1 place of rows that don't count. bound: the score that a query's k-th best
+    so far has, or -inf. read: counts the pairs met and those that each round leaves.
     """
-    n, dims = rows.shape
-    if n <= 4 * k or not dims:
-        return [np.delete(np.arange(n), [o] if o >= 0 else []) for o in own]
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    (m, dims), n = queries.shape, len(rows)
+    q, live = np.arange(m), np.arange(n)
+    # Which row may still be among the best of which query.
+    may = np.ones((m, n), bool)
+    for i in np.flatnonzero(own[:, 1] > own[:, 0]):
+        may[i, own[i, 0] : own[i, 1]] = False
+    read = Counter() if read is None else read
+    read["met"] += int(may.sum())
+    both = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
     ordered = np.sort(rows, axis=0)
     low, high = ordered[0], ordered[-1]
-    alive = np.arange(n)
     for share in ROUNDS:
-        depth = max(k, int(n * share))
-        top, bottom = ordered[n - depth], ordered[depth - 1]
-        left = rows[alive]
-        # A list read from its top has shown every value above its frontier; likewise from its bottom.
-        lower = up @ np.where(left >= top, left, low).T + down @ np.where(left <= bottom, left, high).T
-        skip = np.searchsorted(alive, own)
-        here = (skip < len(alive)) & (own >= 0)
-        here[here] = alive[skip[here]] == own[here]
-        lower[np.flatnonzero(here), skip[here]] = -np.inf if lower.dtype != np.int64 else np.iinfo(np.int64).min
-        kth = np.partition(lower, len(alive) - k, axis=1)[:, len(alive) - k]
-        upper = up @ np.maximum(np.where(left >= top, left, top), low).T + down @ np.minimum(np.where(left <= bottom, left, bottom), high).T
-        can = (upper >= kth[:, None]).any(axis=0)
-        alive = alive[can]
-        if len(alive) <= 4 * k:
+        depth = int(n * share)
+        if depth < k or not dims or not len(q) or not len(live):
             break
-    return [alive[alive != o] for o in own]
+        # A list read from its top has shown every value above its frontier; likewise from its bottom.
+        top, bottom, left = ordered[n - depth], ordered[depth - 1], rows[live]
+        if np.isneginf(bound[q]).any():
+            lower = both[q] @ np.concatenate([np.where(left >= top, left, low), np.where(left <= bottom, left, high)], axis=1).T
+            lower = np.where(may, lower, -np.inf)
+            kth = np.partition(lower, max(0, lower.shape[1] - k), axis=1)[:, max(0, lower.shape[1] - k)] if lower.shape[1] >= k else np.full(len(q), -np.inf)
+            bound = bound.copy()
+            bound[q] = np.maximum(bound[q], kth)
+        upper = both[q] @ np.concatenate([np.maximum(left, top), np.minimum(left, bottom)], axis=1).T
+        may &= upper >= bound[q][:, None]
+        read[f"left {share}"] += int(may.sum())
+        queries_left, rows_left = may.any(axis=1), may.any(axis=0)
+        q, live, may = q[queries_left], live[rows_left], may[np.ix_(queries_left, rows_left)]
+    i, j = np.nonzero(may)
+    read["resolved"] += len(i)
+    return q[i], live[j]
+
+
+def resolved(queries: np.ndarray, rows: np.ndarray, query: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The whole scores of pairs."""
+    if 4 * len(query) > len(queries) * len(rows):
+        return (queries @ rows.T)[query, row].astype(np.int64)
+    parts = [np.einsum("ij,ij->i", queries[query[i : i + 65536]], rows[row[i : i + 65536]]) for i in range(0, len(query), 65536)]
+    return np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Each block packed as one row: (dims, block, n, ids, data); blocks are numbered from another start in each task."""
+    """Each block packed as one row: (dims, block, n, ids, width, data), sorted by id; blocks are numbered from another start in each task."""
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
         number = itertools.count(TaskContext.get().partitionId() * 7919)
 
         def out(dims: int, rows: list) -> pd.DataFrame:
+            rows.sort(key=lambda r: r[0])
             ids, data = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64).reshape(len(rows), dims)
-            return pd.DataFrame({"dims": [dims], "block": [next(number)], "n": [len(rows)], "ids": [ids.tobytes()], "data": [data.tobytes()]})
+            kind = next(t for t in (np.int16, np.int32, np.int64) if np.abs(data).max(initial=0) <= np.iinfo(t).max)
+            return pd.DataFrame({"dims": [dims], "block": [next(number)], "n": [len(rows)], "ids": [ids.tobytes()], "width": [np.dtype(kind).itemsize], "data": [data.astype(kind).tobytes()]})
 
         for frame in frames:
             for vec_id, vector in zip(frame["vec_id"], frame["vector"], strict=True):
@@ -96,39 +145,48 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
         for dims, rows in held.items():
             yield out(dims, rows)
 
-    return vectors.mapInPandas(pack, "dims int, block long, n int, ids binary, data binary")
+    return vectors.mapInPandas(pack, "dims int, block long, n int, ids binary, width int, data binary")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) for the k best candidates of each query; both sides are (vec_id, vector)."""
-    columns = max(1, -(-candidates.count() // BLOCK))
-    far = _blocks(candidates, BLOCK).withColumn("column", F.pmod("block", F.lit(columns)).cast("int"))
-    near = _blocks(queries, QUERY_BLOCK).select(*[F.col(c).alias(f"q_{c}") for c in ("dims", "ids", "data")], F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("q_column"))
-    pairs = near.join(far, (F.col("q_dims") == F.col("dims")) & (F.col("q_column") == F.col("column")))
+    # A lane is a set of query blocks; each lane meets each column in one task, so rows out are k for each query and column.
+    lanes = max(1, -(-queries.count() // (QUERY_BLOCK * QUERY_BLOCKS)))
+    spread = lambda name, parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(name)
+    fields = ("dims", "ids", "width", "data")
+    far = _blocks(candidates, BLOCK).select(*fields, F.pmod("block", F.lit(COLUMNS)).cast("int").alias("column"), spread("lane", lanes))
+    near = _blocks(queries, QUERY_BLOCK).select("block", *[F.col(c).alias(f"q_{c}") for c in fields], F.pmod("block", F.lit(lanes)).cast("int").alias("q_lane"), spread("q_column", COLUMNS))
+    # Every task takes its query blocks one after another, each through the whole column.
+    pairs = near.join(far.hint("merge"), (F.col("q_lane") == F.col("lane")) & (F.col("q_column") == F.col("column")) & (F.col("q_dims") == F.col("dims")))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = lambda ids, width, data, dims: (np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=f"i{width}").reshape(-1, dims))
+        at, best, q_ids, q = None, None, None, None
+
+        def out() -> pd.DataFrame:
+            query, place = np.nonzero(np.arange(k) < best.size[:, None])
+            return pd.DataFrame({"query_id": q_ids[query], "vec_id": best.ids[query, place], "score": best.score[query, place]})
+
         for frame in frames:
             for r in frame.itertuples():
-                shape = lambda ids, data: (np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=np.int64).reshape(-1, r.dims))
-                (q_ids, q), (ids, rows) = shape(r.q_ids, r.q_data), shape(r.ids, r.data)
-                order = np.argsort(ids, kind="stable")
-                ids, rows = ids[order], rows[order]
-                kind = _exact_type(q, rows)
-                q, rows = q.astype(kind), rows.astype(kind)
-                first, last = np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")
-                own = np.where(last > first, first, -1)
-                found = []
-                for i in range(0, len(q), 64):
-                    for j, places in enumerate(nra_block(q[i : i + 64], rows, own[i : i + 64], k)):
-                        places = places[ids[places] != q_ids[i + j]]
-                        score = (rows[places] @ q[i + j]).astype(np.int64)
-                        best = np.lexsort((ids[places], -score))[:k]
-                        found.append(pd.DataFrame({"query_id": q_ids[i + j], "vec_id": ids[places][best], "score": score[best]}))
-                yield pd.concat(found)
-
-    best = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
+                if (r.block, r.q_dims, r.column) != at:
+                    if best is not None:
+                        yield out()
+                    at = r.block, r.q_dims, r.column
+                    q_ids, q = unpack(r.q_ids, r.q_width, r.q_data, r.dims)
+                    best = Best(len(q_ids), k)
+                ids, rows = unpack(r.ids, r.width, r.data, r.dims)
+                kind = _exact_type(q.astype(np.int64), rows.astype(np.int64))
+                of, whole = q.astype(kind), rows.astype(kind)
+                own = np.stack([np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")], axis=1)
+                query, row = nra_block(of, whole, own, best.bound(), k)
+                best.add(query, ids[row], resolved(of, whole, query, row))
+        if best is not None:
+            yield out()
+
+    found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,6 +293,37 @@ def test_top_k_is_brute_force(spark, dims, monkeypatch):
     assert topk.top_k(topk.quantised(empty), topk.quantised(empty)).count() == 0
 
 
+def test_top_k_beside_unlike_rows_of_one_vec_id(spark, monkeypatch):
+    """Several unlike rows under a query's own vec_id neither count nor raise the bound; of others each row counts."""
+    monkeypatch.setattr(topk, "BLOCK", 128)
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=2) * 3).tolist()) for i in range(400)] + [(k, (rng.normal(size=2) * 9).tolist()) for k in (0, 20, 20, 20, 20, 20, 33, 33)]
+    table = spark.createDataFrame([(*r, "a", 1, 0.5) for r in rows], "vec_id long, embedding array<double>, block string, rank int, score double")
+    vectors = topk.quantised(table)
+    got = topk.top_k(vectors.where("vec_id % 20 = 0"), vectors).toPandas()
+    whole = [(i, np.floor(np.array(v) * 64).astype(int)) for i, v in rows]
+    for query in range(0, 400, 20):
+        best = sorted((-int(v @ q), i) for j, q in whole if j == query for i, v in whole if i != query)[:20]
+        mine = got[got.query_id == query].sort_values("rank")
+        assert [(-s, i) for s, i in zip(mine.score, mine.vec_id)] == best
+
+
+def test_top_k_bounds_leave_few_to_resolve():
+    """Once a query's best are carried along, the bounds put most pairs out before their lists are read whole."""
+    rng = np.random.default_rng(4)
+    queries, rows = (np.floor(rng.normal(size=(n, 64)) * 8) for n in (32, 8 * 1024))
+    best, read, own = topk.Best(len(queries), 20), Counter(), np.zeros((len(queries), 2), int)
+    for i in range(0, len(rows), 1024):
+        block = rows[i : i + 1024]
+        counted = read if i >= 1024 else Counter()
+        query, row = topk.nra_block(queries, block, own, best.bound(), 20, counted)
+        best.add(query, row + i, topk.resolved(queries, block, query, row))
+    scores = queries @ rows.T
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    assert (best.ids == want).all() and (best.score == np.take_along_axis(scores, want, axis=1)).all()
+    assert read["met"] == 32 * 7 * 1024 and read["left 0.5"] < 0.8 * read["met"] and read["resolved"] < 0.1 * read["met"]
+
+
 def test_pieces_are_the_library_s(rows):
     import sentencepiece
 
