@@ -27,8 +27,8 @@ def held_whole(docs: DataFrame, **needed: Column) -> DataFrame:
 
 
 def let_go(rows: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
-    """The columns of ``_row`` again, some of them replaced."""
-    return rows.select(*[replaced[c].alias(c) if c in replaced else F.col("_row").getField(c).alias(c) for c in columns])
+    """The columns of ``_row`` again, some of them replaced, others added."""
+    return rows.select(*[replaced[c].alias(c) if c in replaced else F.col("_row").getField(c).alias(c) for c in columns], *[v.alias(c) for c, v in replaced.items() if c not in columns])
 
 
 def fold(text: Column) -> Column:
@@ -45,14 +45,30 @@ def n_words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one where none is named, as in tests."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a session with a local master, as in tests, gets a temporary one; on a cluster that is an error,
+    as no machine's own folder is seen by the others.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="gleanery-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def drawn(rows: DataFrame, key: Column, about: int) -> DataFrame:
+    """About ``about`` of the rows, all of them if there are fewer: those whose key's hash lies below a threshold.
+
+    The threshold follows from a count, so what comes of it doesn't grow with the rows or their partitions.
+    """
+    n = rows.count()
+    scale = 1 << 40
+    return rows if n <= about else rows.where(F.pmod(F.xxhash64(F.lit("draw"), key), F.lit(scale)) < about * scale // n)
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

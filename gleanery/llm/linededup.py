@@ -9,8 +9,10 @@ variants at one place are one substitution apart, and a block equal to a variant
 apart. Both need a group's earliest line alone, never its pairs. The edit distance to that line is then
 verified. A line goes if an earlier line lies within one edit; the earliest by (doc_id, line number) stays.
 
-Defined results: a null text has no lines; lines without words stay and are not compared; lines of fewer than
-``MIN_FUZZY`` characters are only compared for equality, as one edit may change their sense; equal lines
+The bound on edits follows a line's length: lines of fewer than ``shortest`` characters (by default ``MIN_FUZZY``) allow
+none, as one edit of a short line, such as a number's, changes its sense; others allow one. With ``shortest`` 0 all allow one.
+
+Defined results: a null text has no lines; lines without words stay and are not compared; equal lines
 at the same line of rows that share a doc_id count as one and are treated alike, different ones are told apart, and a null doc_id comes first; an empty table gives an empty table; other columns are
 carried by ``dedup_lines``.
 """
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, held_whole, let_go, table, text_of
 
+#: Lines of fewer characters are compared for equality alone, unless a caller asks for less.
 MIN_FUZZY = 20
 BLOCKS = 3
 #: Schemes beyond this length have more blocks, as a step's cost grows with blocks and with their length.
@@ -35,7 +38,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.withColumn("digest", F.unhex(F.md5("text"))).withColumn("mark", F.xxhash64("digest"))
 
 
-def _variants(with_block: bool) -> Column:
+def _variants(with_block: bool, shortest: int) -> Column:
     """Every variant of ``text`` without one block, by the scheme of its own ``length`` and of one less: the keys, or (key, longer, block).
 
     longer: whether the text is one character longer than its scheme, so that its deleted block is too.
@@ -54,27 +57,27 @@ def _variants(with_block: bool) -> Column:
         return F.transform(F.sequence(F.lit(0), k - 1), lambda i: variant(i, k, extra))
 
     few = F.array(*[variant(i, BLOCKS, extra) for extra in (0, 1) for i in range(BLOCKS)])
-    shortest = F.array(*[variant(i, BLOCKS, 0) for i in range(BLOCKS)])
+    own = F.array(*[variant(i, BLOCKS, 0) for i in range(BLOCKS)])
     return (
-        F.when(length < MIN_FUZZY, F.lit(None)).when(length == MIN_FUZZY, shortest).when(length <= LONG, few)
+        F.when(length < shortest, F.lit(None)).when(length == shortest, own).when(length <= LONG, few)
         .when(length == LONG + 1, F.concat(long_ones(0), F.array(*[variant(i, BLOCKS, 1) for i in range(BLOCKS)]))).otherwise(F.concat(long_ones(0), long_ones(1)))
     )
 
 
-def line_verdicts(docs: DataFrame) -> DataFrame:
+def line_verdicts(docs: DataFrame, shortest: int = MIN_FUZZY) -> DataFrame:
     """(doc_id, line, kept, kind, first_doc_id, first_line) for each line with a word.
 
     kind: first, equal or near; first_*: the earliest line that stands for it.
     """
-    return _verdicts(docs).drop("whole")
+    return _verdicts(docs, shortest).drop("whole")
 
 
-def _verdicts(docs: DataFrame) -> DataFrame:
+def _verdicts(docs: DataFrame, shortest: int) -> DataFrame:
     """The verdicts and ``whole``, which tells rows of one doc_id apart."""
     # Rows may share a doc_id, so a place names its line by mark too.
     names = ["doc_id", "line", "mark"]
     place = F.struct(*names)
-    seen = durable(_lines(docs).select("doc_id", "whole", "line", "digest", _variants(False).alias("keys")), "lines").withColumn("mark", F.xxhash64("digest"))
+    seen = durable(_lines(docs).select("doc_id", "whole", "line", "digest", _variants(False, shortest).alias("keys")), "lines").withColumn("mark", F.xxhash64("digest"))
     firsts = durable(seen.groupBy("digest").agg(F.min(place).alias("first")).select("digest", "first.*"), "firsts")
 
     # Keys shared by different lines. A line's fingerprint stands for its text here; nothing is decided by it.
@@ -87,7 +90,7 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     texts = durable(_lines(rows).join(near.withColumnsRenamed({"doc_id": "_id", "line": "_line", "mark": "_mark"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("line") == F.col("_line")) & (F.col("mark") == F.col("_mark"))).select(*names, "text", "length"), "texts")
 
-    blocks = texts.select(*names, F.inline(_variants(True))).join(shared, "key", "left_semi")
+    blocks = texts.select(*names, F.inline(_variants(True, shortest))).join(shared, "key", "left_semi")
     size = F.length("block")
     without = lambda j: F.concat(F.left(F.col("block"), j), F.substr(F.col("block"), j + 2))
     places = F.sequence(F.lit(0), size - 1)
@@ -120,27 +123,28 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the lines that stay; a text that loses all of them becomes empty."""
-    gone = _verdicts(docs).where(~F.col("kept")).groupBy("doc_id", "whole").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "whole": "_whole"})
+def dedup_lines(docs: DataFrame, shortest: int = MIN_FUZZY, lost: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with the lines that stay; a text that loses all of them becomes empty. lost: a column to add, how many lines a row loses."""
+    gone = _verdicts(docs, shortest).where(~F.col("kept")).groupBy("doc_id", "whole").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "whole": "_whole"})
     rows = held_whole(docs, _doc=F.col("doc_id"), _text=F.col("text"), _own=F.xxhash64(text_of()))
     joined = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_whole")), "left")
     left = F.filter(F.split("_text", "\n"), lambda s, i: ~F.array_contains("_gone", i.cast("long")))
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
-    return let_go(joined, docs.columns, text=text)
+    return let_go(joined, docs.columns, **{lost: F.coalesce(F.size("_gone"), F.lit(0))} if lost else {}, text=text)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents"))
 
 
-OP1_SQL = rf"""
+def line_sql(shortest: int = MIN_FUZZY) -> str:
+    return rf"""
 WITH seen AS (SELECT doc_id, i - 1 AS line, trim(raw, ' ') AS t
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 l AS (SELECT * FROM seen WHERE regexp_matches(t, '[^\x20\x09-\x0D]')),
 f AS (SELECT t, min(doc_id) AS d, arg_min(line, doc_id * 1000000 + line) AS n FROM l GROUP BY t),
-g AS (SELECT *, length(t) AS len, d * 1000000 + n AS o FROM f WHERE length(t) >= {MIN_FUZZY}),
-s AS (SELECT *, len AS m FROM g UNION ALL SELECT *, len - 1 AS m FROM g WHERE len > {MIN_FUZZY}),
+g AS (SELECT *, length(t) AS len, d * 1000000 + n AS o FROM f WHERE length(t) >= {shortest}),
+s AS (SELECT *, len AS m FROM g UNION ALL SELECT *, len - 1 AS m FROM g WHERE len > {shortest}),
 p AS (
   SELECT a.o AS ao, b.o AS bo, a.t AS ta, b.t AS tb FROM s a JOIN s b ON a.m = b.m AND left(a.t, a.m // 2) = left(b.t, b.m // 2) AND a.o > b.o
   UNION SELECT a.o, b.o, a.t, b.t FROM s a JOIN s b ON a.m = b.m AND right(a.t, a.m - a.m // 2) = right(b.t, b.m - b.m // 2) AND a.o > b.o),
@@ -151,3 +155,6 @@ SELECT l.doc_id, l.line::BIGINT AS line, (near.ao IS NULL AND l.doc_id = f.d AND
   (CASE WHEN near.ao IS NOT NULL THEN near.bo % 1000000 ELSE f.n END)::BIGINT AS first_line
 FROM l JOIN f USING (t) LEFT JOIN near ON near.ao = f.d * 1000000 + f.n
 """
+
+
+OP1_SQL = line_sql()

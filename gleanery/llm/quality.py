@@ -27,6 +27,8 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SKETCH_BITS = 8
 MIN_GROUP = 50
+#: The base rule about size: documents of fewer words fail.
+LEAST_WORDS = 50
 #: measure -> (whether it has a lower fence, whether it has an upper one).
 FENCES = {
     "punct_rate": (False, True),
@@ -88,7 +90,7 @@ def measure(docs: DataFrame) -> DataFrame:
         "capital_rate": per("_capitals", "word_chars", 1000),
         "mean_chars": per("word_chars", "n_words", 100),
         "variety": F.when(F.col("n_words") > 1, F.floor(1000 * F.ln("_distinct") / F.ln(F.col("n_words").cast("double")))).otherwise(1000).cast("long"),
-        "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
+        "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         # Keeps filters above this point: pushed below it, they would repeat the work on the words for each word.
         "_at": F.monotonically_increasing_id(),
     }).drop("_punct", "_capitals", "_distinct")
@@ -200,7 +202,7 @@ rep AS (SELECT rid, count(DISTINCT p)::BIGINT AS n FROM (SELECT rid, unnest([i,
 l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 c AS (SELECT d.*, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, {held(SYMBOLS)} AS n_symbols,
   {held(PUNCTUATION)} AS punct, {held(CAPITALS)} AS capitals, len(list_distinct(ws)) AS dist, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d JOIN l USING (rid) LEFT JOIN rep USING (rid)),
-r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(punct * 1000 // nullif(word_chars, 0), 0) AS punct_rate, coalesce(capitals * 1000 // nullif(word_chars, 0), 0) AS capital_rate,
+r AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(punct * 1000 // nullif(word_chars, 0), 0) AS punct_rate, coalesce(capitals * 1000 // nullif(word_chars, 0), 0) AS capital_rate,
   coalesce(word_chars * 100 // nullif(n_words, 0), 0) AS mean_chars, CASE WHEN n_words > 1 THEN floor(1000 * ln(dist) / ln(n_words))::BIGINT ELSE 1000 END AS variety FROM c),
 sketch AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - {SKETCH_BITS}, 0)) << greatest(length(bin(v)) - {SKETCH_BITS}, 0) AS v, count(*) AS c FROM ({measures}) GROUP BY ALL),
 {quantiles('own', 'lang, source')}, {quantiles('by_lang', 'lang')}, {quantiles('whole', '')},
