@@ -4,8 +4,8 @@ A word enters as its own embedding beside the mean embedding of its character 3-
 ``LONGEST`` bytes, as unspaced scripts have them, enters as overlapping chunks that count as words; what a chunk is
 cut to says nothing, so all chunks share one embedding and differ by their grams. The network
 reads windows of ``WINDOW`` words, each overlapping the next by half; a document scores as its worst window,
-calibrated on training documents. It is fitted on a bounded sample of labelled documents
-(``SAMPLE`` of each label); every window of every document is then scored on the executors.
+calibrated on training documents. It is fitted on a bounded sample of labelled documents (about
+``SAMPLE`` of each label, of at most ``FITTED_CHARS`` characters each, which bounds the driver's memory); every window of every document is then scored on the executors.
 
 Labels say only that some window of a document is toxic. So each round of training takes, of the toxic
 documents, the window that scores worst so far, and of the others their worst and a random one.
@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drawn, table
 
 WINDOW, STRIDE = 32, 16
-#: Labelled documents of each label that the fit may see, by the order of a hash of their ids.
-SAMPLE = 1500
+#: Labelled documents of each label that the fit may see, about, drawn by a hash of their ids, and the longest of them.
+SAMPLE, FITTED_CHARS = 1500, 40_000
 HIDDEN, EMBED, HASH_BITS = 8, 6, 15
 ROUNDS, EPOCHS, BATCH, RATE = 4, 3, 256, 0.01
 BATCH_WINDOWS = 2048
@@ -297,13 +297,13 @@ def scores(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list, np.ndarray]:
-    """Texts and labels of at most ``sample`` training documents of each label."""
+    """Texts and labels of about ``sample`` training documents of each label; a document with both labels counts for each."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     known = labels.where(fold != 1).where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    order = F.xxhash64(F.lit("toxic"), "doc_id")
-    chosen = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
-    # At most 2 * sample rows, which bounds the broadcast and what comes to the driver.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").orderBy("doc_id", "toxic").limit(2 * sample).toPandas()
+    chosen = [drawn(known.where(F.col("toxic") == y), F.col("doc_id"), sample) for y in (0, 1)]
+    short = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= FITTED_CHARS)
+    # About 2 * sample rows, which bounds the broadcast and what comes to the driver; copies of a row count once.
+    rows = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").distinct().toPandas().sort_values(["doc_id", "toxic", "text"])
     return rows["text"].tolist(), rows["toxic"].to_numpy()
 
 
