@@ -2,9 +2,11 @@
 
 A candidate is a run of at least ``SHORTEST`` key characters, told apart from its surroundings by ASCII alone; a name
 ends before its ``=``, so the value of an unquoted ``KEY=value`` is a run of its own. A run that holds a key in the
-format of a known issuer, such as a URL's path, is cut around it. The forest sees its length, the make-up and
+format of a known issuer, such as a URL's path, is cut around it. Whatever stands behind a telling name, from
+``ASSIGNED_SHORTEST`` characters on and of any characters but blanks, quotes and brackets, is a candidate too, and so
+are signed tokens with their dots. The forest sees its length, the make-up and
 transitions of its characters, how much of it frequent words cover, its path and its neighbouring words, and
-is fitted on labelled findings (at most ``SAMPLE`` of each label). Where no one has labelled findings,
+is fitted on labelled findings (about ``SAMPLE`` of each label, of at most ``FITTED_CHARS`` characters). Where no one has labelled findings,
 ``rule_labels`` labels those in the formats of known issuers or assigned in plain sight as true and plain
 words, numbers and repetitions as false, and leaves the rest unlabelled; the forest decides these.
 
@@ -17,6 +19,7 @@ an empty table; a null path is an empty one; other columns are ignored. Findings
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -24,15 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, held_whole, let_go, table
+from .common import drawn, durable, held_whole, let_go, table
 
-SHORTEST = 16
-#: Labelled findings of each label that the fit may see, by the order of a hash.
-SAMPLE = 2000
-#: The most frequent words, of 3 to 16 characters, that count as dictionary: a report of this many rows.
+SHORTEST, ASSIGNED_SHORTEST = 16, 8
+#: Labelled findings of each label that the fit may see, about, drawn by a hash, and the longest of them.
+SAMPLE, FITTED_CHARS = 2000, 4096
+#: At most so many of the most frequent words, of 3 to 16 characters, count as dictionary: all that are met as often as the last one.
 DICTIONARY = 20_000
 TREES, DEPTH, LEAST, BINS = 40, 8, 4, 32
 THRESHOLD = 0.5
@@ -42,12 +45,14 @@ FEATURES = ("length", "digits", "upper", "symbols", "hex", "entropy", "switches"
 CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{{SHORTEST - 1},}}(?:={{1,2}}(?![A-Za-z0-9+/=_\-]))?")
 ISSUED = (r"^(AKIA|ASIA)[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}$", r"^xox[baprs]-[A-Za-z0-9\-]{10,}$", r"^sk_(live|test)_[A-Za-z0-9]{16,}$")
 WITHIN = re.compile("(?<![A-Za-z0-9])(?:" + "|".join(p[1:-1] for p in ISSUED) + ")(?![A-Za-z0-9])")
+#: Signed tokens: three parts joined by dots.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*")
+ASSIGNED = re.compile(rf"""(?i)(?:password|passwd|pwd|token|secret|api_?key|access_?key|auth)["']?[ \t]{{0,4}}[=:][ \t]{{0,4}}["']?([^\s"'`,;<>(){{}}\[\]]{{{ASSIGNED_SHORTEST},}})""")
 NAMED = r"(?i)(password|passwd|pwd|token|secret|api_?key|access_?key|auth)\W{0,4}[=:]\s*[\"']?$"
 _WORD = re.compile(r"\w+")
 
 
-def spans(text: str) -> Iterator[tuple[int, int]]:
-    """Where each candidate of a text begins and ends."""
+def _runs(text: str) -> Iterator[tuple[int, int]]:
     for m in CANDIDATE.finditer(text):
         at, end = m.span()
         for key in WITHIN.finditer(m[0]):
@@ -60,6 +65,27 @@ def spans(text: str) -> Iterator[tuple[int, int]]:
             yield at, end
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where each candidate of a text begins and ends, in order, none overlapping another.
+
+    A signed token or assigned value takes the place of the runs within it; it gives way where a run reaches beyond it
+    or is an issued key.
+    """
+    runs = list(_runs(text))
+    starts = [a for a, _ in runs]
+    gone, added, upto = set(), [], 0
+    for a, b in sorted({*(m.span() for m in SIGNED.finditer(text)), *(m.span(1) for m in ASSIGNED.finditer(text))}, key=lambda s: (s[0], -s[1])):
+        first = bisect.bisect_left(starts, a)
+        first -= first > 0 and runs[first - 1][1] > a
+        inside = range(first, bisect.bisect_left(starts, b))
+        if a < upto or any(runs[k][0] < a or runs[k][1] > b or WITHIN.fullmatch(text, *runs[k]) for k in inside):
+            continue
+        gone.update(inside)
+        added.append((a, b))
+        upto = b
+    return sorted([*(r for k, r in enumerate(runs) if k not in gone), *added])
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, path, start, value, before, after) of each candidate in (doc_id, path, text)."""
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +100,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int]]:
-    """The ``size`` most frequent words over all documents, ties by code point, counted in tasks before they are shuffled."""
+    """The most frequent words over all documents, at most ``size``, those of one count all or none; counted in tasks before they are shuffled."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for frame in frames:
@@ -87,8 +113,11 @@ def frequent_words(docs: DataFrame, size: int = DICTIONARY) -> list[tuple[str, i
             yield pd.DataFrame(counts.items(), columns=["word", "n"])
 
     counted = docs.select("text").where("text IS NOT NULL").mapInPandas(count, "word string, n long")
-    top = counted.where("NOT word rlike '[0-9]'").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [(r.word, r.n) for r in top.collect()]
+    totals = durable(counted.where("NOT word rlike '[0-9]'").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # From how many words are met n times follows the least n that no more than ``size`` words reach; one row for each n.
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")))
+    least = totals.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).where(F.col("upto") <= size).agg(F.min("n")).first()[0]
+    return [] if least is None else sorted(((r.word, r.n) for r in totals.where(F.col("n") >= least).collect()), key=lambda w: (-w[1], w[0]))
 
 
 class Language:
@@ -191,7 +220,7 @@ class Forest:
 def rule_labels(found: DataFrame) -> DataFrame:
     """Candidates with a label: 1 issued formats and values assigned to a telling name, 0 plain words, numbers and repetitions, else null."""
     value, true = F.col("value"), F.col("before").rlike(NAMED) & F.col("value").rlike("[0-9]")
-    for pattern in ISSUED:
+    for pattern in (*ISSUED, f"^{SIGNED.pattern}$"):
         true = true | value.rlike(pattern)
     false = value.rlike(r"^[A-Z]?[a-z]+([_\-/][A-Za-z][a-z]*)*$") | value.rlike(r"^[0-9\-]+$") | value.rlike(r"^[A-Z]+$") | value.rlike(r"^[_\-+/=]+$")
     return found.withColumn("label", F.when(true, 1).when(false, 0))
@@ -215,9 +244,10 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPL
     found = durable(rule_labels(candidates(docs)), "candidates")
     language = Language(frequent_words(docs))
     known = (found if labelled is None else labelled).where("label IN (0, 1)").select("value", "before", "after", "path", "label")
-    order = F.xxhash64("value", "before", "after")
-    drawn = [known.where(F.col("label") == y).orderBy(order, "value", "before").limit(sample).toPandas() for y in (0, 1)]
-    fitted = fit(pd.concat(drawn, ignore_index=True), language) if all(len(d) for d in drawn) else None
+    known = known.where(F.length("value") <= FITTED_CHARS)
+    order = ["value", "before", "after", "path"]
+    seen = [drawn(known.where(F.col("label") == y), F.concat("value", "before", "after"), sample).toPandas().sort_values(order) for y in (0, 1)]
+    fitted = fit(pd.concat(seen, ignore_index=True), language) if all(len(d) for d in seen) else None
     sent = docs.sparkSession.sparkContext.broadcast((fitted, language))
 
     @F.pandas_udf("double")
