@@ -1,9 +1,10 @@
-"""Sharding by sampled splitters, so that shards hold nearly equal bytes and equal texts lie together.
+"""Sharding by sampled splitters, so that shards hold nearly equal bytes and equal texts lie near each other.
 
 A size-weighted sample of range keys gives the splitters of ``RANGES`` ranges; every record is dealt to
 its range, and a range that came out overfull, such as one that holds a large group of equal texts, is
 subdivided by a hash of the doc_id. Running sums within the (sub)ranges and the ranges' totals place each
-record in one global order, which is cut where a shard's share of the bytes is reached.
+record in one global order, which is cut where a shard's share of the bytes is reached. The cut is by bytes alone, so a
+group of equal texts may straddle two shards, and one that holds more than a shard's share fills several.
 
 Defined results: a null text has size 1 and a null checksum and sorts as an empty text; repeated rows each
 get a slot of their own; an empty table gives an empty table; a document larger than a shard's share leaves

@@ -498,6 +498,63 @@ def test_unquoted_secrets_are_found_and_redacted(spark):
     assert all(clean[i] == rows[i][1] for i, value in enumerate(held) if value is None)
 
 
+def test_short_and_dotted_secrets_are_candidates():
+    cut = lambda text: [text[a:b] for a, b in secrets.spans(text)]
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    assert cut(f"Bearer {token} end") == [token] and cut(f'token: "{token}"') == [token]
+    assert cut("password = 'h0rse!9x'") == ["h0rse!9x"] and cut("pwd=short") == [] and cut("passwd: a.b.c-d_e.f") == ["a.b.c-d_e.f"]
+    key = ISSUED_KEYS[0]
+    assert cut(f"token={key}.rest") == [key]
+    long = "api_key = " + "Ab1." * 50_000
+    assert cut(long) == ["Ab1." * 50_000]
+
+
+def test_forest_decides_what_rules_leave_open(spark):
+    """Held-out accuracy against the true labels of findings that no rule labels."""
+    rng = random.Random(6)
+    draw = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, truth = [], {}
+    for i in range(500):
+        true = i % 2
+        value = draw(letters, rng.randint(24, 40)) if true else "".join(w.capitalize() for w in sentence(rng, rng.randint(5, 8)).split()) + f"{rng.randint(1, 99)}Test"
+        truth[value] = true
+        rows.append((i, f"{sentence(rng, 20)} {rng.choice(['connect with', 'the value is', 'see'])} {value} {sentence(rng, 20)}", "app/x"))
+    table = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    found = secrets.rule_labels(secrets.candidates(table))
+    assert found.where("label IS NOT NULL").count() < 0.1 * found.count()
+    known = spark.createDataFrame(list(truth.items())[:250], "value string, label int")
+    labelled = found.drop("label").join(known, "value")
+    got = secrets.scan(table, labelled).toPandas()
+    told = {r.doc_id: r.is_secret for r in got.itertuples() if r.length >= 16}
+    held_out = [i for i, r in enumerate(rows) if i >= 250 and i in told]
+    assert len(held_out) > 200 and sum(told[i] == bool(i % 2) for i in held_out) > 0.97 * len(held_out)
+
+
+def test_frequent_words_are_all_or_none_of_a_count(spark):
+    table = spark.createDataFrame([("aaa " * 5 + "bbb " * 3 + "ccc ddd eee",), ("bbb ccc",), (None,)], "text string").repartition(2)
+    assert secrets.frequent_words(table, 3) == [("aaa", 5), ("bbb", 4), ("ccc", 2)]
+    assert secrets.frequent_words(table, 4) == [("aaa", 5), ("bbb", 4), ("ccc", 2)] and len(secrets.frequent_words(table, 5)) == 5
+    assert secrets.frequent_words(table, 0) == []
+
+
+def test_drawn_is_bounded(spark):
+    from gleanery.llm.common import drawn
+
+    rows = spark.range(20_000).repartition(7)
+    assert 800 < drawn(rows, F.col("id"), 1000).count() < 1200 and drawn(rows, F.col("id"), 30_000).count() == 20_000
+    assert drawn(rows.where("id < 0"), F.col("id"), 10).count() == 0
+
+
+@pytest.mark.parametrize("shortest", [0, 1, 5])
+def test_line_dedup_of_short_lines(spark, shortest):
+    rng = random.Random(shortest)
+    lines = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["x", "xy", "y", "a long line of over twenty characters", "a long line of over twenty character"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(lines)]
+    got = linededup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shortest).toPandas()
+    same_rows(got, sql(linededup.line_sql(shortest), rows))
+
+
 def brute_bigrams(rows):
     """(score of words, back-off weight of a context) as the unsplit estimate has them."""
     counts, pairs = Counter(), Counter()
