@@ -5,7 +5,8 @@ where a = (c(v, w) - D) / c(v), b = D types(v) / c(v) and p(w) adds 0.1 to each
 all training documents and kept in shards. A shard holds the successors of a range of contexts that fills up
 to ``SHARD`` training tokens; a context that fills more is split over several shards by its successors' hash.
 Contexts, pointers and successors are monotone sequences in Elias-Fano code, a and b are quantised logarithms;
-the levels are written to a file and mapped, and queried by search among a context's successors.
+the levels are written to a file and mapped, and queried where they lie: two pointers bound a context's successors,
+and a word is searched between them.
 
 Nothing is asked word by word or document by document. Documents are gathered into blocks of about ``BLOCK``
 words, a block asks each shard once about its distinct words and word pairs, and the answers come back to the
@@ -73,17 +74,16 @@ def unpacked_steps(b: bytes) -> np.ndarray:
 
 
 class EliasFano:
-    """A non-decreasing sequence: the low bits of each value packed, the high bits in unary."""
+    """A non-decreasing sequence: the low bits of each value packed, the high bits in unary, and how many ones come before each word of these.
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low = n, low_bits, low
-        ones = np.flatnonzero(np.unpackbits(np.asarray(high), bitorder="little"))
-        self.bucket = (ones - np.arange(n)).astype(np.int64)
-        # Where each value of the high bits begins.
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.bucket, minlength=1))]) if n else np.zeros(2, np.int64)
+    Nothing is unpacked: a value is read where it lies, so a mapped sequence takes no memory of its own.
+    """
+
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.before = n, low_bits, low, high, before
 
     @staticmethod
-    def encode(values: np.ndarray, universe: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    def encode(values: np.ndarray, universe: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
         n = len(values)
         bits = max(0, int(universe // max(n, 1)).bit_length() - 1)
         low = np.zeros((n * bits + 63) // 64 + 2, _64)
@@ -94,9 +94,11 @@ class EliasFano:
             over = np.flatnonzero(off + _64(bits) > _64(64))
             np.bitwise_or.at(low, word[over] + 1, v[over] >> (_64(64) - off[over]))
         high = (values >> _64(bits)).astype(np.int64)
-        unary = np.zeros(int(high[-1]) + n + 1 if n else 1, np.uint8)
+        unary = np.zeros(-(-(int(high[-1]) + n + 1 if n else 1) // 64) * 64, np.uint8)
         unary[high + np.arange(n)] = 1
-        return n, bits, low, np.packbits(unary, bitorder="little")
+        words = np.packbits(unary, bitorder="little").view(_64)
+        ones = np.bitwise_count(words).astype(np.int64)
+        return n, bits, low, words, (np.cumsum(ones) - ones).astype(np.uint32)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -107,22 +109,26 @@ class EliasFano:
         return ((self.low[word] >> off) | spill) & _64((1 << self.low_bits) - 1)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return (self.bucket[i].astype(_64) << _64(self.low_bits)) | self._low(i)
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each value, or -1: the values that share its high bits are searched by their low ones."""
-        high, want = (x >> _64(self.low_bits)).astype(np.int64), x & _64((1 << self.low_bits) - 1)
-        inside = high < len(self.begin) - 1
-        high = np.where(inside, high, 0)
-        lo, end = np.where(inside, self.begin[high], 0), np.where(inside, self.begin[np.minimum(high + 1, len(self.begin) - 1)], 0)
-        hi = end.copy()
+        word = np.searchsorted(self.before, i.astype(np.uint32), side="right") - 1
+        bits, rest, place = np.asarray(self.high[word]), i - self.before[word].astype(np.int64), word * 64
+        for width in (32, 16, 8, 4, 2, 1):  # the place of one number ``rest`` of the word, by halves
+            ones = np.bitwise_count(bits & _64((1 << width) - 1)).astype(np.int64)
+            up = rest >= ones
+            rest, place = rest - np.where(up, ones, 0), place + np.where(up, width, 0)
+            bits = np.where(up, bits >> _64(width), bits)
+        return ((place - i).astype(_64) << _64(self.low_bits)) | self._low(i)
+
+    def find(self, x: np.ndarray, first: np.ndarray | int = 0, end: np.ndarray | None = None) -> np.ndarray:
+        """The place of each value among those from ``first`` up to ``end``, or -1."""
+        end = np.full(len(x), self.n) if end is None else end
+        lo, hi = np.zeros(len(x), np.int64) + first, end.copy()
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) // 2
-            less = self._low(mid) < want[open_]
+            less = self[mid] < x[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
         hit = lo < end
-        hit[hit] = self._low(lo[hit]) == want[hit]
+        hit[hit] = self[lo[hit]] == x[hit]
         return np.where(hit, lo, -1)
 
 
@@ -142,8 +148,9 @@ def build_trie(pairs: np.ndarray, counts: np.ndarray, context_counts: np.ndarray
     a = coded((counts - DISCOUNT) / np.repeat(context_counts, types))
     b = coded(DISCOUNT * types / context_counts)
     levels = [EliasFano.encode(contexts, vocabulary), EliasFano.encode(np.append(first, len(pairs)).astype(_64), len(pairs) + 1), EliasFano.encode(rank * _64(vocabulary) + (pairs & UNKNOWN), max(1, len(contexts)) * vocabulary)]
-    head = np.array([x for n, bits, low, high in levels for x in (n, bits, len(low), len(high))] + [vocabulary], np.int64)
-    return b"".join([head.tobytes(), *(low.tobytes() for _, _, low, _ in levels), *(high.tobytes() for *_, high in levels), a.tobytes(), b.tobytes()])
+    parts = [x.tobytes().ljust(-(-x.nbytes // 8) * 8, b"\0") for k in (2, 3, 4) for x in (level[k] for level in levels)]
+    head = np.array([x for n, bits, *arrays in levels for x in (n, bits, *map(len, arrays))] + [vocabulary], np.int64)
+    return b"".join([head.tobytes(), *parts, a.tobytes(), b.tobytes()])
 
 
 class Trie:
@@ -154,18 +161,17 @@ class Trie:
             file.write(data)
             file.flush()
             whole = np.memmap(file, np.uint8, "r")
-        head, at = whole[: 13 * 8].view(np.int64), 13 * 8
-        lows, highs = [], []
-        for k in range(3):
-            lows.append(whole[at : at + 8 * int(head[4 * k + 2])].view(_64))
-            at += 8 * int(head[4 * k + 2])
-        for k in range(3):
-            highs.append(whole[at : at + int(head[4 * k + 3])])
-            at += int(head[4 * k + 3])
-        self.contexts, self.pointers, self.successors = (EliasFano(int(head[4 * k]), int(head[4 * k + 1]), lows[k], highs[k]) for k in range(3))
-        self.a = np.frombuffer(whole[at : at + 2 * self.successors.n].tobytes(), np.uint16)
-        self.b = np.frombuffer(whole[at + 2 * self.successors.n :].tobytes(), np.uint16)
-        self.vocabulary = int(head[12])
+        head, at = whole[: 16 * 8].view(np.int64), 16 * 8
+        levels: list[list[np.ndarray]] = [[], [], []]
+        for part, kind in ((2, _64), (3, _64), (4, np.uint32)):
+            for k in range(3):
+                size = int(head[5 * k + part]) * np.dtype(kind).itemsize
+                levels[k].append(whole[at : at + size].view(kind))
+                at += -(-size // 8) * 8
+        self.contexts, self.pointers, self.successors = (EliasFano(int(head[5 * k]), int(head[5 * k + 1]), *levels[k]) for k in range(3))
+        self.a = whole[at : at + 2 * self.successors.n].view(np.uint16)
+        self.b = whole[at + 2 * self.successors.n :].view(np.uint16)
+        self.vocabulary = int(head[15])
 
     def types(self, contexts: np.ndarray) -> np.ndarray:
         """How many successors each context has in this shard."""
@@ -181,7 +187,11 @@ class Trie:
         a = np.zeros(len(pairs), np.uint16)
         word = pairs & UNKNOWN
         known = np.flatnonzero((rank[at] >= 0) & (word < _64(self.vocabulary)))
-        place = self.successors.find(rank[at[known]].astype(_64) * _64(self.vocabulary) + word[known])
+        # A context's successors lie between two pointers.
+        here = np.flatnonzero(rank >= 0)
+        first, end = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+        first[here], end[here] = self.pointers[rank[here]].astype(np.int64), self.pointers[rank[here] + 1].astype(np.int64)
+        place = self.successors.find(rank[at[known]].astype(_64) * _64(self.vocabulary) + word[known], first[at[known]], end[at[known]])
         a[known[place >= 0]] = self.a[place[place >= 0]]
         return a, b
 
@@ -190,7 +200,7 @@ def with_b(data: bytes, contexts: np.ndarray, codes: np.ndarray) -> bytes:
     """A shard's trie with other codes of b for those of its contexts that are given."""
     trie = Trie(data)
     rank = trie.contexts.find(contexts) if trie.contexts.n else np.full(len(contexts), -1)
-    b = trie.b.copy()
+    b = np.array(trie.b)
     b[rank[rank >= 0]] = codes[rank >= 0]
     return data[: len(data) - b.nbytes] + b.tobytes()
 

@@ -393,6 +393,31 @@ def test_elias_fano(universe):
     others = np.setdiff1d(rng.integers(0, universe + 10, 500).astype(np.uint64), values)
     assert (coded.find(others) == -1).all()
     assert (lm.EliasFano(*lm.EliasFano.encode(values[:0], universe)).find(values) == -1).all()
+    # Within a range, only what lies there is found.
+    first, end = np.full(len(values), len(values) // 3), np.full(len(values), len(values) // 2)
+    inside = (np.arange(len(values)) >= first) & (np.arange(len(values)) < end)
+    assert (coded.find(values, first, end) == np.where(inside, np.arange(len(values)), -1)).all()
+    repeated = np.sort(rng.integers(0, universe, 3000)).astype(np.uint64)
+    assert (lm.EliasFano(*lm.EliasFano.encode(repeated, universe))[np.arange(3000)] == repeated).all()
+
+
+def test_trie_is_compact_and_answers():
+    rng = np.random.default_rng(3)
+    contexts = np.unique(rng.integers(0, 5000, 800)).astype(np.uint64)
+    pairs = np.unique((rng.choice(contexts, 20_000) << np.uint64(32)) | rng.integers(0, 5000, 20_000).astype(np.uint64))
+    counts, totals = rng.integers(1, 9, len(pairs)).astype(float), rng.integers(500, 900, len(contexts))
+    data = lm.build_trie(pairs, counts, totals, 5000)
+    assert len(data) < 6 * len(pairs)  # plain arrays take 8 bytes a pair and 2 for its code
+    trie = lm.Trie(data)
+    asked = np.unique(np.concatenate([pairs[::3], (rng.integers(0, 5000, 5000).astype(np.uint64) << np.uint64(32)) | rng.integers(0, 5000, 5000).astype(np.uint64)]))
+    a, b = trie.ask(asked)
+    at = np.searchsorted(pairs, asked).clip(max=len(pairs) - 1)
+    there = pairs[at] == asked
+    context = np.searchsorted(contexts, pairs >> np.uint64(32))
+    assert (a[there] == lm.coded((counts - lm.DISCOUNT) / totals[context])[at[there]]).all() and (a[~there] == 0).all()
+    known = np.isin(np.unique(asked >> np.uint64(32)), contexts)
+    assert (b[known] > 0).all() and (b[~known] == 0).all()
+    assert isinstance(trie.a.base, np.memmap) or isinstance(trie.successors.low.base, np.memmap)
 
 
 def test_toxicity_gradients():
