@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from .text import ARCHIVE_NAMES, fold
 
-# Media types by extension, in alphabetical order.
-MEDIA = ("gif", "jpeg", "jpg", "json", "lang", "mcmeta", "mp3", "nbt", "obj", "ogg", "png", "properties", "svg", "ttf", "txt", "wav", "webp", "xml")
+# Extensions of asset files, and the folders that they lie in.
+MEDIA = (
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tga", ".webp", ".ogg", ".wav", ".mp3", ".flac", ".ttf", ".otf", ".woff", ".woff2",
+    ".vsh", ".fsh", ".glsl", ".shader", ".mcmeta", ".nbt", ".obj", ".mtl",
+)
+ASSET_FOLDERS = ("/assets/", "textures/", "sounds/", "models/", "shaders/", "/lang/", "font/")
+# What a name's ending says about an entry.
+NESTED_NAMES, NATIVE_NAMES, SCRIPT_NAMES = r"\.(jar|war)$", r"\.(dll|so|dylib)$", r"\.(bat|ps1|sh|exe|vbs)$"
 # First bytes of known formats.
 MAGIC = (
     ("89504E47", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"), ("4F676753", "ogg"), ("52494646", "riff"), ("504B0304", "zip"), ("504B0506", "empty zip"),
     ("1F8B", "gzip"), ("664C6143", "flac"), ("00010000", "ttf"), ("774F4646", "woff"), ("CAFEBABE", "class"), ("5D0000", "lzma"), ("4D5A", "pe"), ("7F454C46", "elf"), ("526172", "rar"), ("425A68", "bzip2"),
 )
+# Characters that show as nothing.
+INVISIBLE = r"[\u200B\u200C\u200D\u2060\uFEFF\u00AD\u180E\u034F]"
 ENCRYPTED_FLAGS = 65  # bits 0 and 6
 
 
@@ -29,7 +37,7 @@ def entry_kind(name: Column) -> Column:
     low = fold(name)
     return (
         F.when(low.rlike("/$"), "directory").when(low == "meta-inf/manifest.mf", "manifest").when(low.rlike(r"\.class$"), "class")
-        .when(low.rlike(ARCHIVE_NAMES), "nested").when(low.rlike(r"\.(dll|so|dylib|jnilib)$"), "native").when(low.rlike(r"\.(bat|cmd|ps1|sh|vbs)$"), "script").otherwise("resource")
+        .when(low.rlike(NESTED_NAMES), "nested").when(low.rlike(NATIVE_NAMES), "native").when(low.rlike(SCRIPT_NAMES), "script").otherwise("resource")
     )
 
 
@@ -87,7 +95,7 @@ def is_barcode(name: Column) -> Column:
 
 
 def has_invisible(name: Column) -> Column:
-    return name.rlike(r"[​‌‍⁠﻿­᠎͏]")
+    return name.rlike(INVISIBLE)
 
 
 def is_non_ascii(name: Column) -> Column:
@@ -99,14 +107,23 @@ def is_short(name: Column) -> Column:
 
 
 def is_asset_path(path: Column) -> Column:
-    low = fold(path)
-    media = low.rlike(r"\.(" + "|".join(MEDIA) + r").{0,3}$")
-    return low.startswith("assets/minecraft/") | low.contains("/assets/minecraft/") | (low.contains("lang/") & low.rlike(r"\.(json|lang).{0,3}$")) | (low.rlike("(assets|textures|sounds|models)/") & media)
+    """The game's own namespace, a language file, or a media file in an asset folder, whose extension may have up to three characters behind it."""
+    low = fold(F.trim(path))
+    own = low.startswith("assets/minecraft/") | low.contains("/assets/minecraft/")
+    language = (low.startswith("lang/") | low.contains("/lang/")) & (low.contains(".json") | low.contains(".lang"))
+    folder = low.startswith("assets/")
+    for f in ASSET_FOLDERS:
+        folder = folder | low.contains(f)
+    media = F.lit(False)
+    for ext in MEDIA:
+        at = F.instr(low, F.lit(ext))
+        media = media | low.endswith(ext) | ((at > 1) & (at + len(ext) + 2 >= F.length(low)))
+    return own | language | (folder & media)
 
 
 def is_plausible_path(path: Column) -> Column:
-    """An absolute path with an extension: a drive or network share, no option, no shell punctuation."""
-    return (F.length(path) >= 6) & path.rlike(r"^([A-Za-z]:\\|\\\\)[^<>|?*\"]*\.[A-Za-z0-9]+$")
+    """An absolute path of a drive or network share, of at least six characters, without shell punctuation, with an extension."""
+    return (F.length(path) >= 6) & ~path.startswith("-") & path.rlike(r"^(.:[\\/]|\\\\)") & ~path.rlike("[$|><&*?\"'`]") & path.rlike(r"\.[^.\\/]+$")
 
 
 def is_jvm_process(exe: Column) -> Column:
@@ -119,3 +136,108 @@ def age_band(days: Column) -> Column:
 
 def score_band(score: Column) -> Column:
     return F.when(score >= 300, "high").when(score >= 120, "raised").when(score >= 40, "some").otherwise("low")
+
+
+def mod_loader(name: Column) -> Column:
+    """The loader that a metadata file is for; null for other names."""
+    low = fold(name)
+    return F.when(low == "fabric.mod.json", "Fabric").when(low.isin("mcmod.info", "meta-inf/mods.toml", "mods.toml"), "Forge").when(low.isin("plugin.yml", "bungee.yml"), "Bukkit/Spigot")
+
+
+# How file names of well-known libraries begin, and packages that come with a platform.
+LIBRARY_STARTS = (
+    "guava-", "gson-", "jackson-", "commons-", "log4j-", "slf4j-", "asm-", "netty-", "kotlin-stdlib", "kotlinx-", "junit-", "mockito-", "hamcrest-", "javax.",
+    "jopt-simple-", "jansi-", "jna-", "jffi-", "oshi-", "reactive-streams", "httpclient", "httpcore", "httpmime", "fluent-hc", "xercesImpl", "xml-apis",
+    "dom4j-", "jaxen-", "snakeyaml-", "jzlib-", "akka-", "scala-", "protobuf-java", "grpc-", "protobuf-", "opencensus-", "perfidies-",
+    "checker-qual-", "error_prone-", "j2objc-", "animal-sniffer-", "mozillaparser-", "rhino-", "nashorn-", "jline-", "jansi-", "lwjgl-", "lwjgl3-", "stb-",
+    "joml-", "uncsimplelibs-", "brigadier-", "datafixerupper-", "authlib-", "launcher-", "fastutil-", "it.unimi", "trove4j-", "coreml-",
+    "text2speech", "jlayer-", "tritonus-", "vorbisspi-", "mp3spi-", "com.sun", "sun.misc", "java-objc-", "native-utils-", "oshi-core", "libffi", "jctools-",
+    "abstract-fixture", "testng-", "spock-core-", "groovy-", "minecraftforge", "fml", "forge-",
+)
+LIBRARY_ENDS = ("-sources.jar", "-javadoc.jar")
+STANDARD_PACKAGES = (
+    "java/", "javax/", "sun/", "com/sun/", "org/apache/", "com/google/", "com/mojang/", "net/minecraft/", "org/objectweb/", "org/jetbrains/", "com/intellij/",
+    "org/junit/", "kotlin/", "kotlinx/", "org/slf4j/", "org/eclipse/", "org/gradle/", "com/github/", "javassist/", "net/sf/", "org/bouncycastle/",
+)
+# Signatures of calls that may turn a hidden text into a plain one, and owners that never do.
+DECRYPT_DESCRIPTORS = (
+    "(Ljava/lang/String;)Ljava/lang/String;", "(I)Ljava/lang/String;", "([C)Ljava/lang/String;", "(II)Ljava/lang/String;", "(J)Ljava/lang/String;", "([B)Ljava/lang/String;",
+)
+PLATFORM_OWNERS = ("java/", "javax/", "jdk/", "sun/")
+GAME_WORDS = ("minecraft", "net.minecraft", "fabric", "forge", "lunar", "badlion", "prismlauncher", "multimc")
+
+
+def _starts(text: Column, starts: tuple[str, ...]) -> Column:
+    return text.rlike("^(" + "|".join(s.replace(".", r"\.") for s in starts) + ")")
+
+
+def is_library_name(name: Column) -> Column:
+    """A well-known library by its file's name, compared in lower case as it stands."""
+    low = F.lower(name)
+    return _starts(low, LIBRARY_STARTS) | low.endswith(LIBRARY_ENDS[0]) | low.endswith(LIBRARY_ENDS[1])
+
+
+def is_standard_package(entry: Column) -> Column:
+    return _starts(entry, STANDARD_PACKAGES)
+
+
+def is_decrypt_call(owner: Column, descriptor: Column) -> Column:
+    """A call with the signature of a text factory whose owner is known and not the platform's."""
+    return F.coalesce(descriptor.isin(*DECRYPT_DESCRIPTORS) & ~_starts(owner, PLATFORM_OWNERS), F.lit(False))
+
+
+def is_game_process(*texts: Column) -> Column:
+    return F.lower(F.concat_ws(" ", *texts)).rlike("|".join(w.replace(".", r"\.") for w in GAME_WORDS))
+
+
+def read_outcome(classes: Column, read: Column) -> Column:
+    """Whether an archive's classes could be read: none there, none readable, or scanned."""
+    return F.when(classes == 0, "NO_CLASSES").when(read == 0, "FAILED").otherwise("POOL_SCANNED")
+
+
+def read_summary(outcome: Column, read: Column, unreadable: Column) -> Column:
+    """``-`` without classes, how many of all were read if some were not, else the outcome."""
+    part = F.concat(read.cast("string"), F.lit(" / "), (read + unreadable).cast("string"))
+    return F.when(outcome == "NO_CLASSES", "-").when((outcome == "POOL_SCANNED") & (unreadable > 0), part).otherwise(outcome)
+
+
+def suspicion_reason(outcome: Column, encrypted: Column, obfuscated: Column, broken: Column, tool: Column) -> Column:
+    """Why an archive is suspicious in a few words, the gravest reason first; empty if it isn't."""
+    named = F.trim(F.coalesce(tool, F.lit("")))
+    hidden = F.when((named == "") | (F.lower(named).isin("generic", "none")), "obfuscated").otherwise(F.concat(F.lit("obfuscated: "), named))
+    return F.when(encrypted | (outcome == "ENCRYPTED"), "encrypted").when(obfuscated, hidden).when(outcome == "NOT_AN_ARCHIVE", "not an archive").when(broken | (outcome == "UNREADABLE"), "broken").otherwise("")
+
+
+# What a descriptor says about a method or a field, the first that fits.
+METHOD_WORDS = (("Player", "handlePlayer"), ("Entity", "handleEntity"), ("World", "handleWorld"), ("Packet", "handlePacket"), ("Event", "onEvent"), ("ItemStack", "handleItem"), ("Block", "handleBlock"), ("Chat", "handleChat"), ("Message", "handleChat"))
+FIELD_TYPES = (("Z", "flag"), ("I", "intField"), ("J", "longField"), ("D", "doubleField"), ("F", "floatField"), ("Ljava/lang/String;", "stringField"))
+FIELD_STARTS = (("Ljava/util/List", "listField"), ("Ljava/util/Map", "mapField"), ("Ljava/util/Set", "setField"), ("L", "objectField"))
+
+
+def stable_number(key: Column) -> Column:
+    """A number below 100000 that depends on the key alone."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 100000
+
+
+def method_name(owner: Column, name: Column, descriptor: Column) -> Column:
+    """A telling name for a method whose own says nothing, out of its descriptor."""
+    prefix = F.lit("method")
+    for word, start in reversed(METHOD_WORDS):
+        prefix = F.when(descriptor.contains(word), start).otherwise(prefix)
+    return F.concat(prefix, stable_number(F.concat(owner, F.lit("."), name, descriptor)).cast("string"))
+
+
+def field_name(owner: Column, name: Column, descriptor: Column) -> Column:
+    prefix = F.lit("field")
+    for start, word in reversed(FIELD_STARTS):
+        prefix = F.when(descriptor.startswith(start), word).otherwise(prefix)
+    for kind, word in FIELD_TYPES:
+        prefix = F.when(descriptor == kind, word).otherwise(prefix)
+    return F.concat(prefix, stable_number(F.concat(owner, F.lit("."), name, descriptor)).cast("string"))
+
+
+def class_name(internal: Column, parent: Column) -> Column:
+    """A name for a class out of its parent's, if that says something, at most 20 characters of it."""
+    simple = F.substring_index(parent, "/", -1)
+    telling = parent.isNotNull() & (parent != "java/lang/Object") & ~is_short(simple)
+    return F.concat(F.lit("deobf/"), F.when(telling, F.left(simple, F.lit(20))).otherwise("Class"), stable_number(internal).cast("string"))

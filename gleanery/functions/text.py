@@ -51,9 +51,9 @@ def command_words(command: Column) -> Column:
 
 
 def agent_paths(arguments: Column) -> Column:
-    """Paths of -javaagent:, -agentpath: and -agentlib: arguments, without their options."""
-    agents = F.filter(arguments, lambda a: a.rlike("^-(javaagent|agentpath|agentlib):"))
-    return F.transform(agents, lambda a: F.regexp_extract(a, "^-[a-z]+:([^=]*)", 1))
+    """Paths of -javaagent:, -agentpath: and -agentlib: arguments in any case, without their options."""
+    agents = F.filter(arguments, lambda a: fold(a).rlike("^-(javaagent|agentpath|agentlib):"))
+    return F.transform(agents, lambda a: F.regexp_extract(a, "^-[A-Za-z]+:([^=]*)", 1))
 
 
 def path_list(paths: Column, separator: str = ";") -> Column:

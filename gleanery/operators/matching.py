@@ -1,7 +1,9 @@
 """Term matching over surfaces (unit_id, location, surface, source, text).
 
-Words of a text are counted before they meet the terms, so one equi-join finds any number of terms. Only
-terms that are not single words look into the texts themselves; they are few and their number is checked.
+Words of a text meet a term list of checked size where they are, so that only hits are shuffled; for a longer list each
+unit's words are counted first. One equi-join finds any number of terms. Only terms that are not single words look into
+the texts themselves; they are few and their number is checked. Terms that are switched off never take part, an entry
+that is listed twice counts once, and entries that differ in anything are told apart, also where they share a pattern.
 """
 
 from __future__ import annotations
@@ -9,11 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.names import is_asset_path
+from ..functions.text import LOWER, UPPER, fold
 
 NOT_WORD = "[^A-Za-z0-9_$]+"
 #: Terms that are searched in each text; more are refused, as each costs a pass over every text.
 MOST_SEARCHED = 2000
+#: Single-word terms that are sent to every task; a longer list meets counted words by a shuffle.
+MOST_SENT = 200_000
+#: Texts that tools leave behind, and the tools' names.
+MARKERS = (
+    ("Allatori", "Allatori"), ("zelix", "Zelix KlassMaster"), ("Stringer", "Stringer"), ("Skidfuscator", "Skidfuscator"), ("Paramorphism", "Paramorphism"),
+    ("Branchlock", "Branchlock"), ("Bozar", "Bozar"), ("qProtect", "qProtect"), ("Binscure", "Binscure"), ("Sandmark", "Sandmark"), ("yGuard", "yGuard"),
+    ("DashO", "DashO"), ("Prestige", "Prestige"), ("Caesium", "Caesium"), ("proguard", "ProGuard"),
+)
 
 
 def applicable(terms: DataFrame, surface: str) -> DataFrame:
@@ -31,22 +42,28 @@ def word_counts(surfaces: DataFrame) -> DataFrame:
     return surfaces.select(*keys, F.explode(F.split("text", NOT_WORD)).alias("token")).where("token <> ''").groupBy(*keys, "token").agg(F.count("*").alias("hits"))
 
 
-def match_words(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
-    """Hits of single-word WORD terms."""
-    words = terms.where((F.col("kind") == "WORD") & is_single_word(F.col("pattern")))
-    joined = word_counts(surfaces).join(words, fold(F.col("token")) == fold(F.col("pattern"))).where(~F.col("case_sensitive") | (F.col("token") == F.col("pattern")))
-    found = joined.groupBy("unit_id", "location", "surface", "source", "pattern").agg(F.sum("hits").alias("hits"))
-    return _with_terms(_applied(found, words), words)
+def _entries(terms: DataFrame) -> DataFrame:
+    """The enabled terms, each entry once, with a number of its own."""
+    return terms.where("enabled").dropDuplicates().withColumn("_term", F.xxhash64(*terms.columns))
 
 
-def _applied(found: DataFrame, terms: DataFrame) -> DataFrame:
-    flags = terms.select(F.col("pattern").alias("_p"), "enabled", "scan_paths", "scan_strings")
-    joined = found.join(flags, F.col("pattern") == F.col("_p"))
-    return joined.where(F.col("enabled") & F.when(F.col("surface") == "PATH", F.col("scan_paths")).otherwise(F.col("scan_strings"))).select(*found.columns)
+def match_words(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
+    """Hits of single-word WORD terms, one row for each place and entry."""
+    keys, own = ["unit_id", "location", "surface", "source"], ["pattern", "kind", "severity", "category"]
+    words = _entries(terms).where((F.col("kind") == "WORD") & is_single_word(F.col("pattern"))).select(fold(F.col("pattern")).alias("_word"), "_term", *own, "case_sensitive", "scan_paths", "scan_strings")
+    on = (fold(F.col("token")) == F.col("_word")) & (~F.col("case_sensitive") | (F.col("token") == F.col("pattern"))) & F.when(F.col("surface") == "PATH", F.col("scan_paths")).otherwise(F.col("scan_strings"))
+    if words.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        tokens = surfaces.select(*keys, F.explode(F.split("text", NOT_WORD)).alias("token"), F.lit(1).cast("long").alias("hits"))
+        found = tokens.join(F.broadcast(words), on)
+    else:
+        found = word_counts(surfaces).join(words, on)
+    return found.groupBy(*keys, "_term", *own).agg(F.sum("hits").alias("hits")).drop("_term")
 
 
-def _with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
-    return found.join(terms.select("pattern", "kind", "severity", "category"), "pattern").select("unit_id", "location", "surface", "source", "pattern", "kind", "severity", "category", "hits")
+def without_assets(hits: DataFrame, excerpt: str | None = None) -> DataFrame:
+    """Hits that do not lie in game data: neither the place nor the excerpt, if there is one, is an asset's path."""
+    asset = is_asset_path(F.col("location"))
+    return hits.where(~F.coalesce(asset | is_asset_path(F.col(excerpt)) if excerpt else asset, F.lit(False)))
 
 
 def pattern_of(row) -> str:
@@ -62,20 +79,22 @@ def pattern_of(row) -> str:
 
 def match_searched(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
     """Hits of LITERAL and REGEX terms and of WORD terms that are not single words; case folds for ASCII alone."""
-    rows = terms.where(F.col("enabled") & ((F.col("kind") != "WORD") | ~is_single_word(F.col("pattern")))).limit(MOST_SEARCHED + 1).collect()
+    rows = _entries(terms).where((F.col("kind") != "WORD") | ~is_single_word(F.col("pattern"))).limit(MOST_SEARCHED + 1).collect()
     if len(rows) > MOST_SEARCHED:
         raise ValueError(f"over {MOST_SEARCHED} terms to search in every text")
-    text = F.col("text")
+    if not rows:
+        return surfaces.sparkSession.createDataFrame([], "unit_id long, location string, surface string, source string, pattern string, kind string, severity string, category string, hits long")
     hits = []
     for r in rows:
         on = F.when(F.col("surface") == "PATH", F.lit(r.scan_paths)).otherwise(F.lit(r.scan_strings))
-        count = F.regexp_count(text, F.lit(pattern_of(r)))
+        count = F.regexp_count("text", F.lit(pattern_of(r)))
         if r.kind != "REGEX":
-            count = F.when((fold(text) if not r.case_sensitive else text).contains(r.pattern.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) if not r.case_sensitive else r.pattern), count).otherwise(0)
+            needle = r.pattern if r.case_sensitive else r.pattern.translate(str.maketrans(UPPER, LOWER))
+            count = F.when(F.col("text" if r.case_sensitive else "_low").contains(needle), count).otherwise(0)
         hits.append(F.struct(*[F.lit(r[c]).alias(c) for c in ("pattern", "kind", "severity", "category")], F.when(on, count).otherwise(0).cast("long").alias("hits")))
-    if not hits:
-        return surfaces.sparkSession.createDataFrame([], "unit_id long, location string, surface string, source string, pattern string, kind string, severity string, category string, hits long")
-    return surfaces.select("unit_id", "location", "surface", "source", F.inline(F.array(*hits))).where("hits > 0")
+    # The text is folded once for all terms.
+    folded = surfaces.withColumn("_low", fold(F.col("text")))
+    return folded.select("unit_id", "location", "surface", "source", F.inline(F.array(*hits))).where("hits > 0")
 
 
 def match_terms(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
@@ -93,25 +112,42 @@ def capped(hits: DataFrame, keys: list[str], order: list, most: int) -> DataFram
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
+def _folded(keyword: str) -> str:
+    return keyword.translate(str.maketrans(UPPER, LOWER))
+
+
 def risk_keywords(surfaces: DataFrame, keywords: dict[str, str]) -> DataFrame:
-    """Every place of each keyword, whatever its case, with its risk: (unit_id, location, keyword, risk, hits)."""
-    low = fold(F.col("text"))
-    found = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(risk or "MEDIUM").alias("risk"), F.when(low.contains(k.lower()), F.regexp_count(low, F.lit(rf"(?=\Q{k.lower()}\E)"))).otherwise(0).cast("long").alias("hits")) for k, risk in keywords.items()])
-    return surfaces.select("unit_id", "location", F.inline(found)).where("hits > 0")
+    """Every place of each keyword, A-Z in any case, with its risk: (unit_id, location, keyword, risk, hits)."""
+    low = F.col("_low")
+    found = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(risk or "MEDIUM").alias("risk"), F.when(low.contains(_folded(k)), F.regexp_count(low, F.lit(rf"(?=\Q{_folded(k)}\E)"))).otherwise(0).cast("long").alias("hits")) for k, risk in keywords.items()])
+    return surfaces.withColumn("_low", fold(F.col("text"))).select("unit_id", "location", F.inline(found)).where("hits > 0")
 
 
 def first_keyword(text: Column, keywords: list[str]) -> Column:
-    """The first keyword of the list that a text holds, whatever its case; null if none."""
+    """The first keyword of the list that a text holds, A-Z in any case; null if none."""
     out = F.lit(None).cast("string")
     for k in reversed(keywords):
-        out = F.when(fold(text).contains(k.lower()), k).otherwise(out)
+        out = F.when(fold(text).contains(_folded(k)), k).otherwise(out)
     return out
 
 
-def markers(rows: DataFrame, known: list[str], shortest: int = 4, longest: int = 200) -> DataFrame:
-    """Distinct known markers held by texts of 4 to 200 characters: (unit_id, marker)."""
-    sized = rows.where(F.length("text").between(shortest, longest))
-    held = F.filter(F.array(*[F.lit(m) for m in known]), lambda m: fold(F.col("text")).contains(fold(m)))
+def hit_spans(texts: DataFrame, hits: DataFrame, shortest: int = 3) -> DataFrame:
+    """(unit_id, pattern, first, spans): where the plain terms that hit a unit's text lie, and how often; offsets from 0.
+
+    texts: (unit_id, text); hits: (unit_id, pattern). Terms of under three characters and those with the signs of a regular
+    expression are left out.
+    """
+    plain = hits.where((F.length("pattern") >= shortest) & ~F.col("pattern").rlike(r"[\\\[\](){}|^$*+?]")).select("unit_id", "pattern").distinct()
+    low, needle = fold(F.col("text")), fold(F.col("pattern"))
+    # Places that don't overlap, as a reader marks them.
+    spans = (F.length(low) - F.length(F.replace(low, needle, F.lit("")))) / F.length(needle)
+    return texts.join(plain, "unit_id").select("unit_id", "pattern", (F.instr(low, needle) - 1).alias("first"), spans.cast("long").alias("spans")).where("first >= 0")
+
+
+def markers(rows: DataFrame, known=MARKERS, shortest: int = 4, longest: int = 200) -> DataFrame:
+    """Distinct tools whose marker a text of 4 to 200 characters holds: (unit_id, marker)."""
+    sized = rows.where(F.length("text").between(shortest, longest)).withColumn("_low", fold(F.col("text")))
+    held = F.filter(F.array(*[F.when(F.col("_low").contains(_folded(m)), F.lit(tool)) for m, tool in known]), F.isnotnull)
     return sized.select("unit_id", F.explode(held).alias("marker")).distinct()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -62,8 +62,63 @@ def rule_findings(archives: DataFrame, entries: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [archive_findings(archives), entry_findings(entries), cross_findings(archives, entries), twice])
 
 
+def _held(rules: list[tuple[str, Column, object, str, Column]]) -> Column:
+    """The rules that hold, as structs to be inlined: (rule, when, severity, source, n)."""
+    of = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.filter(F.array(*[F.when(when, F.struct(F.lit(rule).alias("rule"), of(severity).alias("severity"), F.lit(source).alias("source"), F.lit(False).alias("breaks"), n.cast("long").alias("n"))) for rule, when, severity, source, n in rules]), F.isnotnull)
+
+
+def content_findings(entries: DataFrame) -> DataFrame:
+    """Dense unknown binaries: of (archive_id, name, magic, bytes, entropy), those of 2048 bytes on at 7.5 bits a byte that are neither text, signature nor a known format."""
+    from ..sources.files import TEXT_NAMES
+
+    low = F.lower("name")
+    dense = (F.col("bytes") >= 2048) & (F.col("entropy") >= 7.5) & F.col("magic").isNull() & ~N.is_signature(low) & ~low.rlike(TEXT_NAMES)
+    return entries.where(dense).groupBy(F.col("archive_id").alias("unit_id")).agg(F.count("*").alias("n")).select(
+        "unit_id", F.lit("high entropy").alias("rule"), F.lit("MEDIUM").alias("severity"), F.lit("ENCRYPTION").alias("source"), F.lit(False).alias("breaks"), "n")
+
+
+def manifest_findings(facts: DataFrame) -> DataFrame:
+    """What manifests ask a loader to do, of the columns of manifest_facts."""
+    one = F.lit(1)
+    return facts.select(F.col("archive_id").alias("unit_id"), F.inline(_held([
+        ("agent", F.col("premain_class").isNotNull() | F.col("agent_class").isNotNull(), "HIGH", "MANIFEST", one), ("tweaker", F.col("tweak_class").isNotNull(), "MEDIUM", "MANIFEST", one), ("core plugin", F.col("core_plugin"), "MEDIUM", "MANIFEST", one)])))
+
+
+def reading_findings(reads: DataFrame, deepest: int = 2) -> DataFrame:
+    """What reading an archive met, of (unit_id, depth, nested_error, truncated, signature_error): nested archives too deep or broken, a budget that ran out, a signature that doesn't hold."""
+    one = F.lit(1)
+    return reads.select("unit_id", F.inline(_held([
+        ("nested skipped", F.col("depth") >= deepest, "LOW", "NESTED_JAR", one), ("nested failed", F.col("nested_error").isNotNull(), "MEDIUM", "NESTED_JAR", one),
+        ("incomplete", F.col("truncated"), "MEDIUM", "DECOMPILE_FAIL", one), ("bad signature", F.col("signature_error").isNotNull(), "MEDIUM", "ARCHIVE", one)])))
+
+
+def truncated_reads(entries: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
+    """(archive_id, truncated): archives with more entries or bytes than the budget, which are then read in part only."""
+    return entries.groupBy("archive_id").agg(((F.count("*") > most_rows) | (F.sum("usize") > most_bytes)).alias("truncated"))
+
+
+def obfuscation_findings(judged: DataFrame, markers: DataFrame | None = None) -> DataFrame:
+    """Findings about hidden code, of the columns of scoring.judged and markers (unit_id, marker); all but the unparseable classes ask for a unit that is obfuscated."""
+    hidden, classes, bad = F.col("obfuscated"), F.col("classes"), F.col("unparseable")
+    found = judged.select("unit_id", F.inline(_held([
+        ("bad classes", bad > 0, F.when(bad > 0.25 * (classes + bad), "HIGH").otherwise("MEDIUM"), "DECOMPILE_FAIL", bad), ("obfuscated", hidden, "HIGH", "OBFUSCATION", F.lit(1)),
+        ("invisible names", hidden & (F.col("invisible") > 0), "CRITICAL", "OBFUSCATION", F.col("invisible")), ("encrypted strings", hidden & (F.col("decrypt_calls") > 1.5 * classes), "HIGH", "OBFUSCATION", F.col("decrypt_calls"))])))
+    if markers is None:
+        return found
+    left = markers.join(judged.where(hidden).select("unit_id"), "unit_id", "left_semi").groupBy("unit_id").agg(F.count("*").alias("n"))
+    return found.unionByName(left.select("unit_id", F.lit("tool marker").alias("rule"), F.lit("MEDIUM").alias("severity"), F.lit("OBFUSCATION").alias("source"), F.lit(False).alias("breaks"), "n"))
+
+
+# What stands in for a unit that can't be read.
+def synthesised_rows(ghosts: DataFrame, closed: DataFrame) -> DataFrame:
+    """(name, rule, severity, source, verdict, score) of missing files (path) and of processes (exe) closed to inspection: each path once, each process."""
+    row = lambda df, name, rule, severity, verdict, score: df.select(F.col(name).alias("name"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit("FILE_NAME").alias("source"), F.lit(verdict).alias("verdict"), F.lit(score).cast("long").alias("score"))
+    return row(ghosts.select("path").distinct(), "path", "ghost", "CRITICAL", "DETECTED", 1000).unionByName(row(closed, "exe", "attach disabled", "HIGH", "NOTABLE", 300))
+
+
 def inventory(entries: DataFrame) -> DataFrame:
-    """Entries of each kind by archive."""
+    """Entries of each kind by archive; directories are neither entries that are read nor resources."""
     kind = N.entry_kind(F.col("name"))
     kinds = ("class", "nested", "native", "script", "resource", "manifest", "directory")
     return entries.withColumn("_kind", kind).groupBy("archive_id").agg(F.count("*").alias("entries"), *[F.count_if(F.col("_kind") == k).alias(f"n_{k}") for k in kinds])

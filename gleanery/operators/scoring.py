@@ -31,6 +31,7 @@ def unit_scores(folded: DataFrame) -> DataFrame:
     )
 
 
+# The order of the rules and their bounds.
 def verdict(outcome: Column, resisted: Column) -> Column:
     """The first rule that holds, from the columns of unit_scores."""
     term, substantive, critical = F.col("any_term"), F.col("substantive"), F.col("critical_findings")
@@ -78,26 +79,38 @@ def risk_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("unit_id").agg(of("HIGH").alias("high"), of("MEDIUM").alias("medium"), of("LOW").alias("low"), total.alias("total"), band.alias("band"))
 
 
+def _histogram(rows: DataFrame, values) -> DataFrame:
+    """Add ``_runs``: how often each of an array of small numbers occurs, counted within the row."""
+    sorted_ = rows.withColumn("_values", F.sort_array(values)).withColumn("_n", F.size("_values")).where("_n > 0")
+    starts = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (F.get("_values", i) != F.get("_values", i - 1)))
+    found = sorted_.withColumn("_starts", starts)
+    return found.withColumn("_runs", F.transform("_starts", lambda s, k: (F.coalesce(F.get("_starts", k + 1), F.col("_n")) - s).cast("double")))
+
+
+def _entropy() -> Column:
+    # H = log2(total) - sum(n log2 n) / total
+    weighed = F.aggregate("_runs", F.lit(0.0), lambda total, n: total + n * F.log2(n))
+    return F.log2(F.col("_n").cast("double")) - weighed / F.col("_n")
+
+
+def _codes(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii)
+
+
 def text_entropy(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Bits a character of the low bytes of each text's UTF-16 units: (key, units, entropy)."""
-    code = F.ascii("char")
-    low = F.when(code < 65536, F.array(code.bitwiseAND(F.lit(255)))).otherwise(F.array(
-        (F.lit(0xD800) + F.shiftright(code - 65536, 10)).bitwiseAND(F.lit(255)), (F.lit(0xDC00) + (code - 65536).bitwiseAND(F.lit(1023))).bitwiseAND(F.lit(255))))
-    units = rows.select(key, F.explode(F.split(text, "")).alias("char")).where("char <> ''").groupBy(key, "char").agg(F.count("*").alias("n"))
-    counts = units.select(key, "n", F.explode(low).alias("low")).groupBy(key, "low").agg(F.sum("n").alias("n"))
-    # H = log2(total) - sum(n log2 n) / total needs one pass over the histogram.
-    total = F.sum("n")
-    return counts.groupBy(key).agg(total.alias("units"), (F.log2(total) - F.sum(F.col("n") * F.log2(F.col("n").cast("double"))) / total).alias("entropy"))
+    """Bits a character of the low bytes of each row's UTF-16 units: (key, units, entropy); nothing for null and empty texts."""
+    low = lambda c: c.bitwiseAND(F.lit(255))
+    pair = lambda c: F.when(c < 65536, F.array(low(c))).otherwise(F.array(low(F.lit(0xD800) + F.shiftright(c - 65536, 10)), low(F.lit(0xDC00) + (c - 65536).bitwiseAND(F.lit(1023)))))
+    codes = rows.select(key, text).withColumn("_codes", _codes(F.col(text))).where(F.col("_codes").isNotNull())
+    units = F.when(F.col(text).rlike(r"[^\x{0}-\x{FFFF}]"), F.flatten(F.transform("_codes", pair))).otherwise(F.transform("_codes", low))
+    return _histogram(codes, units).select(key, F.col("_n").cast("long").alias("units"), _entropy().alias("entropy"))
 
 
 def byte_facts(rows: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, bytes, distinct_bytes, uniform, entropy) of binary content."""
-    pairs = F.regexp_extract_all(F.hex(content), F.lit("(..)"), F.lit(1))
-    counts = rows.select(key, F.explode(pairs).alias("byte")).groupBy(key, "byte").agg(F.count("*").alias("n"))
-    total = F.sum("n")
-    return counts.groupBy(key).agg(
-        total.alias("bytes"), F.count("*").alias("distinct_bytes"), (F.count("*") == 1).alias("uniform"),
-        (F.log2(total) - F.sum(F.col("n") * F.log2(F.col("n").cast("double"))) / total).alias("entropy"))
+    """(key, bytes, distinct_bytes, uniform, entropy) of each row's binary content; nothing for null and empty ones."""
+    codes = _codes(F.decode(content, "ISO-8859-1"))
+    kinds = F.size("_runs").cast("long")
+    return _histogram(rows.select(key, content).where(F.col(content).isNotNull()), codes).select(key, F.col("_n").cast("long").alias("bytes"), kinds.alias("distinct_bytes"), (kinds == 1).alias("uniform"), _entropy().alias("entropy"))
 
 
 def blob_class(magic: Column) -> Column:
@@ -124,6 +137,7 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
+# Fixed values in the three functions below: weights and bounds of the signals.
 def obfuscation_score(row: dict[str, Column]) -> Column:
     """Weighted signals, at most 1. row: class_short, member_short, decrypt, synthetic, no_source (ratios), barcode, invisible, non_ascii, classes, entropy."""
     flag = lambda c, w: F.when(c, w).otherwise(0.0)
@@ -137,5 +151,75 @@ def is_obfuscated(score: Column, row: dict[str, Column]) -> Column:
 
 
 def tool_guess(marker: Column, obfuscated: Column, row: dict[str, Column]) -> Column:
-    return F.coalesce(marker, F.when(~obfuscated, "").when((row["invisible"] > 0) | (row["non_ascii"] > 0.1 * row["classes"]), "unicode").when(row["barcode"] > 2, "barcode")
+    return F.coalesce(marker, F.when(~obfuscated, "").when(row["invisible"] > 0, "unicode").when(row["barcode"] > 2, "barcode")
                       .when((row["decrypt"] > 1.5) & (row["entropy"] > 4.5), "strings").when((row["class_short"] > 0.6) & (row["decrypt"] < 0.3), "renamer").otherwise("generic"))
+
+
+def class_scorecard(facts: DataFrame) -> DataFrame:
+    """Per archive_id, from (simple_name, member_count, short_members, synthetic_members, has_source, parsed, decrypt_calls): what the score asks.
+
+    Classes that could not be parsed count as unparseable and have no names.
+    """
+    from ..functions.names import has_invisible, is_barcode, is_non_ascii
+
+    name, parsed = F.col("simple_name"), F.col("parsed")
+    count = lambda when: F.count_if(parsed & when)
+    total = lambda c: F.coalesce(F.sum(F.when(parsed, F.col(c))), F.lit(0)).cast("long")
+    return facts.groupBy(F.col("archive_id").alias("unit_id")).agg(
+        F.count_if(parsed).alias("classes"), F.count_if(~parsed).alias("unparseable"), count(F.length(name) <= 2).alias("short_names"), count(is_barcode(name)).alias("barcode"),
+        count(has_invisible(name)).alias("invisible"), count(is_non_ascii(name)).alias("non_ascii"), total("member_count").alias("members"), total("short_members").alias("short_members"),
+        total("synthetic_members").alias("synthetic"), count(~F.col("has_source")).alias("no_source"), total("decrypt_calls").alias("decrypt_calls"))
+
+
+def judged(scorecard: DataFrame, entropy: Column | None = None, marker: Column | None = None) -> DataFrame:
+    """Add score, obfuscated and guess to the columns of class_scorecard."""
+    of = lambda part, whole: ratio(F.col(part), F.col(whole))
+    row = {"class_short": of("short_names", "classes"), "member_short": of("short_members", "members"), "decrypt": of("decrypt_calls", "classes"), "synthetic": of("synthetic", "members"), "no_source": of("no_source", "classes"),
+           **{c: F.col(c) for c in ("barcode", "invisible", "non_ascii", "classes")}, "entropy": F.lit(0.0) if entropy is None else entropy}
+    scored = scorecard.withColumn("score", F.when(F.col("classes") > 0, obfuscation_score(row)).otherwise(0.0))
+    scored = scored.withColumn("obfuscated", (F.col("classes") > 0) & is_obfuscated(F.col("score"), row))
+    return scored.withColumn("guess", tool_guess(F.lit(None).cast("string") if marker is None else marker, F.col("obfuscated"), row))
+
+
+# Weights, bounds and the order of the kinds.
+def instruction_scorecard(metrics: DataFrame, first: int = 30) -> DataFrame:
+    """Per archive_id, a second score out of instruction counts of its first 30 classes by ordinal.
+
+    metrics: (archive_id, ordinal, short_name, methods, short_methods, synthetic_methods, encrypted_strings, char_arrays, builders, gotos, shrinks, smokes, throws).
+    """
+    ranked = metrics.withColumn("_n", F.row_number().over(Window.partitionBy("archive_id").orderBy("ordinal"))).where(F.col("_n") <= first)
+    sums = ("methods", "short_methods", "synthetic_methods", "encrypted_strings", "char_arrays", "builders", "gotos", "shrinks", "smokes", "throws")
+    at = ranked.groupBy("archive_id").agg(F.count("*").alias("classes"), F.count_if("short_name").alias("short_classes"), *[F.sum(c).cast("long").alias(c) for c in sums])
+    c = F.col
+    short_classes, short_methods = ratio(c("short_classes"), c("classes")), ratio(c("short_methods"), c("methods"))
+    bonus = lambda when, w: F.when(when, w).otherwise(0.0)
+    score = 0.35 * short_classes + 0.35 * short_methods + bonus(c("encrypted_strings") > 2 * c("classes"), 0.2) + bonus(c("char_arrays") > c("classes"), 0.1) + bonus(c("synthetic_methods") > 0.3 * c("methods"), 0.1) + bonus(c("gotos") > 5 * c("methods"), 0.05)
+    at = at.withColumns({"score": score, "short": (short_classes > 0.5) | (short_methods > 0.5), "hidden": (c("encrypted_strings") > 2 * c("classes")) | (c("char_arrays") > c("classes"))})
+    at = at.withColumn("obfuscated", (c("score") > 0.3) | c("short") | c("hidden"))
+    short, hidden = c("short"), c("hidden")
+    kind = (
+        F.when(~c("obfuscated"), "none").when(hidden & (c("char_arrays") > 3 * c("classes")), "Stringer").when(hidden & (c("builders") > 5 * c("classes")), "Allatori")
+        .when(short & ~hidden & (c("synthetic_methods") > 0.2 * c("methods")), "DashO").when(hidden & (c("shrinks") > 3 * c("classes")) & ~short, "JShrink")
+        .when(hidden & (c("smokes") > 2 * c("classes")) & (c("throws") > c("methods")), "Smokescreen").when(short & ~hidden, "ProGuard").when(hidden & (c("score") > 0.6), "ZKM").otherwise("generic"))
+    return at.select("archive_id", "classes", "score", "obfuscated", "hidden", kind.alias("kind"))
+
+
+def sample_names(names: DataFrame, most: int = 12) -> DataFrame:
+    """(unit_id, names): the first names of each unit by ordinal, at most twelve, of (unit_id, ordinal, name)."""
+    ranked = names.withColumn("_n", F.row_number().over(Window.partitionBy("unit_id").orderBy("ordinal"))).where(F.col("_n") <= most)
+    listed = F.sort_array(F.collect_list(F.struct("_n", "name")))
+    return ranked.groupBy("unit_id").agg(F.transform(listed, lambda r: r["name"]).alias("names"))
+
+
+def findings_order() -> list[Column]:
+    """Findings of a report: the gravest first, then as they were found."""
+    return [severity_weight(F.col("severity")).desc(), F.col("seq").asc()]
+
+
+def manifest_facts(manifests: DataFrame) -> DataFrame:
+    """(archive_id, main_class, premain_class, agent_class, tweak_class, core_plugin) of (archive_id, text)."""
+    from ..functions.text import manifest_value
+
+    text = F.col("text")
+    keys = {"main_class": "Main-Class", "premain_class": "Premain-Class", "agent_class": "Agent-Class", "tweak_class": "TweakClass"}
+    return manifests.select("archive_id", *[manifest_value(text, k).alias(c) for c, k in keys.items()], text.contains("FMLCorePlugin").alias("core_plugin"))

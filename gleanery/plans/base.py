@@ -57,6 +57,29 @@ DERIVED = {
         "s_suppkey AS pid", "CASE WHEN s_suppkey % 3 = 0 THEN 'C:/bin/javaw.exe' WHEN s_suppkey % 3 = 1 THEN 'C:/bin/Java.exe' ELSE 'C:/bin/notepad.exe' END AS exe",
         "concat('\"C:/Program Files/j.exe\" -javaagent:/vol', CAST(s_suppkey % 3 AS STRING), '/lib/mod', CAST(s_suppkey AS STRING), '.jar=x -cp /vol1/lib/mod', CAST(s_suppkey * 3 AS STRING), '.jar;', ' /gone/', CAST(s_suppkey AS STRING), '.jar Main', CASE WHEN s_suppkey % 4 = 0 THEN ' -XX:+DisableAttachMechanism' ELSE '' END) AS command_line"]),
     "tokens": ("documents", ["doc_id AS unit_id", "text"]),
+    "facts": ("lineitem", [
+        "l_orderkey % 97 AS archive_id", "l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS ordinal",
+        "CASE WHEN l_orderkey % 97 % 4 = 0 AND l_partkey % 3 > 0 THEN substr('abcdefgh', CAST(1 + l_partkey % 8 AS INT), 1) WHEN l_orderkey % 97 % 7 = 0 AND l_partkey % 5 = 0 THEN 'Illl1O' WHEN l_orderkey % 97 % 11 = 0 AND l_partkey % 4 = 0 THEN 'Kill\u200bAura'"
+        " WHEN l_partkey % 31 = 0 THEN 'Caf\u00e9' ELSE concat('Widget', CAST(l_partkey % 10 AS STRING)) END AS simple_name",
+        "CAST(l_linenumber + 3 AS BIGINT) AS member_count", "CAST(CASE WHEN l_orderkey % 97 % 4 = 0 THEN l_linenumber ELSE l_linenumber % 2 END AS BIGINT) AS short_members", "CAST(l_linenumber % 3 AS BIGINT) AS synthetic_members",
+        "l_partkey % 2 = 0 AS has_source", "l_partkey % (2 + l_orderkey % 97 % 6) <> 1 OR l_orderkey % 97 % 3 = 0 AS parsed", "CAST(CASE WHEN l_orderkey % 97 % 5 = 0 THEN l_linenumber % 4 + 1 ELSE 0 END AS BIGINT) AS decrypt_calls"]),
+    "manifests": ("orders", [
+        "o_orderkey AS archive_id", "concat('Manifest-Version: 1.0', chr(10), CASE o_orderkey % 6 WHEN 0 THEN 'Premain-Class: a.B' WHEN 1 THEN '  agent-class:  c.D ' WHEN 2 THEN 'TweakClass: t.T' WHEN 3 THEN 'X: FMLCorePlugin' WHEN 4 THEN 'Agent-Class:' ELSE 'Main-Class: m.M' END, chr(10), 'Last: 1') AS text"]),
+    "blobs": ("lineitem", [
+        "l_orderkey AS archive_id", "CASE l_partkey % 5 WHEN 0 THEN 'META-INF/X.RSA' WHEN 1 THEN 'notes.TXT' ELSE concat('data/', CAST(l_partkey AS STRING), '.bin') END AS name", "CASE WHEN l_suppkey % 7 = 0 THEN 'png' END AS magic",
+        "CAST(floor(l_extendedprice) AS BIGINT) AS bytes", "l_quantity / 6 AS entropy"]),
+    "reads": ("orders", [
+        "o_orderkey AS unit_id", "o_custkey % 4 AS depth", "CASE WHEN o_orderkey % 19 = 0 THEN 'broken' END AS nested_error", "o_orderkey % 23 = 0 AS truncated", "CASE WHEN o_orderkey % 29 = 0 THEN 'digest' END AS signature_error"]),
+    "metrics": ("lineitem", [
+        "l_suppkey AS archive_id", "l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS ordinal", "l_partkey % 5 < l_suppkey % 6 AS short_name", "CAST(l_linenumber + 2 AS BIGINT) AS methods", "CAST(l_linenumber * (l_suppkey % 2) AS BIGINT) AS short_methods",
+        "CAST(l_linenumber % 2 AS BIGINT) AS synthetic_methods", "CAST(l_suppkey % 5 AS BIGINT) AS encrypted_strings", "CAST(l_suppkey % 7 AS BIGINT) AS char_arrays", "CAST(l_suppkey % 11 AS BIGINT) AS builders", "CAST(l_partkey % 40 AS BIGINT) AS gotos",
+        "CAST(l_suppkey % 4 AS BIGINT) AS shrinks", "CAST(l_suppkey % 13 AS BIGINT) AS smokes", "CAST(l_suppkey % 17 AS BIGINT) AS throws"]),
+    "asset_paths": ("part", [
+        "p_partkey AS unit_id", "concat(CASE p_size % 9 WHEN 0 THEN 'assets/minecraft/' WHEN 1 THEN 'mod/lang/' WHEN 2 THEN 'textures/' WHEN 3 THEN 'x/shaders/' WHEN 4 THEN 'font/' WHEN 5 THEN 'Assets/' WHEN 6 THEN 'com/acme/' WHEN 7 THEN 'lang/' ELSE 'x/assets/minecraft/' END, replace(p_name, ' ', '_'),"
+        " CASE p_partkey % 9 WHEN 0 THEN '.png' WHEN 1 THEN '.json' WHEN 2 THEN '.class' WHEN 3 THEN '.vsh' WHEN 4 THEN '.woff2x' WHEN 5 THEN '.TTF' WHEN 6 THEN '.png?ab' WHEN 7 THEN '.pngabcdefgh' ELSE '.lang' END) AS location"]),
+    "calls": ("events", [
+        "event_id", "CASE event_id % 6 WHEN 0 THEN 'java/lang/Class' WHEN 1 THEN 'java/lang/reflect/Method' WHEN 2 THEN 'java/lang/reflect/Field' WHEN 3 THEN 'a/b' WHEN 4 THEN 'java/lang/invoke/MethodHandles' END AS owner",
+        "CASE user_id % 6 WHEN 0 THEN 'forName' WHEN 1 THEN 'invoke' WHEN 2 THEN 'get' WHEN 3 THEN 'getMethod' WHEN 4 THEN 'lookup' ELSE 'a' END AS name", "CASE user_id % 5 WHEN 0 THEN '(I)Ljava/lang/String;' WHEN 1 THEN '(Ljava/lang/String;)Ljava/lang/String;' WHEN 2 THEN '(LWorld;LPlayer;)V' WHEN 3 THEN '(LPacket;)V' ELSE '()V' END AS descriptor"]),
 }
 
 

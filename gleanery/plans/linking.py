@@ -38,18 +38,20 @@ def term_merge(spark: SparkSession, d: str) -> DataFrame:
     return J.merged(of("item_id < 20"), of("item_id >= 10")).select("pattern", "added")
 
 
-@query(f"WITH {_TERMS} SELECT category, severity, count(*)::BIGINT AS terms, count(DISTINCT pattern)::BIGINT AS patterns FROM t GROUP BY ALL")
+@query(f"WITH {_TERMS} SELECT category, severity, count(*)::BIGINT AS terms, (count(*) FILTER (item_id % 4 > 0))::BIGINT AS active, count(DISTINCT pattern)::BIGINT AS patterns FROM t GROUP BY ALL")
 def term_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _terms(spark, d).groupBy("category", "severity").agg(F.count("*").alias("terms"), F.countDistinct("pattern").alias("patterns"))
+    return J.term_counts(_terms(spark, d).withColumn("enabled", F.col("item_id") % 4 > 0))
 
 
-_REFS = """#a AS (SELECT pid, regexp_extract_all(command_line, '(?:[^ "]|"[^"]*")+') AS args FROM processes), x AS (SELECT pid, replace(unnest(args), '"', '') AS arg FROM a),
+_REFS = """#a AS (SELECT pid, regexp_extract_all(command_line, '(?:[^ "]|"[^"]*")+') AS args FROM processes), x AS (SELECT pid, replace(unnest(args[2:]), '"', '') AS arg FROM a),
 refs AS (SELECT DISTINCT pid, path FROM (SELECT pid, regexp_extract(arg, '^-javaagent:([^=]*)', 1) AS path FROM x WHERE starts_with(arg, '-javaagent:') UNION ALL SELECT pid, trim(unnest(string_split(arg, ';'))) FROM x WHERE NOT starts_with(arg, '-')) WHERE path LIKE '%.jar')"""
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
     words = derived(spark, d, "processes").select("pid", T.command_words(F.col("command_line")).alias("args"))
     plain = F.flatten(F.transform(F.filter("args", lambda a: ~a.startswith("-")), lambda a: T.path_list(a)))
+    # The program itself is argument 0.
+    words = words.withColumn("args", F.slice("args", 2, F.greatest(F.size("args") - 1, F.lit(0))))
     return words.select("pid", F.explode(F.concat(T.agent_paths(F.col("args")), plain)).alias("path")).where("path LIKE '%.jar'").distinct()
 
 
@@ -140,12 +142,66 @@ def whole_ciphers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", "text", F.reverse(whole).alias("reversed"), C.rotated(whole, 13).alias("rotated"), C.mirrored(whole).alias("mirrored"), C.pairs_swapped(whole).alias("swapped"))
 
 
-@query()
+_PRINTABLE = "len(list_filter({0}, lambda c: c BETWEEN 32 AND 126 OR c IN (9, 10, 13)))"
+_HIDDEN = "h AS (SELECT c_custkey AS unit_id, list_transform(string_split(c_name, ''), lambda c: {0}) AS codes FROM customer)"
+
+
+def _hidden(spark: SparkSession, d: str, change) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("unit_id"), C._chars(F.col("c_name"), change).alias("text"))
+
+
+@query(f"""WITH {_HIDDEN.format('xor(ord(c), 200)')}, t AS (SELECT unit_id, k, list_transform(codes, lambda c: xor(c, k)) AS plain FROM h, range(1, 256) r(k) WHERE len(list_filter(codes, lambda c: c > 127)) > 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY k) AS n FROM t WHERE {_PRINTABLE.format('plain')} > 0.85 * len(plain)) SELECT unit_id, k::INTEGER AS key, array_to_string(list_transform(plain, lambda c: chr(c::INTEGER)), '') AS decoded FROM g WHERE n = 1""")
 def xor_keys(spark: SparkSession, d: str) -> DataFrame:
     """Names hidden under single-byte keys, found again: the lowest key that makes each readable."""
-    rows = table(spark, d, "customer").selectExpr("c_custkey AS unit_id", "c_name AS text")
-    hidden = rows.select("unit_id", C._chars(F.col("text"), lambda c, i: c.bitwiseXOR(F.lit(200))).alias("text"))
-    return C.with_keys(hidden, range(1, 256), C.CHANGES["xor"])
+    return C.with_keys(_hidden(spark, d, lambda c, i: c.bitwiseXOR(F.lit(200))), range(1, 256), C.CHANGES["xor"])
+
+
+@query(f"""WITH {_HIDDEN.format('((ord(c) * 2) & 255)')}, o AS (SELECT unit_id, k, list_transform(codes, lambda c: CASE WHEN k % 2 = 0 THEN (c << (k // 2)::INTEGER) & 255 ELSE (c >> (k // 2)::INTEGER) & 255 END) AS plain FROM h, range(2, 16) r(k) WHERE len(list_filter(codes, lambda c: c > 127)) > 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY k) AS n FROM o WHERE {_PRINTABLE.format('plain')} > 0.85 * len(plain)) SELECT unit_id, k::INTEGER AS key, array_to_string(list_transform(plain, lambda c: chr(c::INTEGER)), '') AS decoded FROM g WHERE n = 1""")
+def shifted_bits(spark: SparkSession, d: str) -> DataFrame:
+    """Names whose bits were moved to the left by one, found again."""
+    return C.with_keys(_hidden(spark, d, lambda c, i: F.call_function("shiftleft", c, F.lit(1)).bitwiseAND(F.lit(255))), C.BIT_SHIFTS, C.CHANGES["bit shift"])
+
+
+@query("""WITH h AS (SELECT c_custkey AS unit_id, list_transform(range(1, length(c_name) + 1), lambda i: xor(ord(c_name[i]), (77 * i) & 255)) AS codes FROM customer),
+t AS (SELECT unit_id, k, list_transform(range(1, len(codes) + 1), lambda i: xor(codes[i], (k * i) & 255)) AS plain FROM h, range(1, 256) r(k) WHERE len(list_filter(codes, lambda c: c > 127)) > 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY k) AS n FROM t WHERE len(list_filter(plain, lambda c: c BETWEEN 32 AND 126 OR c IN (9, 10, 13))) > 0.85 * len(plain)) SELECT unit_id, k::INTEGER AS key, array_to_string(list_transform(plain, lambda c: chr(c::INTEGER)), '') AS decoded FROM g WHERE n = 1""")
+def product_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Names hidden under a key times the place, found again."""
+    return C.with_keys(_hidden(spark, d, lambda c, i: c.bitwiseXOR((F.lit(77) * (i + 1)).bitwiseAND(F.lit(255)))), range(1, 256), C.CHANGES["xor by product"])
+
+
+@query("""WITH b AS (SELECT item_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: xor(('0x' || x)::INTEGER, (item_id % 256)::INTEGER))[1:256] AS codes FROM benchmark),
+s AS (SELECT item_id, k, (len(list_filter(codes, lambda c: xor(c, k::INTEGER) BETWEEN 32 AND 126 OR xor(c, k::INTEGER) IN (9, 10, 13))) * 100 // len(codes))::INTEGER AS score FROM b, range(0, 256) r(k) WHERE len(codes) > 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k) AS n FROM s) SELECT item_id AS unit_id, score, k::INTEGER AS key FROM g WHERE n = 1 AND score >= 80""")
+def byte_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The key of bytes hidden under one, by the share of printable bytes."""
+    codes = C.codes_of(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
+    hidden = table(spark, d, "benchmark").select("item_id", F.transform(codes, lambda c: c.bitwiseXOR((F.col("item_id") % 256).cast("int"))).alias("codes"))
+    return hidden.select(F.col("item_id").alias("unit_id"), C.byte_key(F.col("codes")).alias("k")).where("k IS NOT NULL").select("unit_id", "k.score", "k.key")
+
+
+@query()
+def repeating_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Names hidden under a key of three characters; tests compare the search with brute force."""
+    turns = lambda c, i: c.bitwiseXOR(F.when(i % 3 == 0, 201).when(i % 3 == 1, 150).otherwise(230))
+    return C.repeating_key(_hidden(spark, d, turns))
+
+
+@query("""WITH h AS (SELECT c_custkey AS unit_id, list_transform(string_split(c_name, ''), lambda c: xor(ord(c), 90)) AS codes FROM customer), t AS (SELECT unit_id, k, list_transform(codes, lambda c: xor(c, k)) AS plain FROM h, range(1, 256) r(k)),
+g AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY k) AS n FROM t WHERE len(list_filter(plain, lambda c: c BETWEEN 32 AND 126 OR c IN (9, 10, 13))) > 0.85 * len(plain)) SELECT unit_id, k::INTEGER AS key, false AS by_place, array_to_string(list_transform(plain, lambda c: chr(c::INTEGER)), '') AS decoded FROM g WHERE n = 1""")
+def base64_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Names hidden under a key and written as base64 without padding, found again."""
+    hidden = table(spark, d, "customer").select(F.col("c_custkey").alias("unit_id"), F.rtrim(F.base64(F.encode(C._chars(F.col("c_name"), lambda c, i: c.bitwiseXOR(F.lit(90))), "ISO-8859-1")), F.lit("=")).alias("text"))
+    return C.base64_then_xor(hidden)
+
+
+@query("WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{20,}={0,2}')) AS run FROM documents), b AS (SELECT *, rtrim(run, '=') AS bare FROM r), c AS (SELECT doc_id, run, from_base64(CASE WHEN length(bare) % 4 <> 1 THEN rpad(bare, ((length(bare) + 3) // 4 * 4)::INTEGER, '=') END) AS c FROM b WHERE length(bare) % 4 <> 1 AND (run = bare OR length(run) % 4 = 0)), x AS (SELECT doc_id, run, hex(c) AS h, len(list_filter(regexp_extract_all(hex(c), '..'), lambda p: p BETWEEN '20' AND '7E' OR p IN ('09', '0A', '0D'))) / octet_length(c) > 0.85 AS plain FROM c) SELECT doc_id AS unit_id, run, CASE WHEN regexp_matches(h, '^(89504E47|FFD8FF|47494638|52494646)') THEN 'image' WHEN starts_with(h, '504B0304') THEN 'zip' WHEN starts_with(h, '1F8B') THEN 'gzip' WHEN starts_with(h, 'CAFEBABE') THEN 'class' WHEN plain THEN 'text' ELSE 'binary' END AS kind FROM x")
+def payload_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """What the base64 runs of all texts hold."""
+    found = C.base64_runs(table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text"))
+    return found.select("unit_id", "run", C.payload_class(F.col("content")).alias("kind"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE event_type WHEN 'error' THEN 'HIGH' WHEN 'view' THEN 'LOW' ELSE 'MEDIUM' END AS risk FROM events")
@@ -160,11 +216,9 @@ def call_classes(spark: SparkSession, d: str) -> DataFrame:
 def effective_keywords(spark: SparkSession, d: str) -> DataFrame:
     """Default and own keywords, trimmed, each once."""
     docs = table(spark, d, "documents")
-    own = docs.select(F.trim("source").alias("keyword")).union(docs.select(F.trim("lang"))).union(spark.createDataFrame([("cheat",)], "keyword string"))
-    return own.where("keyword <> ''").distinct()
+    return J.effective_keywords(docs.select(F.col("source").alias("keyword")), docs.select(F.col("lang").alias("keyword")), spark.createDataFrame([("cheat",)], "keyword string"))
 
 
 @query("SELECT DISTINCT path FROM (SELECT concat('/x/', l_suppkey) AS path FROM lineitem UNION ALL SELECT concat('/x/', s_suppkey) FROM supplier)")
 def distinct_targets(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "lineitem").selectExpr("concat('/x/', l_suppkey) AS path")
-    return a.union(table(spark, d, "supplier").selectExpr("concat('/x/', s_suppkey) AS path")).distinct()
+    return J.distinct_union(table(spark, d, "lineitem").selectExpr("concat('/x/', l_suppkey) AS path"), table(spark, d, "supplier").selectExpr("concat('/x/', s_suppkey) AS path"))

@@ -52,6 +52,25 @@ def match_word(spark: SparkSession, d: str) -> DataFrame:
     return M.match_words(derived(spark, d, "surfaces"), dims.sample_terms(spark)).select("unit_id", "pattern", "severity", "hits")
 
 
+_ENTRIES = [(p, kind, severity, "c", "", on, False, True, exact) for p, kind, severity, on, exact in (
+    ("That", "WORD", "LOW", True, False), ("That", "WORD", "HIGH", True, True), ("That", "WORD", "LOW", True, False), ("that", "WORD", "HIGH", False, False), ("inoran", "WORD", "LOW", False, False), ("\u00e9tion", "WORD", "LOW", True, False), ("\u00e9tion", "WORD", "LOW", False, False))]
+
+
+@query(f"""WITH w AS ({_WORDS}), a AS (SELECT doc_id AS unit_id, 'That' AS pattern, 'LOW' AS severity, count(*) AS hits FROM w WHERE {_FOLD.format('tok')} = 'that' GROUP BY 1
+ UNION ALL SELECT doc_id, 'That', 'HIGH', count(*) FROM w WHERE tok = 'That' GROUP BY 1
+ UNION ALL SELECT doc_id, 'étion', 'LOW', len(regexp_extract_all(' ' || replace({_FOLD.format('text')}, 'étion', ' étion ') || ' ', '[^a-z0-9_$] étion [^a-z0-9_$]')) FROM documents) SELECT unit_id, pattern, severity, hits::BIGINT AS hits FROM a WHERE hits > 0""")
+def match_entries(spark: SparkSession, d: str) -> DataFrame:
+    """A list that holds a pattern several times: switched off, twice the same, and with exact case."""
+    return M.match_terms(derived(spark, d, "surfaces"), spark.createDataFrame(_ENTRIES, dims.TERMS)).select("unit_id", "pattern", "severity", "hits")
+
+
+@query(f"""{_ALL_HITS}, p AS (SELECT DISTINCT unit_id, pattern FROM every WHERE NOT regexp_matches(pattern, '[\\[\\](){{}}|^$*+?\\\\]')), x AS (SELECT p.*, {_FOLD.format('text')} AS low, {_FOLD.format('pattern')} AS needle FROM p JOIN documents ON doc_id = unit_id)
+SELECT unit_id, pattern, (instr(low, needle) - 1)::INTEGER AS "first", ((length(low) - length(replace(low, needle, ''))) // length(needle))::BIGINT AS spans FROM x""")
+def hit_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where a reader should look first."""
+    return M.hit_spans(derived(spark, d, "tokens"), _hits(spark, d))
+
+
 @query(f"WITH {_SEARCHED_HITS} SELECT unit_id, pattern, kind, hits FROM searched WHERE hits > 0")
 def match_searched(spark: SparkSession, d: str) -> DataFrame:
     """Literal, regular-expression, compound and non-ASCII terms."""
@@ -129,7 +148,7 @@ def first_keyword(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT conv_id AS unit_id, m AS marker FROM conversations, (VALUES ('the'), ('que'), ('und')) k(m) WHERE length(text) BETWEEN 4 AND 200 AND contains(lower(text), m)")
 def marker_detection(spark: SparkSession, d: str) -> DataFrame:
-    return M.markers(table(spark, d, "conversations").select(F.col("conv_id").alias("unit_id"), "text"), ["the", "que", "und"])
+    return M.markers(table(spark, d, "conversations").select(F.col("conv_id").alias("unit_id"), "text"), [(m, m) for m in ("the", "que", "und")])
 
 
 @query("SELECT conv_id AS unit_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id")

@@ -11,8 +11,8 @@ from ..operators import rules as R
 from ..operators import scoring as S
 from .base import derived, query, table, with_derived
 
-_KIND = """CASE WHEN lower(name) LIKE '%/' THEN 'directory' WHEN lower(name) = 'meta-inf/manifest.mf' THEN 'manifest' WHEN lower(name) LIKE '%.class' THEN 'class' WHEN regexp_matches(lower(name), '\\.(jar|war|ear|aar|zip)$') THEN 'nested'
- WHEN regexp_matches(lower(name), '\\.(dll|so|dylib|jnilib)$') THEN 'native' WHEN regexp_matches(lower(name), '\\.(bat|cmd|ps1|sh|vbs)$') THEN 'script' ELSE 'resource' END"""
+_KIND = """CASE WHEN lower(name) LIKE '%/' THEN 'directory' WHEN lower(name) = 'meta-inf/manifest.mf' THEN 'manifest' WHEN lower(name) LIKE '%.class' THEN 'class' WHEN regexp_matches(lower(name), '\\.(jar|war)$') THEN 'nested'
+ WHEN regexp_matches(lower(name), '\\.(dll|so|dylib)$') THEN 'native' WHEN regexp_matches(lower(name), '\\.(bat|ps1|sh|exe|vbs)$') THEN 'script' ELSE 'resource' END"""
 _DECEPTIVE = "(regexp_matches(name, '[\\p{Latin}]') AND regexp_matches(name, '[\\p{Cyrillic}\\p{Greek}]'))"
 _TRAVERSAL = "(contains(name, '../') OR starts_with(name, '/') OR contains(name, ':\\'))"
 

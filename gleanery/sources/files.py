@@ -18,7 +18,8 @@ from ..functions.text import file_name, fold
 
 MOST_BYTES = 512 * 2**20
 MOST_ENTRY_BYTES = 4 * 2**20
-TEXT_NAMES = r"\.(cfg|conf|csv|html|ini|js|json|md|mf|properties|toml|txt|xml|ya?ml)$"
+# Endings of text resources.
+TEXT_NAMES = r"\.(json|txt|cfg|conf|properties|yml|yaml|toml|xml|md|js|lua|py|sh|bat|ps1)$"
 ENTRIES = "path string, container string, depth int, ordinal int, name string, flags int, method int, csize long, usize long, header_offset long, crc long, content binary, error string"
 
 

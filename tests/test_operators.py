@@ -1,4 +1,5 @@
 import io
+import math
 import zipfile
 
 import pytest
@@ -81,6 +82,55 @@ def test_decoding(spark):
     assert found.count() == 1 and found.where("key <= 190").count() == 1
 
 
+def test_entries_of_one_pattern(spark):
+    surfaces = spark.createDataFrame([(1, "l", "STRING", "CONSTANT", "foo foo Foo \u00c9tude \u00c9TUDE"), (2, "p", "PATH", "ENTRY_PATH", "foo")], "unit_id long, location string, surface string, source string, text string")
+    term = lambda p, severity, on=True, cs=False, paths=False: (p, "WORD", severity, "c", "", on, paths, True, cs)
+    terms = spark.createDataFrame([term("foo", "LOW"), term("foo", "LOW"), term("Foo", "HIGH", cs=True), term("FOO", "CRITICAL", on=False), term("foo", "MEDIUM", paths=True)], dims.TERMS)
+    got = sorted((r.unit_id, r.pattern, r.severity, r.hits) for r in matching.match_words(surfaces, terms).collect())
+    want = [(1, "Foo", "HIGH", 1), (1, "foo", "LOW", 3), (1, "foo", "MEDIUM", 3), (2, "foo", "MEDIUM", 1)]
+    assert got == want
+    most, matching.MOST_SENT = matching.MOST_SENT, 2
+    try:
+        assert sorted((r.unit_id, r.pattern, r.severity, r.hits) for r in matching.match_words(surfaces, terms).collect()) == want
+    finally:
+        matching.MOST_SENT = most
+    assert [(r.keyword, r.hits) for r in matching.risk_keywords(surfaces, {"\u00c9tude": "HIGH"}).collect()] == [("\u00c9tude", 2)]
+
+
+def test_markers_and_assets(spark):
+    rows = spark.createDataFrame([(1, "made by ALLATORI"), (1, "zelix"), (2, "pro"), (3, "x" * 201 + "proguard")], "unit_id long, text string")
+    assert sorted(map(tuple, matching.markers(rows).collect())) == [(1, "Allatori"), (1, "Zelix KlassMaster")]
+    hits = spark.createDataFrame([("a/b.class", "see textures/x.png"), ("a/b.class", "code"), ("x/lang/de.json", "code"), ("assets/ForcefieldModule.class", None)], "location string, excerpt string")
+    assert [r.location for r in matching.without_assets(hits, "excerpt").collect()] == ["a/b.class", "assets/ForcefieldModule.class"]
+
+
+def test_places_of_words(spark):
+    paths = ["C:/x/y.jar", "C:\\x\\y.jar", "\\\\srv\\a.jar", "-C:/x.jar", "C:/a$b.jar", "C:/a&b.jar", "C:/a'b.jar", "C:/a`b.jar", "/unix/x.jar", "C:/no/extension", "C:/d.ir/file", "C:/x.", "a.jar", "C:/a.b"]
+    table = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r.p for r in table.where(N.is_plausible_path(F.col("p"))).collect()] == [paths[0], paths[1], paths[2], paths[-1]]
+    assert table.limit(1).select(T.agent_paths(F.array(F.lit("-JavaAgent:C:/a.jar=x"), F.lit("-agentpath:/b"), F.lit("x"))).alias("a")).first().a == ["C:/a.jar", "/b"]
+
+
+def test_entropy_within_the_row(spark):
+    texts = ["", None, "aaaa", "abcd", "\u00e9\u00e8 caf\u00e9 \u4e2d\u6587 \U0001F600\U0001F601", "x" * 5000 + "y"]
+    table = spark.createDataFrame(list(enumerate(texts)), "unit_id long, text string")
+
+    def bits(values):
+        return -sum(values.count(v) / len(values) * math.log2(values.count(v) / len(values)) for v in set(values))
+
+    got = {r.unit_id: (r.units, r.entropy) for r in scoring.text_entropy(table, "unit_id", "text").collect()}
+    for i, t in enumerate(texts):
+        if t:
+            low = list(t.encode("utf-16-be")[1::2])
+            assert got[i][0] == len(low) and abs(got[i][1] - bits(low)) < 1e-9
+    assert set(got) == {2, 3, 4, 5}
+    facts = {r.unit_id: r for r in scoring.byte_facts(table.select("unit_id", F.encode("text", "UTF-8").alias("content")), "unit_id", "content").collect()}
+    for i, t in enumerate(texts):
+        if t:
+            b = list(t.encode())
+            assert (facts[i].bytes, facts[i].distinct_bytes, facts[i].uniform) == (len(b), len(set(b)), len(set(b)) == 1) and abs(facts[i].entropy - bits(b)) < 1e-9
+
+
 def test_paths_leave_out_cycles(spark):
     nodes = spark.createDataFrame([(1, 1, "r"), (2, 1, "a"), (3, 2, "b"), (4, 5, "x"), (5, 4, "y"), (6, 99, "z")], "id long, parent_id long, name string")
     assert {r.id: r.path for r in joins.full_paths(nodes).collect()} == {1: "r", 2: "r/a", 3: "r/a/b"}
@@ -98,11 +148,11 @@ def test_archives(spark, tmp_path):
     for name in ("l3.jar", "l2.jar", "l1.jar"):
         deep = archive([(name, deep)])
     good = archive([("META-INF/MANIFEST.MF", "Main-Class: A\n"), ("a.txt", "text " * 300), ("run.bat", "x")])
-    for name, data in (("good.jar", good), ("hidden.dll", good + b" " * 100), ("bad.jar", b"nothing here"), ("nested.jar", deep)):
+    for name, data in (("good.jar", good), ("hidden.dll", good + b" " * 1100), ("bad.jar", b"nothing here"), ("nested.jar", deep)):
         (tmp_path / name).write_bytes(data)
     found = files.scan_files(spark, str(tmp_path), content=True)
     assert files.by_extension(found).count() == 3
-    assert [r.name for r in files.disguised(found.where("length < 2000")).collect()] in (["hidden.dll"], [])
+    assert sorted(map(tuple, files.disguised(found).select("name", "length").collect())) == [("hidden.dll", len(good) + 1100)]
     entries = files.explode_archives(found).cache()
     assert entries.where("error IS NOT NULL").select("path").distinct().count() == 1
     assert entries.where("path LIKE '%nested.jar'").agg(F.max("depth")).first()[0] == 2
