@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dims import ATTENTION, severity_weight, verdict_ordinal
 
@@ -79,38 +82,38 @@ def risk_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("unit_id").agg(of("HIGH").alias("high"), of("MEDIUM").alias("medium"), of("LOW").alias("low"), total.alias("total"), band.alias("band"))
 
 
-def _histogram(rows: DataFrame, values) -> DataFrame:
-    """Add ``_runs``: how often each of an array of small numbers occurs, counted within the row."""
-    sorted_ = rows.withColumn("_values", F.sort_array(values)).withColumn("_n", F.size("_values")).where("_n > 0")
-    starts = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (F.get("_values", i) != F.get("_values", i - 1)))
-    found = sorted_.withColumn("_starts", starts)
-    return found.withColumn("_runs", F.transform("_starts", lambda s, k: (F.coalesce(F.get("_starts", k + 1), F.col("_n")) - s).cast("double")))
+def _facts(values: np.ndarray) -> tuple[int, int, float]:
+    """How many small numbers, how many distinct ones, and their entropy in bits."""
+    counts = np.bincount(values, minlength=256)
+    counts = counts[counts > 0]
+    return len(values), len(counts), float(np.log2(len(values)) - (counts * np.log2(counts)).sum() / len(values))
 
 
-def _entropy() -> Column:
-    # H = log2(total) - sum(n log2 n) / total
-    weighed = F.aggregate("_runs", F.lit(0.0), lambda total, n: total + n * F.log2(n))
-    return F.log2(F.col("_n").cast("double")) - weighed / F.col("_n")
+_FACTS = T.StructType([T.StructField("n", T.LongType()), T.StructField("kinds", T.LongType()), T.StructField("entropy", T.DoubleType())])
 
 
-def _codes(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii)
+# Counting characters within the row takes a few nanoseconds each in numpy; as array functions it took 650, as exploded rows 400.
+@F.pandas_udf(_FACTS)
+def _text_facts(texts: pd.Series) -> pd.DataFrame:
+    low = (np.frombuffer(t.encode("utf-16-le", "surrogatepass"), np.uint8)[::2] for t in texts)
+    return pd.DataFrame([_facts(v) for v in low], columns=["n", "kinds", "entropy"])
+
+
+@F.pandas_udf(_FACTS)
+def _byte_facts(contents: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_facts(np.frombuffer(c, np.uint8)) for c in contents], columns=["n", "kinds", "entropy"])
 
 
 def text_entropy(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Bits a character of the low bytes of each row's UTF-16 units: (key, units, entropy); nothing for null and empty texts."""
-    low = lambda c: c.bitwiseAND(F.lit(255))
-    pair = lambda c: F.when(c < 65536, F.array(low(c))).otherwise(F.array(low(F.lit(0xD800) + F.shiftright(c - 65536, 10)), low(F.lit(0xDC00) + (c - 65536).bitwiseAND(F.lit(1023)))))
-    codes = rows.select(key, text).withColumn("_codes", _codes(F.col(text))).where(F.col("_codes").isNotNull())
-    units = F.when(F.col(text).rlike(r"[^\x{0}-\x{FFFF}]"), F.flatten(F.transform("_codes", pair))).otherwise(F.transform("_codes", low))
-    return _histogram(codes, units).select(key, F.col("_n").cast("long").alias("units"), _entropy().alias("entropy"))
+    facts = rows.where(F.length(text) > 0).select(key, _text_facts(text).alias("_facts"))
+    return facts.select(key, F.col("_facts.n").alias("units"), "_facts.entropy")
 
 
 def byte_facts(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, bytes, distinct_bytes, uniform, entropy) of each row's binary content; nothing for null and empty ones."""
-    codes = _codes(F.decode(content, "ISO-8859-1"))
-    kinds = F.size("_runs").cast("long")
-    return _histogram(rows.select(key, content).where(F.col(content).isNotNull()), codes).select(key, F.col("_n").cast("long").alias("bytes"), kinds.alias("distinct_bytes"), (kinds == 1).alias("uniform"), _entropy().alias("entropy"))
+    facts = rows.where(F.octet_length(content) > 0).select(key, _byte_facts(content).alias("_facts"))
+    return facts.select(key, F.col("_facts.n").alias("bytes"), F.col("_facts.kinds").alias("distinct_bytes"), (F.col("_facts.kinds") == 1).alias("uniform"), "_facts.entropy")
 
 
 def blob_class(magic: Column) -> Column:

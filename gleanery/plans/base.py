@@ -25,8 +25,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def evenly(df: DataFrame) -> DataFrame:
+    """Dealt out over all cores if the input has too few splits for them, as one small file has; a table of many splits stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return evenly(rows) if name == "documents" else rows
 
 
 DERIVED = {
