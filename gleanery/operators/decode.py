@@ -162,6 +162,32 @@ def payload_class(content: Column) -> Column:
     return F.when(known.isin("png", "jpeg", "gif", "riff"), "image").when(known.isin("zip", "gzip", "class"), known).when(text, "text").otherwise("binary")
 
 
+# Words that tell plain text from base64, words that tell decoded source, the first bytes of a class.
+_PROSE = ("the ", "and ", "import ", "public ", "class ")
+_SOURCE = ("class ", "import ", "package ")
+_CLASS = (202, 254, 186, 190)
+
+
+def hidden_class(content: Column) -> Column:
+    """Whether bytes begin as a class does under one key of 1 to 127."""
+    return F.hex(F.substring(content, 1, 4)).isin([bytes(b ^ key for b in _CLASS).hex().upper() for key in range(1, 128)])
+
+
+def encoding_class(content: Column) -> Column:
+    """How a document's bytes are written: base64, base64+xor, xor, binary (over a third of the first 1024 bytes unprintable) or plain.
+
+    Null without bytes; plain where there are none. Bytes that look like base64 but do not decode are base64 still.
+    """
+    text = F.regexp_replace(F.decode(content, "ISO-8859-1"), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    looks = (F.length(text) % 4 == 0) & text.rlike(r"^[A-Za-z0-9+/ \t-\r]+=*$") & ~text.rlike("|".join(_PROSE))
+    inner = F.try_to_binary(F.regexp_replace(text, r"[ \t-\r]", ""), F.lit("base64"))
+    keyed = looks & hidden_class(inner) & ~F.decode(inner, "ISO-8859-1").rlike("|".join(_SOURCE))
+    odd = F.length(F.regexp_replace(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), r"[\t-\r\x20-\x7E]", ""))
+    binary = odd > F.floor(F.least(F.octet_length(content), F.lit(1024)) / 3)
+    named = F.when(keyed, "base64+xor").when(looks, "base64").when(hidden_class(content), "xor").when(binary, "binary")
+    return F.when(content.isNotNull(), named.otherwise("plain"))
+
+
 def rotated(text: Column, by: int) -> Column:
     """Letters moved on in the alphabet."""
     low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -204,6 +204,25 @@ def payload_kinds(spark: SparkSession, d: str) -> DataFrame:
     return found.select("unit_id", "run", C.payload_class(F.col("content")).alias("kind"))
 
 
+@query("""WITH b AS (SELECT doc_id, doc_id % 5 AS form, text, unhex('8BBFFBFF') || encode(text) AS keyed FROM documents),
+f AS (SELECT *, CASE form WHEN 0 THEN text WHEN 1 THEN to_base64(encode(text)) WHEN 3 THEN to_base64(keyed) END AS shown,
+ CASE form WHEN 1 THEN encode(text) WHEN 3 THEN keyed END AS inside,
+ CASE form WHEN 0 THEN hex(encode(text)) WHEN 1 THEN '' WHEN 2 THEN hex(keyed) WHEN 3 THEN '' WHEN 4 THEN md5(text) END AS bytes FROM b),
+t AS (SELECT *, regexp_replace(shown, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS trimmed, regexp_extract_all(upper(bytes[1:2048]), '..') AS head FROM f),
+l AS (SELECT *, coalesce(length(trimmed) % 4 = 0 AND regexp_matches(trimmed, '^[A-Za-z0-9+/ \\t-\\r]+=*$') AND NOT regexp_matches(trimmed, '(the|and|import|public|class) '), false) AS looks FROM t)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN looks AND form = 3 AND NOT regexp_matches(text, '(class|import|package) ') THEN 'base64+xor' WHEN looks THEN 'base64' WHEN form = 2 THEN 'xor'
+ WHEN len(list_filter(head, lambda x: x < '09' OR (x > '0D' AND x < '20') OR x > '7E')) > len(head) // 3 THEN 'binary' ELSE 'plain' END AS encoding FROM l""")
+def text_encodings(spark: SparkSession, d: str) -> DataFrame:
+    """How each document's bytes are written; by its id they are the text's own, in base64, behind a hidden class head, both, or a digest."""
+    own = F.encode("text", "UTF-8")
+    keyed = F.concat(F.unhex(F.lit("8BBFFBFF")), own)
+    coded = lambda b: F.encode(F.translate(F.base64(b), "\r\n", ""), "UTF-8")
+    form = F.col("doc_id") % 5
+    content = F.when(form == 0, own).when(form == 1, coded(own)).when(form == 2, keyed).when(form == 3, coded(keyed)).when(form == 4, F.unhex(F.md5(own)))
+    rows = table(spark, d, "documents").select("doc_id", content.alias("content"))
+    return rows.select("doc_id", C.encoding_class(F.col("content")).alias("encoding"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE event_type WHEN 'error' THEN 'HIGH' WHEN 'view' THEN 'LOW' ELSE 'MEDIUM' END AS risk FROM events")
 def call_classes(spark: SparkSession, d: str) -> DataFrame:
     """Events classed by a rule table; unknown types get the middle risk."""

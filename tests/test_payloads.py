@@ -2,7 +2,9 @@ import base64
 import codecs
 
 import duckdb
+from pyspark.sql import functions as F
 
+from gleanery.operators import decode
 from gleanery.plans import registry
 
 
@@ -26,3 +28,18 @@ def test_long_texts_are_whole(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert registry.QUERIES["joined_texts"](spark, str(tmp_path)).first().text == "\n".join(t[3] for t in turns)
     assert registry.QUERIES["whole_literal_sample"](spark, str(tmp_path)).first().chars == 120_000
+
+
+def test_encodings_of_documents(spark):
+    keyed = lambda k, tail=b"": bytes(b ^ k for b in b"\xca\xfe\xba\xbe") + tail
+    cases = [
+        (None, None), (b"", "plain"), (b"  \n", "plain"), (b"some plain words, as they come", "plain"), (b"abc", "plain"),
+        (base64.b64encode(b"hello world"), "base64"), (b" aGVsbG8g\r\nd29ybGQ= \n", "plain"), (b" aGVsbG8g\t\td29ybG\n\nQ=\n", "base64"),
+        (b"use the lids", "plain"), (b"=abc", "plain"), (b"ab==", "base64"), (b"a===", "base64"),
+        (keyed(65), "xor"), (keyed(1, b"tail"), "xor"), (keyed(127, b"x" * 3000), "xor"), (keyed(0), "binary"), (keyed(128), "plain"),
+        (base64.b64encode(keyed(65, b"\x01\x02")), "base64+xor"), (base64.b64encode(keyed(65, b"class x")), "base64"), (base64.b64encode(keyed(0)), "base64"),
+        (bytes(range(128, 256)), "binary"), (b"a" * 1024 + b"\x00" * 9000 + b"!", "plain"), ("é".encode() + b"abcd", "plain"), ("é".encode() + b"abc", "binary"),
+    ]
+    rows = spark.createDataFrame(list(enumerate(c for c, _ in cases)), "id int, content binary")
+    got = {r.id: r.kind for r in rows.select("id", decode.encoding_class(F.col("content")).alias("kind")).collect()}
+    assert got == dict(enumerate(k for _, k in cases))
