@@ -187,26 +187,26 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) of every node of (a, b) links: the smallest node that it can reach.
 
-    Alternates large stars (greater neighbours to the least) and small stars (lesser ones to the least)
-    until nothing changes; each round is written, so no lineage grows.
+    Alternates large stars (greater neighbours to the least) and small stars (lesser ones to the least) until every
+    node hangs on one that hangs on none; each round is written, so no lineage grows.
     """
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = sign(edges)
-    while True:
+    while not _is_forest_of_stars(edges):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")).withColumnRenamed("a", "_a")
-        large = both.join(least, F.col("a") == F.col("_a")).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+        large = both.join(least, F.col("a") == F.col("_a")).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("least")).withColumnRenamed("a", "_a")
         small = large.join(least, F.col("a") == F.col("_a"))
         edges = durable(small.select(F.greatest("b", "least").alias("a"), "least").where("a <> least").withColumnRenamed("least", "b").unionByName(least.select(F.col("_a").alias("a"), F.col("least").alias("b"))).distinct(), label)
-        after = sign(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each a of (a, b) edges has one b, which is no other edge's a."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down")))).alias("end")).select("end.*")
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least")).where("down > 1 OR (down > 0 AND least = 0)").isEmpty()
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose estimated similarity may reach the threshold, with the estimate."""
     side = lambda s: classes.select(F.col("cls").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("bands").alias(f"bands_{s}"))
@@ -263,10 +263,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = classes.select("cls", F.col("n_shingles").cast("int").alias("n"), F.posexplode("bands").alias("band", "key"))
     groups = bands.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1").withColumnsRenamed({"band": "_band", "key": "_key"})
     same_group = (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))
-    members = durable(bands.join(groups, same_group).select("cls", "n", "band", "key", "size"), "members")
     # The text that others were copied from shares the most bands, so the member that meets the most others is the center.
-    degrees = members.groupBy("cls").agg(F.sum("size").alias("degree")).withColumnRenamed("cls", "_cls")
-    centers = members.join(degrees, F.col("cls") == F.col("_cls")).groupBy("band", "key").agg(F.max(F.struct("degree", F.xxhash64("band", "cls").alias("h"), "cls"))["cls"].alias("center")).withColumnsRenamed({"band": "_band", "key": "_key"})
+    # A class has one row a band at most, so its window is small.
+    degree = F.sum("size").over(Window.partitionBy("cls"))
+    members = durable(bands.join(groups, same_group).select("cls", "n", "band", "key", "size", degree.alias("degree")), "members")
+    centers = members.groupBy("band", "key").agg(F.max(F.struct("degree", F.xxhash64("band", "cls").alias("h"), "cls"))["cls"].alias("center")).withColumnsRenamed({"band": "_band", "key": "_key"})
     pairs = members.join(centers, same_group).where("cls <> center").select(F.greatest("cls", "center").alias("a"), F.least("cls", "center").alias("b")).distinct()
     pairs = durable(_estimated(pairs, classes), "pairs")
 
@@ -280,7 +281,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = durable(_confirmed(best, sets), "links")
     stars = durable(_stars(found), "stars")
     found = durable(found.unionByName(_confirmed(_split(pairs.join(best, ["a", "b"], "left_anti"), stars), sets)), "links")
-    labels = durable(components(found), "labels")
+    labels = _joined(found, stars)
 
     # Members of a band's group that are still apart, from all its others.
     marked = members.join(labels, F.col("cls") == F.col("node"), "left").select("band", "key", "cls", "n", "size", F.coalesce("component", "cls").alias("component"))
@@ -313,7 +314,10 @@ def _stars(links: DataFrame) -> DataFrame:
 
 
 def _joined(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """The components once more links are known: those of the components that the links join."""
+    """The components once more links are known: those of the components that the links join.
+
+    ``labels`` may name parts of components, if the links tell how they hang together; no node's name is greater than itself.
+    """
     if links.isEmpty():
         return labels
     of = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
