@@ -662,3 +662,8 @@ def test_line_dedup_near_lines_at_one_place(spark):
     rows = [(1, "some line of text that comes before them all"), (2, "some line of text that comes before them alL"), (2, "an own line of the same doc_id, to be kept")]
     got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.text for r in got) == sorted(["", rows[0][1], rows[2][1]])
+
+
+@pytest.mark.parametrize("links, stars", [([], True), ([(2, 1), (3, 1), (9, 8)], True), ([(2, 1), (3, 2)], False), ([(3, 1), (3, 2)], False)])
+def test_components_know_stars(spark, links, stars):
+    assert neardup._is_forest_of_stars(spark.createDataFrame(links, "a long, b long")) == stars
