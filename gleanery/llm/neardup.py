@@ -8,8 +8,8 @@ members. Pairs whose collision-corrected estimate is far below the threshold go.
 sets, each member's best pair first, and joined into components; pairs within a component need no confirming.
 
 Members that still share a band across components are paired so that no link is lost: all of them in groups of at most
-``FEW``; those of larger groups by the rarest shingles of their full sets (``prefix_pairs``), where two sets can only
-be linked if they meet early enough in one order by rarity. What a large group has in common comes last in that
+``FEW``; those of larger groups by the first shingles of their full sets (``prefix_pairs``), where two sets can only
+be linked if they meet early enough in one order of all shingles. What a large group has in common comes last in that
 order, so its size alone makes no pairs.
 
 Defined results: a null or wordless text has an empty set, is linked with nothing and is its own component;
@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import drawn, durable, held_whole, let_go, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -39,11 +39,13 @@ ZERO_BITS, MANTISSA = 6, 10
 MARGIN = 5
 KEPT_WORDS = 500_000
 FLOOR = PERCENT / 100 - MARGIN * (PERCENT / 100 * (1 - PERCENT / 100) / BUCKETS) ** 0.5
-#: Groups of at most so many are paired by a join, larger ones by their rarest shingles.
+#: Groups of at most so many are paired by a join, larger ones by their first shingles in one order.
 FEW = 16
 #: Sizes that meet are dealt into buckets by this ratio, so that a frequent shingle's group is many small joins.
 SIZE_RATIO = 1.1
 _CHUNK = 4096
+#: Sets that are looked at for frequent shingles, about, the largest of them, and how many frequent shingles come last in the order.
+SAMPLED_SETS, SAMPLED_SIZE, LATE = 2048, 4096, 100_000
 
 
 class _Hashes(dict):
@@ -106,12 +108,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest of the word sequence, n_shingles, bands): one row per row; digest and bands are null without words."""
+    """(doc_id, whole: key of the text, digest of the word sequence, n_shingles, bands): one row per row; digest and bands are null without words."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, multipliers = _Hashes(), _multipliers()
         for batch in batches:
             digests, sizes, rows, has = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 words = words_in(text.as_py())
                 s = shingles(words, hashes)
                 has.append(bool(words))
@@ -122,9 +124,14 @@ def sketches(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)
             ends = np.cumsum([0, *[BUCKETS // BAND * h for h in has]]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), bands], ["doc_id", "digest", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), bands], ["doc_id", "whole", "digest", "n_shingles", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, digest binary, n_shingles long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("whole"), "text").mapInArrow(sketch, "doc_id long, whole binary, digest binary, n_shingles long, bands array<long>")
+
+
+def text_key(text: Column) -> Column:
+    """What tells a row's text from other texts of its doc_id; null for a null text."""
+    return F.unhex(F.md5(text))
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -137,38 +144,73 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 words = words_in(text.as_py())
                 if hashlib.md5(b" ".join(words)).digest() == digest.as_py():
                     found.append((cls.as_py(), shingles(words, hashes)))
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int32()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["cls", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["cls", "n", "shingles"])
+
+    return rows.select("cls", "digest", "text").mapInArrow(sets, "cls long, n long, shingles binary")
+
+
+def frequent_shingles(sets: DataFrame) -> np.ndarray:
+    """The shingles that most sets of a drawn sample hold, the most frequent last; at most ``LATE`` of them, so their size is bounded.
+
+    They only shape an order that is right whatever they are, so the sample and the bound decide about speed alone.
+    """
+    few = drawn(sets.select("cls", "n", "shingles").where(F.col("n") <= SAMPLED_SIZE), F.col("cls"), SAMPLED_SETS)
+    often = few.mapInArrow(_unpacked, "cls long, n long, shingle long").groupBy("shingle").agg(F.count("*").alias("often")).where("often > 2")
+    rows = often.orderBy(F.desc("often"), "shingle").limit(LATE).collect()
+    return np.array([r.shingle for r in reversed(rows)], np.int64)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for cls, n, shingle_set in zip(*batch.columns, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.repeat(cls, n.as_py()), pa.repeat(n, n.as_py()), pa.array(np.frombuffer(shingle_set.as_buffer(), np.int64))], ["cls", "n", "shingle"])
+
+
+def prefixes(sets: DataFrame, late: np.ndarray) -> DataFrame:
+    """(cls, n, shingle, left): the first shingles of each set, as many as may be its first shared one; left: how many it has from there on.
 
-    return rows.select("cls", "digest", "text").mapInArrow(sets, "cls long, n int, shingles binary")
+    The order is by value, with the frequent shingles ``late`` after all others; it is cut within the row.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast((np.sort(late), np.argsort(late, kind="stable") + 1))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, places = sent.value
+        for batch in batches:
+            held: list[list] = [[], [], [], []]
+            for cls, n, shingle_set in zip(*batch.columns, strict=True):
+                own = np.frombuffer(shingle_set.as_buffer(), np.int64)
+                rank = np.zeros(len(own), np.int64)
+                if len(values):
+                    at = np.searchsorted(values, own).clip(0, len(values) - 1)
+                    rank = np.where(values[at] == own, places[at], 0)
+                most = len(own) - -(-PERCENT * len(own) // 100) + 1
+                own = own[np.lexsort((own, rank))[:most]]
+                for into, column in zip(held, (np.full(most, cls.as_py()), np.full(most, n.as_py()), own, n.as_py() - np.arange(most)), strict=True):
+                    into.append(column)
+                if sum(map(len, held[0])) >= 1 << 16:
+                    yield _columns(held)
+                    held = [[], [], [], []]
+            yield _columns(held)
+
+    def _columns(held: list[list]) -> pa.RecordBatch:
+        whole = [np.concatenate(c) if c else np.empty(0, np.int64) for c in held]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in whole], ["cls", "n", "shingle", "left"])
+
+    return sets.where("n > 0").select("cls", "n", "shingles").mapInArrow(cut, "cls long, n long, shingle long, left long")
 
 
 def prefix_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets in different components that may be linked, by their rarest shingles; no link is missing.
+    """Pairs (a, b) of sets in different components that may be linked, by their first shingles; no link is missing.
 
-    All shingles are ordered by how many sets hold them, then by value. If r shingles of a set, this one included,
+    All shingles have one order, frequent ones last. If r shingles of a set, this one included,
     don't come before the first shingle that two sets share, their intersection is at most the lesser r; a link needs
     PERCENT / (100 + PERCENT) of both sizes. So the smaller set must be met within its first seventh, the other
     within its first quarter, both at a depth that their sizes allow.
     """
     least = 100 + PERCENT
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cls, n, shingle_set in zip(*batch.columns, strict=True):
-                values = pa.array(np.frombuffer(shingle_set.as_buffer(), np.int64))
-                for i in range(0, len(values), 1 << 16):
-                    part = values[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(cls, len(part)), pa.repeat(n, len(part)), part], ["cls", "n", "shingle"])
-
-    held = durable(sets.select("cls", "n", "shingles").mapInArrow(unpack, "cls long, n int, shingle long"), "shingles")
-    often = held.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1").withColumnRenamed("shingle", "_shingle")
-    # Shingles of one set alone come first in its order and are never met, so only the others get a row.
-    by_set = Window.partitionBy("cls")
-    ranked = held.join(often, F.col("shingle") == F.col("_shingle")).select("cls", "n", "shingle", "often").select(
-        "cls", "n", "shingle", (F.count("*").over(by_set) - F.row_number().over(by_set.orderBy("often", "shingle")) + 1).alias("left"))
     side = labels.select(F.col("node").alias("_node"), "component")
-    ranked = ranked.where(100 * F.col("left") >= PERCENT * F.col("n")).join(side, F.col("cls") == F.col("_node"), "left")
-    rows = durable(ranked.select("cls", "n", "shingle", "left", F.coalesce("component", "cls").alias("component")), "prefixes")
+    first = prefixes(sets, frequent_shingles(sets)).join(side, F.col("cls") == F.col("_node"), "left")
+    rows = durable(first.select("cls", "n", "shingle", "left", F.coalesce("component", "cls").alias("component")), "prefixes")
     # What a shingle's group is mostly made of is one component, and its members needn't meet each other.
     sizes = rows.groupBy("shingle", "component").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy(F.col("shingle").alias("_shingle")).agg(F.count("*").alias("components"), F.max_by("component", F.struct("size", "component")).alias("main")).where("components > 1")
@@ -212,7 +254,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda s: classes.select(F.col("cls").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("bands").alias(f"bands_{s}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     # Sets whose sizes alone rule the similarity out go first.
-    joined = joined.where((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("n_a") > 0))
+    joined = joined.where((100 * F.least("n_a", "n_b").cast("long") >= PERCENT * F.greatest("n_a", "n_b").cast("long")) & (F.col("n_a") > 0))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,13 +296,18 @@ def _split(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
-    drawn = durable(sketches(docs), "sketches")
-    known = drawn.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    return _classified(docs).drop("whole")
+
+
+def _classified(docs: DataFrame) -> DataFrame:
+    """(doc_id, whole, n_shingles, component_id, kept) for each row of (doc_id, text); whole: key of the row's text."""
+    sketched = durable(sketches(docs), "sketches")
+    known = sketched.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     first = F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first")
     # A class of equal word sequences has a number of its own: two of them may have one doc_id.
     classes = durable(known.groupBy("digest").agg(first).select("digest", F.monotonically_increasing_id().alias("cls"), F.col("first.doc_id").alias("first_id"), "first.n_shingles", "first.bands"), "classes")
 
-    bands = classes.select("cls", F.col("n_shingles").cast("int").alias("n"), F.posexplode("bands").alias("band", "key"))
+    bands = classes.select("cls", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     groups = bands.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1").withColumnsRenamed({"band": "_band", "key": "_key"})
     same_group = (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))
     # The text that others were copied from shares the most bands, so the member that meets the most others is the center.
@@ -299,10 +346,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = labels.join(classes.select(F.col("cls").alias("_cls"), "first_id"), F.col("node") == F.col("_cls"))
     smallest = ids.groupBy("component").agg(F.min("first_id").alias("component_id")).withColumnRenamed("component", "_component")
     named = labels.join(smallest, F.col("component") == F.col("_component")).select("node", "component_id")
-    placed = drawn.join(classes.select(F.col("digest").alias("_digest"), "cls", "first_id"), F.col("digest") == F.col("_digest"), "left")
+    placed = sketched.join(classes.select(F.col("digest").alias("_digest"), "cls", "first_id"), F.col("digest") == F.col("_digest"), "left")
     placed = placed.join(named, F.col("cls") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return placed.select("doc_id", "whole", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -328,9 +375,13 @@ def _joined(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that a document with a smaller doc_id in their component stands for."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without those that a document with a smaller doc_id in their component stands for.
+
+    A row is told by its doc_id and its text: unlike texts under one doc_id go or stay each by its own component.
+    """
+    gone = _classified(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole")).distinct()
+    rows = held_whole(docs, _doc=F.col("doc_id").cast("long"), _key=text_key(F.col("text")))
+    return rows.join(gone, (F.col("_doc") == F.col("_id")) & (F.col("_key") == F.col("_whole")), "left_anti").transform(let_go, docs.columns)
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,7 +206,7 @@ def test_near_duplicates_in_one_large_loose_group(spark, few, monkeypatch):
     assert got == want
 
 
-def test_prefix_pairs_hold_every_link(spark):
+def test_prefix_pairs_hold_every_link(spark, monkeypatch):
     """Sets of all sizes, against brute force: each link across components is among the pairs."""
     rng = np.random.default_rng(5)
     sets = []
@@ -214,11 +214,15 @@ def test_prefix_pairs_hold_every_link(spark):
         base = rng.integers(0, 2**62, rng.integers(1, 60))
         for _ in range(4):
             sets.append(np.unique(np.append(rng.choice(base, max(1, int(len(base) * rng.uniform(0.7, 1))), replace=False), rng.integers(0, 2**62, rng.integers(0, 4)))))
-    table = spark.createDataFrame([(i, len(x), bytearray(x.astype(np.int64).tobytes())) for i, x in enumerate(sets)], "cls long, n int, shingles binary")
+    table = spark.createDataFrame([(i, len(x), bytearray(x.astype(np.int64).tobytes())) for i, x in enumerate(sets)], "cls long, n long, shingles binary")
     labels = spark.createDataFrame([(1, 0), (0, 0)], "node long, component long")
     got = {(r.a, r.b) for r in neardup.prefix_pairs(table, labels).collect()}
     links = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
     assert links - {(1, 0)} <= got and (1, 0) not in got and len(links) > 50 and len(got) < 4 * len(links)
+    # Which shingles count as frequent decides about speed alone.
+    for late in (np.empty(0, np.int64), np.unique(np.concatenate(sets))[::3].astype(np.int64)):
+        monkeypatch.setattr(neardup, "frequent_shingles", lambda _, late=late: late)
+        assert links - {(1, 0)} <= {(r.a, r.b) for r in neardup.prefix_pairs(table, labels).collect()}
 
 
 def test_near_duplicates_of_one_doc_id(spark):
@@ -227,6 +231,10 @@ def test_near_duplicates_of_one_doc_id(spark):
     rows = [(7, one), (7, two), (9, two + " more"), (4, one + " more"), (11, two)]
     got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect())
     assert got == [(4, 4), (7, 4), (7, 7), (9, 7), (11, 7)]
+    extra = spark.createDataFrame([(*r, "x", "y") for r in [*rows, (None, one), (None, None), (3, None)]], "doc_id long, text string, _id string, whole string")
+    kept = neardup.dedup(extra)
+    assert kept.columns == extra.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted([(4, one + " more"), (7, two), (-1, one), (-1, ""), (3, "")])
 
 
 def test_registers_estimate_similarity():
