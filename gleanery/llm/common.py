@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def evenly(df: DataFrame) -> DataFrame:
+    """Dealt out over all cores if the input has fewer splits than there are, as one small file has; a table of many splits stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_of(name: str = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(name), F.lit(""))
