@@ -24,22 +24,25 @@ def running(rows: DataFrame, by: list[str], order: list[str | Column], **totals:
     """The rows with ``name=(fold, column)`` added up in their group, from its first row to this one, as longs.
 
     fold: sum, or xor of bits; nulls add nothing. Rows that are equal in the order get any order among themselves, each its own total. A null
-    group is a group of its own; an empty table stays empty.
+    group is a group of its own; an empty table stays empty; columns of any name are carried, one of a total's name is replaced.
     """
-    values = {f"_{name}": column.cast("long") for name, (_, column) in totals.items()}
-    ranks = {f"_rank{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
-    dealt = rows.withColumns(values | ranks).repartitionByRange(*by, *[F.col(r).asc_nulls_first() for r in ranks])
+    groups, ranks = [f"by{i}" for i in range(len(by))], [f"rank{i}" for i in range(len(order))]
+    folds = {f"v{i}": FOLDS[fold] for i, (fold, _) in enumerate(totals.values())}
+    held = rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *[F.col(f"`{c}`").alias(g) for c, g in zip(by, groups, strict=True)],
+        *[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(r) for c, r in zip(order, ranks, strict=True)], *[column.cast("long").alias(v) for v, (_, column) in zip(folds, totals.values(), strict=True)])
+    in_order = [F.col(r).asc_nulls_first() for r in ranks]
     # Written out once, so that every use below sees the same partitions.
-    placed = settled(dealt.withColumn("_part", F.spark_partition_id()))
-    parts = placed.groupBy(*by, "_part").agg(*[FOLDS[fold][0](f"_{name}").alias(f"_all_{name}") for name, (fold, _) in totals.items()])
-    group = Window.partitionBy(*by)
-    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    spread = parts.withColumn("_parts", F.count("*").over(group)).withColumns({f"_before_{name}": FOLDS[fold][0](f"_all_{name}").over(before) for name, (fold, _) in totals.items()}).where("_parts > 1")
+    placed = settled(held.repartitionByRange(*groups, *in_order).withColumn("part", F.spark_partition_id()))
+    parts = placed.groupBy(*groups, "part").agg(*[total(v).alias(v) for v, (total, _, _) in folds.items()])
+    group = Window.partitionBy(*groups)
+    before = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spread = parts.withColumns({"parts": F.count("*").over(group)} | {f"before_{v}": total(v).over(before) for v, (total, _, _) in folds.items()}).where("parts > 1")
     # Each border between two partitions cuts one group at most, so these are fewer rows than twice the partitions.
-    spread = spread.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_at"), *[f"_before_{name}" for name in totals])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.col("_part") == F.col("_at"))
-    within = Window.partitionBy(*by, "_part").orderBy(*[F.col(r).asc_nulls_first() for r in ranks]).rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumns({f"_own_{name}": FOLDS[fold][0](f"_{name}").over(within) for name, (fold, _) in totals.items()})
+    spread = spread.select(*[F.col(g).alias(f"of_{g}") for g in groups], F.col("part").alias("at"), *[f"before_{v}" for v in folds])
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups], F.col("part") == F.col("at"))
+    within = Window.partitionBy(*groups, "part").orderBy(*in_order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumns({f"own_{v}": total(v).over(within) for v, (total, _, _) in folds.items()})
     joined = summed.join(F.broadcast(spread), same, "left")
-    nothing = lambda c, fold: F.coalesce(c, F.lit(FOLDS[fold][2]).cast("long"))
-    return joined.select(*rows.columns, *[FOLDS[fold][1](nothing(F.col(f"_own_{name}"), fold), nothing(F.col(f"_before_{name}"), fold)).alias(name) for name, (fold, _) in totals.items()])
+    met = {name: meet(F.coalesce(f"own_{v}", F.lit(nothing).cast("long")), F.coalesce(f"before_{v}", F.lit(nothing).cast("long"))).alias(name) for name, (v, (_, meet, nothing)) in zip(totals, folds.items(), strict=True)}
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in rows.columns if c not in met], *met.values())
