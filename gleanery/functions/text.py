@@ -79,7 +79,7 @@ def printable_runs(content: Column) -> Column:
 
 def find_all(text: Column, needle: str, most: int = 5000) -> Column:
     """(begin, end) of the non-overlapping places of a needle, whatever its case, at most ``most``; offsets from 0."""
-    parts = F.split(F.lower(text), r"\Q" + needle.lower() + r"\E")
+    parts = F.split(F.lower(text), r"\Q" + needle.lower().replace(r"\E", r"\E\\E\Q") + r"\E")
     lengths = F.transform(F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(most))), F.length)
     n = len(needle)
     begins = F.aggregate(lengths, F.array().cast("array<int>"), lambda got, size: F.concat(got, F.array(F.coalesce(F.try_element_at(got, F.lit(-1)) + n, F.lit(0)) + size)))

@@ -1,24 +1,40 @@
 """Term matching over surfaces (unit_id, location, surface, source, text).
 
 Words of a text meet a term list of checked size where they are, so that only hits are shuffled; for a longer list each
-unit's words are counted first. One equi-join finds any number of terms. Only terms that are not single words look into
-the texts themselves; they are few and their number is checked. Terms that are switched off never take part, an entry
-that is listed twice counts once, and entries that differ in anything are told apart, also where they share a pattern.
+unit's words are counted first. One equi-join finds any number of terms. Literals of a long list are met by one of their
+grams: the texts' grams join the list's, and only the literals met are looked for in the part of the text that holds the gram. A few literals
+are looked for in each text at once. Expressions that don't compile are put aside with a reason (``quarantined``). Terms that are switched off never
+take part, an entry that is listed twice counts once, and entries that differ in anything are told apart, also where they share a pattern.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import is_asset_path
 from ..functions.text import LOWER, UPPER, fold
+from ..settled import settled
 
 NOT_WORD = "[^A-Za-z0-9_$]+"
-#: Terms that are searched in each text; more are refused, as each costs a pass over every text.
-MOST_SEARCHED = 2000
-#: Single-word terms that are sent to every task; a longer list meets counted words by a shuffle.
-MOST_SENT = 200_000
+#: Terms that are sent to every task, and the characters they may have in all; a longer list meets the texts by a shuffle.
+MOST_SENT, MOST_SENT_CHARS = 200_000, 16_000_000
+#: Up to so many literals are looked for one by one; more are met by their grams.
+FEW_LITERALS = 100
+#: Expressions in one pass over the texts.
+EXPRESSIONS_A_PASS = 500
+#: Characters of a literal's gram; shorter literals are their own gram.
+GRAM = 5
+#: Characters of the parts that texts are cut into for literals; each sees as much of its neighbours as the longest literal needs.
+PART = 32_768
+#: Stands before and behind each text: a code that Unicode keeps free of characters, so that no literal holds it.
+_EDGE = "\uffff"
+_NAMES = ("unit_id", "location", "surface", "source")
+_OWN = ("pattern", "kind", "severity", "category")
 #: Texts that tools leave behind, and the tools' names.
 MARKERS = (
     ("Allatori", "Allatori"), ("zelix", "Zelix KlassMaster"), ("Stringer", "Stringer"), ("Skidfuscator", "Skidfuscator"), ("Paramorphism", "Paramorphism"),
@@ -52,7 +68,7 @@ def match_words(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
     keys, own = ["unit_id", "location", "surface", "source"], ["pattern", "kind", "severity", "category"]
     words = _entries(terms).where((F.col("kind") == "WORD") & is_single_word(F.col("pattern"))).select(fold(F.col("pattern")).alias("_word"), "_term", *own, "case_sensitive", "scan_paths", "scan_strings")
     on = (fold(F.col("token")) == F.col("_word")) & (~F.col("case_sensitive") | (F.col("token") == F.col("pattern"))) & F.when(F.col("surface") == "PATH", F.col("scan_paths")).otherwise(F.col("scan_strings"))
-    if words.limit(MOST_SENT + 1).count() <= MOST_SENT:
+    if _may_be_sent(words, "pattern"):
         tokens = surfaces.select(*keys, F.explode(F.split("text", NOT_WORD)).alias("token"), F.lit(1).cast("long").alias("hits"))
         found = tokens.join(F.broadcast(words), on)
     else:
@@ -66,35 +82,133 @@ def without_assets(hits: DataFrame, excerpt: str | None = None) -> DataFrame:
     return hits.where(~F.coalesce(asset | is_asset_path(F.col(excerpt)) if excerpt else asset, F.lit(False)))
 
 
-def pattern_of(row) -> str:
-    """A searched term as a regular expression that counts its places; matches may overlap unless the term is REGEX."""
-    quoted = r"\Q" + row.pattern + r"\E"
-    flag = "" if row.case_sensitive or row.kind == "REGEX" else "(?i)"
-    if row.kind == "REGEX":
-        return row.pattern
-    if row.kind == "WORD":
-        return rf"{flag}(?=(?<![A-Za-z0-9_$]){quoted}(?![A-Za-z0-9_$]))"
-    return rf"{flag}(?={quoted})"
+def quoted(text: str) -> str:
+    """An expression that matches a text as it stands, also one that holds the sign that ends a quotation."""
+    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
+def _quoted(text: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def _may_be_sent(terms: DataFrame, text: str) -> bool:
+    """Whether a term list is small enough for every task."""
+    n, chars = terms.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    return n <= MOST_SENT and chars <= MOST_SENT_CHARS
+
+
+def _applies() -> Column:
+    return F.when(F.col("surface") == "PATH", F.col("scan_paths")).otherwise(F.col("scan_strings"))
+
+
+def broken_expressions(spark: SparkSession, patterns: list[str]) -> dict[str, str]:
+    """pattern -> reason, for those that Spark can't compile: all are tried at once, then halves of what fails."""
+    try:
+        for i in range(0, len(patterns), EXPRESSIONS_A_PASS):
+            spark.range(1).select(*[F.regexp_count(F.lit(""), F.lit(p)) for p in patterns[i : i + EXPRESSIONS_A_PASS]]).collect()
+    except (PySparkException, Py4JError) as error:
+        if len(patterns) == 1:
+            return {patterns[0]: str(error).strip().split("\n")[0][:300]}
+        half = len(patterns) // 2
+        return broken_expressions(spark, patterns[:half]) | broken_expressions(spark, patterns[half:])
+    return {}
+
+
+def quarantined(terms: DataFrame) -> DataFrame:
+    """(pattern, kind, severity, category, reason) of the enabled expressions that don't compile; matching goes on without them."""
+    rows = _expressions(terms)
+    broken = broken_expressions(terms.sparkSession, sorted({r.pattern for r in rows}))
+    return terms.sparkSession.createDataFrame([(*(r[c] for c in _OWN), broken[r.pattern]) for r in rows if r.pattern in broken], "pattern string, kind string, severity string, category string, reason string")
+
+
+def _expressions(terms: DataFrame) -> list:
+    return _entries(terms).where((F.col("kind") == "REGEX") & F.col("pattern").isNotNull()).orderBy("pattern", "_term").collect()
+
+
+def _literals(terms: DataFrame) -> DataFrame:
+    """Literals, and words that aren't single ones, with their length, folded unless their case counts."""
+    plain = _entries(terms).where(((F.col("kind") == "LITERAL") | ((F.col("kind") == "WORD") & ~is_single_word(F.col("pattern")))) & (F.length("pattern") > 0))
+    needle = F.when(F.col("case_sensitive"), F.col("pattern")).otherwise(fold(F.col("pattern")))
+    return plain.withColumns({"_needle": needle, "_size": F.length("pattern")})
+
+
+def _look_for(needle: Column, word: Column) -> Column:
+    """The expression that counts a needle's places, overlapping ones too; a word must not go on before or behind it."""
+    return F.when(word, F.concat(F.lit("(?s)(?<=[^A-Za-z0-9_$])(?="), _quoted(needle), F.lit("[^A-Za-z0-9_$])"))).otherwise(F.concat(F.lit("(?s)(?<=.)(?="), _quoted(needle), F.lit(")")))
+
+
+def match_literals(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
+    """Hits of LITERAL terms and of WORD terms that are not single words, one row for each place and entry; case folds for ASCII alone.
+
+    The number of literals is not limited, nor is the length of a text. A literal's places are counted where they begin, in one part
+    of the text each.
+    """
+    literals = settled(_literals(terms))
+    longest, n = literals.agg(F.coalesce(F.max("_size"), F.lit(0)), F.count("*")).first()
+    whole = F.concat(F.lit(_EDGE), F.col("text"), F.lit(_EDGE))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(PART))
+    # A part begins with the character before it and ends where the longest literal that begins in it may.
+    parts = surfaces.where(F.length("text") > 0).select(*_NAMES, F.explode(F.transform(starts, lambda i: F.substr(whole, i + 1, F.lit(PART + longest + 1)))).alias("_raw"))
+    parts = parts.withColumn("_low", fold(F.col("_raw")))
+    fields = ("_needle", "_size", "_term", *_OWN, "case_sensitive", "scan_paths", "scan_strings")
+    if n <= FEW_LITERALS:
+        rows = literals.orderBy("_term").collect()
+        listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in fields]) for r in rows]) if rows else None
+        if listed is None:
+            return literals.sparkSession.createDataFrame([], ", ".join(f"{c} {t}" for c, t in [*[x for x in surfaces.dtypes if x[0] in _NAMES], *[(c, "string") for c in _OWN], ("hits", "long")]))
+        held = F.filter(listed, lambda t: F.when(t["case_sensitive"], F.col("_raw")).otherwise(F.col("_low")).contains(t["_needle"]))
+        met = parts.select("*", F.inline(held))
+    else:
+        index = _gram_index(literals)
+        sizes = [r[0] for r in index.select(F.length("gram")).distinct().collect()]
+        every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_low"), k) for k in sorted(sizes)])))
+        wanted = index.join(literals, "_term").select("gram", *fields)
+        if _may_be_sent(wanted, "pattern"):
+            met = parts.select("*", F.explode(every).alias("gram")).join(F.broadcast(wanted), "gram")
+        else:
+            # No text is moved once for each of its grams: parts get numbers, and come back for the literals they meet.
+            parts = settled(parts.withColumn("_part", F.monotonically_increasing_id()))
+            pairs = parts.select("_part", F.explode(every).alias("gram")).join(wanted, "gram").select("_part", *fields)
+            met = parts.join(pairs, "_part")
+    word = F.col("kind") == "WORD"
+    text = F.left(F.when(F.col("case_sensitive"), F.col("_raw")).otherwise(F.col("_low")), F.lit(PART) + F.col("_size") + word.cast("int"))
+    hits = F.when(text.contains(F.col("_needle")), F.regexp_count(text, _look_for(F.col("_needle"), word))).otherwise(0)
+    counted = met.where(_applies()).select(*_NAMES, "_term", *_OWN, hits.cast("long").alias("hits")).where("hits > 0")
+    return counted.groupBy(*_NAMES, "_term", *_OWN).agg(F.sum("hits").alias("hits")).drop("_term")
+
+
+def _grams(text: Column, size: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def _gram_index(literals: DataFrame) -> DataFrame:
+    """(_term, gram): of each literal the gram that the fewest literals hold; each gram is folded."""
+    low = fold(F.col("pattern"))
+    grams = literals.select("_term", F.explode(F.array_distinct(F.when(F.col("_size") > GRAM, _grams(low, GRAM)).otherwise(F.array(low)))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("_n"))
+    return grams.join(often, "gram").groupBy("_term").agg(F.min_by("gram", F.struct("_n", F.xxhash64("gram"), "gram")).alias("gram"))
+
+
+def match_expressions(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
+    """Hits of REGEX terms, one row for each place and entry; those that don't compile are left out."""
+    rows = _expressions(terms)
+    broken = broken_expressions(terms.sparkSession, sorted({r.pattern for r in rows}))
+    rows = [r for r in rows if r.pattern not in broken]
+    if not rows:
+        return surfaces.select(*_NAMES, *[F.lit("").alias(c) for c in _OWN], F.lit(0).cast("long").alias("hits")).where("false")
+    passes = []
+    for i in range(0, len(rows), EXPRESSIONS_A_PASS):
+        hits = []
+        for r in rows[i : i + EXPRESSIONS_A_PASS]:
+            on = F.when(F.col("surface") == "PATH", F.lit(r.scan_paths)).otherwise(F.lit(r.scan_strings))
+            hits.append(F.struct(F.lit(r["_term"]).alias("_term"), *[F.lit(r[c]).alias(c) for c in _OWN], F.when(on, F.regexp_count("text", F.lit(r.pattern))).otherwise(0).cast("long").alias("hits")))
+        passes.append(surfaces.select(*_NAMES, F.inline(F.array(*hits))).where("hits > 0"))
+    return reduce(DataFrame.unionByName, passes).groupBy(*_NAMES, "_term", *_OWN).agg(F.sum("hits").alias("hits")).drop("_term")
 
 
 def match_searched(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
     """Hits of LITERAL and REGEX terms and of WORD terms that are not single words; case folds for ASCII alone."""
-    rows = _entries(terms).where((F.col("kind") != "WORD") | ~is_single_word(F.col("pattern"))).limit(MOST_SEARCHED + 1).collect()
-    if len(rows) > MOST_SEARCHED:
-        raise ValueError(f"over {MOST_SEARCHED} terms to search in every text")
-    if not rows:
-        return surfaces.sparkSession.createDataFrame([], "unit_id long, location string, surface string, source string, pattern string, kind string, severity string, category string, hits long")
-    hits = []
-    for r in rows:
-        on = F.when(F.col("surface") == "PATH", F.lit(r.scan_paths)).otherwise(F.lit(r.scan_strings))
-        count = F.regexp_count("text", F.lit(pattern_of(r)))
-        if r.kind != "REGEX":
-            needle = r.pattern if r.case_sensitive else r.pattern.translate(str.maketrans(UPPER, LOWER))
-            count = F.when(F.col("text" if r.case_sensitive else "_low").contains(needle), count).otherwise(0)
-        hits.append(F.struct(*[F.lit(r[c]).alias(c) for c in ("pattern", "kind", "severity", "category")], F.when(on, count).otherwise(0).cast("long").alias("hits")))
-    # The text is folded once for all terms.
-    folded = surfaces.withColumn("_low", fold(F.col("text")))
-    return folded.select("unit_id", "location", "surface", "source", F.inline(F.array(*hits))).where("hits > 0")
+    return match_literals(surfaces, terms).unionByName(match_expressions(surfaces, terms))
 
 
 def match_terms(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
@@ -119,7 +233,7 @@ def _folded(keyword: str) -> str:
 def risk_keywords(surfaces: DataFrame, keywords: dict[str, str]) -> DataFrame:
     """Every place of each keyword, A-Z in any case, with its risk: (unit_id, location, keyword, risk, hits)."""
     low = F.col("_low")
-    found = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(risk or "MEDIUM").alias("risk"), F.when(low.contains(_folded(k)), F.regexp_count(low, F.lit(rf"(?=\Q{_folded(k)}\E)"))).otherwise(0).cast("long").alias("hits")) for k, risk in keywords.items()])
+    found = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(risk or "MEDIUM").alias("risk"), F.when(low.contains(_folded(k)), F.regexp_count(low, F.lit(f"(?={quoted(_folded(k))})"))).otherwise(0).cast("long").alias("hits")) for k, risk in keywords.items()])
     return surfaces.withColumn("_low", fold(F.col("text"))).select("unit_id", "location", F.inline(found)).where("hits > 0")
 
 
