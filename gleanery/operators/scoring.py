@@ -14,10 +14,12 @@ FOLD_KEY = ("unit_id", "title", "source")
 
 
 def fold_findings(findings: DataFrame) -> DataFrame:
-    """One row for each unit, pattern (or title) and source: hits added up, the first row's place and evidence kept."""
+    """One row for each unit, pattern (or title) and source: hits added up, the first row's place and evidence kept; null hits add nothing, a null ``seq`` comes first."""
     key = F.coalesce("pattern", "title").alias("fold_key")
-    first = F.min_by(F.struct("title", "severity", "category", "pattern", "location", "evidence", "seq"), "seq").alias("first")
-    return findings.groupBy("unit_id", key, "source").agg(F.sum("hits").alias("hits"), first).select("unit_id", "source", "hits", "first.*")
+    kept = ("title", "severity", "category", "pattern", "location", "evidence")
+    first = F.min(F.struct("seq", *kept)).alias("first")
+    folded = findings.groupBy("unit_id", key, "source").agg(F.coalesce(F.sum("hits"), F.lit(0)).cast("long").alias("hits"), first)
+    return folded.select("unit_id", "source", "hits", *[f"first.{c}" for c in (*kept, "seq")])
 
 
 def unit_scores(folded: DataFrame) -> DataFrame:
