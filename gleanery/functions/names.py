@@ -208,6 +208,18 @@ def suspicion_reason(outcome: Column, encrypted: Column, obfuscated: Column, bro
     return F.when(encrypted | (outcome == "ENCRYPTED"), "encrypted").when(obfuscated, hidden).when(outcome == "NOT_AN_ARCHIVE", "not an archive").when(broken | (outcome == "UNREADABLE"), "broken").otherwise("")
 
 
+# Names that stay although they are short, or are known by their contract.
+KEPT_NAMES = (
+    "main", "toString", "equals", "hashCode", "clone", "getClass", "notify", "notifyAll", "wait", "finalize", "valueOf", "values", "ordinal", "name", "compareTo",
+    "run", "start", "stop", "init", "close", "open", "read", "write", "size", "get", "set", "add", "remove", "put", "next", "hasNext", "iterator", "<init>", "<clinit>",
+)
+
+
+def says_nothing(name: Column) -> Column:
+    """A name of one or two letters, digits, _ or $ that isn't known by its contract; only such names are replaced."""
+    return F.coalesce(name.rlike(r"^[\p{L}\p{Nd}_$]{1,2}$") & ~name.isin(*KEPT_NAMES), F.lit(False))
+
+
 # What a descriptor says about a method or a field, the first that fits.
 METHOD_WORDS = (("Player", "handlePlayer"), ("Entity", "handleEntity"), ("World", "handleWorld"), ("Packet", "handlePacket"), ("Event", "onEvent"), ("ItemStack", "handleItem"), ("Block", "handleBlock"), ("Chat", "handleChat"), ("Message", "handleChat"))
 FIELD_TYPES = (("Z", "flag"), ("I", "intField"), ("J", "longField"), ("D", "doubleField"), ("F", "floatField"), ("Ljava/lang/String;", "stringField"))
@@ -219,9 +231,16 @@ def stable_number(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 100000
 
 
-def method_name(owner: Column, name: Column, descriptor: Column) -> Column:
-    """A telling name for a method whose own says nothing, out of its descriptor."""
+# Flags of access, and what they say about a method whose descriptor says nothing.
+PUBLIC, PRIVATE, PROTECTED, STATIC = 1, 2, 4, 8
+
+
+def method_name(owner: Column, name: Column, descriptor: Column, access: Column | None = None) -> Column:
+    """A telling name for a method whose own says nothing, out of its descriptor or else its access."""
     prefix = F.lit("method")
+    if access is not None:
+        has = lambda flag: access.bitwiseAND(F.lit(flag)) != 0
+        prefix = F.when(has(PUBLIC) & ~has(STATIC), "publicMethod").when(has(PRIVATE), "privateMethod").when(has(PROTECTED), "protectedMethod").otherwise(prefix)
     for word, start in reversed(METHOD_WORDS):
         prefix = F.when(descriptor.contains(word), start).otherwise(prefix)
     return F.concat(prefix, stable_number(F.concat(owner, F.lit("."), name, descriptor)).cast("string"))
@@ -236,8 +255,16 @@ def field_name(owner: Column, name: Column, descriptor: Column) -> Column:
     return F.concat(prefix, stable_number(F.concat(owner, F.lit("."), name, descriptor)).cast("string"))
 
 
-def class_name(internal: Column, parent: Column) -> Column:
-    """A name for a class out of its parent's, if that says something, at most 20 characters of it."""
-    simple = F.substring_index(parent, "/", -1)
-    telling = parent.isNotNull() & (parent != "java/lang/Object") & ~is_short(simple)
-    return F.concat(F.lit("deobf/"), F.when(telling, F.left(simple, F.lit(20))).otherwise("Class"), stable_number(internal).cast("string"))
+def class_name(internal: Column, parent: Column, interface: Column | None = None) -> Column:
+    """A name for a class out of its parent's or else its first interface's, if that says something, at most 20 characters of it."""
+    def telling(of: Column) -> Column:
+        simple = F.substring_index(of, "/", -1)
+        return F.when(of.isNotNull() & (of != "java/lang/Object") & ~says_nothing(simple), F.left(simple, F.lit(20)))
+
+    routes = [telling(parent), *([telling(interface)] if interface is not None else []), F.lit("Class")]
+    return F.concat(F.lit("deobf/"), F.coalesce(*routes), stable_number(internal).cast("string"))
+
+
+def renamed(name: Column, new: Column) -> Column:
+    """The new name where the old one says nothing, else the old one."""
+    return F.when(says_nothing(F.substring_index(name, "/", -1)), new).otherwise(name)

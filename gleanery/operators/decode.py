@@ -169,8 +169,8 @@ _CLASS = (202, 254, 186, 190)
 
 
 def hidden_class(content: Column) -> Column:
-    """Whether bytes begin as a class does under one key of 1 to 127."""
-    return F.hex(F.substring(content, 1, 4)).isin([bytes(b ^ key for b in _CLASS).hex().upper() for key in range(1, 128)])
+    """Whether bytes begin as a class does under one key of 1 to 255."""
+    return F.hex(F.substring(content, 1, 4)).isin([bytes(b ^ key for b in _CLASS).hex().upper() for key in range(1, 256)])
 
 
 def encoding_class(content: Column) -> Column:

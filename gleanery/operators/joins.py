@@ -34,7 +34,11 @@ def ghosts(referenced: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def present(referenced: DataFrame, files: DataFrame) -> DataFrame:
-    return referenced.join(files.select("path").distinct(), "path", "left_semi")
+    """References to files that are there; paths that end as directories do, or are marked as such by a ``directory`` column, are no targets."""
+    plain = files.where(~F.col("path").rlike(r"[/\\]$"))
+    if "directory" in files.columns:
+        plain = plain.where(~F.coalesce("directory", F.lit(False)))
+    return referenced.join(plain.select("path").distinct(), "path", "left_semi")
 
 
 def reparented(findings: DataFrame, lineage: DataFrame, depth: int = 2) -> DataFrame:

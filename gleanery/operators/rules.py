@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 
 
-def entry_findings(entries: DataFrame) -> DataFrame:
-    """(unit_id, rule, severity, source, breaks, n): the entry rules that hold, and for how many entries."""
+def _entry_rules() -> list[tuple[str, Column, str, str, bool]]:
+    """(rule, when, severity, source, breaks) of the rules about one entry."""
     name = F.col("name")
     kind = N.entry_kind(name)
-    rules = [
+    return [
         ("encrypted", N.is_encrypted(F.col("flags")), "CRITICAL", "ENCRYPTION", False),
         ("traversal", N.has_traversal(name), "CRITICAL", "ARCHIVE", True),
         ("odd method", N.is_odd_method(F.col("method")), "MEDIUM", "ARCHIVE", True),
@@ -23,49 +23,55 @@ def entry_findings(entries: DataFrame) -> DataFrame:
         ("native library", kind == "native", "HIGH", "NATIVE_LIB", False),
         ("script", kind == "script", "HIGH", "RESOURCE", False),
     ]
-    held = F.filter(F.array(*[F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(source).alias("source"), F.lit(breaks).alias("breaks"))) for rule, when, severity, source, breaks in rules]), F.isnotnull)
-    return entries.select(F.col("archive_id").alias("unit_id"), F.inline(held)).groupBy("unit_id", "rule", "severity", "source", "breaks").agg(F.count("*").alias("n"))
-
-
-def duplicate_names(entries: DataFrame) -> DataFrame:
-    """(unit_id, names, n): archives with entries of one name, directories aside."""
-    twice = entries.where(~F.col("name").endswith("/")).groupBy(F.col("archive_id").alias("unit_id"), "name").agg(F.count("*").alias("n")).where("n > 1")
-    return twice.groupBy("unit_id").agg(F.count("*").alias("names"), F.sum("n").alias("n"))
 
 
 def archive_findings(archives: DataFrame) -> DataFrame:
-    """(unit_id, rule, severity, source, breaks, n) of the rules about an archive as a whole."""
+    """(unit_id, rule, severity, source, breaks, n) of the rules about an archive as a whole; the directory's place counts where it is known."""
+    one = F.lit(1)
     rules = [
-        ("disguised", F.col("readable") & ~N.is_archive_name(F.col("name")), "CRITICAL", "FILE_NAME", False),
-        ("recycled", N.in_recycle_bin(F.col("path")), "MEDIUM", "FILE_NAME", False),
-        ("prefix bytes", F.col("prefix_bytes") > 0, "MEDIUM", "ARCHIVE", False),
-        ("trailing bytes", F.col("trailing_bytes") > 0, "MEDIUM", "ARCHIVE", False),
-        ("unreadable", ~F.col("readable"), "HIGH", "ARCHIVE", False),
+        ("disguised", F.col("readable") & ~N.is_archive_name(F.col("name")), "CRITICAL", "FILE_NAME", False, one),
+        ("recycled", N.in_recycle_bin(F.col("path")), "MEDIUM", "FILE_NAME", False, one),
+        ("prefix bytes", F.col("prefix_bytes") > 0, "MEDIUM", "ARCHIVE", False, one),
+        ("trailing bytes", F.col("trailing_bytes") > 0, "MEDIUM", "ARCHIVE", False, one),
+        ("unreadable", ~F.col("readable"), "HIGH", "ARCHIVE", False, one),
     ]
-    held = F.filter(F.array(*[F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(source).alias("source"), F.lit(breaks).alias("breaks"), F.lit(1).cast("long").alias("n"))) for rule, when, severity, source, breaks in rules]), F.isnotnull)
-    return archives.select(F.col("archive_id").alias("unit_id"), F.inline(held))
-
-
-def cross_findings(archives: DataFrame, entries: DataFrame) -> DataFrame:
-    """Rules that need both: entries past the end of the file, and a declared count that is not the real one."""
-    facts = archives.select("archive_id", "prefix_bytes", "size_bytes", "declared_entries")
-    joined = entries.join(facts, "archive_id").groupBy(F.col("archive_id").alias("unit_id")).agg(
-        F.count_if(F.col("prefix_bytes") + F.col("header_offset") >= F.col("size_bytes")).alias("past"), F.count("*").alias("n"), F.max("declared_entries").alias("declared"))
-    rules = F.filter(F.array(
-        F.when(F.col("past") > 0, F.struct(F.lit("entry past end").alias("rule"), F.col("past").alias("n"))),
-        F.when(F.col("n") != F.col("declared"), F.struct(F.lit("entry count").alias("rule"), F.lit(1).cast("long").alias("n")))), F.isnotnull)
-    return joined.select("unit_id", F.inline(rules)).select("unit_id", "rule", F.lit("MEDIUM").alias("severity"), F.lit("ARCHIVE").alias("source"), F.lit(True).alias("breaks"), "n")
+    if "directory_offset" in archives.columns:
+        at, size = F.col("directory_offset"), F.col("directory_size")
+        rules.append(("directory out of range", (at < 0) | (size < 0) | (at + size > F.col("size_bytes")), "MEDIUM", "ARCHIVE", True, one))
+    return archives.select(F.col("archive_id").alias("unit_id"), F.inline(_held(rules)))
+
+
+def entry_findings(archives: DataFrame, entries: DataFrame) -> DataFrame:
+    """(unit_id, rule, severity, source, breaks, n): the rules about an archive's entries that hold, for how many entries or names.
+
+    Entries are read once. They meet what is known of their archive, are added up by name, which tells names that come
+    twice, and then by archive; entries of an unknown archive are judged by themselves.
+    """
+    rules = _entry_rules()
+    known = archives.select(F.col("archive_id").alias("_id"), "prefix_bytes", "size_bytes", "declared_entries")
+    count = lambda when: F.count_if(F.coalesce(when, F.lit(False)))
+    past = F.col("prefix_bytes") + F.col("header_offset") >= F.col("size_bytes")
+    names = entries.join(known, F.col("archive_id") == F.col("_id"), "left").groupBy("archive_id", "name").agg(
+        F.count("*").alias("n"), F.max("declared_entries").alias("declared"), count(past).alias("past"), *[count(when).alias(f"r{i}") for i, (_, when, *_) in enumerate(rules)])
+    twice = (F.col("n") > 1) & ~F.col("name").endswith("/")
+    sums = names.groupBy(F.col("archive_id").alias("unit_id")).agg(
+        F.sum("n").alias("n"), F.max("declared").alias("declared"), F.sum("past").alias("past"), count(twice).alias("twice"), *[F.sum(f"r{i}").alias(f"r{i}") for i in range(len(rules))])
+    whole = [
+        ("duplicate names", F.col("twice") > 0, "HIGH", "ARCHIVE", True, F.col("twice")), ("entry past end", F.col("past") > 0, "MEDIUM", "ARCHIVE", True, F.col("past")),
+        ("entry count", F.col("n") != F.col("declared"), "MEDIUM", "ARCHIVE", True, F.lit(1))]
+    each = [(rule, F.col(f"r{i}") > 0, severity, source, breaks, F.col(f"r{i}")) for i, (rule, _, severity, source, breaks) in enumerate(rules)]
+    return sums.select("unit_id", F.inline(_held([*each, *whole])))
 
 
 def rule_findings(archives: DataFrame, entries: DataFrame) -> DataFrame:
-    twice = duplicate_names(entries).select("unit_id", F.lit("duplicate names").alias("rule"), F.lit("HIGH").alias("severity"), F.lit("ARCHIVE").alias("source"), F.lit(True).alias("breaks"), F.col("names").alias("n"))
-    return reduce(DataFrame.unionByName, [archive_findings(archives), entry_findings(entries), cross_findings(archives, entries), twice])
+    """All rules that hold for archives and their entries."""
+    return archive_findings(archives).unionByName(entry_findings(archives, entries))
 
 
-def _held(rules: list[tuple[str, Column, object, str, Column]]) -> Column:
-    """The rules that hold, as structs to be inlined: (rule, when, severity, source, n)."""
+def _held(rules: list[tuple]) -> Column:
+    """The rules that hold, as structs to be inlined: (rule, when, severity, source, breaks, n)."""
     of = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.filter(F.array(*[F.when(when, F.struct(F.lit(rule).alias("rule"), of(severity).alias("severity"), F.lit(source).alias("source"), F.lit(False).alias("breaks"), n.cast("long").alias("n"))) for rule, when, severity, source, n in rules]), F.isnotnull)
+    return F.filter(F.array(*[F.when(when, F.struct(F.lit(rule).alias("rule"), of(severity).alias("severity"), F.lit(source).alias("source"), F.lit(breaks).alias("breaks"), n.cast("long").alias("n"))) for rule, when, severity, source, breaks, n in rules]), F.isnotnull)
 
 
 def content_findings(entries: DataFrame) -> DataFrame:
@@ -82,15 +88,15 @@ def manifest_findings(facts: DataFrame) -> DataFrame:
     """What manifests ask a loader to do, of the columns of manifest_facts."""
     one = F.lit(1)
     return facts.select(F.col("archive_id").alias("unit_id"), F.inline(_held([
-        ("agent", F.col("premain_class").isNotNull() | F.col("agent_class").isNotNull(), "HIGH", "MANIFEST", one), ("tweaker", F.col("tweak_class").isNotNull(), "MEDIUM", "MANIFEST", one), ("core plugin", F.col("core_plugin"), "MEDIUM", "MANIFEST", one)])))
+        ("agent", F.col("premain_class").isNotNull() | F.col("agent_class").isNotNull(), "HIGH", "MANIFEST", False, one), ("tweaker", F.col("tweak_class").isNotNull(), "MEDIUM", "MANIFEST", False, one), ("core plugin", F.col("core_plugin"), "MEDIUM", "MANIFEST", False, one)])))
 
 
 def reading_findings(reads: DataFrame, deepest: int = 2) -> DataFrame:
     """What reading an archive met, of (unit_id, depth, nested_error, truncated, signature_error): nested archives too deep or broken, a budget that ran out, a signature that doesn't hold."""
     one = F.lit(1)
     return reads.select("unit_id", F.inline(_held([
-        ("nested skipped", F.col("depth") >= deepest, "LOW", "NESTED_JAR", one), ("nested failed", F.col("nested_error").isNotNull(), "MEDIUM", "NESTED_JAR", one),
-        ("incomplete", F.col("truncated"), "MEDIUM", "DECOMPILE_FAIL", one), ("bad signature", F.col("signature_error").isNotNull(), "MEDIUM", "ARCHIVE", one)])))
+        ("nested skipped", F.col("depth") >= deepest, "LOW", "NESTED_JAR", False, one), ("nested failed", F.col("nested_error").isNotNull(), "MEDIUM", "NESTED_JAR", False, one),
+        ("incomplete", F.col("truncated"), "MEDIUM", "DECOMPILE_FAIL", False, one), ("bad signature", F.col("signature_error").isNotNull(), "MEDIUM", "ARCHIVE", False, one)])))
 
 
 def truncated_reads(entries: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
@@ -102,8 +108,8 @@ def obfuscation_findings(judged: DataFrame, markers: DataFrame | None = None) ->
     """Findings about hidden code, of the columns of scoring.judged and markers (unit_id, marker); all but the unparseable classes ask for a unit that is obfuscated."""
     hidden, classes, bad = F.col("obfuscated"), F.col("classes"), F.col("unparseable")
     found = judged.select("unit_id", F.inline(_held([
-        ("bad classes", bad > 0, F.when(bad > 0.25 * (classes + bad), "HIGH").otherwise("MEDIUM"), "DECOMPILE_FAIL", bad), ("obfuscated", hidden, "HIGH", "OBFUSCATION", F.lit(1)),
-        ("invisible names", hidden & (F.col("invisible") > 0), "CRITICAL", "OBFUSCATION", F.col("invisible")), ("encrypted strings", hidden & (F.col("decrypt_calls") > 1.5 * classes), "HIGH", "OBFUSCATION", F.col("decrypt_calls"))])))
+        ("bad classes", bad > 0, F.when(bad > 0.25 * (classes + bad), "HIGH").otherwise("MEDIUM"), "DECOMPILE_FAIL", False, bad), ("obfuscated", hidden, "HIGH", "OBFUSCATION", False, F.lit(1)),
+        ("invisible names", hidden & (F.col("invisible") > 0), "CRITICAL", "OBFUSCATION", False, F.col("invisible")), ("encrypted strings", hidden & (F.col("decrypt_calls") > 1.5 * classes), "HIGH", "OBFUSCATION", False, F.col("decrypt_calls"))])))
     if markers is None:
         return found
     left = markers.join(judged.where(hidden).select("unit_id"), "unit_id", "left_semi").groupBy("unit_id").agg(F.count("*").alias("n"))
@@ -118,7 +124,9 @@ def synthesised_rows(ghosts: DataFrame, closed: DataFrame) -> DataFrame:
 
 
 def inventory(entries: DataFrame) -> DataFrame:
-    """Entries of each kind by archive; directories are neither entries that are read nor resources."""
+    """Entries of each kind by archive, and the classes that can be read and that can't, for being encrypted or packed by an unknown method; directories are neither entries that are read nor resources."""
     kind = N.entry_kind(F.col("name"))
     kinds = ("class", "nested", "native", "script", "resource", "manifest", "directory")
-    return entries.withColumn("_kind", kind).groupBy("archive_id").agg(F.count("*").alias("entries"), *[F.count_if(F.col("_kind") == k).alias(f"n_{k}") for k in kinds])
+    is_class, closed = F.col("_kind") == "class", F.coalesce(N.is_encrypted(F.col("flags")) | N.is_odd_method(F.col("method")), F.lit(False))
+    return entries.withColumn("_kind", kind).groupBy("archive_id").agg(
+        F.count("*").alias("entries"), F.count_if(is_class & ~closed).alias("n_read"), F.count_if(is_class & closed).alias("n_unreadable"), *[F.count_if(F.col("_kind") == k).alias(f"n_{k}") for k in kinds])

@@ -209,6 +209,13 @@ def instruction_scorecard(metrics: DataFrame, first: int = 30) -> DataFrame:
     return at.select("archive_id", "classes", "score", "obfuscated", "hidden", kind.alias("kind"))
 
 
+def triage(units: DataFrame, verdicts: list[str], days: int, as_of: str, text: str = "") -> DataFrame:
+    """Units (verdict, modified_at, path, name) with one of these verdicts, of at most so many days or of no known time, that hold the text, in any case, in path or name; with their age in days."""
+    aged = units.withColumn("age", F.datediff(F.lit(as_of).cast("date"), F.col("modified_at").cast("date")))
+    held = F.lower(F.concat_ws("\n", "path", "name")).contains(text.lower()) if text else F.lit(True)
+    return aged.where(F.col("verdict").isin(*verdicts) & (F.col("age").isNull() | (F.col("age") <= days)) & held)
+
+
 def sample_names(names: DataFrame, most: int = 12) -> DataFrame:
     """(unit_id, names): the first names of each unit by ordinal, at most twelve, of (unit_id, ordinal, name)."""
     ranked = names.withColumn("_n", F.row_number().over(Window.partitionBy("unit_id").orderBy("ordinal"))).where(F.col("_n") <= most)

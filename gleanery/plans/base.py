@@ -49,7 +49,8 @@ DERIVED = {
         "o_orderkey AS archive_id", "concat('mod', CAST(o_orderkey AS STRING), CASE o_orderkey % 5 WHEN 0 THEN '.dll' WHEN 1 THEN '.JAR' ELSE '.jar' END) AS name",
         "concat('/vol', CAST(o_custkey % 3 AS STRING), CASE WHEN o_orderkey % 41 = 0 THEN '/$Recycle.Bin/' ELSE '/lib/' END, 'mod', CAST(o_orderkey AS STRING), '.jar') AS path",
         "CAST(floor(o_totalprice / 4) AS BIGINT) AS size_bytes", "o_orderdate AS modified_at", "CAST(o_orderkey % 7 + 1 AS BIGINT) AS declared_entries",
-        "CAST(CASE WHEN o_orderkey % 13 = 0 THEN 100 ELSE 0 END AS BIGINT) AS prefix_bytes", "CAST(CASE WHEN o_orderkey % 17 = 0 THEN 9 ELSE 0 END AS BIGINT) AS trailing_bytes", "o_orderstatus <> 'P' AS readable"]),
+        "CAST(CASE WHEN o_orderkey % 13 = 0 THEN 100 ELSE 0 END AS BIGINT) AS prefix_bytes", "CAST(CASE WHEN o_orderkey % 17 = 0 THEN 9 ELSE 0 END AS BIGINT) AS trailing_bytes", "o_orderstatus <> 'P' AS readable",
+        "CAST(o_custkey % 1000 - CASE WHEN o_orderkey % 211 = 0 THEN 1000 ELSE 0 END AS BIGINT) AS directory_offset", "CAST(floor(o_totalprice / 8) AS BIGINT) AS directory_size"]),
     "surfaces": ("documents", ["doc_id AS unit_id", "CAST(doc_id AS STRING) AS location", "'STRING' AS surface", "'CONSTANT' AS source", "text"]),
     "page_surfaces": ("pages", ["page_id AS unit_id", "url AS location", "'PATH' AS surface", "'ENTRY_PATH' AS source", "url AS text"]),
     "events_findings": ("events", [

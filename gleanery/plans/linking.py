@@ -61,9 +61,9 @@ def ghost_files(spark: SparkSession, d: str) -> DataFrame:
     return J.ghosts(_references(spark, d), derived(spark, d, "archives")).select("pid", "path")
 
 
-@query(with_derived(_REFS + " SELECT pid, path FROM refs WHERE path IN (SELECT path FROM archives)", "processes", "archives"))
+@query(with_derived(_REFS + " SELECT pid, path FROM refs WHERE path IN (SELECT path FROM archives WHERE archive_id % 10 <> 0)", "processes", "archives"))
 def running_files(spark: SparkSession, d: str) -> DataFrame:
-    return J.present(_references(spark, d), derived(spark, d, "archives")).select("pid", "path")
+    return J.present(_references(spark, d), derived(spark, d, "archives").withColumn("directory", F.col("archive_id") % 10 == 0)).select("pid", "path")
 
 
 @query(with_derived("SELECT pid, lower(regexp_extract(exe, '[^/]+$')) IN ('java.exe', 'javaw.exe') AS jvm, contains(lower(command_line), 'disableattachmechanism') AS closed, lower(regexp_extract(exe, '[^/]+$')) IN ('java.exe', 'javaw.exe') AND pid NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) AS hidden FROM processes", "processes"))
@@ -116,10 +116,10 @@ def keep_first(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("volume").agg(F.min("o_orderkey").alias("first"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id AS unit_id, run, octet_length(from_base64(CASE WHEN length(run) % 4 = 0 THEN run END))::INTEGER AS bytes FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{20,}={0,2}')) AS run FROM documents) WHERE length(run) % 4 = 0 AND NOT contains(run, '=')")
+@query("WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{20,}={0,2}')) AS run FROM documents), b AS (SELECT *, rtrim(run, '=') AS bare FROM r) SELECT doc_id AS unit_id, run, octet_length(from_base64(CASE WHEN length(bare) % 4 <> 1 THEN rpad(bare, ((length(bare) + 3) // 4 * 4)::INTEGER, '=') END))::INTEGER AS bytes FROM b WHERE length(bare) % 4 <> 1 AND (run = bare OR length(run) % 4 = 0)")
 def base64_runs(spark: SparkSession, d: str) -> DataFrame:
     found = C.base64_runs(table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text"))
-    return found.where("length(run) % 4 = 0 AND NOT contains(run, '=')").select("unit_id", "run", F.octet_length("content").alias("bytes"))
+    return found.select("unit_id", "run", F.octet_length("content").alias("bytes"))
 
 
 @query("WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{20,}={0,2}')) AS run FROM documents), b AS (SELECT *, rtrim(run, '=') AS bare FROM r) SELECT doc_id AS unit_id, run, hex(from_base64(CASE WHEN length(bare) % 4 <> 1 THEN rpad(bare, ((length(bare) + 3) // 4 * 4)::INTEGER, '=') END)) AS content FROM b WHERE length(bare) % 4 <> 1 AND (run = bare OR length(run) % 4 = 0)")
@@ -129,9 +129,9 @@ def base64_payloads(spark: SparkSession, d: str) -> DataFrame:
     return found.select("unit_id", "run", F.hex("content").alias("content"))
 
 
-@query("SELECT item_id, text, reverse(left(text, 50)) AS reversed, translate(left(text, 50), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS rotated, translate(left(text, 50), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'zyxwvutsrqponmlkjihgfedcbaZYXWVUTSRQPONMLKJIHGFEDCBA') AS mirrored, regexp_replace(left(text, 50), '(.)(.)', '\\2\\1', 'gs') AS swapped FROM benchmark")
+@query("SELECT item_id, text, reverse(text) AS reversed, translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS rotated, translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'zyxwvutsrqponmlkjihgfedcbaZYXWVUTSRQPONMLKJIHGFEDCBA') AS mirrored, regexp_replace(text, '(.)(.)', '\\2\\1', 'gs') AS swapped FROM benchmark")
 def simple_ciphers(spark: SparkSession, d: str) -> DataFrame:
-    head = F.left("text", F.lit(50))
+    head = F.col("text")
     return table(spark, d, "benchmark").select("item_id", "text", F.reverse(head).alias("reversed"), C.rotated(head, 13).alias("rotated"), C.mirrored(head).alias("mirrored"), C.pairs_swapped(head).alias("swapped"))
 
 
@@ -204,7 +204,7 @@ def payload_kinds(spark: SparkSession, d: str) -> DataFrame:
     return found.select("unit_id", "run", C.payload_class(F.col("content")).alias("kind"))
 
 
-@query("""WITH b AS (SELECT doc_id, doc_id % 5 AS form, text, unhex('8BBFFBFF') || encode(text) AS keyed FROM documents),
+@query("""WITH b AS (SELECT doc_id, doc_id % 5 AS form, text, CASE doc_id % 5 WHEN 2 THEN unhex('0B3F7B7F') ELSE unhex('8BBFFBFF') END || encode(text) AS keyed FROM documents),
 f AS (SELECT *, CASE form WHEN 0 THEN text WHEN 1 THEN to_base64(encode(text)) WHEN 3 THEN to_base64(keyed) END AS shown,
  CASE form WHEN 1 THEN encode(text) WHEN 3 THEN keyed END AS inside,
  CASE form WHEN 0 THEN hex(encode(text)) WHEN 1 THEN '' WHEN 2 THEN hex(keyed) WHEN 3 THEN '' WHEN 4 THEN md5(text) END AS bytes FROM b),
@@ -215,7 +215,7 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN looks AND form = 3 AND NOT
 def text_encodings(spark: SparkSession, d: str) -> DataFrame:
     """How each document's bytes are written; by its id they are the text's own, in base64, behind a hidden class head, both, or a digest."""
     own = F.encode("text", "UTF-8")
-    keyed = F.concat(F.unhex(F.lit("8BBFFBFF")), own)
+    keyed = F.concat(F.unhex(F.when(F.col("doc_id") % 5 == 2, "0B3F7B7F").otherwise("8BBFFBFF")), own)
     coded = lambda b: F.encode(F.translate(F.base64(b), "\r\n", ""), "UTF-8")
     form = F.col("doc_id") % 5
     content = F.when(form == 0, own).when(form == 1, coded(own)).when(form == 2, keyed).when(form == 3, coded(keyed)).when(form == 4, F.unhex(F.md5(own)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,6 +203,27 @@ def stable_names(spark: SparkSession, d: str) -> DataFrame:
     return derived(spark, d, "calls").select("event_id", N.method_name(owner, c("name"), c("descriptor")).alias("method"), N.field_name(owner, c("name"), c("descriptor")).alias("field"), N.class_name(c("name"), c("owner")).alias("class"))
 
 
+_MEMBERS = """SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey % 16 AS access, CASE l_partkey % 7 WHEN 0 THEN 'a' WHEN 1 THEN 'aB' WHEN 2 THEN 'toString' WHEN 3 THEN 'abc' WHEN 4 THEN '<init>' WHEN 5 THEN 'x$' ELSE '-1' END AS name,
+ CASE l_suppkey % 5 WHEN 0 THEN '(LEntityPlayer;)V' WHEN 1 THEN '(LChatLine;)V' WHEN 2 THEN '(I)V' WHEN 3 THEN '()Z' ELSE '(LItemStack;)V' END AS descriptor,
+ concat('com/', CASE l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'bc' ELSE 'Widget' END) AS owner, CASE l_linenumber % 4 WHEN 0 THEN 'java/lang/Object' WHEN 1 THEN 'x/ab' WHEN 2 THEN 'x/AbstractThingOfAVeryLongName' END AS parent,
+ CASE l_orderkey % 3 WHEN 0 THEN 'y/Runnable' WHEN 1 THEN 'y/z' END AS interface FROM lineitem"""
+#: Between two columns: a comma that follows an alias.
+_SPLIT = re.compile(r"(?<=AS id),|(?<=AS access),|(?<=AS name),|(?<=AS descriptor),|(?<=AS owner),|(?<=AS parent),")
+_NUMBER = "('0x' || substr(md5({}), 1, 8))::BIGINT % 100000"
+
+
+@query(f"""WITH m AS ({_MEMBERS}), s AS (SELECT *, regexp_matches(name, '^[a-zA-Z0-9_$]{{1,2}}$') AS short, length(split_part(owner, '/', 2)) <= 2 AS short_owner, CASE WHEN parent LIKE '%Abstract%' THEN 'AbstractThingOfAVery' WHEN interface = 'y/Runnable' THEN 'Runnable' ELSE 'Class' END AS base FROM m)
+SELECT id, CASE WHEN short THEN (CASE WHEN descriptor LIKE '%Player%' THEN 'handlePlayer' WHEN descriptor LIKE '%ItemStack%' THEN 'handleItem' WHEN descriptor LIKE '%Chat%' THEN 'handleChat'
+ WHEN access & 1 = 1 AND access & 8 = 0 THEN 'publicMethod' WHEN access & 2 = 2 THEN 'privateMethod' WHEN access & 4 = 4 THEN 'protectedMethod' ELSE 'method' END) || {_NUMBER.format("owner || '.' || name || descriptor")} ELSE name END AS method,
+ CASE WHEN short_owner THEN 'deobf/' || base || {_NUMBER.format("owner")} ELSE owner END AS class FROM s""")
+def renamed_members(spark: SparkSession, d: str) -> DataFrame:
+    """New names for members and classes whose own says nothing; telling names and those known by contract stay."""
+    c = F.col
+    rows = table(spark, d, "lineitem").selectExpr(*[x.strip() for x in _SPLIT.split(_MEMBERS.removeprefix("SELECT ").removesuffix(" FROM lineitem"))])
+    method = N.renamed(c("name"), N.method_name(c("owner"), c("name"), c("descriptor"), c("access")))
+    return rows.select("id", method.alias("method"), N.renamed(c("owner"), N.class_name(c("owner"), c("parent"), c("interface"))).alias("class"))
+
+
 @query("SELECT s_suppkey AS pid, s_suppkey % 4 = 1 AS game FROM supplier")
 def game_processes(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier").selectExpr("s_suppkey", "CASE s_suppkey % 4 WHEN 1 THEN 'C:/PrismLauncher/x' ELSE s_name END AS exe")

@@ -26,7 +26,7 @@ def entry_flags(spark: SparkSession, d: str) -> DataFrame:
         N.is_encrypted(F.col("flags")).alias("encrypted"), N.is_extreme_ratio(F.col("csize"), F.col("usize")).alias("extreme"), N.is_deceptive(name).alias("deceptive"))
 
 
-@query(with_derived(f"SELECT archive_id, count(*)::BIGINT AS entries, " + ", ".join(f"(count(*) FILTER (k = '{k}'))::BIGINT AS n_{k}" for k in ("class", "nested", "native", "script", "resource", "manifest", "directory")) + f" FROM (SELECT *, {_KIND} AS k FROM entries) GROUP BY archive_id", "entries"))
+@query(with_derived(f"SELECT archive_id, count(*)::BIGINT AS entries, (count(*) FILTER (k = 'class' AND method IN (0, 8) AND (flags & 65) = 0))::BIGINT AS n_read, (count(*) FILTER (k = 'class' AND NOT (method IN (0, 8) AND (flags & 65) = 0)))::BIGINT AS n_unreadable, " + ", ".join(f"(count(*) FILTER (k = '{k}'))::BIGINT AS n_{k}" for k in ("class", "nested", "native", "script", "resource", "manifest", "directory")) + f" FROM (SELECT *, {_KIND} AS k FROM entries) GROUP BY archive_id", "entries"))
 def archive_inventory(spark: SparkSession, d: str) -> DataFrame:
     return R.inventory(derived(spark, d, "entries"))
 
@@ -38,6 +38,7 @@ r AS (
  UNION ALL SELECT archive_id, 'prefix bytes', 'MEDIUM', 1 FROM archives WHERE prefix_bytes > 0
  UNION ALL SELECT archive_id, 'trailing bytes', 'MEDIUM', 1 FROM archives WHERE trailing_bytes > 0
  UNION ALL SELECT archive_id, 'unreadable', 'HIGH', 1 FROM archives WHERE NOT readable
+ UNION ALL SELECT archive_id, 'directory out of range', 'MEDIUM', 1 FROM archives WHERE directory_offset < 0 OR directory_size < 0 OR directory_offset + directory_size > size_bytes
  UNION ALL SELECT archive_id, 'encrypted', 'CRITICAL', count(*) FROM e WHERE (flags & 65) <> 0 GROUP BY 1
  UNION ALL SELECT archive_id, 'traversal', 'CRITICAL', count(*) FROM e WHERE {_TRAVERSAL} GROUP BY 1
  UNION ALL SELECT archive_id, 'odd method', 'MEDIUM', count(*) FROM e WHERE method NOT IN (0, 8) GROUP BY 1
@@ -64,11 +65,22 @@ def archive_labels(spark: SparkSession, d: str) -> DataFrame:
     return derived(spark, d, "archives").select("archive_id", N.is_archive_name(F.col("name")).alias("archive_name"), N.in_recycle_bin(path).alias("recycled"), T.file_name(path).alias("file_name"), T.directory(path).alias("directory"), T.human_size(F.col("size_bytes")).alias("size"))
 
 
-@query(with_derived("SELECT archive_id, age, CASE WHEN age <= 1 THEN 'day' WHEN age <= 7 THEN 'week' WHEN age <= 30 THEN 'month' ELSE 'older' END AS band FROM (SELECT archive_id, date_diff('day', modified_at::DATE, DATE '1998-08-02')::INTEGER AS age, name, path FROM archives) WHERE age <= 400 AND contains(lower(path), 'vol1')", "archives"))
+_TRIAGED = {"1-URGENT": "CRITICAL", "2-HIGH": "DETECTED", "3-MEDIUM": "SUSPICIOUS"}
+
+
+@query("""WITH a AS (SELECT o_orderkey AS archive_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'DETECTED' WHEN '3-MEDIUM' THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS verdict,
+ CASE WHEN o_orderstatus = 'P' THEN NULL ELSE date_diff('day', o_orderdate::DATE, DATE '1998-08-02')::INTEGER END AS age, '/vol' || o_custkey % 3 || '/Lib/' AS path, 'mod' || o_orderkey AS name FROM orders)
+SELECT archive_id, verdict, age, CASE WHEN age <= 1 THEN 'day' WHEN age <= 7 THEN 'week' WHEN age <= 30 THEN 'month' WHEN age > 30 THEN 'older' END AS band FROM a
+WHERE verdict IN ('CRITICAL', 'SUSPICIOUS') AND (age IS NULL OR age <= 400) AND contains(lower(path || chr(10) || name), '1/lib')""")
 def triage(spark: SparkSession, d: str) -> DataFrame:
-    """Archives of some age and name, as of a given day."""
-    rows = derived(spark, d, "archives").withColumn("age", F.datediff(F.lit("1998-08-02").cast("date"), F.col("modified_at").cast("date")))
-    return rows.where((F.col("age") <= 400) & F.lower("path").contains("vol1")).select("archive_id", "age", N.age_band(F.col("age")).alias("band"))
+    """Archives of some verdicts, age or unknown age, and text, as of a given day."""
+    verdict = F.lit("CLEAN")
+    for priority, v in _TRIAGED.items():
+        verdict = F.when(F.col("o_orderpriority") == priority, v).otherwise(verdict)
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("archive_id"), verdict.alias("verdict"), F.when(F.col("o_orderstatus") == "P", None).otherwise(F.col("o_orderdate").cast("date")).alias("modified_at"),
+                                            F.concat(F.lit("/vol"), (F.col("o_custkey") % 3).cast("string"), F.lit("/Lib/")).alias("path"), F.concat(F.lit("mod"), F.col("o_orderkey").cast("string")).alias("name"))
+    found = S.triage(rows, ["CRITICAL", "SUSPICIOUS"], 400, "1998-08-02", "1/LIB")
+    return found.select("archive_id", "verdict", "age", F.when(F.col("age").isNotNull(), N.age_band(F.col("age"))).alias("band"))
 
 
 _TOK = "SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\n]+')) AS name FROM documents"
@@ -111,10 +123,10 @@ def unreadable_share(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("quality", "unreadable", "total", resists.alias("resists"), F.when(resists, "HIGH").otherwise("MEDIUM").alias("severity"))
 
 
-@query("SELECT conv_id AS unit_id, sum(length(part))::BIGINT AS chars FROM (SELECT conv_id, left(text, greatest(0, 600 - prev)::INTEGER) AS part FROM (SELECT conv_id, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM conversations WHERE length(text) >= 4 AND NOT regexp_matches(text, '[(/;]')) WHERE prev < 600) GROUP BY conv_id")
+@query("SELECT conv_id AS unit_id, sum(length(part))::BIGINT AS chars FROM (SELECT conv_id, left(text, greatest(0, 120000 - prev)::INTEGER) AS part FROM (SELECT conv_id, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM conversations WHERE length(text) >= 4 AND NOT regexp_matches(text, '[(/;]')) WHERE prev < 120000) GROUP BY conv_id")
 def literal_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("unit_id"), F.col("turn").alias("ordinal"), "text")
-    return S.literal_sample(rows, 600).groupBy("unit_id").agg(F.sum(F.length("text")).alias("chars"))
+    return S.literal_sample(rows).groupBy("unit_id").agg(F.sum(F.length("text")).alias("chars"))
 
 
 @query("SELECT conv_id AS unit_id, sum(length(part))::BIGINT AS chars FROM (SELECT conv_id, left(text, greatest(0, 120000 - prev)::INTEGER) AS part FROM (SELECT conv_id, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM conversations WHERE length(text) >= 4 AND NOT regexp_matches(text, '[(/;]')) WHERE prev < 120000) GROUP BY conv_id")

@@ -36,7 +36,7 @@ def test_encodings_of_documents(spark):
         (None, None), (b"", "plain"), (b"  \n", "plain"), (b"some plain words, as they come", "plain"), (b"abc", "plain"),
         (base64.b64encode(b"hello world"), "base64"), (b" aGVsbG8g\r\nd29ybGQ= \n", "plain"), (b" aGVsbG8g\t\td29ybG\n\nQ=\n", "base64"),
         (b"use the lids", "plain"), (b"=abc", "plain"), (b"ab==", "base64"), (b"a===", "base64"),
-        (keyed(65), "xor"), (keyed(1, b"tail"), "xor"), (keyed(127, b"x" * 3000), "xor"), (keyed(0), "binary"), (keyed(128), "plain"),
+        (keyed(65), "xor"), (keyed(1, b"tail"), "xor"), (keyed(127, b"x" * 3000), "xor"), (keyed(0), "binary"), (keyed(128), "xor"), (keyed(255), "xor"),
         (base64.b64encode(keyed(65, b"\x01\x02")), "base64+xor"), (base64.b64encode(keyed(65, b"class x")), "base64"), (base64.b64encode(keyed(0)), "base64"),
         (bytes(range(128, 256)), "binary"), (b"a" * 1024 + b"\x00" * 9000 + b"!", "plain"), ("é".encode() + b"abcd", "plain"), ("é".encode() + b"abc", "binary"),
     ]
