@@ -5,9 +5,10 @@ components form one sorted list per dimension, read from its top for positive qu
 its bottom for negative ones. After every round of sequential reads each score lies between a lower bound
 (an unread component is at the far end of its list) and an upper bound (it is at most the last value read).
 For each query, candidates whose upper bound falls below its k-th lower bound cannot qualify and go; the scores of the
-rest are resolved. A task meets the blocks of its column one after another and carries each query's k best along,
-so the k-th of all blocks so far is the bound that the next block's candidates must reach. The columns' winners, k for
-each query and column, are then ranked together.
+rest are resolved. A query's first bound is its k-th best of a few drawn candidates. A task meets the blocks of its column
+one after another and carries each query's k best along, so the k-th of all blocks so far is the bound that the next
+block's candidates must reach. The columns' winners, k for each query and column, are then ranked together. Block sizes and columns follow from
+the numbers of candidates and queries (``layout``).
 
 Defined results: vectors that are null, or hold nulls, NaN or infinities, take no part; vectors of unlike
 lengths have no score with each other; a query never meets rows of its own vec_id, however unlike; repeated rows of one
@@ -30,12 +31,24 @@ from pyspark.sql import functions as F
 from .common import durable, table
 
 SCALE, EVERY, K = 64, 20, 20
-BLOCK = 2048
-QUERY_BLOCK = 512
-#: Columns that the candidates' blocks are dealt into, and query blocks that a task takes through one column.
-COLUMNS, QUERY_BLOCKS = 8, 2
+#: Blocks that the candidates make at least, where they are many enough, and the sizes of a block.
+LEAST_BLOCKS, BLOCK_SIZES = 128, (32, 1024)
+QUERY_BLOCK = 256
+#: Query blocks that a task takes through one column, pairs that it meets, about, and blocks that a column has at least.
+QUERY_BLOCKS, TASK_PAIRS, COLUMN_BLOCKS = 2, 200_000_000, 32
+#: Candidates that the first bounds come from, for each of the k.
+FIRST = 2
 #: Depths of the rounds, as shares of the lists.
-ROUNDS = (1 / 2, 3 / 4, 7 / 8)
+ROUNDS = (1 / 2, 3 / 4, 7 / 8, 15 / 16, 31 / 32)
+
+
+def layout(candidates: int, queries: int, cores: int) -> tuple[int, int, int]:
+    """(block size, columns, lanes): a lane's query blocks meet each column in one task, so there are columns times lanes tasks."""
+    block = min(max(candidates // LEAST_BLOCKS, BLOCK_SIZES[0]), BLOCK_SIZES[1])
+    lanes = max(1, -(-queries // (QUERY_BLOCK * QUERY_BLOCKS)))
+    tasks = max(candidates * queries // TASK_PAIRS + 1, 2 * cores)
+    columns = max(1, min(-(-tasks // lanes), candidates // (block * COLUMN_BLOCKS)))
+    return block, columns, lanes
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -96,8 +109,10 @@ def nra_block(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, bound: np.
     low, high = ordered[0], ordered[-1]
     for share in ROUNDS:
         depth = int(n * share)
-        if depth < k or not dims or not len(q) or not len(live):
+        if not dims or not len(q) or not len(live):
             break
+        if not depth:
+            continue
         # A list read from its top has shown every value above its frontier; likewise from its bottom.
         top, bottom, left = ordered[n - depth], ordered[depth - 1], rows[live]
         if np.isneginf(bound[q]).any():
@@ -124,8 +139,23 @@ def resolved(queries: np.ndarray, rows: np.ndarray, query: np.ndarray, row: np.n
     return np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
 
 
-def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Each block packed as one row: (dims, block, n, ids, width, data), sorted by id; blocks are numbered from another start in each task."""
+def first_bounds(ids: np.ndarray, rows: np.ndarray, few: list[tuple[int, list]], k: int) -> np.ndarray:
+    """The score that each query's k-th best reaches at least, from a few candidates (vec_id, vector); -inf where they are fewer than k."""
+    best = Best(len(ids), k)
+    like = [(i, v) for i, v in few if len(v) == rows.shape[1]]
+    if like:
+        names, vectors = np.array([i for i, _ in like]), np.array([v for _, v in like], dtype=np.int64)
+        kind = _exact_type(rows, vectors)
+        query, place = np.nonzero(ids[:, None] != names)
+        best.add(query, names[place], (rows.astype(kind) @ vectors.astype(kind).T)[query, place].astype(np.int64))
+    return best.bound()
+
+
+def _blocks(vectors: DataFrame, size: int, few: list[tuple[int, list]] | None = None, k: int = K) -> DataFrame:
+    """Each block packed as one row: (dims, block, n, ids, width, data, bound), sorted by id; blocks are numbered from another start in each task.
+
+    few: candidates for the first bounds of blocks of queries.
+    """
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
         number = itertools.count(TaskContext.get().partitionId() * 7919)
@@ -134,7 +164,7 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
             rows.sort(key=lambda r: r[0])
             ids, data = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64).reshape(len(rows), dims)
             kind = next(t for t in (np.int16, np.int32, np.int64) if np.abs(data).max(initial=0) <= np.iinfo(t).max)
-            return pd.DataFrame({"dims": [dims], "block": [next(number)], "n": [len(rows)], "ids": [ids.tobytes()], "width": [np.dtype(kind).itemsize], "data": [data.astype(kind).tobytes()]})
+            return pd.DataFrame({"dims": [dims], "block": [next(number)], "n": [len(rows)], "ids": [ids.tobytes()], "width": [np.dtype(kind).itemsize], "data": [data.astype(kind).tobytes()], "bound": [b"" if few is None else first_bounds(ids, data, few, k).tobytes()]})
 
         for frame in frames:
             for vec_id, vector in zip(frame["vec_id"], frame["vector"], strict=True):
@@ -145,23 +175,26 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
         for dims, rows in held.items():
             yield out(dims, rows)
 
-    return vectors.mapInPandas(pack, "dims int, block long, n int, ids binary, width int, data binary")
+    return vectors.mapInPandas(pack, "dims int, block long, n int, ids binary, width int, data binary, bound binary")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) for the k best candidates of each query; both sides are (vec_id, vector)."""
-    # A lane is a set of query blocks; each lane meets each column in one task, so rows out are k for each query and column.
-    lanes = max(1, -(-queries.count() // (QUERY_BLOCK * QUERY_BLOCKS)))
+    n, m = candidates.count(), queries.count()
+    block, columns, lanes = layout(n, m, queries.sparkSession.sparkContext.defaultParallelism)
+    # About FIRST * k candidates, whatever their number.
+    scale = 1 << 40
+    few = [(r[0], list(r[1])) for r in candidates.where(F.pmod(F.xxhash64(F.lit("first"), "vec_id"), F.lit(scale)) < FIRST * k * scale // max(n, 1)).limit(8 * FIRST * k).collect()]
     spread = lambda name, parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(name)
     fields = ("dims", "ids", "width", "data")
-    far = _blocks(candidates, BLOCK).select(*fields, F.pmod("block", F.lit(COLUMNS)).cast("int").alias("column"), spread("lane", lanes))
-    near = _blocks(queries, QUERY_BLOCK).select("block", *[F.col(c).alias(f"q_{c}") for c in fields], F.pmod("block", F.lit(lanes)).cast("int").alias("q_lane"), spread("q_column", COLUMNS))
+    far = _blocks(candidates, block).select(*fields, F.pmod("block", F.lit(columns)).cast("int").alias("column"), spread("lane", lanes))
+    near = _blocks(queries, QUERY_BLOCK, few, k).select("block", *[F.col(c).alias(f"q_{c}") for c in (*fields, "bound")], F.pmod("block", F.lit(lanes)).cast("int").alias("q_lane"), spread("q_column", columns))
     # Every task takes its query blocks one after another, each through the whole column.
     pairs = near.join(far.hint("merge"), (F.col("q_lane") == F.col("lane")) & (F.col("q_column") == F.col("column")) & (F.col("q_dims") == F.col("dims")))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = lambda ids, width, data, dims: (np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=f"i{width}").reshape(-1, dims))
-        at, best, q_ids, q = None, None, None, None
+        at, best, first, q_ids, q = None, None, None, None, None
 
         def out() -> pd.DataFrame:
             query, place = np.nonzero(np.arange(k) < best.size[:, None])
@@ -174,12 +207,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
                         yield out()
                     at = r.block, r.q_dims, r.column
                     q_ids, q = unpack(r.q_ids, r.q_width, r.q_data, r.dims)
-                    best = Best(len(q_ids), k)
+                    best, first = Best(len(q_ids), k), np.frombuffer(r.q_bound)
                 ids, rows = unpack(r.ids, r.width, r.data, r.dims)
                 kind = _exact_type(q.astype(np.int64), rows.astype(np.int64))
                 of, whole = q.astype(kind), rows.astype(kind)
                 own = np.stack([np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")], axis=1)
-                query, row = nra_block(of, whole, own, best.bound(), k)
+                query, row = nra_block(of, whole, own, np.maximum(best.bound(), first), k)
                 best.add(query, ids[row], resolved(of, whole, query, row))
         if best is not None:
             yield out()

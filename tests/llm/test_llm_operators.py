@@ -284,7 +284,7 @@ def test_mix_stage(docs, none):
 
 @pytest.mark.parametrize("dims", [1, 5, 64])
 def test_top_k_is_brute_force(spark, dims, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 300)
+    monkeypatch.setattr(topk, "BLOCK_SIZES", (300, 300))
     rng = np.random.default_rng(dims)
     vectors = rng.normal(size=(900, dims))
     vectors[300:600] = vectors[7]
@@ -303,7 +303,8 @@ def test_top_k_is_brute_force(spark, dims, monkeypatch):
 
 def test_top_k_beside_unlike_rows_of_one_vec_id(spark, monkeypatch):
     """Several unlike rows under a query's own vec_id neither count nor raise the bound; of others each row counts."""
-    monkeypatch.setattr(topk, "BLOCK", 128)
+    monkeypatch.setattr(topk, "BLOCK_SIZES", (128, 128))
+    monkeypatch.setattr(topk, "COLUMN_BLOCKS", 1)
     rng = np.random.default_rng(9)
     rows = [(i, (rng.normal(size=2) * 3).tolist()) for i in range(400)] + [(k, (rng.normal(size=2) * 9).tolist()) for k in (0, 20, 20, 20, 20, 20, 33, 33)]
     table = spark.createDataFrame([(*r, "a", 1, 0.5) for r in rows], "vec_id long, embedding array<double>, block string, rank int, score double")
@@ -332,6 +333,33 @@ def test_top_k_bounds_leave_few_to_resolve():
     assert read["met"] == 32 * 7 * 1024 and read["left 0.5"] < 0.8 * read["met"] and read["resolved"] < 0.1 * read["met"]
 
 
+@pytest.mark.parametrize(("sf", "most"), [("0.01", 0.25), ("0.1", 0.1)])
+def test_top_k_resolves_few_pairs_at_the_registered_settings(sf, most):
+    """The given vectors in the layout that the query takes: how many pairs are scored in full. 200 vectors are few for 20 best of each query."""
+    table = duckdb.sql(f"SELECT vec_id, embedding FROM '/root/testdata/sf{sf}/embeddings.parquet' ORDER BY hash(vec_id)").fetchall()
+    ids, rows = np.array([r[0] for r in table]), np.floor(np.array([r[1] for r in table], dtype=float) * topk.SCALE)
+    own = np.sort(ids[ids % topk.EVERY == 0])
+    queries = rows[[int(np.flatnonzero(ids == i)[0]) for i in own]]
+    size, columns, lanes = topk.layout(len(ids), len(own), 8)
+    few = [(int(i), v.tolist()) for i, v in list(zip(ids, rows, strict=True))[:: max(1, len(ids) // (topk.FIRST * topk.K))]]
+    first, read = topk.first_bounds(own, queries.astype(np.int64), few, topk.K), Counter(resolved=len(few) * len(own))
+    found = []
+    for column in range(columns):
+        best = topk.Best(len(own), topk.K)
+        for start in range(column * size, len(ids), columns * size):
+            part = slice(start, start + size)
+            order = np.argsort(ids[part])
+            names, block = ids[part][order], rows[part][order]
+            same = np.stack([np.searchsorted(names, own, "left"), np.searchsorted(names, own, "right")], axis=1)
+            query, row = topk.nra_block(queries, block, same, np.maximum(best.bound(), first), topk.K, read)
+            best.add(query, names[row], topk.resolved(queries, block, query, row))
+        found.append(best)
+    assert read["met"] == len(own) * (len(ids) - 1) and read["resolved"] < most * read["met"]
+    for q in range(len(own)):
+        want = sorted((-int(v @ queries[q]), int(i)) for i, v in zip(ids, rows, strict=True) if i != own[q])[: topk.K]
+        assert sorted((-int(s), int(i)) for b in found for s, i in zip(b.score[q][: b.size[q]], b.ids[q], strict=False))[: topk.K] == want
+
+
 def test_pieces_are_the_library_s(rows):
     import sentencepiece
 
