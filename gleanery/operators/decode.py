@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,27 +116,21 @@ def repeating_key(rows: DataFrame, longest: int = 200) -> DataFrame:
     """(unit_id, size, decoded): texts hidden under a repeating key of two to eight characters, the shortest that makes them readable.
 
     At each place of the key the value below 256 that gives most printable characters counts, the lowest of equals; a key
-    that holds 0 is none. The search is arithmetic on the few texts that may be hidden, in batches within the tasks.
+    that holds 0 is none. A character names the 95 values that make it printable, so the best value is the one named most often.
     """
-    every = np.arange(256)
-
-    def search(codes: np.ndarray) -> tuple[int, str] | None:
-        for size in range(2, min(8, len(codes) // 2) + 1):
-            tried = [codes[place::size, None] ^ every for place in range(size)]
-            key = np.array([((t >= 32) & (t <= 126)).sum(axis=0).argmax() for t in tried])
-            plain = codes ^ np.resize(key, len(codes))
-            shown = ((plain >= 32) & (plain <= 126)) | np.isin(plain, (9, 10, 13))
-            if key.all() and shown.sum() > 0.85 * len(codes):
-                return size, "".join(map(chr, plain))
-        return None
-
-    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            hits = [(u, search(np.array([ord(c) for c in t]))) for u, t in zip(frame["unit_id"], frame["text"], strict=True)]
-            yield pd.DataFrame([(u, *h) for u, h in hits if h], columns=["unit_id", "size", "decoded"])
-
-    some = rows.where(may_be_hidden(F.col("text"), longest)).select("unit_id", "text")
-    return some.mapInPandas(found, f"unit_id {dict(rows.dtypes)['unit_id']}, size int, decoded string")
+    some = rows.where(may_be_hidden(F.col("text"), longest)).select("unit_id", "text").distinct().withColumn("_codes", codes_of(F.col("text")))
+    sizes = F.sequence(F.lit(2), F.least(F.lit(8), F.floor(F.size("_codes") / 2).cast("int")))
+    at = some.where(F.size("_codes") >= 4).select("unit_id", "text", F.explode(sizes).alias("size"), "_codes").select("unit_id", "text", "size", F.posexplode("_codes").alias("i", "code"))
+    named = at.select("unit_id", "text", "size", (F.col("i") % F.col("size")).alias("place"), F.explode(F.transform(F.sequence(F.lit(32), F.lit(126)), lambda p: F.col("code").bitwiseXOR(p))).alias("key")).where("key < 256")
+    votes = named.groupBy("unit_id", "text", "size", "place", "key").agg(F.count("*").alias("n"))
+    best = votes.groupBy("unit_id", "text", "size", "place").agg(F.max_by("key", F.struct("n", -F.col("key"))).alias("key")).where("key > 0")
+    # At most eight places.
+    keys = best.groupBy("unit_id", "text", "size").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "key"))), lambda x: x["key"]).alias("keys")).where(F.size("keys") == F.col("size"))
+    keys = keys.withColumn("_codes", codes_of(F.col("text")))
+    change = lambda c, i, k: c.bitwiseXOR(F.get(k, i % F.size(k)))
+    found = keys.where(_fits("_codes", change)(F.col("keys"))).groupBy("unit_id", "text").agg(F.min(F.struct("size", "keys")).alias("best"))
+    found = found.select("unit_id", F.col("best.size").alias("size"), "best.keys", codes_of(F.col("text")).alias("_codes"))
+    return found.select("unit_id", "size", _shown("_codes", change, F.col("keys")).alias("decoded"))
 
 
 def base64_then_xor(rows: DataFrame) -> DataFrame:
@@ -194,6 +184,37 @@ def rotated(text: Column, by: int) -> Column:
     return F.translate(text, low + up, low[by:] + low[:by] + up[by:] + up[:by])
 
 
+def _letters(text: Column) -> Column:
+    """How often each letter of the alphabet stands in a text, whatever its case."""
+    low = F.lower(text)
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("long") for c in "abcdefghijklmnopqrstuvwxyz"])
+
+
+def letter_shares(texts: DataFrame) -> DataFrame:
+    """One row: the letters' shares in all texts, in parts of a million."""
+    counted = texts.where("text IS NOT NULL").select(F.posexplode(_letters(F.col("text"))).alias("letter", "n")).groupBy("letter").agg(F.sum("n").alias("n"))
+    row = counted.agg(F.sort_array(F.collect_list(F.struct("letter", "n"))).alias("c"), F.greatest(F.sum("n"), F.lit(1)).alias("total"))
+    return row.select(F.transform("c", lambda x: F.floor(x["n"] * 1_000_000 / F.col("total")).cast("long")).alias("shares"))
+
+
+def rotation_keys(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(unit_id, key, decoded): the rotation of 0 to 25 letters that hides each (unit_id, text), told by the letters of plain texts.
+
+    Every rotation of a text can be read, so the one counts whose letters lie closest to those of all plain texts, the lowest of equals; 0: not rotated. Null texts have none.
+    """
+    # 26 numbers.
+    shares = F.array(*[F.lit(x).cast("long") for x in letter_shares(texts).first()[0] or [0] * 26])
+    # Exploding an array of one keeps the counting from being repeated for each letter and key.
+    counted = rows.where("text IS NOT NULL").select("unit_id", "text", F.explode(F.array(_letters(F.col("text")))).alias("_n"))
+    score = lambda k: F.aggregate(F.transform(shares, lambda s, i: s * F.get("_n", ((i + k) % 26).cast("int"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda k: F.struct(score(k).alias("score"), (-k).alias("less"))))
+    keyed = counted.select("unit_id", "text", F.explode(F.array((-best["less"]).cast("int"))).alias("key"))
+    plain = F.lit(None).cast("string")
+    for k in range(26):
+        plain = F.when(F.col("key") == k, rotated(F.col("text"), (26 - k) % 26)).otherwise(plain)
+    return keyed.select("unit_id", "key", plain.alias("decoded"))
+
+
 def mirrored(text: Column) -> Column:
     """Letters replaced by those as far from the alphabet's other end."""
     low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

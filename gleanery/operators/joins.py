@@ -87,6 +87,17 @@ def trusted_volumes(reported: DataFrame, files: DataFrame, few: int = 20, share:
     return counts.withColumn("trusted", (F.col("reported") < few) | (F.col("resolved") >= share * F.col("reported")))
 
 
+def trusted_or_scanned(reported: DataFrame, scanned: DataFrame, volumes: DataFrame) -> DataFrame:
+    """(volume, path, source): what the index reports of trusted volumes, and what a scan finds of all others, each file once.
+
+    volumes: (volume, trusted). Nothing of a trusted volume is taken from the scan, so the scan needn't list it; volumes that nothing was reported of are scanned.
+    """
+    trusted = volumes.where("trusted").select("volume")
+    kept = reported.join(trusted, "volume", "left_semi").select("volume", "path").distinct().withColumn("source", F.lit("index"))
+    rest = scanned.join(trusted, "volume", "left_anti").select("volume", "path").distinct().withColumn("source", F.lit("scan"))
+    return kept.unionByName(rest)
+
+
 def flags_of_outermost(flags: DataFrame, lineage: DataFrame, depth: int = 2) -> DataFrame:
     """(unit_id, encrypted, obfuscated): a unit is either if it is itself or a unit nested in it, two levels deep."""
     up = lineage.select(F.col("child_id").alias("_child"), F.col("parent_id").alias("_parent"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.names import is_asset_path
 from ..functions.text import LOWER, UPPER, fold
 from ..settled import settled
+from .running import running
 
 NOT_WORD = "[^A-Za-z0-9_$]+"
 #: Terms that are sent to every task, and the characters they may have in all; a longer list meets the texts by a shuffle.
@@ -221,9 +222,21 @@ def excerpt(text: Column, pattern: str, around: int = 100) -> Column:
     return F.left(F.regexp_extract(text, rf"[^\n]{{0,{around}}}{pattern}[^\n]{{0,{around}}}", 0), F.lit(220))
 
 
-def capped(hits: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
-    """At most ``most`` rows of each group, first ones first: a report's limit."""
-    return hits.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+#: A report's limits: hits of a text, marked resources of an archive, odd names, names of a unit's classes, its strings, places that a reader is shown.
+REPORT_CAPS = {"hits": 400, "resources": 40, "names": 20, "classes": 12, "strings": 4000, "places": 5000}
+#: Shares that a group's rows are ranked in before its first ones meet.
+SHARES = 64
+
+
+def capped(hits: DataFrame, keys: list[str], order: list, most: int, shares: int = SHARES) -> DataFrame:
+    """At most ``most`` rows of each group, first ones first: a report's limit.
+
+    The first rows of each share of a group are found first, so a group of any size is sorted in many tasks, and the task
+    that ranks the rest meets ``shares * most`` rows at most.
+    """
+    share = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hits.columns]), F.lit(shares))
+    first = lambda rows, by: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    return first(first(hits.withColumn("_share", share), [*keys, "_share"]).drop("_share"), keys)
 
 
 def _folded(keyword: str) -> str:
@@ -267,7 +280,6 @@ def markers(rows: DataFrame, known=MARKERS, shortest: int = 4, longest: int = 20
 
 def joined_text(rows: DataFrame, most: int | None = 1_000_000) -> DataFrame:
     """Each unit's texts in order, one a line, up to ``most`` characters, or all of them: (unit_id, text)."""
-    upto = F.sum(F.length("text") + 1).over(Window.partitionBy("unit_id").orderBy("ordinal"))
-    kept = rows if most is None else rows.withColumn("_upto", upto).where(F.col("_upto") <= most + 1)
+    kept = rows if most is None else running(rows, ["unit_id"], ["ordinal"], _upto=("sum", F.length("text") + 1)).where(F.col("_upto") <= most + 1)
     ordered = F.sort_array(F.collect_list(F.struct("ordinal", "text")))
     return kept.groupBy("unit_id").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..dims import ATTENTION, severity_weight, verdict_ordinal
+from .running import running
 
 FOLD_KEY = ("unit_id", "title", "source")
 
@@ -124,10 +125,10 @@ def blob_class(magic: Column) -> Column:
 
 
 def literal_sample(rows: DataFrame, most: int = 120_000) -> DataFrame:
-    """Texts of at least four characters without ( / ; in order, up to ``most`` characters a unit."""
+    """Texts of at least four characters without ( / ; in order, up to ``most`` characters a unit; a unit of any size is added up in many tasks."""
     fit = rows.where((F.length("text") >= 4) & ~F.col("text").rlike("[(/;]"))
-    upto = F.sum(F.length("text")).over(Window.partitionBy("unit_id").orderBy("ordinal"))
-    return fit.withColumn("_before", upto - F.length("text")).where(F.col("_before") < most).withColumn("text", F.left("text", (F.lit(most) - F.col("_before")).cast("int"))).drop("_before")
+    summed = running(fit, ["unit_id"], ["ordinal"], _upto=("sum", F.length("text")))
+    return summed.withColumn("_before", F.col("_upto") - F.length("text")).drop("_upto").where(F.col("_before") < most).withColumn("text", F.left("text", (F.lit(most) - F.col("_before")).cast("int"))).drop("_before")
 
 
 def name_shapes(names: DataFrame) -> DataFrame:
@@ -218,8 +219,10 @@ def triage(units: DataFrame, verdicts: list[str], days: int, as_of: str, text: s
 
 def sample_names(names: DataFrame, most: int = 12) -> DataFrame:
     """(unit_id, names): the first names of each unit by ordinal, at most twelve, of (unit_id, ordinal, name)."""
-    ranked = names.withColumn("_n", F.row_number().over(Window.partitionBy("unit_id").orderBy("ordinal"))).where(F.col("_n") <= most)
-    listed = F.sort_array(F.collect_list(F.struct("_n", "name")))
+    from .matching import capped
+
+    listed = F.sort_array(F.collect_list(F.struct("ordinal", "name")))
+    ranked = capped(names.select("unit_id", "ordinal", "name"), ["unit_id"], ["ordinal", "name"], most)
     return ranked.groupBy("unit_id").agg(F.transform(listed, lambda r: r["name"]).alias("names"))
 
 

@@ -182,7 +182,11 @@ def byte_keys(spark: SparkSession, d: str) -> DataFrame:
     return hidden.select(F.col("item_id").alias("unit_id"), C.byte_key(F.col("codes")).alias("k")).where("k IS NOT NULL").select("unit_id", "k.score", "k.key")
 
 
-@query()
+@query("""WITH h AS (SELECT c_custkey AS unit_id, list_transform(string_split(c_name, ''), lambda c, i: xor(ord(c), CASE (i - 1) % 3 WHEN 0 THEN 201 WHEN 1 THEN 150 ELSE 230 END)) AS codes FROM customer),
+a AS (SELECT unit_id, size, unnest(codes) AS c, unnest(range(0, len(codes))) % size AS place FROM h, range(2, 9) r(size) WHERE len(codes) >= 2 * size AND len(list_filter(codes, lambda c: c > 127)) > 0),
+v AS (SELECT unit_id, size, place, k, count(*) FILTER (xor(c, k::INTEGER) BETWEEN 32 AND 126) AS n FROM a, range(0, 256) q(k) GROUP BY ALL), b AS (SELECT unit_id, size, place, arg_max(k, n * 256 - k) AS k FROM v GROUP BY ALL),
+k AS (SELECT unit_id, size, list(k ORDER BY place) AS keys FROM b GROUP BY ALL HAVING min(k) > 0), p AS (SELECT unit_id, size, list_transform(codes, lambda c, i: xor(c, keys[((i - 1) % size + 1)::INTEGER]::INTEGER)) AS plain FROM k JOIN h USING (unit_id))
+SELECT unit_id, size::INTEGER AS size, array_to_string(list_transform(plain, lambda c: chr(c)), '') AS decoded FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY size) AS n FROM p WHERE len(list_filter(plain, lambda c: c BETWEEN 32 AND 126 OR c IN (9, 10, 13))) > 0.85 * len(plain)) WHERE n = 1""")
 def repeating_keys(spark: SparkSession, d: str) -> DataFrame:
     """Names hidden under a key of three characters; tests compare the search with brute force."""
     turns = lambda c, i: c.bitwiseXOR(F.when(i % 3 == 0, 201).when(i % 3 == 1, 150).otherwise(230))

@@ -34,8 +34,9 @@ def by_extension(files: DataFrame) -> DataFrame:
 
 
 def disguised(files: DataFrame) -> DataFrame:
-    """Files with content that look like archives inside and not by name."""
-    head, end = F.hex(F.substring("content", 1, 4)), F.hex(F.substring("content", -1024, 1024))
+    """Files that look like archives inside and not by name; by their content, or by head and tail as ``probe_files`` gives them."""
+    probed = "head" in files.columns
+    head, end = (F.hex("head"), F.hex("tail")) if probed else (F.hex(F.substring("content", 1, 4)), F.hex(F.substring("content", -1024, 1024)))
     looks = (head == "504B0304") | end.rlike("^(..)*504B0506")
     return files.where((F.col("length") >= 1024) & ~is_archive_name(F.col("name")) & ~fold(F.col("name")).rlike(r"\.jmod$")).where(looks)
 
