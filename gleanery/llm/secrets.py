@@ -2,8 +2,8 @@
 
 A candidate is a run of at least ``SHORTEST`` key characters, told apart from its surroundings by ASCII alone; a name
 ends before its ``=``, so the value of an unquoted ``KEY=value`` is a run of its own. A run that holds a key in the
-format of a known issuer, such as a URL's path, is cut around it. Whatever stands behind a telling name, from
-``ASSIGNED_SHORTEST`` characters on and of any characters but blanks, quotes and brackets, is a candidate too, and so
+format of a known issuer, such as a URL's path, is cut around it. Whatever stands behind a telling name, of any length
+and any characters but blanks, quotes and brackets, is a candidate too, and so
 are signed tokens with their dots. The forest sees its length, the make-up and
 transitions of its characters, how much of it frequent words cover, its path and its neighbouring words, and
 is fitted on labelled findings (about ``SAMPLE`` of each label, of at most ``FITTED_CHARS`` characters). Where no one has labelled findings,
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import drawn, durable, held_whole, let_go, table
 
-SHORTEST, ASSIGNED_SHORTEST = 16, 8
+#: The shortest run that is a candidate without a telling name, and the shortest assigned value that the rules label.
+SHORTEST, LABELLED_SHORTEST = 16, 8
 #: Labelled findings of each label that the fit may see, about, drawn by a hash, and the longest of them.
 SAMPLE, FITTED_CHARS = 2000, 4096
 #: At most so many of the most frequent words, of 3 to 16 characters, count as dictionary: all that are met as often as the last one.
@@ -47,7 +48,7 @@ ISSUED = (r"^(AKIA|ASIA)[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}$", r"^xox[b
 WITHIN = re.compile("(?<![A-Za-z0-9])(?:" + "|".join(p[1:-1] for p in ISSUED) + ")(?![A-Za-z0-9])")
 #: Signed tokens: three parts joined by dots.
 SIGNED = re.compile(r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*")
-ASSIGNED = re.compile(rf"""(?i)(?:password|passwd|pwd|token|secret|api_?key|access_?key|auth)["']?[ \t]{{0,4}}[=:][ \t]{{0,4}}["']?([^\s"'`,;<>(){{}}\[\]]{{{ASSIGNED_SHORTEST},}})""")
+ASSIGNED = re.compile(rf"""(?i)(?:password|passwd|pwd|token|secret|api_?key|access_?key|auth)["']?[ \t]{{0,4}}[=:][ \t]{{0,4}}["']?([^\s"'`,;<>(){{}}\[\]]+)""")
 NAMED = r"(?i)(password|passwd|pwd|token|secret|api_?key|access_?key|auth)\W{0,4}[=:]\s*[\"']?$"
 _WORD = re.compile(r"\w+")
 
@@ -87,16 +88,16 @@ def spans(text: str) -> list[tuple[int, int]]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, start, value, before, after) of each candidate in (doc_id, path, text)."""
+    """(doc_id, text_key, path, start, value, before, after) of each candidate in (doc_id, path, text); text_key tells rows of one doc_id apart."""
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc_id, path, text in zip(frame["doc_id"], frame["path"], frame["text"], strict=True):
+            for doc_id, key, path, text in zip(frame["doc_id"].astype(object).where(frame["doc_id"].notna(), None), frame["text_key"], frame["path"], frame["text"], strict=True):
                 for a, b in spans(text or ""):
-                    rows.append((doc_id, path, a, text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR]))
-            yield pd.DataFrame(rows, columns=["doc_id", "path", "start", "value", "before", "after"])
+                    rows.append((doc_id, key, path, a, text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR]))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "path", "start", "value", "before", "after"])
 
-    return docs.select("doc_id", F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), "text").where("text IS NOT NULL").mapInPandas(find, f"doc_id {dict(docs.dtypes)['doc_id']}, path string, start long, value string, before string, after string")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), "text").where("text IS NOT NULL").mapInPandas(find, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, path string, start long, value string, before string, after string")
 
 
 def frequent_words(docs: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int]]:
@@ -219,7 +220,7 @@ class Forest:
 
 def rule_labels(found: DataFrame) -> DataFrame:
     """Candidates with a label: 1 issued formats and values assigned to a telling name, 0 plain words, numbers and repetitions, else null."""
-    value, true = F.col("value"), F.col("before").rlike(NAMED) & F.col("value").rlike("[0-9]")
+    value, true = F.col("value"), F.col("before").rlike(NAMED) & F.col("value").rlike("[0-9]") & (F.length("value") >= LABELLED_SHORTEST)
     for pattern in (*ISSUED, f"^{SIGNED.pattern}$"):
         true = true | value.rlike(pattern)
     false = value.rlike(r"^[A-Z]?[a-z]+([_\-/][A-Za-z][a-z]*)*$") | value.rlike(r"^[0-9\-]+$") | value.rlike(r"^[A-Z]+$") | value.rlike(r"^[_\-+/=]+$")
@@ -237,7 +238,7 @@ def fit(labelled: pd.DataFrame, language: Language) -> tuple[Forest, dict[str, f
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, start, length, digest, label, score, is_secret) for each candidate in (doc_id, path, text).
+    """(doc_id, text_key, start, length, digest, label, score, is_secret) for each candidate in (doc_id, path, text).
 
     labelled: findings (value, before, after, path, label); by default those that rule_labels tells apart.
     """
@@ -260,13 +261,14 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPL
         return pd.Series(forest.predict(features(frame, language, odds)))
 
     scored = found.withColumn("score", score("value", "before", "after", "path"))
-    return scored.select("doc_id", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("digest"), "label", "score", F.coalesce(F.col("score") >= THRESHOLD, F.lit(False)).alias("is_secret"))
+    return scored.select("doc_id", "text_key", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("digest"), "label", "score", F.coalesce(F.col("score") >= THRESHOLD, F.lit(False)).alias("is_secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with the secrets among the findings replaced; rows that share a doc_id must share their text."""
-    spans = findings.where("is_secret").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_spans")).withColumnRenamed("doc_id", "_id")
-    joined = held_whole(docs, _doc=F.col("doc_id"), _text=F.col("text")).join(spans, F.col("_doc") == F.col("_id"), "left")
+    """``docs`` with the secrets among the findings replaced. A row is told by its doc_id, null ones too, and its text, so unlike texts of one doc_id keep to their own findings."""
+    spans = findings.where("is_secret").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_spans"))
+    rows = held_whole(docs, _doc=F.col("doc_id"), _text=F.col("text"), _own=F.xxhash64("text"))
+    joined = rows.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
     end = lambda i: F.when(i < 0, 0).otherwise(F.get("_spans", i)["start"] + F.get("_spans", i)["length"])
     between = lambda i, upto: F.substr(F.col("_text"), (end(i) + 1).cast("int"), (upto - end(i)).cast("int"))
     pieces = F.transform("_spans", lambda s, i: F.concat(between(i - 1, s["start"]), F.lit(mark)))
@@ -275,4 +277,4 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]") -> Data
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), "text"))
+    return scan(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), "text")).drop("text_key")

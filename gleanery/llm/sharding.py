@@ -29,12 +29,12 @@ SAMPLE = 16_384
 def splitters(records: DataFrame, ranges: int = RANGES, sample: int = SAMPLE) -> tuple[list[int], int]:
     """Quantile boundaries of a size-weighted sample of the range keys, and the bytes in all.
 
-    A record is drawn with a chance in proportion to its size, by a hash of its doc_id, so reruns agree.
+    A record is drawn with a chance in proportion to its size, by a hash of its doc_id and its place in the input, so many rows of one doc_id are drawn apart.
     """
     total = records.agg(F.sum("size")).first()[0] or 0
     if not total:
         return [], 0
-    chance = F.pmod(F.xxhash64(F.lit("draw"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64(F.lit("draw"), F.col("doc_id"), F.col("row")), F.lit(1 << 30)) / float(1 << 30)
     drawn = records.where(chance < F.col("size") * (sample / total)).groupBy("text_crc32").agg(F.count("*").alias("n"))
     rows = sorted((r[0] or 0, r[1]) for r in drawn.collect())
     if not rows:
@@ -48,6 +48,8 @@ def shard_records(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -
     """(doc_id, size, text_crc32, shard, slot) for each row of (doc_id, text)."""
     records = durable(docs.select(
         "doc_id", (F.octet_length(text_of()) + F.lit(1)).cast("long").alias("size"), F.crc32(F.col("text")).alias("text_crc32"), F.xxhash64(text_of()).alias("hash"),
+        # Tells rows apart that share everything; written once, so it stays.
+        F.monotonically_increasing_id().alias("row"),
     ), "records")
     bounds, total = splitters(records, ranges)
 
@@ -59,10 +61,10 @@ def shard_records(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -
     full = dealt.groupBy("range").agg(F.sum("size").alias("_bytes"))
     # A range is overfull beyond twice its even share; it is dealt into parts of about that share.
     parts = durable(full.select(F.col("range").alias("_range"), F.when(F.col("_bytes") > 2 * total / ranges, F.ceil(F.col("_bytes") * ranges / max(total, 1))).otherwise(1).cast("int").alias("_parts")), "ranges")
-    part = F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.col("_parts")).cast("int")
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id"), F.col("row")), F.col("_parts")).cast("int")
     # One row a range: at most RANGES rows, which bounds the broadcast.
-    split = durable(dealt.join(F.broadcast(parts), F.col("range") == F.col("_range")).select("doc_id", "size", "text_crc32", "hash", "range", part.alias("part")), "split")
-    order = Window.partitionBy("range", "part").orderBy(F.coalesce("text_crc32", F.lit(0)), "hash", "doc_id", "size")
+    split = durable(dealt.join(F.broadcast(parts), F.col("range") == F.col("_range")).select("doc_id", "size", "text_crc32", "hash", "row", "range", part.alias("part")), "split")
+    order = Window.partitionBy("range", "part").orderBy(F.coalesce("text_crc32", F.lit(0)), "hash", "doc_id", "row")
     every = split.groupBy("range", "part").agg(F.sum("size").alias("_n"))
     starts = every.select(F.col("range").alias("_range"), F.col("part").alias("_part"), (F.sum("_n").over(Window.orderBy("range", "part")) - F.col("_n")).alias("_start"))
     placed = split.withColumn("_within", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -71,7 +73,7 @@ def shard_records(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -
     cut = durable(placed.withColumn("shard", F.least(F.floor(middle * shards / (2.0 * max(total, 1))), F.lit(shards - 1)).cast("int")).drop("_start", "_within"), "placed")
     counts = cut.groupBy("shard", "range", "part").agg(F.count("*").alias("_rows"))
     before = counts.select(F.col("shard").alias("_shard"), F.col("range").alias("_range"), F.col("part").alias("_part"), (F.sum("_rows").over(Window.partitionBy("shard").orderBy("range", "part")) - F.col("_rows")).alias("_before"))
-    again = Window.partitionBy("range", "part", "shard").orderBy(F.coalesce("text_crc32", F.lit(0)), "hash", "doc_id", "size")
+    again = Window.partitionBy("range", "part", "shard").orderBy(F.coalesce("text_crc32", F.lit(0)), "hash", "doc_id", "row")
     slotted = cut.withColumn("_row", F.row_number().over(again)).join(before, (F.col("shard") == F.col("_shard")) & (F.col("range") == F.col("_range")) & (F.col("part") == F.col("_part")))
     return slotted.select("doc_id", "size", "text_crc32", "shard", (F.col("_before") + F.col("_row") - 1).cast("long").alias("slot"))
 

@@ -540,6 +540,35 @@ def test_candidate_spans():
     assert cut("short=value") == cut("") == cut("=" * 40) == cut("fifteenletters_==") == []
 
 
+def test_redaction_keeps_rows_of_one_doc_id_apart(spark):
+    key = "AKIA" + "Q7" * 8
+    texts = [(None, f"key = {key} and more"), (None, "nothing here"), (5, f"another {key}"), (5, "quite another text that ends"), (5, f"another {key}"), (6, None), (7, 'password = "a1"')]
+    table = spark.createDataFrame([(i, t, "p", "x") for i, t in texts], "doc_id long, text string, path string, text_key string")
+    found = secrets.candidates(table)
+    assert found.where("doc_id = 7 AND value = 'a1'").count() == 1
+    marked = found.withColumns({"length": F.length("value").cast("long"), "is_secret": F.col("value") == key})
+    clean = secrets.redact(table, marked)
+    assert clean.columns == table.columns
+    want = [(i, t.replace(key, "[secret]") if t else t) for i, t in texts]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in clean.collect()])) == sorted(map(str, want))
+
+
+def test_shards_of_one_hot_text_under_null_doc_ids(spark):
+    """A third of all rows share a null doc_id and a text: they lie over many tasks and shards, slots have no gaps, sizes are even, equal texts may cross a cut."""
+    rng = random.Random(5)
+    rows = [(None, "one hot text of many rows")] * 1000 + [(i if i % 7 else 3, sentence(rng, rng.randint(1, 60))) for i in range(2000)] + [(None, None)] * 50
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.shard_records(table, ranges=64).toPandas()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32(t.encode()) if t is not None else None) for i, t in rows)
+    assert Counter((None if pd.isna(r.doc_id) else int(r.doc_id), int(r.size), None if pd.isna(r.text_crc32) else int(r.text_crc32)) for r in got.itertuples(index=False)) == want
+    sizes, largest = got.groupby("shard")["size"].sum(), got["size"].max()
+    assert len(sizes) == sharding.SHARDS and (sizes - got["size"].sum() / sharding.SHARDS).abs().max() <= 2 * largest
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    hot = got[got.text_crc32 == zlib.crc32(b"one hot text of many rows")]
+    # The hot text's rows are neighbours in the order of all shards, whatever cuts them.
+    assert hot.groupby("shard").size().max() < 1000 and hot.shard.max() - hot.shard.min() + 1 == hot.shard.nunique()
+
+
 def test_unquoted_secrets_are_found_and_redacted(spark):
     rng = random.Random(4)
     draw = lambda of, n: "".join(rng.choice(of) for _ in range(n))
@@ -563,7 +592,7 @@ def test_short_and_dotted_secrets_are_candidates():
     cut = lambda text: [text[a:b] for a, b in secrets.spans(text)]
     token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
     assert cut(f"Bearer {token} end") == [token] and cut(f'token: "{token}"') == [token]
-    assert cut("password = 'h0rse!9x'") == ["h0rse!9x"] and cut("pwd=short") == [] and cut("passwd: a.b.c-d_e.f") == ["a.b.c-d_e.f"]
+    assert cut("password = 'h0rse!9x'") == ["h0rse!9x"] and cut("pwd=short") == ["short"] and cut("passwd: a.b.c-d_e.f") == ["a.b.c-d_e.f"]
     key = ISSUED_KEYS[0]
     assert cut(f"token={key}.rest") == [key]
     long = "api_key = " + "Ab1." * 50_000
