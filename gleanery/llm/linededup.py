@@ -134,7 +134,7 @@ def dedup_lines(docs: DataFrame, shortest: int = MIN_FUZZY, lost: str | None = N
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_verdicts(table(spark, sf_dir, "documents"))
+    return line_verdicts(table(spark, sf_dir, "documents"), shortest=0)
 
 
 def line_sql(shortest: int = MIN_FUZZY) -> str:
@@ -148,7 +148,8 @@ s AS (SELECT *, len AS m FROM g UNION ALL SELECT *, len - 1 AS m FROM g WHERE le
 p AS (
   SELECT a.o AS ao, b.o AS bo, a.t AS ta, b.t AS tb FROM s a JOIN s b ON a.m = b.m AND left(a.t, a.m // 2) = left(b.t, b.m // 2) AND a.o > b.o
   UNION SELECT a.o, b.o, a.t, b.t FROM s a JOIN s b ON a.m = b.m AND right(a.t, a.m - a.m // 2) = right(b.t, b.m - b.m // 2) AND a.o > b.o),
-near AS (SELECT ao, min(bo) AS bo FROM p WHERE levenshtein(ta, tb) <= 1 GROUP BY ao)
+q AS (SELECT *, length(ta) AS la, length(tb) AS lb, coalesce(list_filter(range(1, least(length(ta), length(tb)) + 1), lambda i: substr(ta, i, 1) <> substr(tb, i, 1))[1] - 1, least(length(ta), length(tb))) AS same FROM p),
+near AS (SELECT ao, min(bo) AS bo FROM q WHERE abs(la - lb) <= 1 AND substr(ta, same + 1 + (la >= lb)::INTEGER) = substr(tb, same + 1 + (lb >= la)::INTEGER) GROUP BY ao)
 SELECT l.doc_id, l.line::BIGINT AS line, (near.ao IS NULL AND l.doc_id = f.d AND l.line = f.n) AS kept,
   CASE WHEN near.ao IS NOT NULL THEN 'near' WHEN l.doc_id = f.d AND l.line = f.n THEN 'first' ELSE 'equal' END AS kind,
   (CASE WHEN near.ao IS NOT NULL THEN near.bo // 1000000 ELSE f.d END)::BIGINT AS first_doc_id,
@@ -157,4 +158,4 @@ FROM l JOIN f USING (t) LEFT JOIN near ON near.ao = f.d * 1000000 + f.n
 """
 
 
-OP1_SQL = line_sql()
+OP1_SQL = line_sql(0)

@@ -109,7 +109,8 @@ def test_quality_stage(docs, none):
 
 def test_line_dedup_is_sql(docs, rows, none):
     known = [r for r in rows if r[0] is not None]
-    same_rows(linededup.line_verdicts(docs.where("doc_id IS NOT NULL")).toPandas(), sql(linededup.OP1_SQL, known))
+    for shortest in (linededup.MIN_FUZZY, 0):
+        same_rows(linededup.line_verdicts(docs.where("doc_id IS NOT NULL"), shortest).toPandas(), sql(linededup.line_sql(shortest), known))
     assert linededup.line_verdicts(none).count() == 0
 
 
@@ -130,7 +131,7 @@ def test_line_dedup_finds_every_single_edit(spark, seed):
         i = rng.randrange(len(line))
         lines.append(rng.choice([line[:i] + line[i + 1 :], line[:i] + "q" + line[i:], line[:i] + "q" + line[i + 1 :]]))
     rows = [(i, t, "en", "s") for i, t in enumerate(lines)]
-    same_rows(linededup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas(), sql(linededup.OP1_SQL, rows))
+    same_rows(linededup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas(), sql(linededup.line_sql(), rows))
 
 
 @pytest.mark.parametrize("few", [16, 1])
