@@ -234,9 +234,14 @@ def capped(hits: DataFrame, keys: list[str], order: list, most: int, shares: int
     The first rows of each share of a group are found first, so a group of any size is sorted in many tasks, and the task
     that ranks the rest meets ``shares * most`` rows at most.
     """
-    share = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hits.columns]), F.lit(shares))
-    first = lambda rows, by: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
-    return first(first(hits.withColumn("_share", share), [*keys, "_share"]).drop("_share"), keys)
+    free = [n for k in range(len(hits.columns) + 2) if (n := f"_c{k}") not in hits.columns]
+    share, number = free[0], free[1]
+
+    def first(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.withColumn(number, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(number) <= most).drop(number)
+
+    dealt = hits.withColumn(share, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hits.columns]), F.lit(shares)))
+    return first(first(dealt, [*keys, share]).drop(share), keys)
 
 
 def _folded(keyword: str) -> str:
