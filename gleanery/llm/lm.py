@@ -348,17 +348,23 @@ def _answered_pairs(asked: DataFrame, vocabulary: int, keep_tries: bool) -> Data
     return asked.groupBy("shard").applyInPandas(answer, "shard long, block long, a binary, b binary")
 
 
-def _split_contexts(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The split contexts and their codes of b. A boundary of shards splits one context, so there are fewer than shards."""
+def _split_contexts(pairs: DataFrame) -> DataFrame:
+    """(shard, contexts, types, tokens): of each shard the contexts that it shares with others, at most two, with their successor types and tokens over all parts."""
     def unfold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                types, counts = np.split(unpacked(row.b, np.int64), 2)
-                yield pd.DataFrame({"context": unpacked(row.a, _64).astype(np.int64), "types": types, "count": counts})
+                types, tokens = np.split(unpacked(row.b, np.int64), 2)
+                yield pd.DataFrame({"shard": row.shard, "context": unpacked(row.a, _64).astype(np.int64), "types": types, "tokens": tokens})
 
-    parts = pairs.where("block = -2").select("a", "b").mapInPandas(unfold, "context long, types long, count long")
-    whole = parts.groupBy("context").agg(F.sum("types").alias("types"), F.max("count").alias("count")).orderBy("context").toPandas()
-    return whole["context"].to_numpy().astype(_64), coded(DISCOUNT * whole["types"].to_numpy(float) / whole["count"].to_numpy(float))
+    parts = durable(pairs.where("block = -2").select("shard", "a", "b").mapInPandas(unfold, "shard long, context long, types long, tokens long"), "splits")
+    whole = parts.groupBy(F.col("context").alias("_context")).agg(F.sum("types").alias("_types"), F.max("tokens").alias("_tokens"))
+    each = F.sort_array(F.collect_list(F.struct("context", "_types", "_tokens")))
+    held = parts.join(whole, F.col("context") == F.col("_context")).groupBy(F.col("shard").alias("_shard")).agg(each.alias("held"))
+    return durable(held.select("_shard", F.col("held.context").alias("contexts"), F.col("held._types").alias("types"), F.col("held._tokens").alias("tokens")), "split")
+
+
+def _b_of(types: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return coded(DISCOUNT * np.asarray(types, float) / np.asarray(tokens, float))
 
 
 def lm_scores(docs: DataFrame, tries: str | None = None) -> DataFrame:
@@ -381,13 +387,14 @@ def lm_scores(docs: DataFrame, tries: str | None = None) -> DataFrame:
     vocabulary = max(int(v), 1)
     blocks = blocks.drop("hashes", "n")
     pairs = durable(_answered_pairs(_asked_pairs(blocks, words, vocabulary), vocabulary, tries is not None), "pairs")
-    sent = docs.sparkSession.sparkContext.broadcast(_split_contexts(pairs))
+    # What is known of split contexts goes to the answers of their shards, two rows a shard at most.
+    pairs = pairs.where("block > -2").join(_split_contexts(pairs), F.col("shard") == F.col("_shard"), "left").drop("_shard")
     if tries is not None:
-        corrected = F.udf(lambda trie: with_b(bytes(trie), *sent.value), "binary")
-        pairs.where("block = -1").select("shard", corrected("a").alias("trie")).write.parquet(tries)
+        corrected = F.udf(lambda trie, contexts, types, tokens: bytes(trie) if contexts is None else with_b(bytes(trie), np.array(contexts, np.int64).astype(_64), _b_of(types, tokens)), "binary")
+        pairs.where("block = -1").select("shard", corrected("a", "contexts", "types", "tokens").alias("trie")).write.parquet(tries)
 
     lines = words.select("block", F.lit(0).alias("kind"), F.col("shard").cast("long").alias("shard"), "numbers", "counts", "starts", "v_before", "n_before", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
-    lines = lines.unionByName(pairs.where("block >= 0").select("block", F.lit(1).alias("kind"), "shard", "a", "b"), allowMissingColumns=True)
+    lines = lines.unionByName(pairs.where("block >= 0").select("block", F.lit(1).alias("kind"), "shard", "a", "b", "contexts", "types", "tokens"), allowMissingColumns=True)
 
     def score(row: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         block = _Block(next(row.itertuples()), lines[lines["kind"] == 0], vocabulary)
@@ -395,13 +402,13 @@ def lm_scores(docs: DataFrame, tries: str | None = None) -> DataFrame:
         a, b = np.zeros(len(block.pairs)), np.ones(len(block.pairs))
         for shard, k in block.slices():
             r = answers[shard]
-            context = np.cumsum(np.diff(block.pairs[k] >> _64(32), prepend=UNKNOWN) != 0) - 1
-            code = unpacked(r.b, np.uint16)[context]
+            whole = block.pairs[k] >> _64(32)
+            code = unpacked(r.b, np.uint16)[np.cumsum(np.diff(whole, prepend=UNKNOWN) != 0) - 1]
+            if isinstance(r.contexts, np.ndarray):
+                for context, own in zip(r.contexts, _b_of(r.types, r.tokens), strict=True):
+                    code = np.where(whole == _64(context), own, code)
             a[k] = decoded(unpacked(r.a, np.uint16))
             b[k] = np.where(code > 0, decoded(code), 1.0)
-        split = np.flatnonzero(block.parts > 1)
-        contexts, codes = sent.value
-        b[split] = decoded(codes[np.searchsorted(contexts, block.pairs[split] >> _64(32))])
         base = (block.count + ADD) / (n + ADD * (v + 1))
         p = base.copy()
         p[block.known] = a[block.at] + b[block.at] * base[block.known]
