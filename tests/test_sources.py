@@ -163,3 +163,15 @@ def test_triage_and_targets(spark):
     paths = spark.createDataFrame([("/a",), ("/b/",), ("/c",), ("d\\",)], "path string")
     marked = paths.withColumn("directory", F.col("path") == "/c")
     assert {r.path for r in joins.present(paths, marked).collect()} == {"/a"} and {r.path for r in joins.present(paths, paths).collect()} == {"/a", "/c"}
+
+
+def test_snapshots_with_gaps(spark, tmp_path):
+    """Lines without a field, with one too many and with nulls; a line that can't be read is a row of nulls."""
+    (tmp_path / "p.json").write_text('{"pid": 1, "exe": "j", "command_line": "j -jar a", "more": 2}\n{"pid": 2}\n{oops\n')
+    got = lists.read_processes(spark, str(tmp_path / "p.json"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "j", "j -jar a"), (2, None, None), (None, None, None)]))
+    (tmp_path / "j.json").write_text('{"pid": "7", "jvm_args": ["-a", null], "class_path": "x;y"}\n{"pid": "8", "error": "closed"}\n')
+    found = {r.pid: (r.jvm_args, r.class_path, r.error) for r in lists.read_jvms(spark, str(tmp_path / "j.json")).collect()}
+    assert found == {"7": (["-a", None], "x;y", None), "8": (None, None, "closed")}
+    (tmp_path / "none").mkdir()
+    assert lists.read_processes(spark, str(tmp_path / "none")).count() == 0
