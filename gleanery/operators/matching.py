@@ -153,24 +153,18 @@ def match_literals(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
     parts = parts.withColumn("_low", fold(F.col("_raw")))
     fields = ("_needle", "_size", "_term", *_OWN, "case_sensitive", "scan_paths", "scan_strings")
     if n <= FEW_LITERALS:
-        rows = literals.orderBy("_term").collect()
-        listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in fields]) for r in rows]) if rows else None
-        if listed is None:
-            return literals.sparkSession.createDataFrame([], ", ".join(f"{c} {t}" for c, t in [*[x for x in surfaces.dtypes if x[0] in _NAMES], *[(c, "string") for c in _OWN], ("hits", "long")]))
-        held = F.filter(listed, lambda t: F.when(t["case_sensitive"], F.col("_raw")).otherwise(F.col("_low")).contains(t["_needle"]))
-        met = parts.select("*", F.inline(held))
+        return _one_by_one(parts, literals.orderBy("_term").collect())
+    index = _gram_index(literals)
+    sizes = [r[0] for r in index.select(F.length("gram")).distinct().collect()]
+    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_low"), k) for k in sorted(sizes)])))
+    wanted = index.join(literals, "_term").select("gram", *fields)
+    if _may_be_sent(wanted, "pattern"):
+        met = parts.select("*", F.explode(every).alias("gram")).join(F.broadcast(wanted), "gram")
     else:
-        index = _gram_index(literals)
-        sizes = [r[0] for r in index.select(F.length("gram")).distinct().collect()]
-        every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_low"), k) for k in sorted(sizes)])))
-        wanted = index.join(literals, "_term").select("gram", *fields)
-        if _may_be_sent(wanted, "pattern"):
-            met = parts.select("*", F.explode(every).alias("gram")).join(F.broadcast(wanted), "gram")
-        else:
-            # No text is moved once for each of its grams: parts get numbers, and come back for the literals they meet.
-            parts = settled(parts.withColumn("_part", F.monotonically_increasing_id()))
-            pairs = parts.select("_part", F.explode(every).alias("gram")).join(wanted, "gram").select("_part", *fields)
-            met = parts.join(pairs, "_part")
+        # No text is moved once for each of its grams: parts get numbers, and come back for the literals they meet.
+        parts = settled(parts.withColumn("_part", F.monotonically_increasing_id()))
+        pairs = parts.select("_part", F.explode(every).alias("gram")).join(wanted, "gram").select("_part", *fields)
+        met = parts.join(pairs, "_part")
     word = F.col("kind") == "WORD"
     text = F.left(F.when(F.col("case_sensitive"), F.col("_raw")).otherwise(F.col("_low")), F.lit(PART) + F.col("_size") + word.cast("int"))
     hits = F.when(text.contains(F.col("_needle")), F.regexp_count(text, _look_for(F.col("_needle"), word))).otherwise(0)
@@ -178,6 +172,20 @@ def match_literals(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.groupBy(*_NAMES, "_term", *_OWN).agg(F.sum("hits").alias("hits")).drop("_term")
 
 
+def _one_by_one(parts: DataFrame, rows: list) -> DataFrame:
+    """Hits of a few literals, each looked for in every part."""
+    hits = [F.struct(F.lit(0).cast("long").alias("_term"), *[F.lit("").alias(c) for c in _OWN], F.lit(0).cast("long").alias("hits"))]
+    for r in rows:
+        word = r.kind == "WORD"
+        text = F.left(F.col("_raw" if r.case_sensitive else "_low"), F.lit(PART + r["_size"] + word))
+        look = f"(?s)(?<=[^A-Za-z0-9_$])(?={quoted(r['_needle'])}[^A-Za-z0-9_$])" if word else f"(?s)(?<=.)(?={quoted(r['_needle'])})"
+        on = F.when(F.col("surface") == "PATH", F.lit(r.scan_paths)).otherwise(F.lit(r.scan_strings))
+        count = F.when(on & text.contains(r["_needle"]), F.regexp_count(text, F.lit(look))).otherwise(0).cast("long")
+        hits.append(F.struct(F.lit(r["_term"]).alias("_term"), *[F.lit(r[c]).alias(c) for c in _OWN], count.alias("hits")))
+    found = parts.select(*_NAMES, F.inline(F.array(*hits))).where("hits > 0")
+    return found.groupBy(*_NAMES, "_term", *_OWN).agg(F.sum("hits").alias("hits")).drop("_term")
+
+
 def _grams(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
