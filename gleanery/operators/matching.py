@@ -144,16 +144,17 @@ def match_literals(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
     The number of literals is not limited, nor is the length of a text. A literal's places are counted where they begin, in one part
     of the text each.
     """
+    few = _few_literals(terms)
+    if few is not None:
+        return _searched(surfaces, few)
     literals = settled(_literals(terms))
-    longest, n = literals.agg(F.coalesce(F.max("_size"), F.lit(0)), F.count("*")).first()
+    longest = literals.agg(F.max("_size")).first()[0]
     whole = F.concat(F.lit(_EDGE), F.col("text"), F.lit(_EDGE))
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(PART))
     # A part begins with the character before it and ends where the longest literal that begins in it may.
     parts = surfaces.where(F.length("text") > 0).select(*_NAMES, F.explode(F.transform(starts, lambda i: F.substr(whole, i + 1, F.lit(PART + longest + 1)))).alias("_raw"))
     parts = parts.withColumn("_low", fold(F.col("_raw")))
     fields = ("_needle", "_size", "_term", *_OWN, "case_sensitive", "scan_paths", "scan_strings")
-    if n <= FEW_LITERALS:
-        return _one_by_one(parts, literals.orderBy("_term").collect())
     index = _gram_index(literals)
     sizes = [r[0] for r in index.select(F.length("gram")).distinct().collect()]
     every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_low"), k) for k in sorted(sizes)])))
@@ -172,18 +173,29 @@ def match_literals(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.groupBy(*_NAMES, "_term", *_OWN).agg(F.sum("hits").alias("hits")).drop("_term")
 
 
-def _one_by_one(parts: DataFrame, rows: list) -> DataFrame:
-    """Hits of a few literals, each looked for in every part."""
-    hits = [F.struct(F.lit(0).cast("long").alias("_term"), *[F.lit("").alias(c) for c in _OWN], F.lit(0).cast("long").alias("hits"))]
-    for r in rows:
-        word = r.kind == "WORD"
-        text = F.left(F.col("_raw" if r.case_sensitive else "_low"), F.lit(PART + r["_size"] + word))
-        look = f"(?s)(?<=[^A-Za-z0-9_$])(?={quoted(r['_needle'])}[^A-Za-z0-9_$])" if word else f"(?s)(?<=.)(?={quoted(r['_needle'])})"
-        on = F.when(F.col("surface") == "PATH", F.lit(r.scan_paths)).otherwise(F.lit(r.scan_strings))
-        count = F.when(on & text.contains(r["_needle"]), F.regexp_count(text, F.lit(look))).otherwise(0).cast("long")
-        hits.append(F.struct(F.lit(r["_term"]).alias("_term"), *[F.lit(r[c]).alias(c) for c in _OWN], count.alias("hits")))
-    found = parts.select(*_NAMES, F.inline(F.array(*hits))).where("hits > 0")
-    return found.groupBy(*_NAMES, "_term", *_OWN).agg(F.sum("hits").alias("hits")).drop("_term")
+def _few_literals(terms: DataFrame) -> list | None:
+    """The literals of a list, if they are few."""
+    rows = _literals(terms).orderBy("_term").limit(FEW_LITERALS + 1).collect()
+    return rows if len(rows) <= FEW_LITERALS else None
+
+
+def _searched(surfaces: DataFrame, rows: list) -> DataFrame:
+    """Hits of the literals and expressions in ``rows``, each looked for in every text, ``EXPRESSIONS_A_PASS`` in one pass."""
+    passes = []
+    folded = surfaces.withColumn("_low", fold(F.col("text")))
+    for i in range(0, max(len(rows), 1), EXPRESSIONS_A_PASS):
+        hits = [F.struct(F.lit(0).cast("long").alias("_term"), *[F.lit("").alias(c) for c in _OWN], F.lit(0).cast("long").alias("hits"))]
+        for r in rows[i : i + EXPRESSIONS_A_PASS]:
+            on = F.when(F.col("surface") == "PATH", F.lit(r.scan_paths)).otherwise(F.lit(r.scan_strings))
+            if r.kind == "REGEX":
+                count = F.when(on, F.regexp_count("text", F.lit(r.pattern)))
+            else:
+                text, needle = F.col("text" if r.case_sensitive else "_low"), quoted(r["_needle"])
+                look = f"(?<![A-Za-z0-9_$])(?={needle}(?![A-Za-z0-9_$]))" if r.kind == "WORD" else f"(?={needle})"
+                count = F.when(on & text.contains(r["_needle"]), F.regexp_count(text, F.lit(look)))
+            hits.append(F.struct(F.lit(r["_term"]).alias("_term"), *[F.lit(r[c]).alias(c) for c in _OWN], count.otherwise(0).cast("long").alias("hits")))
+        passes.append(folded.select(*_NAMES, F.inline(F.array(*hits))).where("hits > 0"))
+    return reduce(DataFrame.unionByName, passes).groupBy(*_NAMES, "_term", *_OWN).agg(F.sum("hits").alias("hits")).drop("_term")
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -198,25 +210,22 @@ def _gram_index(literals: DataFrame) -> DataFrame:
     return grams.join(often, "gram").groupBy("_term").agg(F.min_by("gram", F.struct("_n", F.xxhash64("gram"), "gram")).alias("gram"))
 
 
-def match_expressions(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
-    """Hits of REGEX terms, one row for each place and entry; those that don't compile are left out."""
+def _sound_expressions(terms: DataFrame) -> list:
     rows = _expressions(terms)
     broken = broken_expressions(terms.sparkSession, sorted({r.pattern for r in rows}))
-    rows = [r for r in rows if r.pattern not in broken]
-    if not rows:
-        return surfaces.select(*_NAMES, *[F.lit("").alias(c) for c in _OWN], F.lit(0).cast("long").alias("hits")).where("false")
-    passes = []
-    for i in range(0, len(rows), EXPRESSIONS_A_PASS):
-        hits = []
-        for r in rows[i : i + EXPRESSIONS_A_PASS]:
-            on = F.when(F.col("surface") == "PATH", F.lit(r.scan_paths)).otherwise(F.lit(r.scan_strings))
-            hits.append(F.struct(F.lit(r["_term"]).alias("_term"), *[F.lit(r[c]).alias(c) for c in _OWN], F.when(on, F.regexp_count("text", F.lit(r.pattern))).otherwise(0).cast("long").alias("hits")))
-        passes.append(surfaces.select(*_NAMES, F.inline(F.array(*hits))).where("hits > 0"))
-    return reduce(DataFrame.unionByName, passes).groupBy(*_NAMES, "_term", *_OWN).agg(F.sum("hits").alias("hits")).drop("_term")
+    return [r for r in rows if r.pattern not in broken]
+
+
+def match_expressions(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
+    """Hits of REGEX terms, one row for each place and entry; those that don't compile are left out."""
+    return _searched(surfaces, _sound_expressions(terms))
 
 
 def match_searched(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
-    """Hits of LITERAL and REGEX terms and of WORD terms that are not single words; case folds for ASCII alone."""
+    """Hits of LITERAL and REGEX terms and of WORD terms that are not single words; case folds for ASCII alone. A few literals go with the expressions, in one pass."""
+    few = _few_literals(terms)
+    if few is not None:
+        return _searched(surfaces, few + _sound_expressions(terms))
     return match_literals(surfaces, terms).unionByName(match_expressions(surfaces, terms))
 
 

@@ -20,7 +20,8 @@ _PRINTABLE = "len(list_filter({0}, lambda c: c BETWEEN 32 AND 126 OR c IN (9, 10
 
 @query(f"""WITH t AS (SELECT DISTINCT substr(text, 11, 12) AS pattern, {_LOW.format('substr(text, 11, 12)')} AS needle FROM documents WHERE length(text) > 22),
 d AS MATERIALIZED (SELECT doc_id, {_LOW.format('text')} AS low FROM documents), m AS (SELECT doc_id, pattern, needle, low FROM d JOIN t ON contains(low, needle))
-SELECT doc_id AS unit_id, pattern, len(list_filter(range(1, length(low) - 10), lambda i: substr(low, i, 12) = needle))::BIGINT AS hits FROM m""")
+SELECT doc_id AS unit_id, pattern, CASE WHEN len(list_filter(range(1, 12), lambda p: substr(needle, p + 1) = left(needle, 12 - p))) = 0 THEN len(string_split(low, needle)) - 1
+ ELSE len(list_filter(range(1, length(low) - 10), lambda i: substr(low, i, 12) = needle)) END::BIGINT AS hits FROM m""")
 def match_long_list(spark: SparkSession, d: str) -> DataFrame:
     """A literal out of every document, looked for in all of them, overlapping places too."""
     docs = table(spark, d, "documents")
