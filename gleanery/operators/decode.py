@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import magic_kind
 from ..functions.text import is_readable
@@ -50,43 +55,73 @@ def _shown(codes: str, change, key: Column) -> Column:
     return F.array_join(F.transform(codes, lambda c, i: _char(change(c, i, key))), "")
 
 
-def _lowest(codes: str, change, keys: range) -> Column:
-    return F.get(F.filter(F.sequence(F.lit(keys.start), F.lit(keys.stop - 1)), _fits(codes, change)), F.lit(0))
+_PLAIN = np.array([32 <= c <= 126 or c in (9, 10, 13) for c in range(256)] + [False])
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """The place of each code within its text, of texts put one behind another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _lowest_keys(codes: np.ndarray, sizes: np.ndarray, keys: range, change) -> np.ndarray:
+    """The lowest key of each text, -1 if none, that makes over 85 % of its codes printable; no text is empty."""
+    best, left, places = np.full(len(sizes), -1), np.arange(len(sizes)), _places(sizes)
+    for key in keys:
+        if not len(left):
+            break
+        plain = _PLAIN[np.minimum(change(codes, places, key), 256)]
+        fits = 100 * np.add.reduceat(plain, np.cumsum(sizes) - sizes, dtype=np.int64) > 85 * sizes
+        if fits.any():
+            best[left[fits]] = key
+            kept = np.repeat(~fits, sizes)
+            codes, places, left, sizes = codes[kept], places[kept], left[~fits], sizes[~fits]
+    return best
+
+
+def _shown_under(codes: np.ndarray, sizes: np.ndarray, keys: np.ndarray, change) -> list[str]:
+    """Each text under its own key."""
+    shown = change(codes, _places(sizes), np.repeat(keys, sizes)).astype("<u4").tobytes().decode("utf-32-le")
+    ends = np.cumsum(sizes)
+    return [shown[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def _codes_under(codes: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return codes[np.repeat(which, sizes)], sizes[which]
 
 
 def with_keys(rows: DataFrame, keys: range, change, longest: int = 500) -> DataFrame:
-    """Each (unit_id, text) under the lowest key that makes it readable: (unit_id, key, decoded). change: (code, place, key) -> code.
+    """Each (unit_id, text) under the lowest key that makes it readable: (unit_id, key, decoded). change: (code, place, key) -> code, over numpy arrays.
 
-    Texts that can't be hidden go before any key is tried; the keys are tried within the row, so nothing is multiplied.
+    Texts that can't be hidden go before any key is tried; a key is tried on all texts of a batch at once, so nothing is multiplied.
     """
-    some = rows.where(may_be_hidden(F.col("text"), longest)).withColumn("_codes", codes_of(F.col("text")))
-    found = some.withColumn("key", _lowest("_codes", change, keys)).where("key IS NOT NULL")
-    return found.select("unit_id", "key", _shown("_codes", change, F.col("key")).alias("decoded"))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            codes, sizes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64), np.array([len(t) for t in texts], np.int64)
+            best = _lowest_keys(codes, sizes, keys, change)
+            found = best >= 0
+            shown = _shown_under(*_codes_under(codes, sizes, found), best[found], change)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(found)), pa.array(best[found], pa.int32()), pa.array(shown, pa.string())], names=["unit_id", "key", "decoded"])
+
+    some = rows.where(may_be_hidden(F.col("text"), longest)).select("unit_id", "text")
+    return some.mapInArrow(search, T.StructType([some.schema["unit_id"], T.StructField("key", T.IntegerType()), T.StructField("decoded", T.StringType())]))
 
 
 CHANGES = {
-    "xor": lambda c, i, k: c.bitwiseXOR(k),
-    "shift": lambda c, i, k: (c - k).bitwiseAND(F.lit(255)),
-    "xor by place": lambda c, i, k: c.bitwiseXOR((k + i).bitwiseAND(F.lit(255))),
-    "xor by product": lambda c, i, k: c.bitwiseXOR((k * (i + 1)).bitwiseAND(F.lit(255))),
-    "shift by place": lambda c, i, k: (c - k - i).bitwiseAND(F.lit(255)),
-    "xor less place": lambda c, i, k: (c.bitwiseXOR(k) - i).bitwiseAND(F.lit(255)),
-    "xor then shift": lambda c, i, k: (c.bitwiseXOR(k) + k).bitwiseAND(F.lit(255)),
+    "xor": lambda c, i, k: c ^ k,
+    "shift": lambda c, i, k: (c - k) & 255,
+    "xor by place": lambda c, i, k: c ^ ((k + i) & 255),
+    "xor by product": lambda c, i, k: c ^ ((k * (i + 1)) & 255),
+    "shift by place": lambda c, i, k: (c - k - i) & 255,
+    "xor less place": lambda c, i, k: ((c ^ k) - i) & 255,
+    "xor then shift": lambda c, i, k: ((c ^ k) + k) & 255,
+    # Key 2 n shifts by n bits to the left, 2 n + 1 to the right.
+    "bit shift": lambda c, i, k: np.where(k & 1, c >> (k >> 1), c << (k >> 1)) & 255,
 }
 #: Left by one bit, right by one, left by two and so on.
 BIT_SHIFTS = range(2, 16)
 
 
-def bit_shift(code: Column, place: Column, key: Column) -> Column:
-    """Key 2 n shifts by n bits to the left, 2 n + 1 to the right."""
-    by = F.shiftright(key, 1)
-    left = F.call_function("shiftleft", code, by)
-    return F.when(key.bitwiseAND(F.lit(1)) == 0, left).otherwise(F.call_function("shiftright", code, by)).bitwiseAND(F.lit(255))
-
-
-CHANGES["bit shift"] = bit_shift
-
-
 # First bytes that outweigh any share of printable ones.
 _TELLING = ((202, 254, 186, 190), (80, 75, 3, 4), (31, 139), (93, 0, 0, 0))
 
@@ -137,12 +172,25 @@ def base64_then_xor(rows: DataFrame) -> DataFrame:
     """(unit_id, key, by_place, decoded): base64 texts whose bytes are readable under the lowest key of 1 to 255, else under one that grows with the place."""
     whole = rows.where(F.col("text").rlike("^[A-Za-z0-9+/]+={0,2}$") & (F.length("text") >= 8))
     padded = F.rpad("text", F.ceil(F.length("text") / 4).cast("int") * 4, F.lit("="))
-    some = whole.withColumn("_bytes", F.try_to_binary(padded, F.lit("base64"))).where("octet_length(_bytes) >= 2").withColumn("_codes", codes_of(F.decode("_bytes", "ISO-8859-1")))
+    some = whole.select("unit_id", F.try_to_binary(padded, F.lit("base64")).alias("content"))
     same, moving, keys = CHANGES["xor"], CHANGES["xor by place"], range(1, 256)
-    tried = some.withColumns({"_same": _lowest("_codes", same, keys), "_moving": _lowest("_codes", moving, keys)})
-    found = tried.withColumns({"key": F.coalesce("_same", "_moving"), "by_place": F.col("_same").isNull()}).where("key IS NOT NULL")
-    shown = F.when(F.col("by_place"), _shown("_codes", moving, F.col("key"))).otherwise(_shown("_codes", same, F.col("key")))
-    return found.select("unit_id", "key", "by_place", shown.alias("decoded"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = batch.column(1).to_pylist()
+            long = np.array([c is not None and len(c) >= 2 for c in contents], bool)
+            units, contents = batch.column(0).filter(pa.array(long)), [c for c in contents if c is not None and len(c) >= 2]
+            codes, sizes = np.frombuffer(b"".join(contents), np.uint8).astype(np.int64), np.array([len(c) for c in contents], np.int64)
+            best = _lowest_keys(codes, sizes, keys, same)
+            for by_place, change in ((False, same), (True, moving)):
+                found = best >= 0
+                shown = _shown_under(*_codes_under(codes, sizes, found), best[found], change)
+                yield pa.RecordBatch.from_arrays([units.filter(pa.array(found)), pa.array(best[found], pa.int32()), pa.array([by_place] * len(shown), pa.bool_()), pa.array(shown, pa.string())], names=["unit_id", "key", "by_place", "decoded"])
+                if not by_place:
+                    units, (codes, sizes) = units.filter(pa.array(~found)), _codes_under(codes, sizes, ~found)
+                    best = _lowest_keys(codes, sizes, keys, moving)
+
+    return some.mapInArrow(search, T.StructType([some.schema["unit_id"], T.StructField("key", T.IntegerType()), T.StructField("by_place", T.BooleanType()), T.StructField("decoded", T.StringType())]))
 
 
 def payload_class(content: Column) -> Column:

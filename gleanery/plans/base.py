@@ -33,7 +33,7 @@ def evenly(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return evenly(rows) if name in ("documents", "lineitem") else rows
+    return evenly(rows) if name in ("documents", "lineitem", "customer") else rows
 
 
 DERIVED = {
