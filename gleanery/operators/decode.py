@@ -147,25 +147,44 @@ def byte_key(codes: Column) -> Column:
     return F.when((F.size(head) > 0) & (best["score"] >= 80), F.struct(best["score"].alias("score"), (-best["less"]).alias("key")))
 
 
+def _best_key(codes: Column) -> Column:
+    """The key below 256 under which most codes are 32 to 126, the lowest of equals; 0 if no code is below 256.
+
+    A code gets one of 32 to 127 from the keys that share its bit 128 and differ in the two bits below it, so eight counts tell the best
+    32 keys; of these only those that make some code 127 lose, and the lowest of the others is the best of all.
+    """
+    block = lambda c: F.shiftright(c, 5)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda q: F.size(F.filter(codes, lambda c: block(c) == q)))
+    votes = F.transform(F.array(counts), lambda n: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda h: F.aggregate(F.slice(n, F.when(h < 4, 1).otherwise(5), 4), F.lit(0), lambda a, x: a + x) - F.get(n, h)))
+    first = F.transform(votes, lambda v: 32 * (F.array_position(v, F.array_max(v)).cast("int") - 1))
+    free = F.get(F.transform(first, lambda k: F.array_min(F.array_except(F.sequence(k, k + 31), F.transform(codes, lambda c: c.bitwiseXOR(F.lit(127)))))), F.lit(0))
+    # Where each of the 32 makes some code 127, all keys are counted.
+    counted = lambda k: F.struct(F.size(F.filter(codes, lambda c: c.bitwiseXOR(k).between(32, 126))).alias("n"), (-k).alias("less"))
+    return F.coalesce(free, -F.array_max(F.transform(F.sequence(F.lit(0), F.lit(255)), counted))["less"])
+
+
 def repeating_key(rows: DataFrame, longest: int = 200) -> DataFrame:
     """(unit_id, size, decoded): texts hidden under a repeating key of two to eight characters, the shortest that makes them readable.
 
     At each place of the key the value below 256 that gives most printable characters counts, the lowest of equals; a key
-    that holds 0 is none. A character names the 95 values that make it printable, so the best value is the one named most often.
+    that holds 0 is none. All is worked out within the row.
     """
-    some = rows.where(may_be_hidden(F.col("text"), longest)).select("unit_id", "text").distinct().withColumn("_codes", codes_of(F.col("text")))
-    sizes = F.sequence(F.lit(2), F.least(F.lit(8), F.floor(F.size("_codes") / 2).cast("int")))
-    at = some.where(F.size("_codes") >= 4).select("unit_id", "text", F.explode(sizes).alias("size"), "_codes").select("unit_id", "text", "size", F.posexplode("_codes").alias("i", "code"))
-    named = at.select("unit_id", "text", "size", (F.col("i") % F.col("size")).alias("place"), F.explode(F.transform(F.sequence(F.lit(32), F.lit(126)), lambda p: F.col("code").bitwiseXOR(p))).alias("key")).where("key < 256")
-    votes = named.groupBy("unit_id", "text", "size", "place", "key").agg(F.count("*").alias("n"))
-    best = votes.groupBy("unit_id", "text", "size", "place").agg(F.max_by("key", F.struct("n", -F.col("key"))).alias("key")).where("key > 0")
-    # At most eight places.
-    keys = best.groupBy("unit_id", "text", "size").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "key"))), lambda x: x["key"]).alias("keys")).where(F.size("keys") == F.col("size"))
-    keys = keys.withColumn("_codes", codes_of(F.col("text")))
+    texts = rows.select("unit_id", "text").where(may_be_hidden(F.col("text"), longest))
+    # Of a given number, so that few bytes of text are not put into one task: the work is in the keys.
+    dealt = texts.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()), "unit_id", "text").distinct()
+    # Exploding an array of one keeps the codes from being found again for each use.
+    some = dealt.select("unit_id", F.explode(F.array(codes_of(F.col("text")))).alias("_codes"))
     change = lambda c, i, k: c.bitwiseXOR(F.get(k, i % F.size(k)))
-    found = keys.where(_fits("_codes", change)(F.col("keys"))).groupBy("unit_id", "text").agg(F.min(F.struct("size", "keys")).alias("best"))
-    found = found.select("unit_id", F.col("best.size").alias("size"), "best.keys", codes_of(F.col("text")).alias("_codes"))
-    return found.select("unit_id", "size", _shown("_codes", change, F.col("keys")).alias("decoded"))
+
+    def keys(size: int) -> Column:
+        """The key of this size, null if there is none that makes the text readable."""
+        groups = F.array(*[F.transform(F.sequence(F.lit(p), F.size("_codes") - 1, F.lit(size)), lambda j: F.get("_codes", j)) for p in range(size)])
+        sound = F.filter(F.array(F.transform(groups, _best_key)), lambda k: ~F.array_contains(k, F.lit(0)) & _fits("_codes", change)(k))
+        return F.when(F.size("_codes") >= 2 * size, F.get(sound, F.lit(0)))
+
+    # Longer keys are looked for only where no shorter one is found.
+    found = some.select("unit_id", "_codes", F.explode(F.array_compact(F.array(F.coalesce(*[keys(size) for size in range(2, 9)])))).alias("keys"))
+    return found.select("unit_id", F.size("keys").alias("size"), _shown("_codes", change, F.col("keys")).alias("decoded"))
 
 
 def base64_then_xor(rows: DataFrame) -> DataFrame:

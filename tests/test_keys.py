@@ -2,6 +2,7 @@ import base64
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.operators import decode
 from gleanery.plans import registry
@@ -54,3 +55,21 @@ def test_hidden_names_are_dealt_out(spark, name):
     """The search is shared by all cores, also where the names lie in one small file, and no lambda tries the keys."""
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning" in plan and "sequence(" not in plan
+
+
+def test_repeating_keys_stay_in_the_row(spark):
+    """No row for each code and key, and a place whose codes rule out each of the best 32 keys."""
+    text = "".join(chr(128 + c) if i % 2 else chr(200 ^ ord("e")) for c in range(32, 64) for i in range(2))
+    got = decode.repeating_key(spark.createDataFrame([(1, text), (2, None)], "unit_id long, text string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 3 and "sum(" not in plan and "max_by" not in plan
+    codes = [ord(c) for c in text]
+    key = [max(range(256), key=lambda k, p=p: (sum(32 <= c ^ k <= 126 for c in codes[p::2]), -k)) for p in range(2)]
+    assert [(r.size, r.decoded) for r in got.collect()] == [(2, "".join(chr(c ^ key[i % 2]) for i, c in enumerate(codes)))]
+
+
+def test_best_key_is_brute_force(spark):
+    rng = random.Random(8)
+    groups = [[rng.choice((rng.randrange(256), rng.randrange(160, 192), rng.randrange(400))) for _ in range(rng.randint(1, 60))] for _ in range(150)] + [[*range(0, 256)], [*range(128, 256)], [*range(96, 128)], [300], [255, 127]]
+    got = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "i int, codes array<int>").select("i", decode._best_key(F.col("codes")).alias("k")).collect()
+    assert {r.i: r.k for r in got} == {i: max(range(256), key=lambda k, g=g: (sum(32 <= c ^ k <= 126 for c in g), -k)) for i, g in enumerate(groups)}
