@@ -2,19 +2,24 @@
 
 Words of a text meet a term list of checked size where they are, so that only hits are shuffled; for a longer list each
 unit's words are counted first. One equi-join finds any number of terms. Literals of a long list are met by one of their
-grams: the texts' grams join the list's, and only the literals met are looked for in the part of the text that holds the gram. A few literals
+grams: places of texts that hold such a gram join the list's, with the characters around them; no text is moved. A few literals
 are looked for in each text at once. Expressions that don't compile are put aside with a reason (``quarantined``). Terms that are switched off never
 take part, an entry that is listed twice counts once, and entries that differ in anything are told apart, also where they share a pattern.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import is_asset_path
 from ..functions.text import LOWER, UPPER, fold
@@ -28,10 +33,14 @@ MOST_SENT, MOST_SENT_CHARS = 200_000, 16_000_000
 FEW_LITERALS = 100
 #: Expressions in one pass over the texts.
 EXPRESSIONS_A_PASS = 500
-#: Characters of a literal's gram; shorter literals are their own gram.
-GRAM = 5
-#: Characters of the parts that texts are cut into for literals; each sees as much of its neighbours as the longest literal needs.
+#: Characters of a literal's gram: the most of these that the literal has.
+GRAMS = (1, 2, 3, 4, 6, 8, 12)
+#: Characters of the pieces that longer literals are cut into.
+PIECE = 64
+#: Characters of the parts of a text whose grams are worked out at once.
 PART = 32_768
+#: Bits of the map of a list's grams that is sent to every task, as a power of two: 16 MB. Of a list too long for it, more places are compared in vain.
+MOST_BITS = 27
 #: Stands before and behind each text: a code that Unicode keeps free of characters, so that no literal holds it.
 _EDGE = "\uffff"
 _NAMES = ("unit_id", "location", "surface", "source")
@@ -88,10 +97,6 @@ def quoted(text: str) -> str:
     return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
-def _quoted(text: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-
-
 def _may_be_sent(terms: DataFrame, text: str) -> bool:
     """Whether a term list is small enough for every task."""
     n, chars = terms.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
@@ -133,44 +138,104 @@ def _literals(terms: DataFrame) -> DataFrame:
     return plain.withColumns({"_needle": needle, "_size": F.length("pattern")})
 
 
-def _look_for(needle: Column, word: Column) -> Column:
-    """The expression that counts a needle's places, overlapping ones too; a word must not go on before or behind it."""
-    return F.when(word, F.concat(F.lit("(?s)(?<=[^A-Za-z0-9_$])(?="), _quoted(needle), F.lit("[^A-Za-z0-9_$])"))).otherwise(F.concat(F.lit("(?s)(?<=.)(?="), _quoted(needle), F.lit(")")))
+def _cut(literals: DataFrame) -> DataFrame:
+    """The literals, one row for each piece of at most ``PIECE`` characters: (_needle, _at, _last, _pieces, ...); the last piece ends with the literal."""
+    ends = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.col("_size") - 1, F.lit(0)), F.lit(PIECE)), lambda i: F.least(i, F.greatest(F.col("_size") - PIECE, F.lit(0)))))
+    cut = literals.withColumns({"_pieces": F.size(ends), "_whole": F.col("_size")}).withColumn("_at", F.explode(ends))
+    return cut.withColumns({"_needle": F.substr("_needle", F.col("_at") + 1, F.lit(PIECE)), "_last": F.col("_at") + PIECE >= F.col("_whole")})
 
 
 def match_literals(surfaces: DataFrame, terms: DataFrame) -> DataFrame:
     """Hits of LITERAL terms and of WORD terms that are not single words, one row for each place and entry; case folds for ASCII alone.
 
-    The number of literals is not limited, nor is the length of a text. A literal's places are counted where they begin, in one part
-    of the text each.
+    The number of literals is not limited, nor is the length of a text or a literal. A text's places that hold a gram of the list, as a bitmap of fixed
+    size tells, go on with the characters around them, and meet the pieces that have the gram. A literal is where all its pieces are.
     """
     few = _few_literals(terms)
     if few is not None:
         return _searched(surfaces, few)
-    literals = settled(_literals(terms))
-    longest = literals.agg(F.max("_size")).first()[0]
-    whole = F.concat(F.lit(_EDGE), F.col("text"), F.lit(_EDGE))
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(PART))
-    # A part begins with the character before it and ends where the longest literal that begins in it may.
-    parts = surfaces.where(F.length("text") > 0).select(*_NAMES, F.explode(F.transform(starts, lambda i: F.substr(whole, i + 1, F.lit(PART + longest + 1)))).alias("_raw"))
-    parts = parts.withColumn("_low", fold(F.col("_raw")))
-    fields = ("_needle", "_size", "_term", *_OWN, "case_sensitive", "scan_paths", "scan_strings")
-    index = _gram_index(literals)
-    sizes = [r[0] for r in index.select(F.length("gram")).distinct().collect()]
-    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_low"), k) for k in sorted(sizes)])))
-    wanted = index.join(literals, "_term").select("gram", *fields)
-    if _may_be_sent(wanted, "pattern"):
-        met = parts.select("*", F.explode(every).alias("gram")).join(F.broadcast(wanted), "gram")
-    else:
-        # No text is moved once for each of its grams: parts get numbers, and come back for the literals they meet.
-        parts = settled(parts.withColumn("_part", F.monotonically_increasing_id()))
-        pairs = parts.select("_part", F.explode(every).alias("gram")).join(wanted, "gram").select("_part", *fields)
-        met = parts.join(pairs, "_part")
-    word = F.col("kind") == "WORD"
-    text = F.left(F.when(F.col("case_sensitive"), F.col("_raw")).otherwise(F.col("_low")), F.lit(PART) + F.col("_size") + word.cast("int"))
-    hits = F.when(text.contains(F.col("_needle")), F.regexp_count(text, _look_for(F.col("_needle"), word))).otherwise(0)
-    counted = met.where(_applies()).select(*_NAMES, "_term", *_OWN, hits.cast("long").alias("hits")).where("hits > 0")
-    return counted.groupBy(*_NAMES, "_term", *_OWN).agg(F.sum("hits").alias("hits")).drop("_term")
+    pieces = settled(_cut(_literals(terms)).withColumn("_id", F.monotonically_increasing_id()))
+    index = _gram_index(pieces)
+    wanted = settled(pieces.join(index, "_id"))
+    n, reach, longest = wanted.agg(F.count("*"), F.coalesce(F.max(F.length("_needle")), F.lit(0)), F.coalesce(F.max("_pieces"), F.lit(0))).first()
+    sizes = sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect())
+    bits = 1 << min(MOST_BITS, max(15, (64 * n).bit_length()))
+    # 4,096 rows of 4 KB at most.
+    marked = wanted.select(F.col("_hash").bitwiseAND(F.lit(bits - 1)).alias("b")).groupBy(F.shiftright("b", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(F.lit(32_767))).alias("bits"))
+    held = bytearray(bits // 8)
+    for r in marked.collect():
+        held[r["at"] * 4096 : r["at"] * 4096 + 4096] = r["bits"]
+    places = _gram_places(surfaces, sizes, reach, terms.sparkSession.sparkContext.broadcast(bytes(held)))
+    pieces_met = F.broadcast(wanted) if _may_be_sent(wanted, "_needle") else wanted
+    word, size = F.col("kind") == "WORD", F.length("_needle")
+    # The place in the characters around a gram where a piece that holds it begins, from 1.
+    begin = F.lit(reach + 2) - F.col("_offset")
+    text = lambda start, length: F.substr(F.when(F.col("case_sensitive"), F.col("_around")).otherwise(fold(F.col("_around"))), start, length)
+    free = lambda at: ~F.substr("_around", at, F.lit(1)).rlike("[A-Za-z0-9_$]")
+    alone = ~word | (((F.col("_at") > 0) | free(begin - 1)) & (~F.col("_last") | free(begin + size)))
+    met = places.join(pieces_met, "_hash").where(_applies() & (text(begin, size) == F.col("_needle")) & alone)
+    keys = [*_NAMES, "_term", *_OWN]
+    if longest > 1:
+        found = met.groupBy(*keys, "_row", (F.col("_place") - F.col("_offset") - F.col("_at")).alias("_start")).agg(F.count("*").alias("_n"), F.first("_pieces").alias("_pieces"))
+        return found.where("_n = _pieces").groupBy(*keys).agg(F.count("*").alias("hits")).drop("_term")
+    return met.groupBy(*keys).agg(F.count("*").alias("hits")).drop("_term")
+
+
+def _hashes(codes: np.ndarray, size: int, known: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """A number for each run of ``size`` codes, by doubling: a run's number follows from those of its two halves."""
+    known = {} if known is None else known
+    if size not in known:
+        if size == 1:
+            known[1] = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        else:
+            left = size // 2
+            a, b = _hashes(codes, left, known), _hashes(codes, size - left, known)
+            n = max(0, len(codes) - size + 1)
+            mixed = (a[:n] ^ (a[:n] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b[left : left + n]
+            known[size] = mixed ^ (mixed >> np.uint64(32))
+    return known[size]
+
+
+@F.pandas_udf(T.LongType())
+def _gram_hash(grams: pd.Series) -> pd.Series:
+    return pd.Series([int(_hashes(np.frombuffer(g.encode("utf-32-le"), np.uint32), len(g))[0].astype(np.int64)) for g in grams], dtype="int64")
+
+
+def _gram_places(surfaces: DataFrame, sizes: list[int], reach: int, sent) -> DataFrame:
+    """(unit_id, location, surface, source, _row, _place, _hash, _around): places of grams that the bitmap ``sent`` holds, with ``reach`` + 1 characters before and behind them."""
+    shown = surfaces.where(F.length("text") > 0).select(*_NAMES, F.monotonically_increasing_id().alias("_row"), "text")
+
+    def found(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+        marks = np.frombuffer(sent.value, np.uint8)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
+        edges = _EDGE * (reach + 1)
+        for start in range(0, len(codes), PART):
+            part, known = codes[start : start + PART + max(sizes, default=0)], {}
+            for size in sizes:
+                hashes = _hashes(part, size, known)[:PART]
+                low = hashes & np.uint64(8 * len(marks) - 1)
+                at = np.flatnonzero(marks[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+                if len(at):
+                    before = text[max(0, start - reach - 1) : start + PART + 2 * reach + 2]
+                    around = edges[: max(0, reach + 1 - start)] + before + edges
+                    yield at + start, hashes[at].astype(np.int64), [around[i : i + 2 * reach + 2] for i in at.tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                rows, places, hashes, around = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+                for row, text in enumerate(some.column(5).to_pylist()):
+                    for at, numbers, texts in found(text):
+                        rows += [row] * len(texts)
+                        places.append(at)
+                        hashes.append(numbers)
+                        around += texts
+                kept = [some.column(c).take(pa.array(rows, pa.int64())) for c in range(5)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes)), pa.array(around, pa.string())], names=[*_NAMES, "_row", "_place", "_hash", "_around"])
+
+    return shown.mapInArrow(run, T.StructType([*shown.schema.fields[:5], T.StructField("_place", T.LongType()), T.StructField("_hash", T.LongType()), T.StructField("_around", T.StringType())]))
 
 
 def _few_literals(terms: DataFrame) -> list | None:
@@ -198,16 +263,17 @@ def _searched(surfaces: DataFrame, rows: list) -> DataFrame:
     return reduce(DataFrame.unionByName, passes).groupBy(*_NAMES, "_term", *_OWN).agg(F.sum("hits").alias("hits")).drop("_term")
 
 
-def _grams(text: Column, size: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-
-
-def _gram_index(literals: DataFrame) -> DataFrame:
-    """(_term, gram): of each literal the gram that the fewest literals hold; each gram is folded."""
-    low = fold(F.col("pattern"))
-    grams = literals.select("_term", F.explode(F.array_distinct(F.when(F.col("_size") > GRAM, _grams(low, GRAM)).otherwise(F.array(low)))).alias("gram"))
+def _gram_index(pieces: DataFrame) -> DataFrame:
+    """(_id, gram, _offset, _hash): of each piece the gram that the fewest pieces hold, and where in the piece it first is; grams are folded and of one of the sizes in ``GRAMS``."""
+    low, size = fold(F.col("_needle")), F.length("_needle")
+    of = F.lit(None)
+    for k in GRAMS:
+        of = F.when(size >= k, k).otherwise(of)
+    cut = pieces.select("_id", low.alias("_low"), of.alias("_k"))
+    grams = cut.select("_id", "_low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_low") - F.col("_k") + 1), lambda i: F.substr("_low", i, F.col("_k"))))).alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("_n"))
-    return grams.join(often, "gram").groupBy("_term").agg(F.min_by("gram", F.struct("_n", F.xxhash64("gram"), "gram")).alias("gram"))
+    best = grams.join(often, "gram").groupBy("_id").agg(F.min_by(F.struct("gram", "_low"), F.struct("_n", F.xxhash64("gram"), "gram")).alias("g"))
+    return best.select("_id", "g.gram", (F.instr("g._low", F.col("g.gram")) - 1).alias("_offset"), _gram_hash("g.gram").alias("_hash"))
 
 
 def _sound_expressions(terms: DataFrame) -> list:

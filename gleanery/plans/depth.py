@@ -12,6 +12,7 @@ from ..operators import joins as J
 from ..operators import matching as M
 from ..operators import scoring as S
 from ..operators.running import running
+from ..settled import settled
 from .base import derived, query, table, with_derived
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -25,7 +26,8 @@ SELECT doc_id AS unit_id, pattern, CASE WHEN len(list_filter(range(1, 12), lambd
 def match_long_list(spark: SparkSession, d: str) -> DataFrame:
     """A literal out of every document, looked for in all of them, overlapping places too."""
     docs = table(spark, d, "documents")
-    picked = docs.where(F.length("text") > 22).select(F.substring("text", 11, 12).alias("pattern")).distinct()
+    # The list is used several times; the texts are read once for it.
+    picked = settled(docs.where(F.length("text") > 22).select(F.substring("text", 11, 12).alias("pattern")).distinct())
     terms = picked.select("pattern", F.lit("LITERAL").alias("kind"), F.lit("LOW").alias("severity"), F.lit("c").alias("category"), F.lit("").alias("note"), F.lit(True).alias("enabled"), F.lit(True).alias("scan_paths"), F.lit(True).alias("scan_strings"), F.lit(False).alias("case_sensitive"))
     return M.match_literals(derived(spark, d, "surfaces"), terms).select("unit_id", "pattern", "hits")
 

@@ -102,3 +102,22 @@ def test_broken_expressions_are_put_aside(spark):
     assert matching.quarantined(table.where("kind = 'LITERAL'")).count() == 0
     only_broken = matching.match_terms(spark.createDataFrame(rows, SURFACES), table.where(F.col("pattern") == "*"))
     assert only_broken.count() == 0 and "hits" in only_broken.columns
+
+
+@pytest.mark.parametrize(("part", "sent"), [(32_768, 200_000), (5, 0)])
+def test_long_literals_are_met_by_their_pieces(spark, monkeypatch, part, sent):
+    """Literals beyond one piece, periodic ones and words too; nothing of the texts but the characters around a gram is kept."""
+    for name, value in (("FEW_LITERALS", 0), ("PART", part), ("MOST_SENT", sent)):
+        monkeypatch.setattr(matching, name, value)
+    terms = [term("ab" * 100), term("Ba" * 70 + "b", exact=True), term("x" * 64), term("x" * 65), term("x" * 128), term("x" * 129), term("long-" * 30, "WORD"), term("😀" * 80), term("x", "LITERAL", "HIGH"), term("A" + "b" * 127, exact=True)]
+    texts = ["ab" * 300, "Ba" * 75 + "b", "x" * 200, "long-" * 30 + " " + "long-" * 30 + "a", "LONG-" * 30, "😀" * 90, "A" + "b" * 130, "a" + "b" * 130, "x", None, ""]
+    rows = [(1, "l", "STRING", "s", t) for t in texts] + [(2, "l", "STRING", "s", texts[0])]
+    assert hits(spark, rows, terms) == flat(brute(rows, terms))
+
+
+def test_literals_meet_texts_without_moving_them(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MOST_SENT", 0)
+    rows = [(i, "l", "STRING", "s", f"text {i} of some length " * 200) for i in range(50)]
+    terms = spark.createDataFrame([term(f"text {i} of") for i in range(200)], dims.TERMS)
+    plan = matching.match_literals(spark.createDataFrame(rows, SURFACES), terms)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "text#" in line and ("Exchange" in line or "Join" in line)] and "_around" in plan and plan.count("Scan ExistingRDD") <= 3
