@@ -18,7 +18,7 @@ NESTED_NAMES, NATIVE_NAMES, SCRIPT_NAMES = r"\.(jar|war)$", r"\.(dll|so|dylib)$"
 # First bytes of known formats.
 MAGIC = (
     ("89504E47", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"), ("4F676753", "ogg"), ("52494646", "riff"), ("504B0304", "zip"), ("504B0506", "empty zip"),
-    ("1F8B", "gzip"), ("664C6143", "flac"), ("00010000", "ttf"), ("774F4646", "woff"), ("CAFEBABE", "class"), ("5D0000", "lzma"), ("4D5A", "pe"), ("7F454C46", "elf"), ("526172", "rar"), ("425A68", "bzip2"),
+    ("1F8B", "gzip"), ("664C6143", "flac"), ("00010000", "ttf"), ("774F4646", "woff"), ("CAFEBABE", "class"), ("5D0000", "lzma"), ("4D5A", "pe"), ("7F454C46", "elf"), ("52617221", "rar"), ("425A68", "bzip2"),
 )
 # Characters that show as nothing.
 INVISIBLE = r"[\u200B\u200C\u200D\u2060\uFEFF\u00AD\u180E\u034F]"

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.functions.names import magic_kind
 from gleanery.operators import decode
 from gleanery.plans import registry
 
@@ -73,3 +74,10 @@ def test_best_key_is_brute_force(spark):
     groups = [[rng.choice((rng.randrange(256), rng.randrange(160, 192), rng.randrange(400))) for _ in range(rng.randint(1, 60))] for _ in range(150)] + [[*range(0, 256)], [*range(128, 256)], [*range(96, 128)], [300], [255, 127]]
     got = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "i int, codes array<int>").select("i", decode._best_key(F.col("codes")).alias("k")).collect()
     assert {r.i: r.k for r in got} == {i: max(range(256), key=lambda k, g=g: (sum(32 <= c ^ k <= 126 for c in g), -k)) for i, g in enumerate(groups)}
+
+
+def test_a_word_is_no_archive(spark):
+    """A text that begins with Rar is none; the format's first bytes are four."""
+    heads = [b"Rare ", b"Rar!\x1a\x07", b"Rar", b"\x89PNG\r"]
+    rows = spark.createDataFrame([*enumerate(heads)], "i int, c binary").select("i", magic_kind(F.hex(F.substring("c", 1, 4))).alias("k"))
+    assert {r.i: r.k for r in rows.collect()} == {0: None, 1: "rar", 2: None, 3: "png"}
