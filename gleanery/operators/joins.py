@@ -15,6 +15,9 @@ REFLECTION = (
     ("java/lang/invoke/MethodHandles", "invoke", "MethodHandles.invoke"), ("java/lang/invoke/MethodHandles", "invokeExact", "MethodHandles.invokeExact"),
 )
 
+#: Volumes that are sent to every task; of more, each holds a small share of the files.
+MOST_VOLUMES = 10_000
+
 
 def tampered(defaults: DataFrame, current: DataFrame) -> DataFrame:
     """Grave default terms that the current list lacks, whatever the case."""
@@ -92,7 +95,10 @@ def trusted_or_scanned(reported: DataFrame, scanned: DataFrame, volumes: DataFra
 
     volumes: (volume, trusted). Nothing of a trusted volume is taken from the scan, so the scan needn't list it; volumes that nothing was reported of are scanned.
     """
-    trusted = volumes.where("trusted").select("volume")
+    trusted = settled(volumes.where("trusted").select("volume"))
+    if trusted.limit(MOST_VOLUMES + 1).count() <= MOST_VOLUMES:
+        # A volume's files would all go to one task of a join by volume.
+        trusted = F.broadcast(trusted)
     kept = reported.join(trusted, "volume", "left_semi").select("volume", "path").distinct().withColumn("source", F.lit("index"))
     rest = scanned.join(trusted, "volume", "left_anti").select("volume", "path").distinct().withColumn("source", F.lit("scan"))
     return kept.unionByName(rest)
