@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -41,21 +41,26 @@ def archive_findings(archives: DataFrame) -> DataFrame:
     return archives.select(F.col("archive_id").alias("unit_id"), F.inline(_held(rules)))
 
 
-def entry_findings(archives: DataFrame, entries: DataFrame) -> DataFrame:
+def entry_findings(archives: DataFrame, entries: DataFrame, parts: int | None = None) -> DataFrame:
     """(unit_id, rule, severity, source, breaks, n): the rules about an archive's entries that hold, for how many entries or names.
 
-    Entries are read once. They meet what is known of their archive, are added up by name, which tells names that come
-    twice, and then by archive; entries of an unknown archive are judged by themselves.
+    Entries are read once. Their own rules become bits before they are dealt out by archive, to so many parts (by default
+    Spark's own number); sorted by name, which tells names that come twice, they meet what is known of their archive and are
+    added up. Entries of an unknown archive are judged by themselves.
     """
     rules = _entry_rules()
+    true = lambda when: F.coalesce(when, F.lit(False))
+    bits = reduce(Column.bitwiseOR, [F.when(true(when), 1 << i).otherwise(0) for i, (_, when, *_) in enumerate(rules)])
+    own = entries.select("archive_id", "name", "header_offset", bits.alias("_bits"))
+    dealt = own.repartition(parts, "archive_id") if parts else own.repartition("archive_id")
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("archive_id", "name").orderBy("name")))
+    twice = (F.col("_rank") == 2) & ~F.col("name").endswith("/")
+    seen = ranked.select("archive_id", "header_offset", F.when(true(twice), F.col("_bits").bitwiseOR(1 << len(rules))).otherwise(F.col("_bits")).alias("_bits"))
     known = archives.select(F.col("archive_id").alias("_id"), "prefix_bytes", "size_bytes", "declared_entries")
-    count = lambda when: F.count_if(F.coalesce(when, F.lit(False)))
     past = F.col("prefix_bytes") + F.col("header_offset") >= F.col("size_bytes")
-    names = entries.join(known, F.col("archive_id") == F.col("_id"), "left").groupBy("archive_id", "name").agg(
-        F.count("*").alias("n"), F.max("declared_entries").alias("declared"), count(past).alias("past"), *[count(when).alias(f"r{i}") for i, (_, when, *_) in enumerate(rules)])
-    twice = (F.col("n") > 1) & ~F.col("name").endswith("/")
-    sums = names.groupBy(F.col("archive_id").alias("unit_id")).agg(
-        F.sum("n").alias("n"), F.max("declared").alias("declared"), F.sum("past").alias("past"), count(twice).alias("twice"), *[F.sum(f"r{i}").alias(f"r{i}") for i in range(len(rules))])
+    held = lambda i: F.count_if(F.col("_bits").bitwiseAND(1 << i) != 0)
+    sums = seen.join(known, F.col("archive_id") == F.col("_id"), "left").groupBy(F.col("archive_id").alias("unit_id")).agg(
+        F.count("*").alias("n"), F.max("declared_entries").alias("declared"), F.count_if(true(past)).alias("past"), held(len(rules)).alias("twice"), *[held(i).alias(f"r{i}") for i in range(len(rules))])
     whole = [
         ("duplicate names", F.col("twice") > 0, "HIGH", "ARCHIVE", True, F.col("twice")), ("entry past end", F.col("past") > 0, "MEDIUM", "ARCHIVE", True, F.col("past")),
         ("entry count", F.col("n") != F.col("declared"), "MEDIUM", "ARCHIVE", True, F.lit(1))]
@@ -63,9 +68,9 @@ def entry_findings(archives: DataFrame, entries: DataFrame) -> DataFrame:
     return sums.select("unit_id", F.inline(_held([*each, *whole])))
 
 
-def rule_findings(archives: DataFrame, entries: DataFrame) -> DataFrame:
-    """All rules that hold for archives and their entries."""
-    return archive_findings(archives).unionByName(entry_findings(archives, entries))
+def rule_findings(archives: DataFrame, entries: DataFrame, parts: int | None = None) -> DataFrame:
+    """All rules that hold for archives and their entries; entries are dealt out to so many parts."""
+    return archive_findings(archives).unionByName(entry_findings(archives, entries, parts))
 
 
 def _held(rules: list[tuple]) -> Column:

@@ -36,6 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return evenly(rows) if name in ("documents", "lineitem", "customer") else rows
 
 
+#: Rows that a task of a shuffle may hold.
+ROWS_A_PART = 500_000
+
+
+def parts(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """Parts for a shuffle of these tables, one for each core at least; their rows are told by the files' footers."""
+    rows = sum(spark.read.parquet(f"{sf_dir}/{name}.parquet").count() for name in names)
+    return max(spark.sparkContext.defaultParallelism, rows // ROWS_A_PART + 1)
+
+
 DERIVED = {
     "entries": ("lineitem", [
         "l_orderkey AS archive_id", "l_linenumber AS ordinal",

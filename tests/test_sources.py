@@ -147,6 +147,26 @@ def test_rules_of_one_pass(spark):
         (2, "odd method", 1), (2, "native library", 1), (2, "entry past end", 1), (2, "entry count", 1), (7, "traversal", 1)])
 
 
+def test_rules_hold_no_table_of_names(spark):
+    """Names three times or null count rightly; entries are added up once, by archive, in the parts that are asked for."""
+    archives = spark.range(50).selectExpr("id AS archive_id", "'a.jar' AS name", "'/x' AS path", "100L AS size_bytes", "9L AS declared_entries", "0L AS prefix_bytes", "0L AS trailing_bytes", "true AS readable")
+    entries = spark.range(50 * 9).selectExpr("id % 50 AS archive_id", "CASE WHEN id < 150 THEN 'x' WHEN id < 250 THEN 'd/' WHEN id < 350 THEN NULL ELSE 'y' END AS name", "0 AS flags", "8 AS method", "1L AS csize", "1L AS usize", "0L AS header_offset")
+    for parts in (None, 7):
+        found = rules.entry_findings(archives, entries, parts)
+        assert sorted((r.unit_id, r.rule, r.n) for r in found.collect()) == [(i, "duplicate names", 2) for i in range(50)]
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    assert found.rdd.getNumPartitions() == 7
+
+
+def test_rule_findings_have_more_parts_for_more_rows(spark, monkeypatch):
+    from gleanery.plans import base
+
+    rows = sum(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count() for t in ("lineitem", "orders"))
+    monkeypatch.setattr(base, "ROWS_A_PART", 100)
+    found = base.QUERIES["rule_findings"](spark, "/root/testdata/sf0.001")
+    assert "hashpartitioning(archive_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and f", {rows // 100 + 1})" in plan
+
+
 def test_names_that_stay_and_names_that_go(spark):
     rows = [("a", 1, "publicMethod"), ("a", 9, "method"), ("ab", 2, "privateMethod"), ("x$", 4, "protectedMethod"), ("toString", 1, "toString"), ("abc", 1, "abc"), ("-", 1, "-"), ("<init>", 1, "<init>")]
     table = spark.createDataFrame(rows, "name string, access int, want string")
