@@ -251,15 +251,37 @@ def rotated(text: Column, by: int) -> Column:
     return F.translate(text, low + up, low[by:] + low[:by] + up[by:] + up[:by])
 
 
-def _letters(text: Column) -> Column:
-    """How often each letter of the alphabet stands in a text, whatever its case."""
-    low = F.lower(text)
-    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("long") for c in "abcdefghijklmnopqrstuvwxyz"])
+_LOW, _UP = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What becomes of each byte when letters move on by 0 to 25.
+_MOVED = [bytes.maketrans(_LOW + _UP, _LOW[by:] + _LOW[:by] + _UP[by:] + _UP[:by]) for by in range(26)]
+
+
+def _letters(text: bytes) -> np.ndarray:
+    """How often each letter of the alphabet stands in a text, whatever its case; İ and the Kelvin sign are an i and a k in lower case."""
+    n = np.zeros(256, np.int64)
+    for at in range(0, len(text), 65536):
+        n += np.bincount(np.frombuffer(text, np.uint8, min(65536, len(text) - at), at), minlength=256)
+    letters = n[65:91] + n[97:123]
+    letters[8] += text.count("\u0130".encode())
+    letters[10] += text.count("\u212a".encode())
+    return letters
+
+
+def _bytes_of(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.large_binary()).to_pylist()
 
 
 def letter_shares(texts: DataFrame) -> DataFrame:
     """One row: the letters' shares in all texts, in parts of a million."""
-    counted = texts.where("text IS NOT NULL").select(F.posexplode(_letters(F.col("text"))).alias("letter", "n")).groupBy("letter").agg(F.sum("n").alias("n"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(26, np.int64)
+        for batch in batches:
+            for text in _bytes_of(batch.column(0)):
+                n += _letters(text)
+        yield pa.RecordBatch.from_arrays([pa.array(range(26), pa.int32()), pa.array(n)], names=["letter", "n"])
+
+    # A row for each letter and task.
+    counted = texts.select("text").where("text IS NOT NULL").mapInArrow(count, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n"))
     row = counted.agg(F.sort_array(F.collect_list(F.struct("letter", "n"))).alias("c"), F.greatest(F.sum("n"), F.lit(1)).alias("total"))
     return row.select(F.transform("c", lambda x: F.floor(x["n"] * 1_000_000 / F.col("total")).cast("long")).alias("shares"))
 
@@ -268,18 +290,23 @@ def rotation_keys(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(unit_id, key, decoded): the rotation of 0 to 25 letters that hides each (unit_id, text), told by the letters of plain texts.
 
     Every rotation of a text can be read, so the one counts whose letters lie closest to those of all plain texts, the lowest of equals; 0: not rotated. Null texts have none.
+    A text's letters are counted once, over its bytes: no byte of another character is a letter's.
     """
-    # 26 numbers.
-    shares = F.array(*[F.lit(x).cast("long") for x in letter_shares(texts).first()[0] or [0] * 26])
-    # Exploding an array of one keeps the counting from being repeated for each letter and key.
-    counted = rows.where("text IS NOT NULL").select("unit_id", "text", F.explode(F.array(_letters(F.col("text")))).alias("_n"))
-    score = lambda k: F.aggregate(F.transform(shares, lambda s, i: s * F.get("_n", ((i + k) % 26).cast("int"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda k: F.struct(score(k).alias("score"), (-k).alias("less"))))
-    keyed = counted.select("unit_id", "text", F.explode(F.array((-best["less"]).cast("int"))).alias("key"))
-    plain = F.lit(None).cast("string")
-    for k in range(26):
-        plain = F.when(F.col("key") == k, rotated(F.col("text"), (26 - k) % 26)).otherwise(plain)
-    return keyed.select("unit_id", "key", plain.alias("decoded"))
+    # 26 numbers; line k is how they stand under key k.
+    shares = np.array(letter_shares(texts).first()[0] or [0] * 26, np.int64)
+    turned = np.array([np.roll(shares, k) for k in range(26)])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Nulls go here, as Spark would work a text out twice to filter it.
+            batch = batch.filter(batch.column(1).is_valid())
+            hidden = _bytes_of(batch.column(1))
+            keys = [int(np.argmax(turned @ _letters(text))) for text in hidden]
+            plain = pa.array([text.translate(_MOVED[-key % 26]) for text, key in zip(hidden, keys, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int32()), plain.cast(pa.string(), safe=False)], names=["unit_id", "key", "decoded"])
+
+    some = rows.select("unit_id", "text")
+    return some.mapInArrow(search, T.StructType([some.schema["unit_id"], T.StructField("key", T.IntegerType()), T.StructField("decoded", T.StringType())]))
 
 
 def mirrored(text: Column) -> Column:

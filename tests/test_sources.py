@@ -109,6 +109,23 @@ def test_rotations_of_every_key(spark):
     assert {r.key for r in decode.rotation_keys(hidden.where("unit_id < 3"), rows.where("false")).collect()} == {0}
 
 
+def test_letters_are_counted_in_one_pass(spark):
+    """As lower() has them, İ and the Kelvin sign with them; over more than one block of bytes, and no letter is looked for by itself."""
+    texts = ["", "aAzZ", "İıIi", "K\u212ak", "éÅ\u212bßſ日本語 q", "xY" * 40000 + "\u212aİ", "\x00`{@["]
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "unit_id long, text string")
+    low = F.lower("text")
+    want = {r.unit_id: list(r.n) for r in rows.where("text IS NOT NULL").select("unit_id", F.array(*[F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz"]).alias("n")).collect()}
+    assert {i: decode._letters(t.encode()).tolist() for i, t in enumerate(texts)} == want
+    shares = decode.letter_shares(rows)
+    total = [sum(n) for n in zip(*want.values(), strict=True)]
+    assert shares.first().shares == [n * 1_000_000 // sum(total) for n in total]
+    got = decode.rotation_keys(rows, rows)
+    assert "replace(" not in plan_of(got) + plan_of(shares) and got.count() == len(texts)
+    turned = {r.unit_id: (r.key, r.decoded) for r in got.collect()}
+    assert all(turned[i][1] == rows.where(F.col("unit_id") == i).select(decode.rotated(F.col("text"), (26 - turned[i][0]) % 26)).first()[0] for i in range(len(texts)))
+    assert turned[6] == (0, texts[6]) and turned[0] == (0, "")
+
+
 def test_repeating_keys_are_plain_python(spark):
     rng, rows = random.Random(5), []
     for i in range(60):
