@@ -176,11 +176,11 @@ def test_rules_hold_no_table_of_names(spark):
 
 
 def test_rule_findings_have_more_parts_for_more_rows(spark, monkeypatch):
-    from gleanery.plans import base
+    from gleanery.plans import base, registry
 
     rows = sum(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count() for t in ("lineitem", "orders"))
     monkeypatch.setattr(base, "ROWS_A_PART", 100)
-    found = base.QUERIES["rule_findings"](spark, "/root/testdata/sf0.001")
+    found = registry.QUERIES["rule_findings"](spark, "/root/testdata/sf0.001")
     assert "hashpartitioning(archive_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and f", {rows // 100 + 1})" in plan
 
 
