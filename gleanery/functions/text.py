@@ -67,9 +67,14 @@ def unprintable(text: Column, first: int | None = None) -> Column:
     return F.length(F.regexp_replace(text, r"[ -~\n\r\t]", ""))
 
 
+def mostly_printable(text: Column) -> Column:
+    """Over 85 % printable; null for a text without characters, of which no share can be told."""
+    return F.try_divide(F.length(text) - unprintable(text), F.length(text)) > 0.85
+
+
 def is_readable(text: Column) -> Column:
-    """Over 85 % printable."""
-    return F.coalesce(F.try_divide(F.length(text) - unprintable(text), F.length(text)) > 0.85, F.lit(False))
+    """Over 85 % printable; a text without characters is not readable."""
+    return F.coalesce(mostly_printable(text), F.lit(False))
 
 
 def printable_runs(content: Column) -> Column:

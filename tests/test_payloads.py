@@ -43,3 +43,12 @@ def test_encodings_of_documents(spark):
     rows = spark.createDataFrame(list(enumerate(c for c, _ in cases)), "id int, content binary")
     got = {r.id: r.kind for r in rows.select("id", decode.encoding_class(F.col("content")).alias("kind")).collect()}
     assert got == dict(enumerate(k for _, k in cases))
+
+
+def test_texts_without_characters_have_no_share(spark, tmp_path):
+    texts = [None, "", "plain", "a" * 17 + "é" * 3, "a" * 171 + "é" * 29, "é" * 41]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in registry.QUERIES["readability"](spark, str(tmp_path)).collect())
+    assert [r[2] for r in got] == [None, None, True, False, True, False]
+    view = f"(SELECT * FROM '{tmp_path}/documents.parquet/*.parquet')"
+    assert got == sorted(duckdb.connect().sql(registry.SQL["readability"].replace("FROM documents", f"FROM {view}")).fetchall())
